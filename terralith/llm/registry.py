@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import packing, secret_scan, sharding, url_filter
+from terralith.llm import jaccard_join, packing, secret_scan, sharding, url_filter
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ RULES = [
 ]
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source stands for an owner; a language's part of a source for a repository."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op8_best_fit_packing": op8_best_fit_packing,
