@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import jaccard_join, packing, secret_scan, sharding, url_filter
+from terralith.llm import decontaminate, jaccard_join, line_dedup, packing, secret_scan, sharding, url_filter
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES, "page_id", "url")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs, "doc_id", "text").withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return leaks.groupBy("doc_id", "item_id").agg(F.max("equal").alias("equal"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -51,6 +61,8 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_sharding": op10_sharding,
 }
@@ -72,6 +84,24 @@ ORACLE = {
               ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fitting WHERE k = 1
     """,
+    "op6_line_dedup": r"""
+        WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM split WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        blank AS (SELECT doc_id, pos, CASE WHEN trim(line, ' ') = '' THEN chr(0) ELSE line END AS line FROM line),
+        win AS (
+            SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS win FROM blank
+            WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        placed AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM win
+            WHERE win IS NOT NULL AND win <> chr(0) || chr(10) || chr(0) || chr(10) || chr(0)),
+        gone AS (SELECT DISTINCT doc_id, pos + o AS pos FROM placed, (VALUES (0), (1), (2)) t(o) WHERE k > 1),
+        kept AS (
+            SELECT l.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS text, count(*) AS n_lines, count(g.pos) AS n_removed
+            FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+        SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL WHEN k.doc_id IS NULL THEN s.text ELSE coalesce(k.text, '') END AS text,
+               coalesce(k.n_lines, 0)::INT AS n_lines, coalesce(k.n_removed, 0)::INT AS n_removed
+        FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+    """,
 }
 
 
