@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import decontaminate, jaccard_join, line_dedup, packing, secret_scan, sharding, url_filter
+from terralith.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, secret_scan, sharding, url_filter
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,6 +53,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path: source, language, id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
 }
 
