@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, secret_scan, sharding, toxicity, url_filter
+from terralith.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, secret_scan, sharding, toxicity, url_filter
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ RULES = [
 ]
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~toxicity.held_out(F.col("doc_id")))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
@@ -69,6 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
