@@ -34,9 +34,9 @@ def affine(axes: list[Column], matrix: list[list[float]]) -> list[Column]:
 
 
 def rotation_2d(azimuth: float, scales: tuple[float, float] = (1.0, 1.0)) -> list[list[float]]:
-    """Rows of the scaled rotation that turns the direction ``azimuth`` (degrees from +y, clockwise) onto the first axis."""
-    a = math.radians(azimuth)
-    return [[scales[0] * math.sin(a), scales[0] * math.cos(a)], [scales[1] * math.cos(a), -scales[1] * math.sin(a)]]
+    """Rows that give the scaled coordinates along and across ``azimuth`` (degrees from +x towards +y)."""
+    c, s = math.cos(math.radians(azimuth)), math.sin(math.radians(azimuth))
+    return [[scales[0] * c, scales[0] * s], [-scales[1] * s, scales[1] * c]]
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:
@@ -48,8 +48,8 @@ def semivariance(h: Column, model: str, nugget: float, partial_sill: float, reac
     u = h / F.lit(float(reach))
     shape = {
         "spherical": F.when(u >= 1, F.lit(1.0)).otherwise(1.5 * u - 0.5 * u * u * u),
-        "exponential": 1 - F.exp(-3 * u),
-        "gaussian": 1 - F.exp(-3 * u * u),
+        "exponential": 1 - F.exp(-u),
+        "gaussian": 1 - F.exp(-u * u),
     }[model]
     return F.lit(float(nugget)) + F.lit(float(partial_sill)) * F.when(h > 0, shape).otherwise(0.0)
 
