@@ -36,8 +36,8 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     best = -(-int(lengths.sum()) // capacity)
     ordered = np.sort(lengths)
     sums = np.concatenate(([0], np.cumsum(ordered)))
-    small = np.unique(ordered[ordered * 2 <= capacity])
-    for e in small[np.linspace(0, len(small) - 1, min(len(small), 256)).astype(int)] if len(small) else ():
+    small = np.unique(np.concatenate(([0], ordered[ordered * 2 <= capacity])))
+    for e in small[np.linspace(0, len(small) - 1, min(len(small), 256)).astype(int)]:
         whole = np.searchsorted(ordered, capacity - e, "right")
         half = max(np.searchsorted(ordered, capacity / 2, "right"), 0)
         low = np.searchsorted(ordered, e, "left")
