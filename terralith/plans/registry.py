@@ -6,9 +6,9 @@ FLAGSHIP = "a03_numeric_summary"
 
 
 def _modules():
-    from terralith.plans import evaluation_queries, spatial_queries, statistics_queries
+    from terralith.plans import evaluation_queries, grid_queries, spatial_queries, statistics_queries
 
-    return [statistics_queries, evaluation_queries, spatial_queries]
+    return [statistics_queries, evaluation_queries, spatial_queries, grid_queries]
 
 
 def queries() -> dict:
