@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "a03_numeric_summary"
+FLAGSHIP = "a12_spatial_anomaly"
 
 
 def _modules():
-    from terralith.plans import evaluation_queries, grid_queries, spatial_queries, statistics_queries
+    from terralith.plans import evaluation_queries, grid_queries, modelling_queries, spatial_queries, statistics_queries
 
-    return [statistics_queries, evaluation_queries, spatial_queries, grid_queries]
+    return [statistics_queries, evaluation_queries, spatial_queries, grid_queries, modelling_queries]
 
 
 def queries() -> dict:
