@@ -4,9 +4,10 @@ Cosine >= c means a squared distance of unit vectors of at most t = 2 - 2c.  The
 and split into blocks of ``BLOCK`` dimensions; if a pair is within t, it is within t * (dimensions of the block) /
 (all dimensions) in one block at least.  Each block is range-joined under that budget:
 
-* a few pivots per block (k-means on a bounded sample; their number goes with the square root of the vectors) cut the
-  block into cells; a vector visits its own cell, and another cell only if the plane between the two pivots is within
-  the block's radius, which every partner in that cell needs;
+* pivots (k-means on a bounded sample) cut the block into cells; a vector visits its own cell, and another cell only if
+  the plane between the two pivots is within the block's radius, which every partner in that cell needs. The number of
+  pivots is the one that, by the sample, has a vector sent to the fewest tiles and compared with the fewest vectors: many
+  where the vectors are clustered, one where a block's radius is too wide for any cell to be spared;
 * two cells meet in tiles of at most ``TILE`` vectors a side, so no task holds a cell, however hot;
 * within a tile, pairs within the budget are candidates, and candidates are verified exactly in double precision.
 
@@ -29,9 +30,9 @@ from terralith.llm.common import saved
 from terralith.llm.components import connected_components
 
 BLOCK = 16
-TILE = 2048
+TILE = 8192
 SAMPLE = 8192  # vectors for the pivots
-MOST_PIVOTS = 512
+PIVOTS = (1, 8, 64, 512)
 SLACK = 1e-5  # for the single-precision filter before the exact test
 
 
@@ -64,13 +65,35 @@ def _pivots(block: np.ndarray, k: int) -> np.ndarray:
 class _Grid:
     """Cells of every block. ``visits``: for each vector and block its cell, and all cells it has to visit."""
 
-    def __init__(self, sample: np.ndarray, pivots: int, budget: float) -> None:
+    def __init__(self, sample: np.ndarray, many: int, budget: float) -> None:
         self.dims = sample.shape[1]
         self.turn = rotation(self.dims)
         self.edges = list(range(0, self.dims, BLOCK)) + [self.dims]
         self.budgets = np.array([budget * (b - a) / self.dims for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)])
-        turned = sample @ self.turn
-        self.pivots = [_pivots(turned[:, a:b], min(pivots, len(sample))) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
+        self.pivots = [self._chosen(block, t, many) for block, t in zip(self.blocks(sample), self.budgets, strict=True)]
+
+    @classmethod
+    def _chosen(cls, block: np.ndarray, budget: float, many: int) -> np.ndarray:
+        best = None
+        for k in PIVOTS:
+            if k > 1 and k * 8 > len(block):
+                break
+            pivots = _pivots(block, k)
+            own, near = cls._near(block, pivots, budget)
+            held = np.bincount(own, minlength=len(pivots)) * (many / len(block))  # vectors that a cell will hold
+            cost = float((near @ (np.ceil(held / TILE) + held / TILE)).mean())
+            if best is None or cost < best[0]:
+                best = cost, pivots
+        return best[1]
+
+    @staticmethod
+    def _near(block: np.ndarray, p: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's cell, and which cells it has to visit."""
+        d2 = (block * block).sum(axis=1)[:, None] - 2 * block @ p.T + (p * p).sum(axis=1)
+        own = np.argmin(d2, axis=1)
+        between = np.sqrt(((p[:, None] - p) ** 2).sum(axis=2))
+        gap = d2 - d2[np.arange(len(d2)), own][:, None]  # twice the distance to the plane, times that of the pivots
+        return own, gap <= 2 * math.sqrt(budget) * (1 + SLACK) * between[own] + SLACK
 
     def blocks(self, units: np.ndarray) -> list[np.ndarray]:
         turned = units @ self.turn
@@ -78,13 +101,7 @@ class _Grid:
 
     def visits(self, units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for k, block in enumerate(self.blocks(units)):
-            p = self.pivots[k]
-            d2 = (block * block).sum(axis=1)[:, None] - 2 * block @ p.T + (p * p).sum(axis=1)
-            own = np.argmin(d2, axis=1)
-            between = np.sqrt(((p[:, None] - p) ** 2).sum(axis=2))
-            gap = d2 - d2[np.arange(len(d2)), own][:, None]  # twice the distance to the plane, times that of the pivots
-            reach = 2 * math.sqrt(self.budgets[k]) * (1 + SLACK) * between[own] + SLACK
-            yield k, own, gap <= reach
+            yield k, *self._near(block, self.pivots[k], self.budgets[k])
 
 
 def _deal(grid_of, chunks_of, dims: int):
@@ -192,7 +209,8 @@ def embedding_links(df: DataFrame, id_col: str, vector_col: str, least: float =
     read.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
     lengths = rows.where(sound).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -202,7 +220,7 @@ def embedding_links(df: DataFrame, id_col: str, vector_col: str, least: float =
     many = nodes.count()
     if many:
         sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-        grid = _Grid(_units(_matrix(sample, dims)), max(1, min(MOST_PIVOTS, round(math.sqrt(many) / 16))), 2 - 2 * least)
+        grid = _Grid(_units(_matrix(sample, dims)), many, 2 - 2 * least)
         grid_of = spark.sparkContext.broadcast(grid)
 
         def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +233,7 @@ def embedding_links(df: DataFrame, id_col: str, vector_col: str, least: float =
         for r in nodes.select("embedding").mapInArrow(cells, "block int, cell int, n bigint").groupBy("block", "cell").agg(F.sum("n").alias("n")).collect():  # blocks times pivots
             chunks[r["block"]][r["cell"]] = -(-r["n"] // TILE)
         chunks_of = spark.sparkContext.broadcast(chunks)
-        tile = "block int, low int, high int, first int, second int, side int, id bigint, copies bigint, embedding array<double>"
+        tile = "block int, low int, high int, first int, second int, side int, id bigint, copies bigint, embedding " + kind
         dealt = nodes.select(F.col("node").alias("id"), "copies", "embedding").mapInArrow(_deal(grid_of, chunks_of, dims), tile)
         met = saved(dealt.groupBy("block", "low", "high", "first", "second").applyInArrow(_meet(grid_of, dims, least), "u bigint, v bigint, n bigint"))
     else:
