@@ -1,7 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with distance-weighted, calibrated votes.
 
 1. A bounded sample of the labelled rows, ``MOST_EXAMPLES`` of each class in the order of a hash, is the classifier's
-   memory.  Words that are significantly commoner in its toxic texts (chi-squared, at most ``MOST_TERMS``) are the terms.
+   memory; near copies in it (equal least hashes of long words) count as one.  Beginnings of words (``SIZES`` letters)
+   that are significantly (chi-squared) and several times commoner in its toxic texts are the terms, at most
+   ``MOST_TERMS``.  Beginnings rather than words, since languages compound and inflect.
 2. One pass over all whole texts counts their terms; document frequencies come from all texts.
 3. The examples' vectors go into an inverted index with block maxima: examples lie in blocks of like ones, each term has
    its largest weight per block, and a query opens blocks from the highest bound down until no bound reaches its k-th
@@ -12,7 +14,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from terralith.llm.common import saved
 
 MOST_EXAMPLES = 4096  # of each class
-MOST_TERMS = 256
-LEAST_CHI2 = 24.0
+MOST_TERMS = 512
+SIZES = range(4, 10)
+LEAST_CHI2, LEAST_LIFT = 24.0, 3.0
+LONG = 7  # letters of the words by which copies are told
 NEIGHBOURS = 15
 EASE = 0.1
 PRIOR = 0.5  # weight of the base rate among the votes
@@ -33,8 +39,34 @@ CUT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def beginnings(text: str | None) -> set[str]:
+    """The first letters of a text's words, lower-cased."""
+    return {w[:n] for w in set(_WORD.findall((text or "").lower())) for n in SIZES if n <= len(w)}
+
+
+def copy_key(text: str | None) -> str | None:
+    """Equal for most near copies, different for most other texts; null for a text without long words."""
+    long = {w for w in _WORD.findall((text or "").lower()) if len(w) >= LONG}
+    return "/".join(min(hashlib.blake2b(w.encode(), digest_size=8, salt=bytes([k])).hexdigest() for w in long) for k in (1, 2)) if long else None
+
+
+def counter(terms: list[str]):
+    """A function from a text to its (term, count) pairs."""
+    import ahocorasick
+
+    find = ahocorasick.Automaton()
+    for i, t in enumerate(terms):
+        find.add_word(t, i)
+    if terms:
+        find.make_automaton()
+
+    def count(text: str | None) -> list[tuple[int, int]]:
+        text = (text or "").lower()
+        if not terms:
+            return []
+        return sorted(Counter(i for end, i in find.iter(text) if (at := end - len(terms[i])) < 0 or not text[at].isalpha()).items())
+
+    return count
 
 
 def held_out(id_col: Column) -> Column:
@@ -51,19 +83,22 @@ class BlockMaxIndex:
         self.most = np.stack([self.vectors[i : i + BLOCK].max(axis=0) for i in edges]) if len(order) else np.zeros((0, vectors.shape[1]))
 
     def nearest(self, query: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the ``k`` nearest with a cosine over 0; on ties the row that comes first."""
+        """Rows and cosines of the ``k`` nearest with a cosine over 0. Among equal cosines those stay that come first in
+        the order of their blocks' bounds; blocks are opened one, two, four, ... at a time."""
         terms = np.flatnonzero(query)
         bound = self.most[:, terms] @ query[terms]
-        rows, near = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(near) == k and bound[b] < near[-1] - 1e-12):
-                break
-            at = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.vectors)))
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
+        rows, near, done, many = np.zeros(0, np.int64), np.zeros(0), 0, 1
+        while done < len(order) and (len(near) < k or bound[order[done]] > near[-1] + 1e-12):
+            at = (order[done : done + many, None] * BLOCK + np.arange(BLOCK)).ravel()
+            at = at[at < len(self.vectors)]
             score = self.vectors[at[:, None], terms] @ query[terms]
             good = (score > 0) & (at != without)
             rows, near = np.concatenate((rows, at[good])), np.concatenate((near, score[good]))
-            best = np.lexsort((rows, -near))[:k]
+            best = np.argsort(-near, kind="stable")[:k]
             rows, near = rows[best], near[best]
+            done, many = done + many, many * 2
         return rows, near
 
     def vote(self, query: np.ndarray, base: float, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -85,25 +120,37 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] for p in pools]), np.array([p[2] / p[1] for p in pools])
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        terms, toxic = [], []
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([copy_key(t.as_py()) for t in batch.column(2)], pa.string())], names=[*batch.schema.names, "copy"])
+
+
+def _beginning_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every, toxic = Counter(), Counter()
         for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            found = set(words(t.as_py()))
-            terms += found
-            toxic += [y] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64())], names=["term", "toxic"])
+            found = beginnings(t.as_py())
+            every.update(found)
+            if y:
+                toxic.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([toxic[t] for t in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["term", "a", "ab"])
 
 
 def _telling_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Terms that stand in more of the toxic examples than chance explains, the most telling first."""
-    counts = sample.select("text", "toxic").mapInArrow(_term_rows, "term string, toxic bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("ab"))
+    counts = sample.select("text", "toxic").mapInArrow(_beginning_counts, "term string, a bigint, ab bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("ab").alias("ab"))
     a, b = F.col("a").cast("double"), (F.col("ab") - F.col("a")).cast("double")
     c, d = F.lit(float(n_toxic)) - a, F.lit(float(n_clean)) - b
     n = float(n_toxic + n_clean)
-    chi2 = n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * F.lit(max(1.0, float(n_toxic) * n_clean)))
-    telling = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (a * n_clean > b * n_toxic))
-    return [r["term"] for r in telling.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect()]
+    chi2 = n * (a * d - b * c) * (a * d - b * c) / (F.greatest(F.lit(1.0), (a + b) * (c + d)) * F.lit(float(n_toxic) * n_clean))
+    telling = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (a * (n_clean + 1) >= LEAST_LIFT * n_toxic * (b + 0.5)))
+    found = telling.orderBy(F.desc("chi2"), F.desc(F.length("term")), "term").limit(4 * MOST_TERMS).collect()
+    kept: dict[str, tuple] = {}  # of nested beginnings in the same texts the longest
+    for r in found:
+        if not any(t.startswith(r["term"]) and k == (r["a"], r["ab"]) for t, k in kept.items()):
+            kept[r["term"]] = (r["a"], r["ab"])
+        if len(kept) == MOST_TERMS:
+            break
+    return list(kept)
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column) -> DataFrame:
@@ -123,20 +170,18 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     chosen = saved(of(1).unionByName(of(0)).select(F.col(id_col).alias("id"), "toxic"))
     n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = rows.join(F.broadcast(chosen), "id")  # at most 2 * MOST_EXAMPLES rows of two numbers
-    terms = _telling_terms(sample, n.get(1, 0), n.get(0, 0)) if n.get(1) and n.get(0) else []
     kind = df.schema[id_col].dataType.simpleString()
-    index_of = {t: i for i, t in enumerate(terms)}
+    sample = rows.join(F.broadcast(chosen), "id").select("id", "toxic", "text")  # at most 2 * MOST_EXAMPLES rows of two numbers
+    sample = sample.mapInArrow(_keyed, f"id {kind}, toxic bigint, text string, copy string").groupBy("toxic", F.coalesce("copy", F.concat(F.lit("id "), F.col("id").cast("string")))).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
+    sample = saved(sample.select("id", "toxic", "text"))
+    chosen = saved(sample.select("id", "toxic").distinct())
+    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    terms = _telling_terms(sample, n.get(1, 0), n.get(0, 0)) if n.get(1) and n.get(0) else []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms_of = counter(terms)
         for batch in batches:
-            found = []
-            for t in batch.column(1):
-                tf: dict[int, int] = {}
-                for w in words(t.as_py()):
-                    if (i := index_of.get(w)) is not None:
-                        tf[i] = tf.get(i, 0) + 1
-                found.append(sorted(tf.items()))
+            found = [terms_of(t.as_py()) for t in batch.column(1)]
             lists = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], lists), pa.array([[n for _, n in f] for f in found], lists)], names=["id", "terms", "tf"])
 

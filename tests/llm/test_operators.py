@@ -156,7 +156,7 @@ def test_embeddings_of_nothing(spark):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), "vec_id", "embedding").count() == 0
 
 
-TOXIC = ["idiot", "scum", "moron"]
+TOXIC = ["idiot", "scummy", "moron"]
 
 
 def test_toxicity_finds_held_out_documents(spark):
