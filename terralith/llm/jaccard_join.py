@@ -29,6 +29,7 @@ from terralith.llm.components import connected_components
 
 BUCKETS = 1 << 21
 CHUNK = 1 << 13
+PARITIES = 2048  # bits of a set's sketch
 SEEN = 1_000_000  # sets that a task remembers, to send the signatures of copies once
 ROWS = 200_000  # signatures in one batch to Spark
 
@@ -48,17 +49,24 @@ def set_key(tokens: np.ndarray) -> int:
     return int(hashing.windows(s, 4)[0] >> np.uint64(1)) or 1
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """Whether an odd number of tokens falls in each of PARITIES cells. A cell that differs between two sets holds a
+    token that only one of them has, so the sets differ in as many tokens at least as cells differ."""
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def described(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, node, n) of every row, and how many tokens of all texts fall in each bucket.
+    """(id, node, n, sketch) of every row, and how many tokens of all texts fall in each bucket.
 
     One pass: every task adds up its own counts, they are added chunk by chunk, and the driver gets BUCKETS sums.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    names = ["id", "node", "n", "chunk", "counts"]
+    names = ["id", "node", "n", "sketch", "chunk", "counts"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, id_type = np.zeros(BUCKETS, np.uint32), None
@@ -68,12 +76,12 @@ def described(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[Da
             for at, sets in _sets(text, words):
                 total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS).astype(np.uint32)
                 empty = pa.nulls(len(sets))
-                rows = [ids.slice(at, len(sets)), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())]
+                rows = [ids.slice(at, len(sets)), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
         if id_type is not None:
             parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, CHUNK)
             empty = pa.nulls(len(parts))
-            rows = [empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.int64()), pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+            rows = [empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.int64()), empty.cast(pa.binary()), pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, names=names)
 
     def add(group: pa.Table) -> pa.Table:
@@ -82,11 +90,11 @@ def described(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[Da
             total += np.frombuffer(c.as_py(), np.uint16)
         return pa.table({"chunk": group.column("chunk").combine_chunks()[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    both = saved(df.select(id_col, text_col).mapInArrow(describe, f"id {kind}, node bigint, n bigint, chunk int, counts binary"))
+    both = saved(df.select(id_col, text_col).mapInArrow(describe, f"id {kind}, node bigint, n bigint, sketch binary, chunk int, counts binary"))
     out = np.zeros(BUCKETS, np.uint32)
     for r in both.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
-    return both.where("chunk is null").select("id", "node", "n"), out
+    return both.where("chunk is null").select("id", "node", "n", "sketch"), out
 
 
 def frequent_buckets(counts: np.ndarray) -> np.ndarray:
@@ -231,6 +239,23 @@ def _tested(pairs: DataFrame, texts: DataFrame, words: int, per_cent: int) -> Da
     return rows.mapInArrow(test, "u bigint, v bigint")
 
 
+def _possible(pairs: DataFrame, slim: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs that their sketches leave possible; none that reaches the threshold is lost. It keeps texts that only
+    share a passage from travelling to the test."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for i in (2, 3)]
+            apart = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + per_cent) <= sizes * (100 - per_cent)))
+
+    known = slim.where("n > 1").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    side = lambda p: known.select(F.col("node").alias(p), F.col("sketch").alias(f"sketch_{p}"), F.col("n").alias(f"n_{p}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
+    return saved(rows.mapInArrow(keep, "a bigint, b bigint"))
+
+
 MOST_BROADCAST = 1_000_000  # rows of two numbers
 
 
@@ -263,13 +288,18 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int = 5
     shared = saved(signed.repartition("sig").mapInArrow(_shared(100 / per_cent), "sig bigint, node bigint, n int, pivot bigint"))
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     first = saved(shared.where("node <> pivot").select(*order("node", "pivot")).distinct())
-    texts = _texts(df, slim, shared.select("node").distinct(), id_col, text_col, words)
-    links = saved(_tested(first, texts, words, per_cent))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        left = _possible(pairs, slim, per_cent)
+        nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return saved(_tested(left, _texts(df, slim, nodes, id_col, text_col, words), words, per_cent))
+
+    links = tested(first)
     names = connected_components(links)
     placed = shared.select("sig", "node", "n").join(names.withColumnRenamed("id", "node"), "node", "left")
     placed = placed.select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
     second = placed.repartition("sig").mapInArrow(_across(per_cent), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
-    more = saved(_tested(saved(second), texts, words, per_cent))
+    more = tested(saved(second))
     if more.count():
         names = connected_components(links.unionByName(more))
     rows = slim.join(names.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
