@@ -90,7 +90,7 @@ def test_jaccard_matches_brute_force(spark, corpus):
 
 def test_jaccard_with_every_token_frequent(spark, corpus, monkeypatch):
     """Pairs of tokens of one class are the only signatures; the links are the same."""
-    monkeypatch.setattr(jaccard_join, "frequent_buckets", lambda counts: np.ones(len(counts), bool))
+    monkeypatch.setattr(jaccard_join, "frequent_tokens", lambda signed: np.full(jaccard_join.BUCKETS // 64, 2**64 - 1, np.uint64))
     out = jaccard_join.jaccard_components(frame(spark, corpus), "doc_id", "text").collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_jaccard(corpus)
 
@@ -105,8 +105,13 @@ def test_signatures_of_linked_sets_meet():
             both = len(np.intersect1d(a, b))
             if 100 * both < 80 * (len(a) + len(b) - both) or len(a) == len(b) == both:
                 continue
-            often = rng.rand(jaccard_join.BUCKETS) < rng.choice([0.0, 0.3, 0.8, 1.0])
-            assert len(np.intersect1d(jaccard_join.signatures(a, often, 80), jaccard_join.signatures(b, often, 80))), n
+            often = np.packbits(rng.rand(1 << 20) < rng.choice([0.0, 0.3, 0.8, 1.0])).view(np.uint64)
+            often = np.tile(often, jaccard_join.BUCKETS // 64 // len(often))
+            (s, p), (t, q) = jaccard_join.signatures(a, often, 80), jaccard_join.signatures(b, often, 80)
+            places = [({int(k): int(v) for k, v in zip(x, y, strict=True)}) for x, y in ((s, p), (t, q))]
+            met = [k for k in places[0] if k in places[1]]
+            one = lambda v: np.array([v])
+            assert any(jaccard_join.fits(one(len(a)), one(len(b)), one(places[0][k]), one(places[1][k]), 80)[0] for k in met), n
 
 
 def test_jaccard_of_nothing(spark):
