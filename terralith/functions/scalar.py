@@ -57,11 +57,9 @@ def semivariance(h: Column, model: str, nugget: float, partial_sill: float, reac
 def general_number(c: Column) -> Column:
     """A number as ``%g`` writes it: six significant digits, no trailing zeros, exponent form outside 1e-4 .. 1e6."""
     exponent = F.floor(F.log10(F.abs(c)) + 1e-12)
-    short = lambda s: F.regexp_replace(s, r"\.?0+(?=e|$)", "")
-    plain = F.when(F.instr(F.format_string("%.5e", c), ".") > 0, short(F.format_string("%.12f", F.round(c, 12))))
     digits = F.greatest(F.lit(0), 5 - exponent).cast("int")
-    fixed = F.coalesce(*[F.when(digits == d, short(F.when(F.lit(d) > 0, F.format_string(f"%.{d}f", c)).otherwise(F.concat(F.format_string("%.0f", c), F.lit("."))))) for d in range(10)], plain)
-    return F.when(c == 0, F.lit("0")).when((exponent < -4) | (exponent >= 6), short(F.format_string("%.5e", c))).otherwise(fixed)
+    fixed = F.coalesce(*(F.when(digits == d, F.regexp_replace(F.format_string(f"%.{d}f", c), r"\.?0+$" if d else "^$", "")) for d in range(10)))
+    return F.when(c == 0, F.lit("0")).when((exponent < -4) | (exponent >= 6), F.regexp_replace(F.format_string("%.5e", c), r"\.?0+e", "e")).otherwise(fixed)
 
 
 def column_id(x: Column, y: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.operators import neighbors
+from terralith.operators.anomalies import _checkpointed
 from terralith.operators.errors import GeoError
 
 CLAMP = 1e-10
@@ -98,6 +99,6 @@ def evaluate_candidates(points: DataFrame, assignments: DataFrame, candidates: l
             else:
                 p = krige(queries, train, c["variogram"], c.get("k", 12), c.get("min_neighbors", 3), axes)
             part = p.select(F.lit(c["name"]).alias("candidate"), F.lit(f).alias("fold_index"), F.col("query_id").alias("source_row"), F.col("value").alias("predicted"), "is_nodata")
-            part = part.join(held.select("source_row", F.col("value").alias("observed")), "source_row")
+            part = _checkpointed(part.join(held.select("source_row", F.col("value").alias("observed")), "source_row"))  # else the plans of all folds add up
             out = part if out is None else out.unionByName(part)
     return out
