@@ -90,7 +90,7 @@ def evaluate_candidates(points: DataFrame, assignments: DataFrame, candidates: l
     folds = [r["fold_index"] for r in assignments.select("fold_index").distinct().orderBy("fold_index").collect()]
     for f in folds:
         role = assignments.where(F.col("fold_index") == f).select("source_row", "role")
-        rows = points.join(role, "source_row")
+        rows = _checkpointed(points.join(role, "source_row"))
         train, held = rows.where("role = 'training'"), rows.where("role = 'validation'")
         queries = held.select(F.col("source_row").alias("query_id"), *axes)
         for c in candidates:

@@ -33,7 +33,7 @@ def i05(spark, d):
 
 def v07(spark, d):
     p = points_2d(spark, d)
-    plan = validation.fold_assignments(p, "2d", 3).cache()
+    plan = validation.fold_assignments(p, "2d", 2).cache()
     candidates = [{"name": "idw-2", "algorithm": "idw", "k": 8, "power": 2.0}, {"name": "kriging-exp", "algorithm": "kriging", "variogram": MODEL, "k": 8}]
     oof = kriging.evaluate_candidates(p, plan, candidates).cache()
     return rounded(metrics.ranking(metrics.metrics(oof)), "mae", "rmse", "r2", "bias", "coverage", digits=4)
