@@ -1,17 +1,20 @@
 """Exact Jaccard join of word-shingle sets by prefixes of token combinations.
 
-Tokens are the hashes of a text's distinct shingles.  A fixed-size table of counts over all texts (a count sketch whose
-buckets add up the tokens that fall in them) splits them into rare and frequent ones, and gives one order for all
-texts: rare tokens first, by hash.  A pair that reaches the threshold shares at least o of x's n tokens, so at most
-n - o of x's tokens are missing in y.  A prefix of x that holds r rare tokens and c_i tokens of each frequent class i
-therefore meets y's in a rare token or in two tokens of one class, once r + sum(c_i - 1) > n - o.  So single rare
+Tokens are the hashes of a text's distinct shingles.  A first pass over hash-ordered prefixes counts exactly how many
+texts hold each prefix token; those that more than ``RARE`` hold are frequent.  A bit table of fixed size keeps them
+(tokens that fall on the same bit count as frequent too) and gives one order for all texts: rare tokens first, by hash.
+A pair that reaches the threshold shares at least o of x's n tokens, so at most n - o of x's tokens are missing in y.
+A prefix of x that holds r rare tokens and c_i tokens of each frequent class i therefore meets y's in a rare token or in
+two tokens of one class, once r + sum(c_i - 1) > n - o.  Signatures carry their place in that sum, and o follows from
+both sizes, so a pair only counts where both places are within what the pair's own sizes need.  So single rare
 tokens and pairs of frequent tokens of one class are the signatures; the classes are hash classes whose number goes
 with the size of the sets, so that pairs stay in proportion to the prefix.
 
-Texts of equal sets are one node.  Within a signature's texts, sorted by size, each is first tested against the first
-text of its size class only; what links makes components.  Then only pairs from different components that share a
-signature are tested (any other link joins what is joined already), so that a large group of copies costs a test for
-each member, not for each pair.  Tests compare whole sets.
+Texts of equal sets are one node.  Within a signature's texts each is first tested against the first text of its size
+class only; what links makes components.  A few more rounds test one text of each component left there against one of
+the largest.  Then only pairs from different components that share a signature are tested (any other link joins what is
+joined already), so that a large group of copies costs tests in proportion to its members.  Sketches rule out pairs that
+only share a passage; the tests of the others compare whole sets.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from terralith.llm import hashing
 from terralith.llm.common import saved
 from terralith.llm.components import connected_components
 
-BUCKETS = 1 << 21
-CHUNK = 1 << 13
+BUCKETS = 1 << 24  # bits of the table of frequent tokens
+RARE = 16  # texts
+ROUNDS = 3  # of tests between components' members
 PARITIES = 2048  # bits of a set's sketch
 SEEN = 1_000_000  # sets that a task remembers, to send the signatures of copies once
 ROWS = 200_000  # signatures in one batch to Spark
@@ -60,88 +64,99 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def described(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, node, n, sketch) of every row, and how many tokens of all texts fall in each bucket.
-
-    One pass: every task adds up its own counts, they are added chunk by chunk, and the driver gets BUCKETS sums.
-    """
+def described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, node, n, sketch) of every row."""
     kind = df.schema[id_col].dataType.simpleString()
-    names = ["id", "node", "n", "sketch", "chunk", "counts"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, id_type = np.zeros(BUCKETS, np.uint32), None
         for batch in batches:
             ids, text = batch.columns
-            id_type = ids.type
             for at, sets in _sets(text, words):
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS).astype(np.uint32)
-                empty = pa.nulls(len(sets))
-                rows = [ids.slice(at, len(sets)), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names=names)
-        if id_type is not None:
-            parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, CHUNK)
-            empty = pa.nulls(len(parts))
-            rows = [empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.int64()), empty.cast(pa.binary()), pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, names=names)
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.uint64)
-        for c in group.column("counts"):
-            total += np.frombuffer(c.as_py(), np.uint16)
-        return pa.table({"chunk": group.column("chunk").combine_chunks()[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    both = saved(df.select(id_col, text_col).mapInArrow(describe, f"id {kind}, node bigint, n bigint, sketch binary, chunk int, counts binary"))
-    out = np.zeros(BUCKETS, np.uint32)
-    for r in both.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
-    return both.where("chunk is null").select("id", "node", "n", "sketch"), out
-
-
-def frequent_buckets(counts: np.ndarray) -> np.ndarray:
-    mean = float(counts.mean())
-    return counts > mean + 6 * mean**0.5 + 32
-
-
-def signatures(tokens: np.ndarray, frequent: np.ndarray, per_cent: int) -> np.ndarray:
-    """The signatures of a set (sorted distinct tokens). A set of one token has no partner but its equals."""
+                rows = [ids.slice(at, len(sets)), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=["id", "node", "n", "sketch"])
+
+    return saved(df.select(id_col, text_col).mapInArrow(describe, f"id {kind}, node bigint, n bigint, sketch binary"))
+
+
+def frequent_tokens(signed: DataFrame) -> np.ndarray:
+    """The bit table of tokens that more than RARE nodes have among their signatures. The driver gets it as at most
+    BUCKETS / 64 words, whatever the number of tokens."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (cols := _columns(batches)):
+            return
+        sig, node, *_ = cols
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+        values, n = np.unique(sig[new], return_counts=True)
+        at = np.unique(_bucket(values[n > RARE].view(np.uint64)))
+        word, first = np.unique(at >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    table = np.zeros(BUCKETS // 64, np.uint64)
+    words = signed.repartition("sig").mapInArrow(keep, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return table
+
+
+def _often(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    at = _bucket(tokens)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set (sorted distinct tokens) and their places: how much of the prefix's sum lies before. A set
+    of one token has no partner but its equals."""
     n = len(tokens)
     if n < 2:
-        return tokens[:0]
+        return tokens[:0], np.zeros(0, np.int32)
     least, most = -(-n * per_cent // 100), n * 100 // per_cent  # of a partner's size, and of what is shared
     need = n - least + 1
-    often = frequent[_bucket(tokens)]
+    often = _often(frequent, tokens)
     rare = tokens[~often]
     if len(rare) >= need:
-        return rare[:need]
-    out, common = [rare], tokens[often]
+        return rare[:need], np.arange(need, dtype=np.int32)
+    out, places, common = [rare], [np.arange(len(rare))], tokens[often]
     for level in range(least.bit_length() - 1, most.bit_length()):  # both of a pair use the level of the smaller bit length that they share
         cls = hashing.mixed(common) % np.uint64(max(1, (1 << level) >> 3))
         order = np.argsort(cls, kind="stable")
         gain = np.zeros(len(common), np.int64)  # 0 for the first token of each class, 1 for the others
         gain[order[1:]] = cls[order[1:]] == cls[order[:-1]]
-        stop = int(np.searchsorted(np.cumsum(gain), need - len(rare))) + 1
+        total = np.cumsum(gain)
+        stop = int(np.searchsorted(total, need - len(rare))) + 1
+        before = len(rare) + total - gain
         order = order[order < stop]
-        own, own_cls = common[order], cls[order]
+        own, own_cls, own_before = common[order], cls[order], before[order]
         for gap in range(1, len(own)):
             same = own_cls[gap:] == own_cls[:-gap]
             if not same.any():
                 break
             a, b = own[:-gap][same], own[gap:][same]
             out.append(hashing.mixed(hashing.mixed(a * np.uint64(3) + np.uint64(level)) + b))
-    return np.concatenate(out)
+            places.append(own_before[gap:][same])  # a class keeps the tokens' order, so b is the later one
+    return np.concatenate(out), np.concatenate(places).astype(np.int32)
+
+
+def fits(n_a: np.ndarray, n_b: np.ndarray, place_a: np.ndarray, place_b: np.ndarray, per_cent: int) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold and need their prefixes as far as these places."""
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
+    shared = -(-per_cent * (n_a + n_b) // (100 + per_cent))
+    return (np.minimum(n_a, n_b) >= shared) & (place_a <= n_a - shared) & (place_b <= n_b - shared)
 
 
 def _signed(df: DataFrame, text_col: str, words: int, per_cent: int, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, n): the signatures of every set; a task sends those of copies once."""
-    table = df.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # BUCKETS bits
+    """(sig, node, n, place): the signatures of every set; a task sends those of copies once."""
+    table = df.sparkSession.sparkContext.broadcast(frequent)  # BUCKETS bits
 
-    def emit(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        many = [len(s) for *_, s in held]
-        cols = [np.concatenate([s for *_, s in held]).view(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), many), np.repeat(np.array([h[1] for h in held], np.int32), many)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "node", "n"])
+    def emit(held: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        many = [len(s[0]) for *_, s in held]
+        cols = [np.concatenate([s[0] for *_, s in held]).view(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), many), np.repeat(np.array([h[1] for h in held], np.int32), many), np.concatenate([s[1] for *_, s in held])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "node", "n", "place"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = np.unpackbits(table.value).astype(bool), set()
+        often, seen = table.value, set()
         for batch in batches:
             for _, sets in _sets(batch.column(0), words):
                 held, rows = [], 0
@@ -152,14 +167,14 @@ def _signed(df: DataFrame, text_col: str, words: int, per_cent: int, frequent: n
                     if len(seen) < SEEN:
                         seen.add(key)
                     held.append((key, len(tokens), signatures(tokens, often, per_cent)))
-                    rows += len(held[-1][2])
+                    rows += len(held[-1][2][0])
                     if rows >= ROWS:
                         yield emit(held)
                         held, rows = [], 0
                 if held:
                     yield emit(held)
 
-    return df.select(text_col).mapInArrow(sign, "sig bigint, node bigint, n int")
+    return df.select(text_col).mapInArrow(sign, "sig bigint, node bigint, n int, place int")
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
@@ -168,44 +183,91 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(held[0].num_columns)] if held else []
 
 
-def _shared(ratio: float):
-    """Keeps the signatures that two nodes have; ``pivot``: the first node of the same signature and size class."""
+def _shared(per_cent: int):
+    """Keeps the signatures that two nodes have; ``pivot``: the first node of the same signature and size class, or the
+    node itself if the two can't be partners here."""
+    ratio = 100 / per_cent
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (cols := _columns(batches)):
             return
-        sig, node, n = cols
+        sig, node, n, place = cols
         order = np.lexsort((node, n, sig))
-        sig, node, n = sig[order], node[order], n[order]
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-        sig, node, n = sig[new], node[new], n[new]
+        new = np.concatenate(([True], (sig[order][1:] != sig[order][:-1]) | (node[order][1:] != node[order][:-1])))
+        sig, node, n, place = (c[order][new] for c in (sig, node, n, place))
         start = np.concatenate(([True], sig[1:] != sig[:-1]))
         many = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1] > 1
-        sig, node, n = sig[many], node[many], n[many]
+        sig, node, n, place = sig[many], node[many], n[many], place[many]
         cls = np.floor(np.log(n) / np.log(ratio)).astype(np.int64)
         first = np.concatenate(([True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]))) if len(sig) else np.zeros(0, bool)
-        pivot = node[np.flatnonzero(first)][np.cumsum(first) - 1] if len(sig) else node
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(sig) else np.zeros(0, np.int64)
+        pivot = np.where(fits(n, n[lead], place, place[lead], per_cent), node[lead], node)
         for i in range(0, len(sig), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS]) for c in (sig, node, n, pivot)], names=["sig", "node", "n", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS]) for c in (sig, node, n, place, pivot)], names=["sig", "node", "n", "place", "pivot"])
 
     return keep
 
 
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (sig, node, n, place, component) of signatures that have more than one component."""
+    if not (cols := _columns(batches)):
+        return
+    order = np.lexsort((cols[4], cols[0]))
+    sig, node, n, place, comp = (c[order] for c in cols)
+    start = np.concatenate(([True], sig[1:] != sig[:-1]))
+    run = np.cumsum(start) - 1
+    change = np.concatenate(([False], (sig[1:] == sig[:-1]) & (comp[1:] != comp[:-1])))
+    keep = np.bincount(run, change)[run] > 0
+    for i in range(0, int(keep.sum()), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep][i : i + ROWS]) for c in (sig, node, n, place, comp)], names=["sig", "node", "n", "place", "component"])
+
+
+def _one_each(step: int, per_cent: int):
+    """For each signature one node of each component, with one of the component that has most nodes there; which nodes
+    they are changes with ``step``, and is the same for all signatures as far as it can be."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (cols := _columns(batches)):
+            return
+        order = np.lexsort((hashing.mixed(cols[1].view(np.uint64) + np.uint64(step)), cols[4], cols[0]))
+        sig, node, n, place, comp = (c[order] for c in cols)
+        first = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1]))))
+        many = np.diff(np.append(first, len(sig)))
+        order = first[np.lexsort((-many, sig[first]))]  # the largest component of a signature comes first
+        sig, node, n, place = sig[order], node[order], n[order], place[order]
+        start = np.concatenate(([True], sig[1:] != sig[:-1]))
+        lead = np.flatnonzero(start)[np.cumsum(start) - 1]
+        good = ~start & fits(n, n[lead], place, place[lead], per_cent)
+        a, b = node[good], node[lead[good]]
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    return pair
+
+
 def _across(per_cent: int):
     """Pairs of nodes of one signature in different components, of sizes that can reach the threshold."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (cols := _columns(batches)):
             return
-        sig, node, n, comp = cols
-        order = np.lexsort((n, sig))
-        sig, node, n, comp = sig[order], node[order], n[order], comp[order]
-        at, gap = np.arange(len(sig)), 1
-        while len(at := at[at + gap < len(sig)]) and len(at := at[(sig[at] == sig[at + gap]) & (n[at] * 100 >= n[at + gap] * per_cent)]):
-            found = at[comp[at] != comp[at + gap]]
+        order = np.lexsort((cols[2], cols[0]))
+        sig, node, n, place, comp = (c[order] for c in cols)
+        at, gap, held, rows = np.arange(len(sig)), 1, [], 0
+        while True:
+            at = at[at + gap < len(sig)]
+            at = at[(sig[at] == sig[at + gap]) & (n[at].astype(np.int64) * 100 >= n[at + gap].astype(np.int64) * per_cent)]
+            found = at[(comp[at] != comp[at + gap]) & fits(n[at], n[at + gap], place[at], place[at + gap], per_cent)]
             if len(found):
                 a, b = node[found], node[found + gap]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                held.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+                rows += len(found)
+            if held and (not len(at) or rows >= 2_000_000):
+                both = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+                held, rows = [], 0
+            if not len(at):
+                return
             gap += 1
 
     return pair
@@ -283,25 +345,32 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int = 5
     Rows that repeat a text are linked. Null ids are kept; they never name a component that holds another id. An empty
     table gives an empty result; other columns aren't read.
     """
-    slim, counts = described(df, id_col, text_col, words)
-    signed = _signed(df, text_col, words, per_cent, frequent_buckets(counts))
-    shared = saved(signed.repartition("sig").mapInArrow(_shared(100 / per_cent), "sig bigint, node bigint, n int, pivot bigint"))
+    slim = described(df, id_col, text_col, words)
+    plain = _signed(df, text_col, words, per_cent, np.zeros(BUCKETS // 64, np.uint64))
+    signed = _signed(df, text_col, words, per_cent, frequent_tokens(plain))
+    shared = saved(signed.repartition("sig").mapInArrow(_shared(per_cent), "sig bigint, node bigint, n int, place int, pivot bigint"))
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    first = saved(shared.where("node <> pivot").select(*order("node", "pivot")).distinct())
+    pairs = saved(shared.where("node <> pivot").select(*order("node", "pivot")).distinct())
 
     def tested(pairs: DataFrame) -> DataFrame:
         left = _possible(pairs, slim, per_cent)
         nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return saved(_tested(left, _texts(df, slim, nodes, id_col, text_col, words), words, per_cent))
 
-    links = tested(first)
-    names = connected_components(links)
-    placed = shared.select("sig", "node", "n").join(names.withColumnRenamed("id", "node"), "node", "left")
-    placed = placed.select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
-    second = placed.repartition("sig").mapInArrow(_across(per_cent), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
-    more = tested(saved(second))
-    if more.count():
-        names = connected_components(links.unionByName(more))
+    done, links = pairs, tested(pairs)
+    names, open_, step = connected_components(links), shared.select("sig", "node", "n", "place"), 0
+    while step <= ROUNDS:  # the last round takes all pairs that are left
+        placed = open_.join(names.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+        placed = saved(placed.repartition("sig").mapInArrow(_unsettled, "sig bigint, node bigint, n int, place int, component bigint"))
+        proposed = placed.repartition("sig").mapInArrow(_one_each(step, per_cent) if step < ROUNDS else _across(per_cent), "a bigint, b bigint")
+        pairs = saved(proposed.distinct().join(done, ["a", "b"], "left_anti"))
+        more = tested(pairs)
+        linked = more.limit(1).count() > 0
+        if linked:
+            links = links.unionByName(more)
+            names = connected_components(links)
+        done, open_ = done.unionByName(pairs), placed.select("sig", "node", "n", "place")
+        step = step + 1 if linked or step == ROUNDS else ROUNDS
     rows = slim.join(names.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
     out = rows.join(least, "class", "left")
