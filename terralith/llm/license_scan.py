@@ -73,9 +73,9 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templ
     """One row per row of ``df``: id, ``path``, ``license`` (null if none), ``score`` (the cosine; null without an own
     licence), ``found_in`` (header, file or inherited) and ``license_dir`` (the directory it is inherited from).
 
-    The best cosine of a line or of the whole text decides, on ties the whole text, then the name that sorts first. A
-    text whose whole is a licence counts as the licence file of its directory; among several the name that sorts first
-    counts. Null texts and empty ones hold no licence but inherit one; null paths inherit nothing. Rows that repeat an
+    The best cosine of a line or of the whole text gives ``license`` and ``score``, on ties the whole text, then the name
+    that sorts first. A text whose whole reaches the threshold, whatever its lines score, counts as a licence file of its
+    directory, under its best name as a whole; among several files the name that sorts first counts. Null texts and empty ones hold no licence but inherit one; null paths inherit nothing. Rows that repeat an
     id, path and text give equal rows. An empty table gives an empty result; other columns aren't read.
     """
     spark, terms = df.sparkSession, _template_terms(templates)
@@ -108,11 +108,12 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templ
     norm = weighed.groupBy(*unit_key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "x"))).alias("known"))
     dots = norm.select(*unit_key, "norm", F.explode("known").alias("k")).select(*unit_key, "norm", "k.*").join(F.broadcast(entries), "term")
     scores = dots.groupBy(*unit_key, "template", "name").agg((F.sum(F.col("x") * F.col("w")) / F.first("norm")).alias("score")).where(F.col("score") >= threshold)
-    best = scores.groupBy("id", "path", "h").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "kind", "name")).alias("b"))
-    own = saved(best.select("id", "path", "h", F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("b.kind") == 0, "file").otherwise("header").alias("found_in")))
+    ranked = F.struct((-F.round("score", 9)).alias("s"), "kind", "name")
+    best = scores.groupBy("id", "path", "h").agg(F.min(ranked).alias("b"), F.min(F.when(F.col("kind") == 0, ranked)).alias("w"))
+    own = saved(best.select("id", "path", "h", F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("w").isNotNull(), "file").otherwise("header").alias("found_in"), F.col("w.name").alias("whole")))
 
     parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
-    files = own.where("found_in = 'file' and path is not null").groupBy(parent(F.col("path")).alias("license_dir")).agg(F.min("license").alias("license"))
+    files = own.where("found_in = 'file' and path is not null").groupBy(parent(F.col("path")).alias("license_dir")).agg(F.min("whole").alias("license"))
     folder = rows.where("path is not null").select(parent(F.col("path")).alias("dir")).distinct()
     above = F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda k: F.array_join(F.slice(F.split("dir", "/"), 1, k), "/"))
     inherited = folder.select("dir", F.explode(F.array_distinct(above)).alias("license_dir")).join(files, "license_dir")

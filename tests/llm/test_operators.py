@@ -348,3 +348,22 @@ def test_licenses(spark):
     out = {r["doc_id"]: (r["license"], r["found_in"], r["license_dir"]) for r in license_scan.scan_licenses(clashing(frame(spark, rows)), "doc_id", "text", path).collect()}
     assert out == {1: ("MIT", "header", None), 2: ("ISC", "file", None), 3: ("ISC", "inherited", "s/en/lib"), 4: ("ISC", "inherited", "s/en/lib"), 5: (None, None, None), 6: (None, None, None)}
     assert license_scan.scan_licenses(frame(spark, []), "doc_id", "text", path).count() == 0
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licence_file_with_a_better_line(spark):
+    """The whole notice passes, though its first line alone scores higher; a mere header makes no licence file."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    other = [doc(100 + i, f"words of some text and a file {i}, with nothing in them", "t") for i in range(60)]
+    rows = [doc(1, MPL, "s", "en/lib"), doc(2, "words only", "s", "en/lib/deep"), doc(3, "Released under the MIT License.\n" + "words without any licence " * 9, "h"), doc(4, "words only", "h")]
+    df = frame(spark, rows + other)
+    out = {r["doc_id"]: r for r in license_scan.scan_licenses(df, "doc_id", "text", path).collect()}
+    alone = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [*rows, *other, doc(5, MPL.replace("\n", " "), "z")]), "doc_id", "text", path).collect()}
+    assert 0.6 <= alone[5]["score"] < out[1]["score"] - 0.02
+    assert (out[1]["license"], out[1]["found_in"]) == ("MPL-2.0", "file")
+    assert (out[2]["license"], out[2]["found_in"], out[2]["license_dir"]) == ("MPL-2.0", "inherited", "s/en/lib")
+    assert out[3]["found_in"] == "header" and out[4]["license"] is None
