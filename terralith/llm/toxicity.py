@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with distance-weighted, calibrated votes.
 
 1. A bounded sample of the labelled rows, ``MOST_EXAMPLES`` of each class in the order of a hash, is the classifier's
-   memory; near copies in it (equal least hashes of long words) count as one.  Beginnings of words (``SIZES`` letters)
-   that are significantly (chi-squared) and several times commoner in its toxic texts are the terms, at most
-   ``MOST_TERMS``.  Beginnings rather than words, since languages compound and inflect.
+   memory; near copies in it (equal least hashes of long words) count as one.  All beginnings of words (``SIZES``
+   letters) and all shorter and longer words as a whole that are significantly (chi-squared) and several times commoner
+   in its toxic texts are the terms.  Beginnings, since languages compound and inflect.
 2. One pass over all whole texts counts their terms; document frequencies come from all texts.
 3. The examples' vectors go into an inverted index with block maxima: examples lie in blocks of like ones, each term has
    its largest weight per block, and a query opens blocks from the highest bound down until no bound reaches its k-th
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from terralith.llm.common import saved
 
 MOST_EXAMPLES = 4096  # of each class
-MOST_TERMS = 512
 SIZES = range(4, 10)
 LEAST_CHI2, LEAST_LIFT = 24.0, 3.0
 LONG = 7  # letters of the words by which copies are told
@@ -40,8 +39,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def beginnings(text: str | None) -> set[str]:
-    """The first letters of a text's words, lower-cased."""
-    return {w[:n] for w in set(_WORD.findall((text or "").lower())) for n in SIZES if n <= len(w)}
+    """The first letters of a text's words, lower-cased; words of other lengths than ``SIZES`` whole, with a blank after."""
+    words = set(_WORD.findall((text or "").lower()))
+    return {w[:n] for w in words for n in SIZES if n <= len(w)} | {w + " " for w in words if len(w) not in SIZES}
 
 
 def copy_key(text: str | None) -> str | None:
@@ -55,8 +55,9 @@ def counter(terms: list[str]):
     import ahocorasick
 
     find = ahocorasick.Automaton()
-    for i, t in enumerate(terms):
-        find.add_word(t, i)
+    words = [t.rstrip(" ") for t in terms]
+    for i, w in enumerate(words):
+        find.add_word(w, i)
     if terms:
         find.make_automaton()
 
@@ -64,7 +65,9 @@ def counter(terms: list[str]):
         text = (text or "").lower()
         if not terms:
             return []
-        return sorted(Counter(i for end, i in find.iter(text) if (at := end - len(terms[i])) < 0 or not text[at].isalpha()).items())
+        starts = lambda end, i: (at := end - len(words[i])) < 0 or not text[at].isalpha()
+        ends = lambda end, i: words[i] == terms[i] or end + 1 == len(text) or not text[end + 1].isalpha()
+        return sorted(Counter(i for end, i in find.iter(text) if starts(end, i) and ends(end, i)).items())
 
     return count
 
@@ -73,27 +76,76 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-class BlockMaxIndex:
-    """Exact nearest examples by cosine. ``vectors``: unit rows (or rows of zeros)."""
+class Rows:
+    """Sparse rows of numbers: memory goes with the numbers over 0, not with the terms."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
+        self.start = np.cumsum([0, *(len(a) for a, _ in parts)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(a for a, _ in parts)]).astype(np.int32)
+        self.values = np.concatenate([np.zeros(0), *(x for _, x in parts)])
+        self.width = width
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.terms[self.start[i] : self.start[i + 1]], self.values[self.start[i] : self.start[i + 1]]
+
+    def dense(self, i: int) -> np.ndarray:
+        row = np.zeros(self.width)
+        at, x = self.part(i)
+        row[at] = x
+        return row
+
+    def times(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The products of the rows ``at`` with ``query``."""
+        n = self.start[at + 1] - self.start[at]
+        places = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(np.repeat(np.arange(len(at)), n), self.values[places] * query[self.terms[places]], len(at))
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, names: np.ndarray, share: np.ndarray) -> None:
-        order = np.lexsort((names, np.argmax(vectors, axis=1) if vectors.shape[1] else np.zeros(len(vectors)), -(vectors > 0).sum(axis=1)))
-        self.vectors, self.labels, self.names, self.share = vectors[order], labels[order], names[order], share[order]
-        edges = range(0, len(order), BLOCK)
-        self.most = np.stack([self.vectors[i : i + BLOCK].max(axis=0) for i in edges]) if len(order) else np.zeros((0, vectors.shape[1]))
+    def __matmul__(self, query: np.ndarray) -> np.ndarray:
+        return self.times(np.arange(len(self)), query)
+
+
+def sparse(vectors: np.ndarray) -> Rows:
+    return Rows([(at := np.flatnonzero(v), v[at]) for v in vectors], vectors.shape[1])
+
+
+class BlockMaxIndex:
+    """Exact nearest examples by cosine. ``vectors``: unit rows (or rows of zeros), an array or ``Rows``."""
+
+    def __init__(self, vectors: np.ndarray | Rows, labels: np.ndarray, names: np.ndarray, share: np.ndarray) -> None:
+        given = vectors if isinstance(vectors, Rows) else sparse(vectors)
+        parts = [given.part(i) for i in range(len(given))]
+        heaviest = np.array([at[np.argmax(x)] if len(at) else 0 for at, x in parts])
+        order = np.lexsort((names, heaviest, -np.diff(given.start)))
+        self.labels, self.names, self.share = labels[order], names[order], share[order]
+        self.vectors = Rows([parts[i] for i in order], given.width)
+        # Each term's largest weight per block, as a list of blocks for every term.
+        blocks = np.repeat(np.arange(len(order)) // BLOCK, np.diff(self.vectors.start))
+        key, inverse = np.unique(self.vectors.terms.astype(np.int64) * (len(order) + 1) + blocks, return_inverse=True)
+        most = np.zeros(len(key))
+        np.maximum.at(most, inverse, self.vectors.values)
+        term, block = np.divmod(key, len(order) + 1)
+        edge = np.searchsorted(term, np.arange(given.width + 1))
+        self.most = Rows([], -(-len(order) // BLOCK))
+        self.most.start, self.most.terms, self.most.values = edge, block.astype(np.int32), most
 
     def nearest(self, query: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the ``k`` nearest with a cosine over 0. Among equal cosines those stay that come first in
         the order of their blocks' bounds; blocks are opened one, two, four, ... at a time."""
         terms = np.flatnonzero(query)
-        bound = self.most[:, terms] @ query[terms]
+        bound = np.zeros(self.most.width)
+        for t in terms.tolist():
+            blocks, most = self.most.part(t)
+            bound[blocks] += most * query[t]
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
         rows, near, done, many = np.zeros(0, np.int64), np.zeros(0), 0, 1
         while done < len(order) and (len(near) < k or bound[order[done]] > near[-1] + 1e-12):
             at = (order[done : done + many, None] * BLOCK + np.arange(BLOCK)).ravel()
             at = at[at < len(self.vectors)]
-            score = self.vectors[at[:, None], terms] @ query[terms]
+            score = self.vectors.times(at, query)
             good = (score > 0) & (at != without)
             rows, near = np.concatenate((rows, at[good])), np.concatenate((near, score[good]))
             best = np.argsort(-near, kind="stable")[:k]
@@ -143,14 +195,9 @@ def _telling_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     n = float(n_toxic + n_clean)
     chi2 = n * (a * d - b * c) * (a * d - b * c) / (F.greatest(F.lit(1.0), (a + b) * (c + d)) * F.lit(float(n_toxic) * n_clean))
     telling = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (a * (n_clean + 1) >= LEAST_LIFT * n_toxic * (b + 0.5)))
-    found = telling.orderBy(F.desc("chi2"), F.desc(F.length("term")), "term").limit(4 * MOST_TERMS).collect()
-    kept: dict[str, tuple] = {}  # of nested beginnings in the same texts the longest
-    for r in found:
-        if not any(t.startswith(r["term"]) and k == (r["a"], r["ab"]) for t, k in kept.items()):
-            kept[r["term"]] = (r["a"], r["ab"])
-        if len(kept) == MOST_TERMS:
-            break
-    return list(kept)
+    found = {r["term"]: (r["a"], r["ab"]) for r in telling.select("term", "a", "ab").collect()}  # no more than the sample's terms
+    # Of nested beginnings in the same texts the shortest: it meets every word that the others meet.
+    return sorted(t for t, n in found.items() if not any(found.get(t[:k]) == n for k in SIZES if k < len(t)))
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column) -> DataFrame:
@@ -188,25 +235,28 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     counted = saved(rows.mapInArrow(count, f"id {kind}, terms array<int>, tf array<int>"))
     total = counted.count()
     frequency = np.zeros(len(terms))
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # MOST_TERMS rows
+    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # a row per term
         frequency[r["t"]] = r["n"]
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
+    def weights(at: list[int], tf: list[int]) -> np.ndarray:
+        v = (1 + np.log(np.array(tf, float))) * idf[np.array(at, np.int64)]
+        return v / np.sqrt(v @ v) if at else np.zeros(0)
+
     def vector(at: list[int], tf: list[int]) -> np.ndarray:
         v = np.zeros(len(idf))
-        v[at] = (1 + np.log(np.array(tf, float))) * idf[at]
-        norm = np.sqrt(v @ v)
-        return v / norm if norm else v
+        v[np.array(at, np.int64)] = weights(at, tf)
+        return v
 
     held = counted.join(F.broadcast(chosen), "id").select("id", "toxic", "terms", "tf").dropDuplicates(["id"]).collect()  # at most 2 * MOST_EXAMPLES
     held.sort(key=lambda r: r["id"])
-    vectors = np.array([vector(r["terms"], r["tf"]) for r in held]).reshape(len(held), len(idf))
+    vectors = Rows([(np.array(r["terms"], np.int32), weights(r["terms"], r["tf"])) for r in held], len(idf))
     y = np.array([r["toxic"] for r in held], float)
     weight = np.array([share[r["toxic"]] / n[r["toxic"]] for r in held])
     index = BlockMaxIndex(vectors, y, np.array([r["id"] for r in held]), weight)
     base = float(index.share @ index.labels / index.share.sum()) if len(held) else 0.0
-    votes = np.array([index.vote(index.vectors[i], base, i)[0] if index.vectors[i].any() else base for i in range(len(held))])
-    silent = ~index.vectors.any(axis=1) if len(held) else np.zeros(0, bool)
+    silent = np.diff(index.vectors.start) == 0
+    votes = np.array([base if silent[i] else index.vote(index.vectors.dense(i), base, i)[0] for i in range(len(held))])
     quiet = float(index.share[silent] @ index.labels[silent] / index.share[silent].sum()) if silent.any() else base
     ends, levels = monotone(votes[~silent], index.labels[~silent], index.share[~silent]) if (~silent).any() else (np.zeros(1), np.array([base]))
     model = spark.sparkContext.broadcast((index, ends, levels, base, quiet, idf))

@@ -367,3 +367,25 @@ def test_licence_file_with_a_better_line(spark):
     assert (out[1]["license"], out[1]["found_in"]) == ("MPL-2.0", "file")
     assert (out[2]["license"], out[2]["found_in"], out[2]["license_dir"]) == ("MPL-2.0", "inherited", "s/en/lib")
     assert out[3]["found_in"] == "header" and out[4]["license"] is None
+
+
+def test_toxicity_keeps_every_telling_term(spark):
+    """More than 512 telling words, and words of two, three and twelve letters."""
+    rng = random.Random(12)
+    letters = "bcdfghklmnprstvz"
+    bad = sorted({"".join(rng.choice(letters) for _ in range(7)) for _ in range(700)}) + ["qx", "oaf", "wretchedfool"]
+    texts = [" ".join(bad[i % 5 :: 5]) for i in range(120)] + [sentence(rng, 40) + " loaf" for _ in range(200)]
+    sample = spark.createDataFrame([(i, int(i < 120), t) for i, t in enumerate(texts)], "id bigint, toxic bigint, text string")
+    terms = toxicity._telling_terms(sample, 120, 200)
+    count = toxicity.counter(terms)
+    assert len(terms) > 512 and all(count(w) for w in bad)
+    assert {terms[i] for i, _ in count("an OAF")} == {"oaf "} and not count("a loaf, oafs")
+    assert toxicity.beginnings("oaf Wretchedfool") == {"oaf ", "wretchedfool "} | {"wretchedfool"[:n] for n in toxicity.SIZES}
+
+
+def test_toxicity_of_short_words(spark):
+    rng = random.Random(13)
+    rows = [doc(i, " ".join([*sentence(rng, 20).split(), "oaf" if i % 5 == 0 else "elm"])) for i in range(300)]
+    lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    out = toxicity.score_toxicity(frame(spark, rows), lab, "doc_id", "text", "toxic", ~toxicity.held_out(F.col("doc_id"))).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 5 == 0) for r in out)
