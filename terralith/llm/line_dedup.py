@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from terralith.llm.common import saved
 
 WINDOW = 3
+LONG = 200  # characters of a line over which remove_repeated_passages cuts it at sentence ends
+MARK = "\u0001"  # stands for the blank of a cut
 
 
 def let(value: Column, body) -> Column:
@@ -25,24 +27,25 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _windows(text: Column, size: int) -> Column:
-    """(pos, hash) of every ``size`` consecutive lines of which one at least isn't blank."""
-    hashes = F.transform(_lines(text), lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
+def _windows(text: Column, size: int, same=lambda x: x) -> Column:
+    """(pos, hash) of every ``size`` consecutive lines of which one at least isn't blank; ``same`` gives what is compared."""
+    hashes = F.transform(_lines(text), lambda x: F.when(F.trim(x) != "", F.xxhash64(same(x))))
     at = lambda h, i: [h[i + k] for k in range(size)]
     some = lambda h, i: F.coalesce(*at(h, i)).isNotNull()
     every = let(hashes, lambda h: F.when(F.size(h) >= size, F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - size), lambda i: some(h, i)), lambda i: F.struct(i.alias("pos"), F.xxhash64(*at(h, i)).alias("window")))))
     return F.coalesce(every, F.array().cast("array<struct<pos:int,window:bigint>>"))
 
 
-def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
+def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, size: int = WINDOW, same=lambda x: x) -> DataFrame:
     """``df`` with the repeated lines taken out of its text, and ``_n_lines`` and ``_n_removed`` added.
 
     Null texts stay null, texts of fewer than ``size`` lines stay whole, and so do rows without an id. Blank lines count
     as equal; windows of blank lines only don't count. Rows that repeat an id and a text are one document and change
-    alike. If all lines go, the text is empty. Other columns are passed on as they are.
+    alike. If all lines go, the text is empty. Other columns are passed on as they are. ``same`` gives what is compared of a
+    line.
     """
     key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text")]
-    each = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*key, F.explode(_windows(F.col(text_col), size)).alias("w"))
+    each = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*key, F.explode(_windows(F.col(text_col), size, same)).alias("w"))
     each = saved(each.select("_id", "_text", "w.pos", "w.window"))
     place = F.struct("_id", "_text", "pos")
     first = each.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "first")
@@ -57,3 +60,17 @@ def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, size: int =
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("_n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_removed"),
     )
+
+
+def remove_repeated_passages(df: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
+    """The same with lines of more than ``LONG`` characters cut after sentence ends, so that passages within a line count.
+
+    What stays is joined as it was; pieces compare without the blanks around them. ``_n_lines`` and ``_n_removed`` count
+    pieces. Texts that hold ``MARK`` aren't cut.
+    """
+    ends = lambda x: F.when(F.length(x) > LONG, F.regexp_replace(x, "(?<=[.!?\u2026\u3002]) ", f"\n{MARK}")).otherwise(x)
+    whole = F.col(text_col).contains(MARK)
+    cut = F.when(whole, F.col(text_col)).otherwise(F.array_join(F.transform(_lines(F.col(text_col)), ends), "\n"))
+    out = remove_repeated_lines(df.withColumns({text_col: cut, "_whole": whole}), id_col, text_col, size, lambda x: F.trim(F.translate(x, MARK, "")))
+    text = F.regexp_replace(F.regexp_replace(text_col, f"^{MARK}", ""), f"\n{MARK}", " ")
+    return out.withColumn(text_col, F.when(F.col("_whole"), F.col(text_col)).otherwise(text)).drop("_whole")

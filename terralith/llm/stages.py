@@ -20,8 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and with them documents of which nothing but blanks is left."""
-    out = line_dedup.remove_repeated_lines(docs, "doc_id", "text")
+    """Repeated lines and passages go, and with them documents of which nothing but blanks is left."""
+    out = line_dedup.remove_repeated_passages(docs, "doc_id", "text")
     out = out.where((F.col("_n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -389,3 +389,16 @@ def test_toxicity_of_short_words(spark):
     lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int")
     out = toxicity.score_toxicity(frame(spark, rows), lab, "doc_id", "text", "toxic", ~toxicity.held_out(F.col("doc_id"))).collect()
     assert all(r["predicted"] == (r["doc_id"] % 5 == 0) for r in out)
+
+
+def test_passages_within_long_lines(spark):
+    """A passage within one long line goes where it is repeated; what isn't repeated stays byte for byte."""
+    rng = random.Random(21)
+    said = [sentence(rng, 12) + "." for _ in range(4)]
+    own = lambda: sentence(rng, 14) + "."
+    a, b, c, d = own(), own(), own(), own()
+    odd = "x\u0001y. " + " ".join(said) + "\n\u0001z"
+    rows = [doc(1, " ".join([a, *said, b])), doc(2, "head\n" + " ".join([c, *said, d]) + "\ntail"), doc(3, " ".join([*said])), doc(4, " ".join(said) + " " + own()[:-1] + "  two blanks. "), doc(5, None), doc(6, odd), doc(7, "short. a\nb")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_passages(clashing(frame(spark, rows)), "doc_id", "text").collect()}
+    kept = rows[3][1][len(" ".join(said)) + 1 :]
+    assert out == {1: rows[0][1], 2: f"head\n{c} {d}\ntail", 3: "", 4: kept, 5: None, 6: odd, 7: "short. a\nb"}
