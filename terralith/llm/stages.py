@@ -14,9 +14,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that toxicity rejects go."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~toxicity.held_out(F.col("doc_id")))
-    rejected = scored.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti").select(*COLUMNS)
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~toxicity.held_out(F.col("doc_id")), with_hash=True)
+    rejected = scored.where("predicted = 1").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["text_hash"]), "left_anti").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), "doc_id", "text")
-    gone = found.where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*COLUMNS)
+    """One document of each component stays: the one with the smallest id (of one id's texts, the smallest hash)."""
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text_hash"))).alias("key"), "text")
+    found = jaccard_join.jaccard_components(keyed, "key", "text")
+    gone = found.where("component_id is not null and component_id <> key").select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

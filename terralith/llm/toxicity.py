@@ -200,14 +200,14 @@ def _telling_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(t for t, n in found.items() if not any(found.get(t[:k]) == n for k in SIZES if k < len(t)))
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, with_hash: bool = False) -> DataFrame:
     """One row per row of ``df``: id, ``score`` (0 to 1), ``predicted`` (1 if the score is ``CUT`` or more), and
     ``evidence`` (the nearest examples as id:cosine).
 
     ``labels`` has ``id_col`` and ``label_col`` (0 or 1); only those for which ``train`` holds are learnt from; labels of
     one id that differ count as 1. Null and empty texts, and texts without a telling term, get the rate of toxic texts
     among such examples. Without any label of a class the score is 0. Repeated rows get equal scores, an empty table an
-    empty result; other columns aren't read.
+    empty result; other columns aren't read. ``with_hash`` adds ``text_hash``, which tells rows of one id apart.
     """
     spark = df.sparkSession
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train)
@@ -225,14 +225,18 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     terms = _telling_terms(sample, n.get(1, 0), n.get(0, 0)) if n.get(1) and n.get(0) else []
 
+    extra = ["text_hash"] if with_hash else []
+    hashed = ", text_hash bigint" if with_hash else ""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_of = counter(terms)
         for batch in batches:
             found = [terms_of(t.as_py()) for t in batch.column(1)]
             lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], lists), pa.array([[n for _, n in f] for f in found], lists)], names=["id", "terms", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], lists), pa.array([[n for _, n in f] for f in found], lists), *batch.columns[2:]], names=["id", "terms", "tf", *extra])
 
-    counted = saved(rows.mapInArrow(count, f"id {kind}, terms array<int>, tf array<int>"))
+    given = rows.withColumn("text_hash", F.xxhash64("text")) if with_hash else rows
+    counted = saved(given.mapInArrow(count, f"id {kind}, terms array<int>, tf array<int>{hashed}"))
     total = counted.count()
     frequency = np.zeros(len(terms))
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # a row per term
@@ -277,6 +281,6 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 out.append(known[key][0])
                 evidence.append(known[key][1])
             score = np.clip(np.array(out, float), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(evidence, pa.string())], names=["id", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(evidence, pa.string()), *batch.columns[3:]], names=["id", "score", "predicted", "evidence", *extra])
 
-    return counted.mapInArrow(score, f"id {kind}, score double, predicted int, evidence string").withColumnRenamed("id", id_col)
+    return counted.mapInArrow(score, f"id {kind}, score double, predicted int, evidence string{hashed}").withColumnRenamed("id", id_col)

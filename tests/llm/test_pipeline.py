@@ -92,3 +92,18 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"]: r["length"] for r in packed} == total
     assert len({r["sequence_id"] for r in packed}) == -(-sum(total.values()) // 4096)
     assert np.all(np.array([r["offset"] + r["length"] for r in packed]) <= 4096)
+
+
+def test_rows_of_one_id_are_told_apart(spark, tmp_path):
+    """A toxic row and a near duplicate don't take a clean row of the same id with them."""
+    rng = random.Random(14)
+    texts = {i: " ".join([*words(rng, 30), *(["grumblefool"] if i % 6 == 0 else [])]) for i in range(120)}
+    clean, copy = " ".join(words(rng, 30)), " ".join(words(rng, 30))
+    rows = [*texts.items(), (6, clean), (7, texts[1]), (8, copy)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(120) if i != 6], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    left = {(r["doc_id"], r["text"]) for r in stage["toxicity"](spark, docs, str(tmp_path)).collect()}
+    assert left == {(i, t) for i, t in rows if "grumblefool" not in t}
+    kept = {(r["doc_id"], r["text"]) for r in stage["ngram_jaccard_join"](spark, docs, str(tmp_path)).collect()}
+    assert kept == set(rows) - {(7, texts[1])}
