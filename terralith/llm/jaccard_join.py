@@ -1,20 +1,24 @@
 """Exact Jaccard join of word-shingle sets by prefixes of token combinations.
 
-Tokens are the hashes of a text's distinct shingles.  A first pass over hash-ordered prefixes counts exactly how many
-texts hold each prefix token; those that more than ``RARE`` hold are frequent.  A bit table of fixed size keeps them
-(tokens that fall on the same bit count as frequent too) and gives one order for all texts: rare tokens first, by hash.
+Tokens are the hashes of a text's distinct shingles.  A first pass counts in how many texts each token stands (summed
+within a task first; copies count once a task).  A byte table of fixed size keeps the band of each token that more than
+``RARE`` texts hold, a band for every factor of 4 (tokens that fall on one place share the higher band; where more tokens
+are frequent than the table has room for, its lowest bands are emptied).  It gives one order for all texts: rare tokens
+first, then band by band.  Which order it is decides about the work only, never about the result.
 A pair that reaches the threshold shares at least o of x's n tokens, so at most n - o of x's tokens are missing in y.
 A prefix of x that holds r rare tokens and c_i tokens of each frequent class i therefore meets y's in a rare token or in
 two tokens of one class, once r + sum(c_i - 1) > n - o.  Signatures carry their place in that sum, and o follows from
 both sizes, so a pair only counts where both places are within what the pair's own sizes need.  So single rare
 tokens and pairs of frequent tokens of one class are the signatures; the classes are hash classes whose number goes
-with the size of the sets, so that pairs stay in proportion to the prefix.
+with the size of the sets, so that pairs stay in proportion to the prefix.  Since what a text has for itself comes first,
+texts that share a passage or are far edits of one text are told apart by their places.
 
 Texts of equal sets are one node.  Within a signature's texts each is first tested against the first text of its size
 class only; what links makes components.  A few more rounds test one text of each component left there against one of
 the largest.  Then only pairs from different components that share a signature are tested (any other link joins what is
 joined already), so that a large group of copies costs tests in proportion to its members.  Sketches rule out pairs that
-only share a passage; the tests of the others compare whole sets.
+only share a passage, where the pairs are made; the tests of the others compare whole sets.  A signature of very many
+texts is dealt over tiles of at most about ``TILE`` texts a side.
 """
 
 from __future__ import annotations
@@ -23,16 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm import hashing
-from terralith.llm.common import saved
+from terralith.llm.common import dropped, saved
 from terralith.llm.components import connected_components
 
-BUCKETS = 1 << 24  # bits of the table of frequent tokens
-RARE = 16  # texts
-ROUNDS = 3  # of tests between components' members
+PLACES = 24  # bits: places of the table of bands
+RARE = 16  # texts; band b is for more than RARE * 4**(b - 1) of them
+BANDS = 20
+GROUP = 4_000_000  # tokens that are counted together, about
+ROUNDS = 2  # of tests between components' members
+TILE = 4096  # texts of a signature on one side of a tile
 PARITIES = 2048  # bits of a set's sketch
 SEEN = 1_000_000  # sets that a task remembers, to send the signatures of copies once
 ROWS = 200_000  # signatures in one batch to Spark
@@ -60,10 +67,6 @@ def parities(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens % np.uint64(BUCKETS)).astype(np.int64)
-
-
 def described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, node, n, sketch) of every row."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -78,35 +81,71 @@ def described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     return saved(df.select(id_col, text_col).mapInArrow(describe, f"id {kind}, node bigint, n bigint, sketch binary"))
 
 
-def frequent_tokens(signed: DataFrame) -> np.ndarray:
-    """The bit table of tokens that more than RARE nodes have among their signatures. The driver gets it as at most
-    BUCKETS / 64 words, whatever the number of tokens."""
+def _blobs(data: np.ndarray, start: np.ndarray) -> pa.Array:
+    """One binary value for each range of ``data`` that begins at ``start``."""
+    edge = (np.append(start, len(data)) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (cols := _columns(batches)):
-            return
-        sig, node, *_ = cols
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-        values, n = np.unique(sig[new], return_counts=True)
-        at = np.unique(_bucket(values[n > RARE].view(np.uint64)))
-        word, first = np.unique(at >> 6, return_index=True)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    table = np.zeros(BUCKETS // 64, np.uint64)
-    words = signed.repartition("sig").mapInArrow(keep, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return table
-
-
-def _often(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = _bucket(tokens)
-    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def signatures(tokens: np.ndarray, frequent: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+
+def token_bands(df: DataFrame, text_col: str, words: int, total: int) -> np.ndarray:
+    """The table of bands. ``total`` tokens are counted in groups of about GROUP, told apart by their first bits; tokens
+    travel as 32 further bits (a chance collision makes a token look more frequent). The driver gets 2**PLACES bytes."""
+    bits = min(PLACES - 4, max(8, (total // GROUP).bit_length()))
+    shift = np.uint64(64 - bits)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, sets in _sets(batch.column(0), words):
+                held = []
+                for tokens in sets:
+                    key = set_key(tokens)
+                    if len(tokens) > 1 and key not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(key)
+                        held.append(tokens)
+                if not held:
+                    continue
+                tokens, n = np.unique(np.concatenate(held), return_counts=True)
+                for more in (False, True):  # tokens of one text here travel without a count
+                    own, many = tokens[(n > 1) == more], n[(n > 1) == more]
+                    bucket, start = np.unique(own >> shift, return_index=True)
+                    low = (own >> (shift - np.uint64(32))).astype(np.uint32)
+                    counts = _blobs(many.astype(np.uint32), start) if more else pa.nulls(len(start), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), _blobs(low, start), counts], names=["bucket", "tokens", "counts"])
+
+    def count(group: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(b.as_py(), np.uint32) for b in group.column("tokens")]
+        many = [np.ones(len(t), np.int64) if c.as_py() is None else np.frombuffer(c.as_py(), np.uint32).astype(np.int64) for t, c in zip(tokens, group.column("counts"), strict=True)]
+        tokens, many = np.concatenate(tokens), np.concatenate(many)
+        order = np.argsort(tokens)
+        tokens, many = tokens[order], many[order]
+        start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        many, tokens = np.add.reduceat(many, start), tokens[start]
+        often = many > RARE
+        band = np.minimum(BANDS, 1 + (np.log2((many[often] - 0.5) / RARE) / 2).astype(np.int64)).astype(np.uint8)
+        table = np.zeros(1 << (PLACES - bits), np.uint8)
+        np.maximum.at(table, tokens[often] >> np.uint32(32 - (PLACES - bits)), band)
+        return pa.table({"bucket": group.column("bucket")[:1], "bands": pa.array([table.tobytes()], pa.binary()), "n": pa.array([np.bincount(band, minlength=BANDS + 1).tolist()], pa.list_(pa.int64()))})
+
+    dealt = df.select(text_col).mapInArrow(deal, "bucket int, tokens binary, counts binary")
+    found = dealt.groupBy("bucket").applyInArrow(count, "bucket int, bands binary, n array<bigint>").toArrow()
+    table = np.zeros((1 << bits, 1 << (PLACES - bits)), np.uint8)
+    n = np.zeros(BANDS + 1, np.int64)
+    for bucket, bands, many in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
+        table[bucket] = np.frombuffer(bands, np.uint8)
+        n += many
+    above = np.cumsum(n[::-1])[::-1]  # tokens of a band or a higher one
+    least = int(np.argmax(above <= 1 << (PLACES - 2))) if above[-1] <= 1 << (PLACES - 2) else BANDS
+    table[table < least] = 0
+    return table.ravel()
+
+
+def _band(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return table[(tokens >> np.uint64(64 - PLACES)).astype(np.int64)]
+
+
+def signatures(tokens: np.ndarray, bands: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of a set (sorted distinct tokens) and their places: how much of the prefix's sum lies before. A set
     of one token has no partner but its equals."""
     n = len(tokens)
@@ -114,11 +153,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, per_cent: int) -> tuple
         return tokens[:0], np.zeros(0, np.int32)
     least, most = -(-n * per_cent // 100), n * 100 // per_cent  # of a partner's size, and of what is shared
     need = n - least + 1
-    often = _often(frequent, tokens)
-    rare = tokens[~often]
+    band = _band(bands, tokens)
+    rare = tokens[band == 0]
     if len(rare) >= need:
         return rare[:need], np.arange(need, dtype=np.int32)
-    out, places, common = [rare], [np.arange(len(rare))], tokens[often]
+    out, places, common = [rare], [np.arange(len(rare))], tokens[np.argsort(band, kind="stable")][len(rare) :]
     for level in range(least.bit_length() - 1, most.bit_length()):  # both of a pair use the level of the smaller bit length that they share
         cls = hashing.mixed(common) % np.uint64(max(1, (1 << level) >> 3))
         order = np.argsort(cls, kind="stable")
@@ -146,9 +185,9 @@ def fits(n_a: np.ndarray, n_b: np.ndarray, place_a: np.ndarray, place_b: np.ndar
     return (np.minimum(n_a, n_b) >= shared) & (place_a <= n_a - shared) & (place_b <= n_b - shared)
 
 
-def _signed(df: DataFrame, text_col: str, words: int, per_cent: int, frequent: np.ndarray) -> DataFrame:
+def _signed(df: DataFrame, text_col: str, words: int, per_cent: int, bands: np.ndarray) -> DataFrame:
     """(sig, node, n, place): the signatures of every set; a task sends those of copies once."""
-    table = df.sparkSession.sparkContext.broadcast(frequent)  # BUCKETS bits
+    table = df.sparkSession.sparkContext.broadcast(bands)  # 2**PLACES bytes
 
     def emit(held: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
         many = [len(s[0]) for *_, s in held]
@@ -177,92 +216,132 @@ def _signed(df: DataFrame, text_col: str, words: int, per_cent: int, frequent: n
     return df.select(text_col).mapInArrow(sign, "sig bigint, node bigint, n int, place int")
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """A task's whole share of signatures: numbers only, as much as one shuffle partition holds."""
-    held = list(batches)
-    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(held[0].num_columns)] if held else []
+def _columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in batches]) for i in range(batches[0].num_columns)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+    """Columns of about ``rows`` rows at a time of a table that is sorted by its first column, cut between its values
+    where that is possible; whether the first value goes on from before, and whether the last one goes on."""
+    held, on = [], False
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        cols = _columns(held)
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield [c[:cut] for c in cols], on, False
+            held, on = [pa.RecordBatch.from_arrays([pa.array(c[cut:]) for c in cols], names=batch.schema.names)], False
+        else:  # one value fills it all
+            yield cols, on, True
+            held, on = [], True
+    if held:
+        yield _columns(held), on, False
 
 
 def _shared(per_cent: int):
     """Keeps the signatures that two nodes have; ``pivot``: the first node of the same signature and size class, or the
-    node itself if the two can't be partners here."""
+    node itself if the two can't be partners here. Rows come sorted by signature; a task holds about ROWS of them."""
     ratio = 100 / per_cent
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (cols := _columns(batches)):
-            return
-        sig, node, n, place = cols
-        order = np.lexsort((node, n, sig))
-        new = np.concatenate(([True], (sig[order][1:] != sig[order][:-1]) | (node[order][1:] != node[order][:-1])))
-        sig, node, n, place = (c[order][new] for c in (sig, node, n, place))
-        start = np.concatenate(([True], sig[1:] != sig[:-1]))
-        many = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1] > 1
-        sig, node, n, place = sig[many], node[many], n[many], place[many]
-        cls = np.floor(np.log(n) / np.log(ratio)).astype(np.int64)
-        first = np.concatenate(([True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]))) if len(sig) else np.zeros(0, bool)
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(sig) else np.zeros(0, np.int64)
-        pivot = np.where(fits(n, n[lead], place, place[lead], per_cent), node[lead], node)
-        for i in range(0, len(sig), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS]) for c in (sig, node, n, place, pivot)], names=["sig", "node", "n", "place", "pivot"])
+        before: dict[int, tuple[int, int, int]] = {}  # the first node of each size class, where a signature goes on
+        going = None
+        for cols, on, goes_on in _runs(batches):
+            order = np.lexsort((cols[1], cols[2], cols[0]))
+            sig, node, n, place = (c[order] for c in cols)
+            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+            sig, node, n, place = (c[new] for c in (sig, node, n, place))
+            run = np.cumsum(np.concatenate(([True], sig[1:] != sig[:-1]))) - 1
+            many = np.bincount(run)[run] > 1
+            many |= (run == 0) & (on or goes_on)
+            sig, node, n, place = sig[many], node[many], n[many], place[many]
+            if not len(sig):
+                before = {}
+                continue
+            cls = np.floor(np.log(n) / np.log(ratio)).astype(np.int64)
+            first = np.concatenate(([True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])))
+            lead = np.flatnonzero(first)
+            pivots = [node[lead], n[lead].astype(np.int64), place[lead].astype(np.int64)]
+            if not on or going != sig[0]:
+                before = {}
+            going = sig[0]
+            for i in range(len(lead) if before or goes_on else 0):
+                if sig[lead[i]] != sig[0]:
+                    break
+                got = before.setdefault(int(cls[lead[i]]), tuple(int(p[i]) for p in pivots))
+                for p, v in zip(pivots, got, strict=True):
+                    p[i] = v
+            if not goes_on:
+                before = {}
+            to = np.cumsum(first) - 1
+            pivot = np.where(fits(n, pivots[1][to], place, pivots[2][to], per_cent), pivots[0][to], node)
+            for i in range(0, len(sig), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS]) for c in (sig, node, n, place, pivot)], names=["sig", "node", "n", "place", "pivot"])
 
     return keep
 
 
-def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fits(a: str, b: str, per_cent: int) -> Column:
+    """``fits`` of two structs of n and place."""
+    n_a, n_b = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    shared = F.ceil((n_a + n_b) * per_cent / (100 + per_cent) - 1e-6)
+    return (F.least(n_a, n_b) >= shared) & (F.col(f"{a}.place") <= n_a - shared) & (F.col(f"{b}.place") <= n_b - shared)
+
+
+def _ordered(a: str | Column, b: str | Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _unsettled(placed: DataFrame) -> DataFrame:
     """The rows (sig, node, n, place, component) of signatures that have more than one component."""
-    if not (cols := _columns(batches)):
-        return
-    order = np.lexsort((cols[4], cols[0]))
-    sig, node, n, place, comp = (c[order] for c in cols)
-    start = np.concatenate(([True], sig[1:] != sig[:-1]))
-    run = np.cumsum(start) - 1
-    change = np.concatenate(([False], (sig[1:] == sig[:-1]) & (comp[1:] != comp[:-1])))
-    keep = np.bincount(run, change)[run] > 0
-    for i in range(0, int(keep.sum()), ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep][i : i + ROWS]) for c in (sig, node, n, place, comp)], names=["sig", "node", "n", "place", "component"])
-
-
-def _one_each(step: int, per_cent: int):
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    return saved(placed.join(mixed, "sig", "left_semi"))
+
+
+def _one_each(placed: DataFrame, step: int, per_cent: int) -> DataFrame:
     """For each signature one node of each component, with one of the component that has most nodes there; which nodes
     they are changes with ``step``, and is the same for all signatures as far as it can be."""
+    r = F.struct(F.xxhash64(F.lit(step), "node").alias("h"), "node", "n", "place")
+    each = placed.groupBy("sig", "component").agg(F.count("*").alias("many"), F.min(r).alias("r"))
+    lead = each.groupBy("sig").agg(F.max(F.struct("many", "component", "r")).alias("lead"))
+    met = each.join(lead, "sig").select("component", "r", F.col("lead.component").alias("other"), F.col("lead.r").alias("q"))
+    return met.where((F.col("component") != F.col("other")) & _fits("r", "q", per_cent)).select(*_ordered("r.node", "q.node")).distinct()
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (cols := _columns(batches)):
-            return
-        order = np.lexsort((hashing.mixed(cols[1].view(np.uint64) + np.uint64(step)), cols[4], cols[0]))
-        sig, node, n, place, comp = (c[order] for c in cols)
-        first = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1]))))
-        many = np.diff(np.append(first, len(sig)))
-        order = first[np.lexsort((-many, sig[first]))]  # the largest component of a signature comes first
-        sig, node, n, place = sig[order], node[order], n[order], place[order]
-        start = np.concatenate(([True], sig[1:] != sig[:-1]))
-        lead = np.flatnonzero(start)[np.cumsum(start) - 1]
-        good = ~start & fits(n, n[lead], place, place[lead], per_cent)
-        a, b = node[good], node[lead[good]]
-        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-    return pair
+def _tiled(placed: DataFrame) -> DataFrame:
+    """Each row with the tiles (low, high) of its signature that it takes part in, and its side of them."""
+    hot = placed.groupBy("sig").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = placed.join(hot, "sig", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
+    return dealt.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, "node", "n", "place", "component", "sketch")
 
 
 def _across(per_cent: int):
-    """Pairs of nodes of one signature in different components, of sizes that can reach the threshold."""
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (cols := _columns(batches)):
-            return
-        order = np.lexsort((cols[2], cols[0]))
-        sig, node, n, place, comp = (c[order] for c in cols)
+    """Pairs of nodes of one signature in different components, of sizes, places and sketches that can reach the
+    threshold. A task takes one tile after the other; rows come sorted by tile."""
+
+    def pairs_of(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, low, high, side, node, n, place, comp = _columns([g.select(g.schema.names[:-1]) for g in group])
+        sketch = np.frombuffer(b"".join(b for g in group for b in g.column("sketch").to_pylist()), np.uint64).reshape(len(sig), -1)
+        order = np.lexsort((node, n, high, low, sig))
+        sig, low, high, side, node, n, place, comp = (c[order] for c in (sig, low, high, side, node, n.astype(np.int64), place, comp))
+        run = np.cumsum(np.concatenate(([True], (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
         at, gap, held, rows = np.arange(len(sig)), 1, [], 0
         while True:
             at = at[at + gap < len(sig)]
-            at = at[(sig[at] == sig[at + gap]) & (n[at].astype(np.int64) * 100 >= n[at + gap].astype(np.int64) * per_cent)]
-            found = at[(comp[at] != comp[at + gap]) & fits(n[at], n[at + gap], place[at], place[at + gap], per_cent)]
-            if len(found):
+            at = at[(run[at] == run[at + gap]) & (n[at] * 100 >= n[at + gap] * per_cent)]
+            met = at[(comp[at] != comp[at + gap]) & ((low[at] == high[at]) | (side[at] != side[at + gap])) & fits(n[at], n[at + gap], place[at], place[at + gap], per_cent)]
+            for i in range(0, len(met), 50_000):
+                found = met[i : i + 50_000]
+                apart = np.bitwise_count(sketch[order[found]] ^ sketch[order[found + gap]]).sum(axis=1, dtype=np.int64)
+                found = found[apart * (100 + per_cent) <= (n[found] + n[found + gap]) * (100 - per_cent)]
                 a, b = node[found], node[found + gap]
                 held.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
                 rows += len(found)
-            if held and (not len(at) or rows >= 2_000_000):
+            if rows and (not len(at) or rows >= 500_000):
                 both = np.unique(np.concatenate(held), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
                 held, rows = [], 0
@@ -270,6 +349,23 @@ def _across(per_cent: int):
                 return
             gap += 1
 
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            tiles = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            if last is not None and sum(b.num_rows for b in held) >= TILE:  # whole tiles only
+                go = next((i for i, t in enumerate(tiles) if t != last), len(tiles))
+                held.append(batch.slice(0, go))
+                batch, tiles = batch.slice(go), tiles[go:]
+                if tiles:
+                    yield from pairs_of(held)
+                    held = []
+            if tiles:
+                held.append(batch)
+                last = tiles[-1]
+        if held:
+            yield from pairs_of(held)
+
     return pair
 
 
@@ -301,7 +397,7 @@ def _tested(pairs: DataFrame, texts: DataFrame, words: int, per_cent: int) -> Da
     return rows.mapInArrow(test, "u bigint, v bigint")
 
 
-def _possible(pairs: DataFrame, slim: DataFrame, per_cent: int) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
     """The pairs that their sketches leave possible; none that reaches the threshold is lost. It keeps texts that only
     share a passage from travelling to the test."""
 
@@ -312,8 +408,7 @@ def _possible(pairs: DataFrame, slim: DataFrame, per_cent: int) -> DataFrame:
             sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + per_cent) <= sizes * (100 - per_cent)))
 
-    known = slim.where("n > 1").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    side = lambda p: known.select(F.col("node").alias(p), F.col("sketch").alias(f"sketch_{p}"), F.col("n").alias(f"n_{p}"))
+    side = lambda p: nodes.select(F.col("node").alias(p), F.col("sketch").alias(f"sketch_{p}"), F.col("n").alias(f"n_{p}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
     return saved(rows.mapInArrow(keep, "a bigint, b bigint"))
 
@@ -321,9 +416,9 @@ def _possible(pairs: DataFrame, slim: DataFrame, per_cent: int) -> DataFrame:
 MOST_BROADCAST = 1_000_000  # rows of two numbers
 
 
-def _texts(df: DataFrame, slim: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, text) for each of ``nodes``: the text of one row with that set."""
-    wanted = saved(slim.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
+def _texts(df: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(node, text) for each of the ``wanted`` nodes: the text of one row with that set."""
+    wanted = saved(nodes.join(wanted, "node", "left_semi").select("node", "id"))
     small = wanted.count() <= MOST_BROADCAST
     rows = df.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(wanted) if small else wanted, F.col("own").eqNullSafe(F.col("id"))).select("node", "text")
@@ -346,31 +441,36 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int = 5
     table gives an empty result; other columns aren't read.
     """
     slim = described(df, id_col, text_col, words)
-    plain = _signed(df, text_col, words, per_cent, np.zeros(BUCKETS // 64, np.uint64))
-    signed = _signed(df, text_col, words, per_cent, frequent_tokens(plain))
-    shared = saved(signed.repartition("sig").mapInArrow(_shared(per_cent), "sig bigint, node bigint, n int, place int, pivot bigint"))
-    order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pairs = saved(shared.where("node <> pivot").select(*order("node", "pivot")).distinct())
+    nodes = saved(slim.where("n > 1").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("id").alias("id")))
+    bands = token_bands(df, text_col, words, nodes.agg(F.sum("n")).first()[0] or 0)
+    signed = _signed(df, text_col, words, per_cent, bands)
+    shared = saved(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared(per_cent), "sig bigint, node bigint, n int, place int, pivot bigint"))
 
     def tested(pairs: DataFrame) -> DataFrame:
-        left = _possible(pairs, slim, per_cent)
-        nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return saved(_tested(left, _texts(df, slim, nodes, id_col, text_col, words), words, per_cent))
-
-    done, links = pairs, tested(pairs)
-    names, open_, step = connected_components(links), shared.select("sig", "node", "n", "place"), 0
-    while step <= ROUNDS:  # the last round takes all pairs that are left
-        placed = open_.join(names.withColumnRenamed("id", "node"), "node", "left").select("sig", "node", "n", "place", F.coalesce("component", "node").alias("component"))
-        placed = saved(placed.repartition("sig").mapInArrow(_unsettled, "sig bigint, node bigint, n int, place int, component bigint"))
-        proposed = placed.repartition("sig").mapInArrow(_one_each(step, per_cent) if step < ROUNDS else _across(per_cent), "a bigint, b bigint")
-        pairs = saved(proposed.distinct().join(done, ["a", "b"], "left_anti"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = _texts(df, nodes, wanted, id_col, text_col, words)
+        out = saved(_tested(pairs, texts, words, per_cent))
+        dropped(texts, pairs)
+        return out
+
+    done = saved(shared.where("node <> pivot").select(*_ordered("node", "pivot")).distinct())
+    links = tested(_possible(done, nodes, per_cent))
+    names, open_ = connected_components(links), shared.select("sig", "node", "n", "place")
+    for step in range(ROUNDS + 1):  # the last round takes all pairs that are left
+        placed = open_.join(names.withColumnRenamed("id", "node"), "node", "left")
+        placed = _unsettled(placed.select("sig", "node", "n", "place", F.coalesce("component", "node").alias("component")))
+        if step < ROUNDS:
+            pairs = saved(_one_each(placed, step, per_cent).join(done, ["a", "b"], "left_anti"))
+            done = done.unionByName(pairs)
+            pairs = _possible(pairs, nodes, per_cent)
+        else:
+            dealt = _tiled(placed.join(nodes.select("node", "sketch"), "node")).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+            pairs = saved(dealt.mapInArrow(_across(per_cent), "a bigint, b bigint").distinct())
         more = tested(pairs)
-        linked = more.limit(1).count() > 0
-        if linked:
+        if more.limit(1).count() > 0:
             links = links.unionByName(more)
             names = connected_components(links)
-        done, open_ = done.unionByName(pairs), placed.select("sig", "node", "n", "place")
-        step = step + 1 if linked or step == ROUNDS else ROUNDS
+        open_ = placed.select("sig", "node", "n", "place")
     rows = slim.join(names.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
     out = rows.join(least, "class", "left")

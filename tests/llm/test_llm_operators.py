@@ -90,7 +90,8 @@ def test_jaccard_matches_brute_force(spark, corpus):
 
 def test_jaccard_with_every_token_frequent(spark, corpus, monkeypatch):
     """Pairs of tokens of one class are the only signatures; the links are the same."""
-    monkeypatch.setattr(jaccard_join, "frequent_tokens", lambda signed: np.full(jaccard_join.BUCKETS // 64, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(jaccard_join, "token_bands", lambda *_: np.full(1 << jaccard_join.PLACES, 1, np.uint8))
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
     out = jaccard_join.jaccard_components(frame(spark, corpus), "doc_id", "text").collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_jaccard(corpus)
 
@@ -105,8 +106,8 @@ def test_signatures_of_linked_sets_meet():
             both = len(np.intersect1d(a, b))
             if 100 * both < 80 * (len(a) + len(b) - both) or len(a) == len(b) == both:
                 continue
-            often = np.packbits(rng.rand(1 << 20) < rng.choice([0.0, 0.3, 0.8, 1.0])).view(np.uint64)
-            often = np.tile(often, jaccard_join.BUCKETS // 64 // len(often))
+            bands = (rng.randint(1, 9, 1 << 12) * (rng.rand(1 << 12) < rng.choice([0.0, 0.3, 0.8, 1.0]))).astype(np.uint8)
+            often = np.tile(bands, (1 << jaccard_join.PLACES) // len(bands))
             (s, p), (t, q) = jaccard_join.signatures(a, often, 80), jaccard_join.signatures(b, often, 80)
             places = [({int(k): int(v) for k, v in zip(x, y, strict=True)}) for x, y in ((s, p), (t, q))]
             met = [k for k in places[0] if k in places[1]]
