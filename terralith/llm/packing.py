@@ -28,24 +28,25 @@ ROUNDS = 4
 MOST_LEFT = 200_000  # in the last round's one task; beyond it the last round is dealt over tasks as well
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, many: np.ndarray | None = None) -> int:
     """Sequences that any packing needs: the best of the sum of lengths and of the dual feasible functions that round
-    lengths over ``capacity - e`` up to the whole and those under ``e`` down to nothing."""
+    lengths over ``capacity - e`` up to the whole and those under ``e`` down to nothing. ``many``: of each length."""
     if not len(lengths):
         return 0
-    best = -(-int(lengths.sum()) // capacity)
-    ordered = np.sort(lengths)
-    sums = np.concatenate(([0], np.cumsum(ordered)))
-    small = np.unique(np.concatenate(([0], ordered[ordered * 2 <= capacity])))
+    if many is None:
+        lengths, many = np.unique(lengths, return_counts=True)
+    order = np.argsort(lengths)
+    lengths, many = lengths[order].astype(np.int64), many[order].astype(np.int64)
+    sums, n = np.concatenate(([0], np.cumsum(lengths * many))), np.concatenate(([0], np.cumsum(many)))
+    best = -(-int(sums[-1]) // capacity)
+    half = int(np.searchsorted(lengths * 2, capacity, "right"))
+    small = np.concatenate(([0], lengths[:half]))
     for e in small[np.linspace(0, len(small) - 1, min(len(small), 256)).astype(int)]:
-        whole = np.searchsorted(ordered, capacity - e, "right")
-        half = max(np.searchsorted(ordered, capacity / 2, "right"), 0)
-        low = np.searchsorted(ordered, e, "left")
-        large = len(ordered) - min(whole, len(ordered))
-        middle = max(whole, half) - half  # over a half, up to capacity - e
+        whole = max(int(np.searchsorted(lengths, capacity - e, "right")), half)
+        low = int(np.searchsorted(lengths, e, "left"))
+        room = (n[whole] - n[half]) * capacity - (sums[whole] - sums[half])  # beside those over a half, up to capacity - e
         rest = sums[half] - sums[low]  # from e to a half
-        room = middle * capacity - (sums[max(whole, half)] - sums[half])
-        best = max(best, int(large + middle + max(0, -(-(int(rest) - int(room)) // capacity))))
+        best = max(best, int(n[-1] - n[half]) + max(0, -(-int(rest - room) // capacity)))
     return best
 
 
@@ -101,12 +102,16 @@ def _packed(group: pa.Table, capacity: int, last: bool) -> pa.Table:
     seq, off = best_fit_decreasing(lengths, capacity)
     fill = np.bincount(seq, lengths)
     stays = np.ones(len(fill), bool)
+    bound = lower_bound(lengths, capacity)
     if not last:
         emptiest = np.argsort(fill, kind="stable")
-        missed = len(fill) > lower_bound(lengths, capacity)
+        missed = len(fill) > bound
         stays[emptiest[: max(1, len(fill) // 2) if missed else 1]] = False
         stays[fill == capacity] = True
-    return group.append_column("sequence", pa.array(seq, pa.int64())).append_column("offset", pa.array(off, pa.int64())).append_column("stays", pa.array(stays[seq], pa.bool_()))
+    cols = {"sequence": seq, "offset": off, "stays": stays[seq], "task_sequences": np.full(len(seq), len(fill)), "task_bound": np.full(len(seq), bound)}
+    for name, values in cols.items():
+        group = group.append_column(name, pa.array(values))
+    return group
 
 
 def _packer(capacity: int, last: bool):
@@ -114,7 +119,9 @@ def _packer(capacity: int, last: bool):
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
+    """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``; and what
+    certifies the packing: how many sequences the task made that packed it (``task_sequences``), how many its pieces need
+    (``task_bound``), and how many all pieces need (``least_sequences``).
 
     A text's ids end in ``end_id``; only texts of more than ``capacity`` ids are cut. Null and empty texts are one
     piece of the closing id. Repeated rows are packed each; an empty table gives an empty result; other columns aren't
@@ -124,6 +131,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: in
     texts = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     schema = f"id {kind}, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = saved(texts.mapInArrow(lambda b: _cut(b, tokenizer, capacity, end_id), schema))
+    sizes = pieces.groupBy("length").agg(F.count("*").alias("n")).toArrow()  # a row for each length up to the capacity
+    least = lower_bound(sizes.column(0).to_numpy(), capacity, sizes.column(1).to_numpy())
     left, done = pieces, []
     for step in range(ROUNDS):
         n = left.count()
@@ -132,15 +141,14 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: in
         last = step == ROUNDS - 1 or (step > 0 and n <= TASK_PIECES)
         shares = 1 if last and n <= MOST_LEFT else max(1, -(-n // (TASK_PIECES << step)))
         dealt = left.withColumn("share", F.pmod(F.xxhash64(F.lit(step), "row", "piece"), F.lit(shares)))
-        out = dealt.groupBy("share").applyInArrow(_packer(capacity, last or shares == 1), f"{schema}, share bigint, sequence bigint, offset bigint, stays boolean")
+        out = dealt.groupBy("share").applyInArrow(_packer(capacity, last or shares == 1), f"{schema}, share bigint, sequence bigint, offset bigint, stays boolean, task_sequences bigint, task_bound bigint")
         out = saved(out)
-        done.append(out.where("stays").select("id", "row", "piece", "start", "length", "ids_crc32", "offset", (F.lit(step << 60) + F.shiftleft("share", 32) + F.col("sequence")).alias("sequence_id")))
+        done.append(out.where("stays").select("id", "row", "piece", "start", "length", "ids_crc32", "offset", "task_sequences", "task_bound", (F.lit(step << 60) + F.shiftleft("share", 32) + F.col("sequence")).alias("sequence_id")))
         if last or shares == 1:
             break
         left = out.where("not stays").select("id", "row", "piece", "start", "length", "ids_crc32")
-    if not done:
-        return pieces.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    every = done[0]
+    zero = F.lit(0).cast("bigint")
+    every = done[0] if done else pieces.withColumns({c: zero for c in ("sequence_id", "offset", "task_sequences", "task_bound")})
     for part in done[1:]:
         every = every.unionByName(part)
-    return every.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return every.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "task_sequences", "task_bound", F.lit(least).cast("bigint").alias("least_sequences"))

@@ -8,6 +8,9 @@ is a word of its own, since the tokenizer separates it there as well.
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,8 +33,11 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        added = json.loads(self.whole.to_str())["added_tokens"]
+        self.special = {t["content"].encode(): np.array([t["id"]], np.uint32).tobytes() for t in added}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in letters]
         self.shown = {b: b for b in letters} | {b: 256 + i for i, b in enumerate(other)}  # how byte-level tokenizers show a byte
@@ -47,10 +53,13 @@ class WordCoder:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit values."""
         data = [(t.as_py() or "").encode() for t in texts]
-        out: list[bytes] = []
-        for a, b in hashing.batches_by_bytes(data):
-            out += self._encode(data[a:b])
-        return out
+        parts = [self.cut.split(t) if self.cut and any(x in t for x in self.special) else [t] for t in data]  # text, special string, text, ...
+        plain = [p for part in parts for p in part[::2]]
+        ids: list[bytes] = []
+        for a, b in hashing.batches_by_bytes(plain):
+            ids += self._encode(plain[a:b])
+        given = iter(ids)
+        return [b"".join(self.special[p] if k % 2 else next(given) for k, p in enumerate(part)) for part in parts]
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         joined = b" ".join(texts)
