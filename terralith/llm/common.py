@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with so many underscores before them that no column of ``df`` has one of them."""
+    taken = {c.lower() for c in df.columns}
+    before = "_"
+    while any((before + n).lower() in taken for n in names):
+        before += "_"
+    return [before + n for n in names]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where all runs on one machine may it be unset: then a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
