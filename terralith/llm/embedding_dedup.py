@@ -12,7 +12,8 @@ and split into blocks of ``BLOCK`` dimensions; if a pair is within t, it is with
 * within a tile, pairs within the budget are candidates, and candidates are verified exactly in double precision.
 
 A pair that is within budget in several blocks counts in the block where it uses the smallest part of its budget (the
-first on ties), so links are counted once.  Tiles return counts per vector and a spanning forest of their links, never
+first of those within TIE of it, so that rounding can't change the choice), so links are counted once.  Vectors of
+different lengths have no cosine: each length has a grid of its own.  Tiles return counts per vector and a spanning forest of their links, never
 the links themselves.  Equal vectors are one node that carries its number of copies.
 """
 
@@ -31,8 +32,10 @@ from terralith.llm.components import connected_components
 
 BLOCK = 16
 TILE = 8192
-SAMPLE = 8192  # vectors for the pivots
-PIVOTS = (1, 8, 64, 512)
+SAMPLE = (8192, 131_072)  # vectors for the pivots: a hundredth of all, within these bounds
+PIVOTS = (1, 8, 64, 512, 4096)
+ROWS = 2048  # vectors that are held against the pivots at a time
+TIE = 1e-9
 SLACK = 1e-5  # for the single-precision filter before the exact test
 
 
@@ -89,11 +92,16 @@ class _Grid:
     @staticmethod
     def _near(block: np.ndarray, p: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
         """Each vector's cell, and which cells it has to visit."""
-        d2 = (block * block).sum(axis=1)[:, None] - 2 * block @ p.T + (p * p).sum(axis=1)
-        own = np.argmin(d2, axis=1)
-        between = np.sqrt(((p[:, None] - p) ** 2).sum(axis=2))
-        gap = d2 - d2[np.arange(len(d2)), own][:, None]  # twice the distance to the plane, times that of the pivots
-        return own, gap <= 2 * math.sqrt(budget) * (1 + SLACK) * between[own] + SLACK
+        between = np.sqrt(np.maximum(0, (p * p).sum(axis=1)[:, None] - 2 * p @ p.T + (p * p).sum(axis=1)))
+        owns, nears = [], []
+        for i in range(0, len(block), ROWS):
+            rows = block[i : i + ROWS]
+            d2 = (rows * rows).sum(axis=1)[:, None] - 2 * rows @ p.T + (p * p).sum(axis=1)
+            own = np.argmin(d2, axis=1)
+            gap = d2 - d2[np.arange(len(d2)), own][:, None]  # twice the distance to the plane, times that of the pivots
+            owns.append(own)
+            nears.append(gap <= 2 * math.sqrt(budget) * (1 + SLACK) * between[own] + SLACK)
+        return np.concatenate(owns), np.concatenate(nears)
 
     def blocks(self, units: np.ndarray) -> list[np.ndarray]:
         turned = units @ self.turn
@@ -182,7 +190,7 @@ def _meet(grid_of, dims: int, least: float):
                 good = np.einsum("ij,ij->i", units[x], units[y]) >= least
                 x, y = x[good], y[good]
                 used = np.stack([((p[x] - p[y]) ** 2).sum(axis=1) / t for p, t in zip(blocks, grid.budgets, strict=True)])
-                mine = np.argmin(used, axis=0) == k
+                mine = np.argmax(used <= used.min(axis=0) + TIE, axis=0) == k
                 x, y = x[mine], y[mine]
                 count += np.bincount(x, copies[y], len(ids)).astype(np.int64) + np.bincount(y, copies[x], len(ids)).astype(np.int64)
                 fu, fv = _forest(x, y, len(ids))
@@ -199,12 +207,34 @@ def _meet(grid_of, dims: int, least: float):
     return meet
 
 
+def _met(nodes: DataFrame, dims: int, many: int, least: float, kind: str) -> DataFrame:
+    """What the tiles return for the ``many`` vectors of ``dims`` numbers."""
+    spark = nodes.sparkSession
+    sample = nodes.orderBy(F.xxhash64("node")).limit(min(SAMPLE[1], max(SAMPLE[0], many // 100))).select("embedding").toArrow().column(0).combine_chunks()
+    grid = _Grid(_units(_matrix(sample, dims)), many, 2 - 2 * least)
+    grid_of = spark.sparkContext.broadcast(grid)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, own, _ in grid_of.value.visits(_units(_matrix(batch.column(0), dims))):
+                cell, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k), pa.int32()), pa.array(cell, pa.int32()), pa.array(n, pa.int64())], names=["block", "cell", "n"])
+
+    chunks = [np.ones(len(p), np.int64) for p in grid.pivots]
+    for r in nodes.select("embedding").mapInArrow(cells, "block int, cell int, n bigint").groupBy("block", "cell").agg(F.sum("n").alias("n")).collect():  # blocks times pivots
+        chunks[r["block"]][r["cell"]] = -(-r["n"] // TILE)
+    chunks_of = spark.sparkContext.broadcast(chunks)
+    tile = "block int, low int, high int, first int, second int, side int, id bigint, copies bigint, embedding " + kind
+    dealt = nodes.select(F.col("node").alias("id"), "copies", "embedding").mapInArrow(_deal(grid_of, chunks_of, dims), tile)
+    return saved(dealt.groupBy("block", "low", "high", "first", "second").applyInArrow(_meet(grid_of, dims, least), "u bigint, v bigint, n bigint"))
+
+
 def embedding_links(df: DataFrame, id_col: str, vector_col: str, least: float = 0.9) -> DataFrame:
     """One row per vector: id, ``n_links`` (other vectors with a cosine of at least ``least``), ``component_id`` (the
     smallest id reachable by links) and ``kept`` (its id is the component's).
 
-    Null and zero vectors, those with null or non-finite parts, and those whose length isn't the commonest one link with
-    nothing and are their own component; so do rows with a null id, whose component is null. Rows that repeat an id and
+    Vectors of one length are compared with one another. Null and zero vectors and those with null or non-finite parts
+    link with nothing and are their own component; so do rows with a null id, whose component is null. Rows that repeat an id and
     a vector count once as partners and are returned each. An empty table gives an empty result; other columns aren't
     read.
     """
@@ -213,31 +243,12 @@ def embedding_links(df: DataFrame, id_col: str, vector_col: str, least: float =
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
-    lengths = rows.where(sound).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = lengths[0]["d"] if lengths else 0
-    sound = F.coalesce(sound & (F.size("embedding") == dims), F.lit(False))
+    sound = F.coalesce(sound, F.lit(False))
     nodes = saved(rows.where(sound).distinct().groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    many = nodes.count()
-    if many:
-        sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-        grid = _Grid(_units(_matrix(sample, dims)), many, 2 - 2 * least)
-        grid_of = spark.sparkContext.broadcast(grid)
-
-        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, own, _ in grid_of.value.visits(_units(_matrix(batch.column(0), dims))):
-                    cell, n = np.unique(own, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k), pa.int32()), pa.array(cell, pa.int32()), pa.array(n, pa.int64())], names=["block", "cell", "n"])
-
-        chunks = [np.ones(len(p), np.int64) for p in grid.pivots]
-        for r in nodes.select("embedding").mapInArrow(cells, "block int, cell int, n bigint").groupBy("block", "cell").agg(F.sum("n").alias("n")).collect():  # blocks times pivots
-            chunks[r["block"]][r["cell"]] = -(-r["n"] // TILE)
-        chunks_of = spark.sparkContext.broadcast(chunks)
-        tile = "block int, low int, high int, first int, second int, side int, id bigint, copies bigint, embedding " + kind
-        dealt = nodes.select(F.col("node").alias("id"), "copies", "embedding").mapInArrow(_deal(grid_of, chunks_of, dims), tile)
-        met = saved(dealt.groupBy("block", "low", "high", "first", "second").applyInArrow(_meet(grid_of, dims, least), "u bigint, v bigint, n bigint"))
-    else:
-        met = spark.createDataFrame([], "u bigint, v bigint, n bigint")
+    lengths = nodes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    met = spark.createDataFrame([], "u bigint, v bigint, n bigint")
+    for r in lengths:
+        met = met.unionByName(_met(nodes.where(F.size("embedding") == r["d"]), r["d"], r["n"], least, kind))
     links = met.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     names = connected_components(met.where("v is not null").select("u", "v"))
     known = nodes.join(links, "node", "left").join(names.withColumnRenamed("id", "node"), "node", "left")
