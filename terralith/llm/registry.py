@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, secret_scan, sharding, toxicity, url_filter
+from terralith.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, line_dedup, oracle_texts, packing, secret_scan, sharding, toxicity, url_filter
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -86,6 +86,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_embedding_near_dedup": oracle_texts.OP1,
+    "op3_ngram_jaccard_join": oracle_texts.OP3,
+    "op4_secret_scan": oracle_texts.OP4,
+    "op7_decontamination": oracle_texts.op7(decontaminate.MASKS, decontaminate.SPAN, decontaminate.STRETCH, decontaminate.EQUAL),
     "op5_url_filter": r"""
         WITH parts AS (
             SELECT page_id,
