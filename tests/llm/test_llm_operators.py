@@ -158,6 +158,17 @@ def test_embeddings_match_brute_force(spark):
     assert out[None] == (0, None, None)
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Each length is compared with itself; multiples of a vector link once."""
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0, 0.0]), (4, [1.0, 1.0, 0.01]), (5, [0.0, 1.0]), (6, [1.0]), (7, [-1.0]), (8, [5.0])]
+    rng = np.random.RandomState(2)
+    v = rng.standard_normal(64)
+    rows += [(100 + k, [float(x) for x in v * (k + 1)]) for k in range(40)]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding").collect()}
+    assert {k: out[k] for k in range(1, 9)} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (0, 7), 8: (1, 6)}
+    assert all(out[100 + k] == (39, 100) for k in range(40))
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), "vec_id", "embedding").count() == 0
 
@@ -227,6 +238,9 @@ def test_secrets(spark):
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(",") if r["spans"] else [])
     verdict = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in out}
     assert verdict[1] == (0, 2) and verdict[3] == (2, 0) and verdict[4] == (0, 0) and verdict[2] == (1, 2)
+    twice = [doc(1, "token=aaaaaaa1", "A"), doc(1, "token=bbbbbbb2", "A"), doc(9, "token=bbbbbbb2", "B")]
+    out = {r["spans"]: (r["n_live"], r["n_example"]) for r in secret_scan.scan_secrets(frame(spark, twice), "doc_id", "text", F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    assert out == {"assign:0:14,live:0:14": (1, 0), "assign:0:14,example:0:14": (0, 1)}
     assert secret_scan.scan_secrets(frame(spark, []), "doc_id", "text", F.col("source"), F.col("lang")).count() == 0
 
 
@@ -248,6 +262,11 @@ def test_line_dedup(spark):
     got = sorted(((r["doc_id"] or 0, r["text"], r["_n_removed"]) for r in out.collect()), key=str)
     assert got == sorted([(1, "a\nb\nc\nd", 0), (1, "a\nb\nc\nd", 0), (2, "x\ny", 4), (3, "", 6), (4, None, 0), (5, "", 0), (6, "a\nb", 0), (7, "\n\n\n\n", 0), (8, "\n\n\n\n", 0), (0, "a\nb\nc", 0)], key=str)
     assert line_dedup.remove_repeated_lines(frame(spark, []), "doc_id", "text").count() == 0
+    for name in ("_id", "_hash", "_gone", "_text", "_whole", "_n_lines", "__hash", "window", "hash", "pos"):
+        other = frame(spark, rows).withColumn(name, F.lit("x"))
+        for f in (line_dedup.remove_repeated_lines, line_dedup.remove_repeated_passages):
+            back = f(other, "doc_id", "text").collect()
+            assert {r["text"] for r in back if r["doc_id"] == 2} == {"x\ny"} and (name == "_n_lines" or {r[name] for r in back} == {"x"})
 
 
 def test_decontamination(spark):
@@ -255,7 +274,7 @@ def test_decontamination(spark):
     items = [(k, sentence(rng, n)) for k, n in enumerate((30, 40, 14, 8, 6, 3, 0))] + [(9, None)]
     rows = [doc(0, None), doc(1, "")]
     hits = set()
-    for k, text in items[:5]:
+    for k, text in items[:6]:
         w = text.split()
         rows.append(doc(100 + k, sentence(rng, 20) + ". " + text.upper() + ", " + sentence(rng, 20)))
         hits.add((100 + k, k))
@@ -269,10 +288,22 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in out} == hits
     kept = decontaminate.drop_leaks(frame(spark, rows), bench, "doc_id", "text", "item_id", "text")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in {a for a, _ in hits})
+    same = decontaminate.find_leaks(frame(spark, rows), bench.withColumnRenamed("item_id", "doc_id"), "doc_id", "text", "doc_id", "text")
+    assert {(r["doc_id"], r["item_doc_id"]) for r in same.collect()} == hits
+    clash = frame(spark, rows).withColumns({"_leak_id": F.lit(1), "_leak_text": F.lit(1)})
+    assert decontaminate.drop_leaks(clash, bench, "doc_id", "text", "item_id", "text").count() == kept.count()
     for a, b in ((frame(spark, []), bench), (frame(spark, rows), bench.limit(0))):
         assert decontaminate.find_leaks(a, b, "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of one to five words are found where they stand word for word, to the last word of a text."""
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 6)]
+    rows = [doc(10 * n, f"some words, {t.upper()}") for n, t in items] + [doc(10 * n + 1, t) for n, t in items] + [doc(10 * n + 2, " ".join(t.split()[:-1]) + " other") for n, t in items]
+    out = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), "doc_id", "text", "item_id", "text").collect()
+    assert {(r["doc_id"], r["item_id"], r["equal"]) for r in out} == {(10 * n + k, n, n) for n in range(1, 6) for k in (0, 1)}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -281,7 +312,6 @@ def test_packing(spark):
     rows = [doc(i, t) for i, t in enumerate(texts)] + [doc(10 + i, sentence(rng, rng.randrange(1, 500))) for i in range(80)] + [doc(10, "again")]
     out = packing.pack(clashing(frame(spark, rows)), "doc_id", "text", registry.tokenizer_path()).collect()
     coder = Tokenizer.from_file(registry.tokenizer_path())
-    coder.encode_special_tokens = True
     want, total = [], 0
     for i, t, *_ in rows:
         ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 1], np.uint32)
@@ -293,7 +323,7 @@ def test_packing(spark):
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for parts in sequences.values():
         assert [o for o, _ in sorted(parts)] == list(itertools.accumulate([0] + [n for _, n in sorted(parts)]))[:-1] and sum(n for _, n in parts) <= 4096
-    assert len(sequences) == -(-total // 4096)
+    assert len(sequences) == -(-total // 4096) == out[0]["least_sequences"] and all(r["task_bound"] == r["task_sequences"] for r in out)
     assert packing.pack(frame(spark, []), "doc_id", "text", registry.tokenizer_path()).count() == 0
 
 
@@ -316,10 +346,9 @@ def test_word_coder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(registry.tokenizer_path())
-    whole.encode_special_tokens = True
     rng = random.Random(9)
     alphabet = "abcXYZ éÉßİΣ.,;:!?'\"-_()0189\n\t\r\u00a0\u2028日本e\u0301ﬁǅ𝒜😀"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(800)] + [None]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(800)] + [None, "hello <|endoftext|> world", "<|startoftext|><|endoftext|>", "e<|endoftext|>\u0301 it<|endoftext|>'s <|EndOfText|>"]
     got = tokens.WordCoder(registry.tokenizer_path()).encode(pa.array(texts, pa.string()))
     for t, data in zip(texts, got, strict=True):
         assert np.frombuffer(data, np.uint32).tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
