@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,36 @@ def rotation_2d(azimuth: float, scales: tuple[float, float] = (1.0, 1.0)) -> lis
     return [[scales[0] * c, scales[0] * s], [-scales[1] * s, scales[1] * c]]
 
 
+def rotation_3d(azimuth: float, dip: float = 0.0, roll: float = 0.0, scales: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> list[list[float]]:
+    """Rows that give the scaled coordinates along the main, second and third axis. The main axis points to ``azimuth`` and
+    rises by ``dip`` (degrees); the other two are turned about it by ``roll``."""
+    a, d, r = (math.radians(v) for v in (azimuth, dip, roll))
+    main = [math.cos(a) * math.cos(d), math.sin(a) * math.cos(d), math.sin(d)]
+    level, up = [-math.sin(a), math.cos(a), 0.0], [-math.cos(a) * math.sin(d), -math.sin(a) * math.sin(d), math.cos(d)]
+    second = [math.cos(r) * p + math.sin(r) * q for p, q in zip(level, up, strict=True)]
+    third = [math.cos(r) * q - math.sin(r) * p for p, q in zip(level, up, strict=True)]
+    return [[s * v for v in axis] for s, axis in zip(scales, (main, second, third), strict=True)]
+
+
+def space(spec: dict, dimension: str) -> list[list[float]]:
+    """The matrix of an anisotropy {"azimuth", "dip", "roll", "major_scale", "minor_scale", "vertical_scale"}, or of a
+    {"z_scale"} alone. Along an axis of scale s, distances count 1/s."""
+    if "z_scale" in spec:
+        if dimension != "3d" or len(spec) > 1 or not 0 < spec["z_scale"] <= 20:
+            raise ValueError("z_scale stands alone, in 3-D, over 0 and at most 20")
+        return [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, float(spec["z_scale"])]]
+    scales = [float(spec.get(k, 1.0)) for k in ("major_scale", "minor_scale", "vertical_scale")[: 3 if dimension == "3d" else 2]]
+    if not all(math.isfinite(s) and s > 0 for s in scales):
+        raise ValueError("scales must be finite and over 0")
+    inverse = tuple(1 / s for s in scales)
+    return rotation_3d(spec.get("azimuth", 0.0), spec.get("dip", 0.0), spec.get("roll", 0.0), inverse) if dimension == "3d" else rotation_2d(spec.get("azimuth", 0.0), inverse)
+
+
+def in_space(df: DataFrame, axes: list[str], matrix: list[list[float]] | None) -> DataFrame:
+    """``df`` with its axes replaced by their image, in which distances are plain."""
+    return df if matrix is None else df.withColumns(dict(zip(axes, affine([F.col(a) for a in axes], matrix), strict=True)))
+
+
 def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0])))
 
@@ -71,7 +101,11 @@ def degrees_lon_lat(x: Column, y: Column, lon0: float, lat0: float, metres_per_d
     return [F.lit(lon0) + x / F.lit(metres_per_degree * math.cos(math.radians(lat0))), F.lit(lat0) + y / F.lit(metres_per_degree)]
 
 
-def unit_name(c: Column) -> Column:
-    """One spelling for each of the usual units."""
-    u = F.regexp_replace(F.lower(F.trim(c)), r"[\s·]", "")
-    return F.when(u.isin("ohm.m", "ohm*m", "ohmm", "ω.m", "ωm", "ω*m"), "ohm.m").when(u.isin("m3/t", "m^3/t", "m³/t"), "m3/t").when(u.isin("m/s", "ms-1"), "m/s").when(u.isin("km/s", "kms-1"), "km/s").otherwise(u)
+# The built-in case whose unit is known whatever the table says.
+BUILT_IN_CASE, BUILT_IN_KIND, BUILT_IN_NAME, BUILT_IN_UNIT = "resistivity", "builtin_preset", "RHO", "Ω·m"
+
+
+def property_unit(case_id: Column, workspace_kind: Column, value_name: Column, value_unit: Column) -> Column:
+    """The unit of a property: known for the built-in case, else as given; nothing is guessed."""
+    known = (case_id == BUILT_IN_CASE) & (workspace_kind == BUILT_IN_KIND) & (value_name == BUILT_IN_NAME)
+    return F.when(known, BUILT_IN_UNIT).otherwise(value_unit.cast("string"))

@@ -6,20 +6,12 @@ follows its label's own label.  Each round is written out, so lineage stays shor
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions.quantiles import exact_quantiles
 from terralith.operators.grid import INDEX, offsets, support, valid
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+from terralith.operators.shared import checkpointed, numbered
 
 
 def anomaly_nodes(grid: DataFrame, threshold: float, direction: str = "high", gates: dict[str, float] | None = None) -> DataFrame:
@@ -35,16 +27,16 @@ def anomaly_nodes(grid: DataFrame, threshold: float, direction: str = "high", ga
 def labelled(nodes: DataFrame, flat: bool = False) -> DataFrame:
     """``nodes`` with ``label``, the least node number of its component, in scan order (x slowest)."""
     key = F.struct(*INDEX)
-    rows = _checkpointed(nodes.withColumn("_key", key).withColumn("label", key))
+    rows = checkpointed(nodes.withColumn("_key", key).withColumn("label", key))
     around = F.array(*(F.struct(*((F.col(n) + o).alias(n) for n, o in zip(INDEX, d, strict=True))) for d in offsets(4 if flat else 6)))
     while True:
         sent = rows.select("label", F.explode(around).alias("_to"))
         least = sent.groupBy("_to").agg(F.min("label").alias("_least"))
         near = rows.join(least, rows["_key"] == least["_to"], "left").withColumn("_new", F.least("label", F.coalesce("_least", "label"))).drop("_to", "_least")
-        near = _checkpointed(near)
+        near = checkpointed(near)
         jump = near.select(F.col("_key").alias("_at"), F.col("_new").alias("_far"))
         moved = near.join(jump, F.col("_new") == F.col("_at"), "left").withColumn("_next", F.least("_new", F.coalesce("_far", "_new")))
-        moved = _checkpointed(moved.select(*[c for c in nodes.columns], "_key", F.col("_next").alias("label"), (F.col("_next") != F.col("label")).alias("_moved")))
+        moved = checkpointed(moved.select(*[c for c in nodes.columns], "_key", F.col("_next").alias("label"), (F.col("_next") != F.col("label")).alias("_moved")))
         if not moved.where("_moved").limit(1).count():
             return moved.drop("_moved", "_key")
         rows = moved.drop("_moved")
@@ -64,18 +56,23 @@ def components(grid: DataFrame, threshold: float, direction: str = "high", min_n
         *((F.sum(F.col(c) * w) / F.sum(w)).alias(f"{c}_centroid") for c in ("x", "y", "z")), F.min("value").alias("value_min"), F.max("value").alias("value_max"), F.avg("value").alias("value_mean"), F.bool_or(touches).alias("touches_grid_boundary"),
         *(f(layer).alias(f"{layer}_{n}") for layer in gates or {} for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))),
     ).where(F.col("support_node_count") >= min_nodes)
-    number = F.row_number().over(Window.orderBy("label"))  # a row for each component
-    return stats.withColumn("component_id", number).drop("label")
+    return numbered(stats, ["label"], "component_id", 1).drop("label")
+
+
+LOW_FIRST = 1_000_000
 
 
-def ranked_components(grid: DataFrame, min_nodes: int = 1, most: int = 10, flat: bool = False) -> DataFrame:
+def ranked_components(grid: DataFrame, min_nodes: int = 1, most: int = 10, flat: bool = False, gates: dict[str, float] | None = None) -> DataFrame:
     """High components (from the third quartile) and low ones (to the first): by support, extreme value and number; the
-    first ones of each direction are lettered."""
+    first ones of each direction are lettered, and the numbers of low ones begin after LOW_FIRST."""
     low, high = exact_quantiles(valid(grid), "value", [0.25, 0.75])
     out = None
     for direction, t in (("high", high), ("low", low)):
-        part = components(grid, t, direction, min_nodes, flat).withColumn("direction", F.lit(direction))
+        part = components(grid, t, direction, min_nodes, flat, gates).withColumn("direction", F.lit(direction))
         extreme = F.desc("value_max") if direction == "high" else F.asc("value_min")
-        part = part.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("support_node_count"), extreme, "component_id")))
-        out = part if out is None else out.unionByName(part)
-    return out.where(F.col("rank") <= most).withColumn("letter", F.when(F.col("rank") <= 26, F.char(F.lit(64) + F.col("rank"))))
+        best = part.orderBy(F.desc("support_measure"), extreme, "component_id").limit(most)
+        best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("support_measure"), extreme, "component_id")))  # over ``most`` rows
+        best = best.withColumn("component_id", F.col("component_id") + (0 if direction == "high" else LOW_FIRST))
+        out = best if out is None else out.unionByName(best)
+    letter = F.char(F.lit(64) + F.col("rank"))
+    return out.withColumn("letter", F.when(F.col("rank") <= 26, F.when(F.col("direction") == "low", F.concat(F.lit("低-"), letter)).otherwise(letter)))

@@ -72,6 +72,11 @@ def nodes(spark: SparkSession, axes: list[Axis], most: int = MOST_CELLS) -> Data
     return out
 
 
+def axes_from_points(points: DataFrame, axes: list[str], nodes_each: int = 11) -> list[Axis]:
+    """Axes over the points' bounds with eleven nodes each; a flat axis gets a step of 1 (two nodes)."""
+    return [axis(a, b if b > a else a, (b - a) / (nodes_each - 1) if b > a else 1.0) for a, b in bounds(points, axes)]
+
+
 def take_slice(grid: DataFrame, axis_name: str, index: int) -> DataFrame:
     out = grid.where(F.col(f"i{axis_name}") == index)
     if not out.limit(1).count():
@@ -96,7 +101,50 @@ def slice_statistics(grid: DataFrame, axis_name: str, index: int) -> DataFrame:
     low, high = exact_quantiles(valid(grid), "value", [0.25, 0.75])
     part = take_slice(grid, axis_name, index)
     v = F.when(~F.col("is_nodata"), F.col("value"))
-    return part.agg(F.count("*").alias("total"), F.count(v).alias("valid"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), *(F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (10, 50, 90)), F.count_if(v < low).alias("low"), F.count_if((v >= low) & (v < high)).alias("normal"), F.count_if(v >= high).alias("high"))
+    ranks = exact_quantiles(valid(part), "value", [0.1, 0.5, 0.9]) or [None] * 3
+    return part.agg(F.count("*").alias("total"), F.count(v).alias("valid"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), *(F.lit(q).cast("double").alias(f"p{p}") for p, q in zip((10, 50, 90), ranks, strict=True)), F.count_if(v < low).alias("low"), F.count_if((v >= low) & (v < high)).alias("normal"), F.count_if(v >= high).alias("high"))
+
+
+# Rows and columns of a slice across an axis.
+PLANES = {"x": ("z", "y"), "y": ("z", "x"), "z": ("y", "x")}
+
+
+def chart_slice(grid: DataFrame, axis_name: str, index: int) -> DataFrame:
+    """A slice as a chart reads it: (row, column, row_coord, column_coord, coordinate, relative, value, masked); infinite
+    values and NaN are masked like NoData, ``relative`` is the slice's place along its axis from 0 to 1."""
+    rows, columns = PLANES[axis_name]
+    last = grid.agg(F.max(f"i{axis_name}")).first()[0]
+    good = ~F.col("is_nodata") & F.coalesce(is_finite(F.col("value")), F.lit(False))
+    relative = F.lit(index / last if last else 0.0)
+    return take_slice(grid, axis_name, index).select(F.col(f"i{rows}").alias("row"), F.col(f"i{columns}").alias("column"), F.col(rows).alias("row_coord"), F.col(columns).alias("column_coord"), F.col(axis_name).alias("coordinate"), relative.alias("relative"), F.when(good, F.col("value")).alias("value"), (~good).alias("masked"))
+
+
+def slice_rows(grid: DataFrame, axis_name: str, index: int) -> DataFrame:
+    """A slice for export: (x, y, z, value, is_nodata), rows outside, columns inside; NoData has no value."""
+    rows, columns = PLANES[axis_name]
+    good = ~F.col("is_nodata") & F.coalesce(is_finite(F.col("value")), F.lit(False))
+    return take_slice(grid, axis_name, index).orderBy(f"i{rows}", f"i{columns}").select(*AXES, F.when(good, F.col("value")).alias("value"), (~good).alias("is_nodata"))
+
+
+def write_slice(grid: DataFrame, axis_name: str, index: int, path: str) -> None:
+    """``slice_rows`` as CSV with a header; one slice is one file."""
+    slice_rows(grid, axis_name, index).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+
+
+def bounded(df: DataFrame, most: int, order: str = "source_row", every: int = 1) -> DataFrame:
+    """Each s-th row by a dense row number, s the least that keeps ``most`` rows, and at least ``every``."""
+    return decimated(df, max(every, -(-df.count() // most), 1), order)
+
+
+# Scale and palette by the kind of source.
+RENDER = {"builtin_legacy": ("log", "native-spectrum"), "candidate_result": ("linear", "viridis")}
+
+
+def render_profile(grid: DataFrame, kind: str) -> DataFrame:
+    """(low, high, log_available, scale, palette): a log scale needs positive values."""
+    scale, palette = RENDER[kind]
+    s = valid(grid).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return s.select("low", "high", (F.col("low") > 0).alias("log_available"), F.when(F.col("low") > 0, scale).otherwise("linear").alias("scale"), F.lit(palette).alias("palette"))
 
 
 def composition(grid: DataFrame) -> DataFrame:
@@ -207,7 +255,7 @@ def import_grid(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
         raise GeoError("GRID_ROWS_INVALID", bad=bad, repeated=total - places)
     for i, c in zip(INDEX, AXES, strict=True):
         w = Window.orderBy(c)  # over the distinct coordinates of one axis
-        line = rows.select(c).distinct().withColumn(i, (F.row_number().over(w) - 1).cast("int")).withColumn("_gap", F.col(c) - F.lag(c).over(w)).cache()
+        line = rows.select(c).distinct().withColumn(i, (F.row_number().over(w) - 1).cast("int")).withColumn("_gap", F.col(c) - F.lag(c).over(w))
         s = line.agg(F.count("*").alias("n"), F.min("_gap").alias("lo"), F.max("_gap").alias("hi"), (F.max(c) - F.min(c)).alias("span")).first()
         if s["n"] > 1 and s["hi"] - s["lo"] > tolerance * max(1.0, s["span"]):
             raise GeoError("GRID_AXIS_UNEVEN", axis=c)

@@ -5,37 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What a high or low anomaly of a property may mean.
+# The names and units by which a property is known. Anything else is generic.
+PROFILES = [
+    ("resistivity", ["rho"], ["ω·m", "ωm", "ohm_m", "ohm·m"]),
+    ("microseismic_velocity", ["vx", "vx_km_s"], ["km/s"]),
+    ("gas_content", ["ch4", "ch4_content", "gas", "gas_content"], ["ml/g"]),
+]
+GENERIC = "generic_3d"
+CARD = "profile string, direction string, title string, meaning string, impact string, action string, limitation string"
+# What a high or low anomaly of a property may mean; generic properties have no cards.
 RULES = [
-    ("resistivity", "high", "compact or dry rock"),
-    ("resistivity", "low", "water, clay or fractures"),
-    ("microseismic_velocity", "high", "stiff ground"),
-    ("microseismic_velocity", "low", "loose or fractured ground"),
-    ("gas_content", "high", "gas-rich zone"),
-    ("gas_content", "low", "gas-poor zone"),
-    ("generic_3d", "high", "values well above the rest"),
-    ("generic_3d", "low", "values well below the rest"),
+    ("resistivity", "low", "Low resistivity", "often water, fractures, clay or another conductor", "check water and structure here first if other data agree", "compare with boreholes and water records", "low resistivity alone doesn't prove water"),
+    ("resistivity", "high", "High resistivity", "often dense or dry rock, or a resistive rock type", "may mark a change of rock or of its water", "compare with rock type and structure", "high resistivity alone doesn't prove sound rock"),
+    ("microseismic_velocity", "low", "Low velocity", "often loose, broken or porous ground, or fluids", "look for weak structure here first", "check the cover by survey lines, then rock and boreholes", "says nothing about seismic activity and names no fault"),
+    ("microseismic_velocity", "high", "High velocity", "often dense ground, or a change of rock or stress", "helps to tell structures apart", "compare with rock, stress and the survey lines", "fast ground isn't always stable"),
+    ("gas_content", "high", "High gas content", "more gas than around, perhaps a local pocket", "measure again first, and check drainage and ventilation", "compare with pressure, drainage and ventilation records", "high within the model is no legal class of danger"),
+    ("gas_content", "low", "Low gas content", "less gas than around", "shows how content changes, not that a place is safe", "check the cover by samples and the depth of the holes", "low content isn't safety"),
 ]
+AT_EDGE = "reaches the model's edge, so it may be larger"
 
 
-def resolve_profile(value_name: str, unit: str, dimension: str) -> str:
-    """By name, unit and dimension only; two dimensions are always generic."""
-    name = value_name.lower()
-    if dimension != "3d":
-        return "generic_2d"
-    if name in ("rho", "resistivity") and unit == "ohm.m":
-        return "resistivity"
-    if name in ("vx", "velocity") and unit in ("m/s", "km/s"):
-        return "microseismic_velocity"
-    if "ch4" in name or unit == "m3/t":
-        return "gas_content"
-    return "generic_3d"
+def resolve_profile(value_name: str, unit: str) -> str:
+    """By the registered names and units only; case, and blanks in the unit, don't count."""
+    name, unit = value_name.strip().lower(), unit.strip().lower().replace(" ", "")
+    return next((p for p, names, units in PROFILES if name in names and unit in units), GENERIC)
 
 
 def rule_cards(components: DataFrame, profile: str, most: int = 3) -> DataFrame:
-    """The first ``most`` components of each direction with the profile's rule. ``components``: direction, rank, ..."""
-    rules = components.sparkSession.createDataFrame(RULES, "profile string, direction string, meaning string").where(F.col("profile") == profile)
-    return components.where(F.col("rank") <= most).join(F.broadcast(rules), "direction")
+    """The first ``most`` components of each direction with the profile's card. ``components``: direction, rank,
+    touches_grid_boundary, ..."""
+    rules = components.sparkSession.createDataFrame(RULES, CARD).where(F.col("profile") == profile)
+    limits = F.when(F.col("touches_grid_boundary"), F.concat_ws("; ", "limitation", F.lit(AT_EDGE))).otherwise(F.col("limitation"))
+    return components.where(F.col("rank") <= most).join(F.broadcast(rules), "direction").withColumn("limitation", limits)
 
 
 def findings(depth: DataFrame, components: DataFrame) -> DataFrame:

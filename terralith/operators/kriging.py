@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.operators import neighbors
-from terralith.operators.anomalies import _checkpointed
+from terralith.functions.scalar import in_space, space
+from terralith.operators import neighbors, variogram
 from terralith.operators.errors import GeoError
+from terralith.operators.shared import checkpointed
 
 CLAMP = 1e-10
 TARGETS_PER_TASK = 20_000
@@ -54,12 +55,13 @@ def solve(places: np.ndarray, values: np.ndarray, targets: np.ndarray, model: di
     return np.where(bad, np.nan, estimate), np.where(bad, np.nan, variance)
 
 
-def krige(queries: DataFrame, samples: DataFrame, model: dict, k: int = 12, min_neighbors: int = 3, axes: list[str] | None = None, near: DataFrame | None = None) -> DataFrame:
+def krige(queries: DataFrame, samples: DataFrame, model: dict, k: int = 12, min_neighbors: int = 3, axes: list[str] | None = None, near: DataFrame | None = None, matrix: list[list[float]] | None = None, radius: float | None = None) -> DataFrame:
     """(query_id, value, variance, n, is_nodata). ``near``: neighbours from another operator (query_id, source_row), for
-    sector neighbourhoods."""
+    sector neighbourhoods. ``matrix``: the space in which distances count, for neighbours and model alike."""
     check_model(model)
     axes = axes or ["x", "y"]
-    near = near if near is not None else neighbors.nearest(queries, samples, k, axes)
+    queries, samples = in_space(queries.select("query_id", *axes), axes, matrix), in_space(samples, axes, matrix)
+    near = near if near is not None else neighbors.nearest(queries, samples, k, axes, radius)
     met = near.select("query_id", "source_row").join(samples.select("source_row", *axes, "value"), "source_row").join(queries.select("query_id", *(F.col(a).alias(f"q_{a}") for a in axes)), "query_id")
     tasks = max(1, -(-queries.count() // TARGETS_PER_TASK))
     cols = [*axes, "value", *(f"q_{a}" for a in axes)]
@@ -85,20 +87,30 @@ def krige(queries: DataFrame, samples: DataFrame, model: dict, k: int = 12, min_
 
 def evaluate_candidates(points: DataFrame, assignments: DataFrame, candidates: list[dict], axes: list[str] | None = None) -> DataFrame:
     """Out-of-fold predictions (candidate, fold_index, source_row, observed, predicted, is_nodata) of inverse-distance and
-    kriging candidates: ``{"name", "algorithm", ...parameters}``. Candidates and folds are a configured list."""
+    kriging candidates: ``{"name", "algorithm", ...parameters}``; ``variogram`` is a model, or the name of one that each
+    fold's training rows are fitted to; ``space``: see ``functions.scalar``. Candidates and folds are a configured list."""
     axes, out = axes or ["x", "y"], None
     folds = [r["fold_index"] for r in assignments.select("fold_index").distinct().orderBy("fold_index").collect()]
     for f in folds:
         role = assignments.where(F.col("fold_index") == f).select("source_row", "role")
-        rows = _checkpointed(points.join(role, "source_row"))
+        rows = checkpointed(points.join(role, "source_row"))
         train, held = rows.where("role = 'training'"), rows.where("role = 'validation'")
         queries = held.select(F.col("source_row").alias("query_id"), *axes)
+        shared: dict[str, DataFrame] = {}  # neighbours of candidates that search alike
         for c in candidates:
+            matrix = space(c["space"], "3d" if len(axes) == 3 else "2d") if c.get("space") else None
+            alike = [o for o in candidates if (o.get("space"), o.get("radius")) == (c.get("space"), c.get("radius"))]
+            key = str((c.get("space"), c.get("radius")))
+            if key not in shared:
+                found = neighbors.nearest(in_space(queries, axes, matrix), in_space(train, axes, matrix), max(o.get("k", 12) for o in alike), axes, c.get("radius"))
+                shared[key] = checkpointed(found) if len(alike) > 1 else found
+            near = shared[key].where(F.col("k") <= c.get("k", 12))
             if c["algorithm"] == "idw":
-                p = neighbors.inverse_distance(queries, train, c.get("k", 12), c.get("power", 2.0), c.get("min_neighbors", 1), axes)
+                p = neighbors.weighted(queries, near, c.get("power", 2.0), c.get("min_neighbors", 1))
             else:
-                p = krige(queries, train, c["variogram"], c.get("k", 12), c.get("min_neighbors", 3), axes)
+                model = c["variogram"] if isinstance(c["variogram"], dict) else variogram.fit_points(train, c["variogram"], axes, matrix)
+                p = krige(queries, train, model, c.get("k", 12), c.get("min_neighbors", 3), axes, near, matrix)
             part = p.select(F.lit(c["name"]).alias("candidate"), F.lit(f).alias("fold_index"), F.col("query_id").alias("source_row"), F.col("value").alias("predicted"), "is_nodata")
-            part = _checkpointed(part.join(held.select("source_row", F.col("value").alias("observed")), "source_row"))  # else the plans of all folds add up
+            part = checkpointed(part.join(held.select("source_row", F.col("value").alias("observed")), "source_row"))  # else the plans of all folds add up
             out = part if out is None else out.unionByName(part)
     return out

@@ -62,7 +62,7 @@ def kriging_with_forest(points: DataFrame, queries: DataFrame, model: dict, axes
     dimension = "3d" if "z" in axes else "2d"
     plan = validation.fold_assignments(points, dimension, folds)
     oof = kriging.evaluate_candidates(points, plan, [{"name": "k", "algorithm": "kriging", "variogram": model, "k": k}], axes)
-    left = oof.where("not is_nodata").join(points.select("source_row", *axes), "source_row").withColumn("residual", F.col("observed") - F.col("predicted")).cache()
+    left = oof.where("not is_nodata").join(points.select("source_row", *axes), "source_row").withColumn("residual", F.col("observed") - F.col("predicted"))
     n, total = left.count(), points.count()
     if n < LEAST_RESIDUALS or n < LEAST_COVERAGE * total:
         raise GeoError("RESIDUALS_INSUFFICIENT", residuals=n, rows=total)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.functions.scalar import is_finite
+from terralith.operators.shared import group_quantiles
 
 
 def usable() -> Column:
@@ -51,21 +52,27 @@ def metrics(predictions: DataFrame, common: bool = True) -> DataFrame:
 
 
 def nine_metrics(predictions: DataFrame) -> DataFrame:
-    """The long summary on the common rows: also median absolute error, mean and median relative error, the deviation of
-    log10 over positive pairs, and the 90th percentile of the absolute error; R2 is null on a constant truth."""
+    """The long summary on the common rows: also median absolute error, mean and median relative error (the absolute
+    error by the truth with its sign; infinite where only the truth is 0, left out where both are), the deviation of log10
+    over positive pairs, and the 90th percentile of the absolute error; R2 is null on a constant truth."""
     kept = with_errors(predictions).where(usable()).join(common_rows(predictions), "source_row", "left_semi")
-    relative = F.when(F.col("observed") != 0, F.col("absolute_error") / F.abs(F.col("observed")))
+    kept = kept.withColumn("relative", F.when(F.col("observed") != 0, F.col("absolute_error") / F.col("observed")).when(F.col("absolute_error") > 0, float("inf")))
     logs = F.when((F.col("observed") > 0) & (F.col("predicted") > 0), F.log10("predicted") - F.log10("observed"))
     more = kept.groupBy("candidate").agg(
-        F.median("absolute_error").alias("median_ae"), F.avg(relative).alias("mean_relative"), F.median(relative).alias("median_relative"),
-        F.sqrt(F.avg(logs * logs)).alias("log10_rmse"), F.percentile("absolute_error", F.lit(0.9)).alias("p90_ae"), F.var_pop("observed").alias("_spread"),
+        F.avg("relative").alias("mean_relative"), F.sqrt(F.avg(logs * logs)).alias("log10_rmse"), F.var_pop("observed").alias("_spread"),
     )
-    return _summary(kept, ["candidate"]).join(more, "candidate").withColumn("r2", F.when(F.col("_spread") > 0, F.col("r2"))).drop("_spread")
+    ranks = group_quantiles(kept, ["candidate"], "absolute_error", {"median_ae": 0.5, "p90_ae": 0.9}).join(group_quantiles(kept, ["candidate"], "relative", {"median_relative": 0.5}), "candidate", "left")
+    return _summary(kept, ["candidate"]).join(more, "candidate").join(ranks, "candidate").withColumn("r2", F.when(F.col("_spread") > 0, F.col("r2"))).drop("_spread")
 
 
-def group_metrics(predictions: DataFrame, group: str) -> DataFrame:
+def group_metrics(predictions: DataFrame, group: str, common: bool = True) -> DataFrame:
+    """Metrics by candidate and group on the rows that all candidates predict (or that each does)."""
     rows = with_errors(predictions)
-    out = rows.groupBy("candidate", group).agg(F.count("*").alias("n_total"), F.count_if(usable()).alias("n_valid"), F.avg("absolute_error").alias("mae"), F.sqrt(F.avg("squared_error")).alias("rmse"), F.avg("residual").alias("bias"))
+    if common:
+        rows = rows.join(common_rows(predictions).withColumn("_common", F.lit(True)), "source_row", "left")
+    use = F.coalesce("_common", F.lit(False)) if common else usable()
+    of = lambda c: F.avg(F.when(use, F.col(c)))
+    out = rows.groupBy("candidate", group).agg(F.count("*").alias("n_total"), F.count_if(use).alias("n_valid"), of("absolute_error").alias("mae"), F.sqrt(of("squared_error")).alias("rmse"), of("residual").alias("bias"))
     return out.select("candidate", group, "n_total", "n_valid", (F.col("n_valid") / F.col("n_total")).alias("coverage"), "mae", "rmse", "bias")
 
 
@@ -80,8 +87,9 @@ def grouping_diagnostics(predictions: DataFrame, provenance: DataFrame) -> DataF
 def residual_summary(predictions: DataFrame) -> DataFrame:
     """Residuals by candidate: mean, population deviation, extremes, absolute percentiles, and rows without data."""
     rows = with_errors(predictions)
-    a = F.col("absolute_error")
-    return rows.groupBy("candidate").agg(F.count("residual").alias("n"), F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("std"), F.min("residual").alias("min"), F.max("residual").alias("max"), *(F.percentile(a, F.lit(p / 100)).alias(f"abs_p{p}") for p in (50, 90, 95, 99)), F.count_if(~usable()).alias("nodata"))
+    out = rows.groupBy("candidate").agg(F.count("residual").alias("n"), F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("std"), F.min("residual").alias("min"), F.max("residual").alias("max"), F.count_if(~usable()).alias("nodata"))
+    ranks = group_quantiles(rows, ["candidate"], "absolute_error", {f"abs_p{p}": p / 100 for p in (50, 90, 95, 99)})
+    return out.join(ranks, "candidate", "left").select("candidate", "n", "mean", "std", "min", "max", *(f"abs_p{p}" for p in (50, 90, 95, 99)), "nodata")
 
 
 def ranking(summary: DataFrame) -> DataFrame:

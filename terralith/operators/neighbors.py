@@ -2,8 +2,9 @@
 
 Points are dealt into square cells whose width follows from their density.  A query first meets the cells around its
 own; if the k-th neighbour found is farther than those cells surely reach, it goes on with twice the ring.  Every round
-is an equi-join on cells, so neither side is broadcast whole and no cross join is made.  Of samples at one and the same
-place only the k with the smallest rows can be neighbours, so a crowded place is cut to k first.
+is an equi-join on cells, so neither side is broadcast whole and no cross join is made.  Where cells are crowded, queries
+begin with finer ones.  Of samples at one and the same place only the k with the smallest rows can be neighbours, so a
+crowded place is cut to k first.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.functions.scalar import affine, distance, is_finite, rotation_2d
+from terralith.functions.scalar import affine, distance, in_space, is_finite, rotation_2d, rotation_3d
+from terralith.operators.shared import checkpointed
 
 EXACT = 1e-12
+CROWDED, FINER, LEVELS = 64, 8.0, 8  # a cell with more than CROWDED * k samples is cut into cells FINER times as narrow
 
 
 def _extent(samples: DataFrame, axes: list[str]) -> tuple[int, list[float], list[float]]:
@@ -40,6 +43,19 @@ def _meet(queries: DataFrame, celled: DataFrame, axes: list[str], width: float,
     return q.join(celled, [f"_c{a}" for a in axes])
 
 
+def _levels(held: DataFrame, axes: list[str], width: float, k: int) -> list[tuple[float, DataFrame]]:
+    """(width, crowded cells) of ever finer cells, as long as some hold more than CROWDED * k samples."""
+    out = []
+    while len(out) < LEVELS:
+        celled = _with_cells(held, axes, width)
+        crowded = celled.groupBy(*(f"_c{a}" for a in axes)).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWDED * k).drop("_n")
+        if not crowded.limit(1).count():
+            break
+        out.append((width, crowded))
+        width /= FINER
+    return out
+
+
 def nearest(queries: DataFrame, samples: DataFrame, k: int, axes: list[str] | None = None, radius: float | None = None) -> DataFrame:
     """(query_id, source_row, value, d, k): the nearest samples, ties by source_row. ``queries``: query_id and axes."""
     axes = axes or ["x", "y"]
@@ -51,34 +67,62 @@ def nearest(queries: DataFrame, samples: DataFrame, k: int, axes: list[str] | No
     spans = [max(b - a, 0.0) for a, b in zip(low, high, strict=True)]
     volume = math.prod(s for s in spans if s > 0) or 1.0
     width = max((volume * k / n) ** (1 / max(1, sum(s > 0 for s in spans))), max(spans) / 1e6, 1e-9)
-    if radius:
-        width = max(width, radius / 8)
-    celled = _with_cells(held, axes, width)
     best = Window.partitionBy("query_id").orderBy("d", "source_row")
-    out, open_, ring = None, queries.select("query_id", *axes), 1 if radius is None else math.ceil(radius / width)
+
+    def meet(open_: DataFrame, width: float, ring: int, within: float | None) -> DataFrame:
+        d = distance([F.col(f"q_{a}") for a in axes], [F.col(a) for a in axes])
+        near = _meet(open_, _with_cells(held, axes, width), axes, width, ring).withColumn("d", d)
+        near = near.where(F.col("d") < within) if within is not None else near
+        return near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).select("query_id", "source_row", "value", "d", "k")
+
+    if radius is not None:
+        width = max(width, radius / 8)
+        return meet(queries.select("query_id", *axes), width, math.ceil(radius / width), radius)
     far = queries.agg(*(F.max(F.greatest(F.abs(F.col(a) - lo), F.abs(F.col(a) - hi))).alias(a) for a, lo, hi in zip(axes, low, high, strict=True))).first()
     most = math.ceil(max((far[a] or 0.0) for a in axes) / width) + 1
-    while True:
-        d = distance([F.col(f"q_{a}") for a in axes], [F.col(a) for a in axes])
-        near = _meet(open_, celled, axes, width, ring).withColumn("d", d)
-        near = near.where(F.col("d") < radius) if radius is not None else near
-        top = near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).select("query_id", "source_row", "value", "d", "k")
-        if radius is not None or ring >= most:
+    # Queries in crowded cells begin in finer ones, where as few samples meet them as elsewhere.
+    rounds = [(width, 1)]
+    while rounds[-1][1] < most:
+        rounds.append((width, min(rounds[-1][1] * 2, most)))
+    levels = _levels(held, axes, width, k)
+    open_ = queries.select("query_id", *axes, F.lit(0).alias("_from"))
+    for i, (w, crowded) in enumerate(levels, 1):
+        cells = [F.floor(F.col(a) / w).cast("long").alias(f"_c{a}") for a in axes]
+        hot = open_.where(F.col("_from") == i - 1).select("query_id", *cells).join(crowded, [f"_c{a}" for a in axes], "left_semi").select("query_id", F.lit(i).alias("_hot"))
+        open_ = open_.join(hot, "query_id", "left").select("query_id", *axes, F.coalesce("_hot", "_from").alias("_from"))
+    rounds = [(width / FINER**i, 1) for i in range(len(levels), 0, -1)] + rounds
+    out, open_ = None, checkpointed(open_) if levels else open_
+    for i, (w, ring) in enumerate(rounds):
+        level = max(0, len(levels) - i)
+        mine = open_.where(F.col("_from") >= level)
+        top = meet(mine, w, ring, None)
+        if i == len(rounds) - 1:
             return top if out is None else out.unionByName(top)
-        top = top.cache()
-        done = top.groupBy("query_id").agg(F.count("*").alias("n"), F.max("d").alias("far")).where((F.col("n") == min(k, n)) & (F.col("far") <= ring * width))
+        top = checkpointed(top)
+        done = top.groupBy("query_id").agg(F.count("*").alias("n"), F.max("d").alias("far")).where((F.col("n") == min(k, n)) & (F.col("far") <= ring * w))
         part = top.join(done.select("query_id"), "query_id", "left_semi")
         out = part if out is None else out.unionByName(part)
-        open_ = open_.join(done.select("query_id"), "query_id", "left_anti").cache()
-        if not open_.count():
+        open_ = checkpointed(open_.join(done.select("query_id"), "query_id", "left_anti"))
+        if not open_.limit(1).count():
             return out
-        ring = min(ring * 2, most)
 
 
-def inverse_distance(queries: DataFrame, samples: DataFrame, k: int = 12, power: float = 2.0, min_neighbors: int = 1, axes: list[str] | None = None, radius: float | None = None) -> DataFrame:
+def inverse_distance(queries: DataFrame, samples: DataFrame, k: int = 12, power: float = 2.0, min_neighbors: int = 1, axes: list[str] | None = None, radius: float | None = None, matrix: list[list[float]] | None = None, near: DataFrame | None = None) -> DataFrame:
     """(query_id, value, n, is_nodata). Too few neighbours: NoData. A sample at the query: its value. Else the mean
-    weighted by 1 / d ** power."""
-    near = nearest(queries, samples, k, axes, radius)
+    weighted by 1 / d ** power. ``matrix``: the space in which distances count (``functions.scalar.space``). ``near``:
+    neighbours from ``sector_neighbors`` (query_id, source_row), weighted by their distances in that space."""
+    axes = axes or ["x", "y"]
+    placed, held = in_space(queries.select("query_id", *axes), axes, matrix), in_space(samples, axes, matrix)
+    if near is None:
+        near = nearest(placed, held, k, axes, radius)
+    else:
+        met = near.select("query_id", "source_row").join(held.select("source_row", *axes, "value"), "source_row").join(placed.select("query_id", *(F.col(a).alias(f"q_{a}") for a in axes)), "query_id")
+        near = met.withColumn("d", distance([F.col(f"q_{a}") for a in axes], [F.col(a) for a in axes]))
+    return weighted(queries, near, power, min_neighbors)
+
+
+def weighted(queries: DataFrame, near: DataFrame, power: float = 2.0, min_neighbors: int = 1) -> DataFrame:
+    """``inverse_distance`` from neighbours (query_id, source_row, value, d) that are known."""
     w = 1 / F.pow("d", F.lit(float(power)))
     at = F.when(F.col("d") <= EXACT, F.struct("d", "source_row", "value"))
     found = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min(at).alias("at"), (F.sum(F.when(F.col("d") > EXACT, w * F.col("value"))) / F.sum(F.when(F.col("d") > EXACT, w))).alias("mean"))
@@ -87,19 +131,23 @@ def inverse_distance(queries: DataFrame, samples: DataFrame, k: int = 12, power:
     return out.select("query_id", value.alias("value"), F.coalesce("n", F.lit(0)).alias("n"), value.isNull().alias("is_nodata"))
 
 
-def sector_neighbors(queries: DataFrame, samples: DataFrame, radii: tuple[float, float], azimuth: float = 0.0, sectors: int = 4, max_per_sector: int = 2, min_neighbors: int = 1, max_neighbors: int = 8, allow_exact: bool = True) -> DataFrame:
-    """(query_id, source_row, value, d, sector, k): neighbours in a rotated ellipse (its edge included), at most
-    ``max_per_sector`` in each sector by (normalised distance, source_row); queries with fewer than ``min_neighbors`` of
-    these have none; then at most ``max_neighbors``."""
+def sector_neighbors(queries: DataFrame, samples: DataFrame, radii: tuple[float, ...], azimuth: float = 0.0, sectors: int = 4, max_per_sector: int = 2, min_neighbors: int = 1, max_neighbors: int = 8, allow_exact: bool = True, dip: float = 0.0, roll: float = 0.0) -> DataFrame:
+    """(query_id, source_row, value, d, sector, k): neighbours in a rotated ellipse or, with three radii, an ellipsoid (its
+    edge included), at most ``max_per_sector`` in each sector by (normalised distance, source_row); queries with fewer than
+    ``min_neighbors`` of these have none; then at most ``max_neighbors``. Sectors go round the query, or round the main axis
+    of an ellipsoid."""
+    axes = ["x", "y", "z"][: len(radii)]
     width = max(radii)
-    near = _meet(queries, _with_cells(samples.select("source_row", "x", "y", "value"), ["x", "y"], width), ["x", "y"], width, 1)
-    offset = [F.col("x") - F.col("q_x"), F.col("y") - F.col("q_y")]
-    u, v = affine(offset, rotation_2d(azimuth))
-    near = near.withColumn("_u", u).withColumn("_v", v)
-    near = near.withColumn("d2", (F.col("_u") / radii[0]) * (F.col("_u") / radii[0]) + (F.col("_v") / radii[1]) * (F.col("_v") / radii[1])).where("d2 <= 1")
+    near = _meet(queries, _with_cells(samples.select("source_row", *axes, "value"), axes, width), axes, width, 1)
+    offset = [F.col(a) - F.col(f"q_{a}") for a in axes]
+    turned = affine(offset, rotation_2d(azimuth) if len(axes) == 2 else rotation_3d(azimuth, dip, roll))
+    near = near.withColumns({f"_l{i}": c for i, c in enumerate(turned)})
+    part = [(F.col(f"_l{i}") / r) * (F.col(f"_l{i}") / r) for i, r in enumerate(radii)]
+    near = near.withColumn("d2", sum(part[1:], part[0])).where("d2 <= 1")
     if not allow_exact:
-        near = near.where(F.sqrt(offset[0] * offset[0] + offset[1] * offset[1]) > EXACT)
-    turn = F.atan2("_v", "_u")
+        near = near.where(F.sqrt(sum((o * o for o in offset[1:]), offset[0] * offset[0])) > EXACT)
+    last = len(axes) - 1
+    turn = F.atan2(f"_l{last}", f"_l{last - 1}")
     wedge = 2 * math.pi / sectors
     sector = F.least(F.lit(sectors - 1), F.floor((turn + F.when(turn < 0, 2 * math.pi).otherwise(0.0)) / wedge)).cast("int")
     near = near.withColumn("d", F.sqrt("d2")).withColumn("sector", sector)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.operators import neighbors
-from terralith.operators.anomalies import _checkpointed
 from terralith.operators.errors import GeoError
-from terralith.operators.grid import INDEX, Axis, nodes, offsets, snap
+from terralith.operators.grid import INDEX, Axis, nodes, offsets, snap, trilinear
+from terralith.operators.shared import checkpointed
 
 
 def smooth(points: DataFrame, axes: list[Axis], sweeps: int = 60, tolerance: float = 1e-3, connectivity: int = 6, written_every: int = 10, k: int = 8) -> tuple[DataFrame, dict]:
@@ -23,7 +23,7 @@ def smooth(points: DataFrame, axes: list[Axis], sweeps: int = 60, tolerance: flo
     every, seen = nodes(spark, axes), snap(points, axes).select(*INDEX, F.col("value").alias("observed"))
     start = neighbors.inverse_distance(every.select(F.col("node_id").alias("query_id"), "x", "y", "z"), points, k, axes=["x", "y", "z"]).select(F.col("query_id").alias("node_id"), F.col("value").alias("start"))
     field = every.join(seen, INDEX, "left").join(start, "node_id").withColumn("value", F.coalesce("observed", "start"))
-    field = _checkpointed(field.select(*INDEX, "x", "y", "z", "observed", "value"))
+    field = checkpointed(field.select(*INDEX, "x", "y", "z", "observed", "value"))
     steps = [(0, 0, 0), *offsets(connectivity)]
     around = F.array(*(F.struct(*((F.col(n) + o).alias(n) for n, o in zip(INDEX, d, strict=True)), F.lit(d == (0, 0, 0)).alias("own")) for d in steps))
     delta, done = float("inf"), 0
@@ -36,6 +36,23 @@ def smooth(points: DataFrame, axes: list[Axis], sweeps: int = 60, tolerance: flo
             got = sent.groupBy(*INDEX).agg(F.avg("value").alias("mean"), F.first("self", ignorenulls=True).alias("self")).where("self is not null")
             field = got.select(*INDEX, "self.x", "self.y", "self.z", "self.observed", F.coalesce("self.observed", "mean", "self.value").alias("value"), "self.was")
             done += 1
-        field = _checkpointed(field)
+        field = checkpointed(field)
         delta = field.agg(F.max(F.abs(F.col("value") - F.col("was")))).first()[0] / written_every
     return field.select(*INDEX, "x", "y", "z", "value", F.col("value").isNull().alias("is_nodata")), {"converged": delta <= tolerance, "sweeps": done, "max_delta": delta}
+
+
+def predict(field: DataFrame, axes: list[Axis], points: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+    """(query_id, value, is_nodata) at any places: the field between its nodes, and what it misses at the samples spread by
+    inverse distance, so samples keep their values. Beyond the samples' bounds, and beside nodes without data: NoData."""
+    at = points.select(F.col("source_row").alias("query_id"), "x", "y", "z")
+    missed = trilinear(field, axes, at).withColumnRenamed("query_id", "source_row").join(points.select("source_row", "x", "y", "z", F.col("value").alias("observed")), "source_row")
+    missed = checkpointed(missed.where("value is not null").withColumn("value", F.col("observed") - F.col("value")).select("source_row", "x", "y", "z", "value"))
+    trend = trilinear(field, axes, queries).withColumnRenamed("value", "trend")
+    rest = neighbors.inverse_distance(queries, missed, k, axes=["x", "y", "z"]).select("query_id", F.col("value").alias("rest"))
+    b = points.agg(*(f(c).alias(f"{c}{n}") for c in ("x", "y", "z") for n, f in ((0, F.min), (1, F.max)))).first()
+    inside = F.lit(True)
+    for c in ("x", "y", "z"):
+        inside = inside & F.col(c).between(b[f"{c}0"], b[f"{c}1"])
+    out = queries.join(trend, "query_id", "left").join(rest, "query_id", "left")
+    value = F.when(inside, F.col("trend") + F.col("rest"))
+    return out.select("query_id", value.alias("value"), value.isNull().alias("is_nodata"))

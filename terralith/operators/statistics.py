@@ -13,6 +13,7 @@ from terralith.functions.quantiles import exact_quantiles
 from terralith.functions.scalar import is_finite, log10_positive
 from terralith.operators.binning import bin_index, edges
 from terralith.operators.errors import GeoError
+from terralith.operators.shared import checkpointed, group_quantiles
 
 LEVELS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -81,7 +82,8 @@ def axis_profile(points: DataFrame, axis: str, bins: int = 32, dimension: str =
         raise GeoError("ANALYSIS_AXIS_UNAVAILABLE", axis=axis, dimension=dimension)
     valid = common_valid(points)
     lo, hi = _bounds(valid, axis)[axis]
-    found = valid.groupBy(bin_index(F.col(axis), lo, hi, bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
+    found = valid.groupBy(bin_index(F.col(axis), lo, hi, bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    found = found.join(group_quantiles(valid.withColumn("bin", bin_index(F.col(axis), lo, hi, bins)), ["bin"], "value", {"median": 0.5}), "bin", "left")
     return edges(points.sparkSession, lo, hi, bins).join(F.broadcast(found), "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median")
 
 
@@ -91,7 +93,8 @@ def axis_trends(points: DataFrame, bins: int = 32, dimension: str = "3d") -> Dat
     axes = axes_of(dimension)
     b = _bounds(valid, *axes)
     rows = valid.select("value", F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), bin_index(F.col(a), *b[a], bins).alias("bin")) for a in axes))).alias("s")).select("value", "s.*")
-    found = rows.groupBy("axis", "bin").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
+    found = rows.groupBy("axis", "bin").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    found = found.join(group_quantiles(rows, ["axis", "bin"], "value", {"median": 0.5}), ["axis", "bin"], "left")
     every = None
     for a in axes:
         part = edges(spark, *b[a], bins).withColumn("axis", F.lit(a))
@@ -101,7 +104,7 @@ def axis_trends(points: DataFrame, bins: int = 32, dimension: str = "3d") -> Dat
 
 def gradient_summary(points: DataFrame, size: int = 16) -> DataFrame:
     """Absolute differences of the means of neighbouring cells (+x and +y); pairs with an empty cell are counted apart."""
-    cells = spatial_cells(points, size).cache()
+    cells = checkpointed(spatial_cells(points, size))
     pairs = None
     for di, dj in ((0, 1), (1, 0)):
         a = cells.select(F.col("iy"), F.col("ix"), F.col("mean").alias("a"))
@@ -131,7 +134,7 @@ def depth_slice_ratios(points: DataFrame, bins: int = 16) -> DataFrame:
 def classed_cells(points: DataFrame, size: int = 32) -> DataFrame:
     """Cells with a class: high and low by the quartiles of the cell means, normal, or empty. Where the quartiles
     meet, every cell with rows is normal."""
-    cells = spatial_cells(points, size).cache()
+    cells = checkpointed(spatial_cells(points, size))
     q = cells.agg(F.percentile("mean", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
     low, high = q or (None, None)
     return cells.withColumn("class", F.when(F.col("mean").isNull(), "empty").when(F.lit(low == high), "normal").when(F.col("mean") >= F.lit(high), "high").when(F.col("mean") <= F.lit(low), "low").otherwise("normal"))

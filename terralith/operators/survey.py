@@ -86,3 +86,65 @@ def line_checks(distances: DataFrame) -> DataFrame:
     w = Window.partitionBy("line_id").orderBy("seq")
     rows = distances.withColumn("_up", F.coalesce(F.col("distance") >= F.lag("distance").over(w), F.lit(True)))
     return rows.groupBy("line_id").agg(F.count("*").alias("points"), F.max("distance").alias("length"), F.bool_and("_up").alias("monotone"))
+
+
+def line_totals(points: DataFrame, files: DataFrame) -> DataFrame:
+    """(line_id, points, source_records, valid, invalid) of the registered points (line_id, point_id); points and lines
+    without a file count 0. ``files``: point_id, source_records, valid."""
+    per = files.groupBy("point_id").agg(F.sum("source_records").alias("s"), F.sum("valid").alias("v"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return points.join(per, "point_id", "left").groupBy("line_id").agg(F.count("*").alias("points"), zero("s").alias("source_records"), zero("v").alias("valid"), (zero("s") - zero("v")).alias("invalid"))
+
+
+def contract_report(expected: dict, files: DataFrame, samples: DataFrame, points: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(check, passed, found): the fifteen checks of an import, all listed; each is one aggregate.
+
+    ``expected``: files, line_points, source_records, valid (by line), invalid, special_point, special_token, nul,
+    excluded. ``files``: file, point_id, source_records, valid, nul. ``samples``: sample_id, file, line_no, point_id,
+    wl_raw, v_raw, v, flags, z. ``points``: line_id, point_id, seq, interval, distance, formal, x, y. ``hashes``: file,
+    before, after.
+    """
+    spark, formal = files.sparkSession, points.where("formal")
+    lines = {r["line_id"]: r for r in line_totals(formal, files).collect()}  # a row for each survey line
+    by_line = lambda c: {k: r[c] for k, r in lines.items()}
+    f = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("nul"), F.lit(0)).alias("nul"), F.count_distinct("point_id").alias("points"), F.count_distinct("file").alias("names")).first()
+    missing = formal.join(files, "point_id", "left_anti").count()
+    unexpected = files.join(formal, "point_id", "left_anti").count()
+    special = F.col("flags").contains("v_msvc_special")
+    traced = special & (F.col("point_id") == expected["special_point"]) & (F.col("v_raw") == expected["special_token"]) & F.col("v").isNull()
+    s = samples.agg(
+        F.count("*").alias("n"), F.count_distinct("sample_id").alias("ids"), F.count_distinct("file", "line_no").alias("places"), F.count_if(special).alias("special"), F.count_if(traced).alias("traced"),
+        F.count_if(F.col("wl_raw").isNull() & F.col("v_raw").isNull()).alias("blank"), F.count_if(F.col("z").isNotNull()).alias("z"),
+    ).first()
+    out = spark.createDataFrame([(p,) for p in expected["excluded"]], "point_id string")
+    leaked = samples.join(out, "point_id", "left_semi").limit(1).count() + formal.join(out, "point_id", "left_semi").limit(1).count()
+    w = Window.partitionBy("line_id").orderBy("seq")
+    walk = formal.withColumn("_first", F.row_number().over(w) == 1).withColumn("_sum", F.sum(F.coalesce("interval", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", F.lag("distance").over(w))
+    off = F.when(F.col("_first"), (F.col("distance") != 0) | F.col("interval").isNotNull()).otherwise((F.abs(F.col("distance") - F.col("_sum")) > 1e-9) | (F.col("distance") <= F.col("_before")))
+    bad_walk = walk.where(F.coalesce(off, F.lit(True))).count()
+    place = points.agg(F.count_if(F.col("formal") & (F.col("x").isNull() | F.col("y").isNull())).alias("no"), F.count_if(~F.col("formal") & (F.col("x").isNotNull() | F.col("y").isNotNull())).alias("odd")).first()
+    h = hashes.agg(F.count("*").alias("n"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed")).first()
+    checks = [
+        ("formal_dat_file_count", f["n"] == expected["files"] and not missing, f["n"]), ("no_unexpected_dat_files", not unexpected, unexpected), ("line_point_counts", by_line("points") == expected["line_points"], sum(by_line("points").values())),
+        ("source_record_counts_per_line", by_line("source_records") == expected["source_records"], sum(by_line("source_records").values())), ("valid_numeric_counts_per_line", by_line("valid") == expected["valid"], sum(by_line("valid").values())),
+        ("invalid_numeric_total", sum(by_line("invalid").values()) == expected["invalid"], sum(by_line("invalid").values())), ("special_nan_traceable", s["special"] == s["traced"] == 1, s["special"]), ("nul_terminators_excluded", f["nul"] == expected["nul"] and not s["blank"], f["nul"]),
+        ("one_dat_per_formal_point", f["points"] == f["names"] == f["n"] == expected["files"], f["points"]), ("source_file_line_unique", s["places"] == s["n"], s["n"] - s["places"]), ("sample_id_unique", s["ids"] == s["n"], s["n"] - s["ids"]),
+        ("excluded_points_not_in_formal_set", not leaked, leaked), ("cumulative_distance_monotonic_traceable", not bad_walk, bad_walk), ("confirmed_local_coordinates", not (place["no"] or place["odd"] or s["z"]), place["no"] + place["odd"]),
+        ("source_sha256_unchanged", not h["changed"] and h["n"] == f["n"], h["changed"]),
+    ]
+    return spark.createDataFrame([(n, bool(p), int(v)) for n, p, v in checks], "check string, passed boolean, found bigint")
+
+
+def golden_gate(filtered: DataFrame, aggregated: DataFrame, expected: dict) -> DataFrame:
+    """(check, passed, found): a derivation against its pinned counts and hashes; all checks are listed, none raises.
+    ``filtered``: rows of ``three_sigma`` with line_id and sample; ``aggregated``: rows of ``aggregate_places``."""
+    from terralith.operators.experiments import rows_fingerprint
+
+    ok = F.col("accepted")
+    s = filtered.agg(F.count_if(ok).alias("a"), F.count_if(~ok).alias("r"), F.count_if(~ok & (F.col("reasons") == "")).alias("unsaid")).first()
+    lines = {r["line_id"]: r["n"] for r in filtered.where(ok).groupBy("line_id").agg(F.count("*").alias("n")).collect()}  # a row for each survey line
+    g = aggregated.agg(F.count("*").alias("n"), F.count_if("is_conflict").alias("groups"), F.coalesce(F.sum(F.when(F.col("is_conflict"), F.col("n"))), F.lit(0)).alias("rows")).first()
+    found = [("accepted_count", s["a"]), ("rejected_count", s["r"]), ("per_line_accepted_counts", lines), ("rejection_reasons", s["unsaid"]), ("conflict_group_count", g["groups"]), ("conflict_row_count", g["rows"]), ("modeling_node_count", g["n"])]
+    found += [(f"{k}_sha256", rows_fingerprint(filtered.where(c).drop("accepted"), ["sample"])) for k, c in (("accepted", ok), ("rejected", ~ok)) if f"{k}_sha256" in expected]
+    want = expected | {"rejection_reasons": 0}
+    return filtered.sparkSession.createDataFrame([(k, v == want.get(k), v if isinstance(v, str) else str(sum(v.values()) if isinstance(v, dict) else v)) for k, v in found], "check string, passed boolean, found string")

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.operators.errors import GeoError
+from terralith.operators.shared import numbered
+
+MOST_GROUPS = 500_000  # that the driver balances one by one: as many as the rows that a stored dataset may have
 
 
 def groups_2d(points: DataFrame, folds: int) -> DataFrame:
@@ -20,15 +23,15 @@ def groups_2d(points: DataFrame, folds: int) -> DataFrame:
 
 
 def groups_3d(points: DataFrame) -> DataFrame:
-    """Whole XY columns, numbered in the order of their rounded x, then y. The columns are numbered on their distinct
-    keys; the rows take the number by a join."""
+    """Whole XY columns, numbered in the order of their rounded x, then y. Both axes are rounded by one tolerance, which
+    follows the wider of the two. The columns are numbered on their distinct keys; the rows take the number by a join."""
     b = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    key = lambda c, lo, hi: F.floor((F.col(c) - lo) / F.lit(max((hi - lo) * 1e-9, 1e-8))).cast("long")
-    keyed = points.withColumn("_kx", key("x", b[0], b[1])).withColumn("_ky", key("y", b[2], b[3]))
-    rows = keyed.select("_kx", "_ky").distinct().groupBy("_kx").agg(F.array_sort(F.collect_list("_ky")).alias("ys"))
-    first = rows.withColumn("_before", F.sum(F.size("ys")).over(Window.orderBy("_kx")) - F.size("ys"))  # a row for each distinct x
-    numbered = first.select("_kx", "_before", F.posexplode("ys").alias("_i", "_ky")).select("_kx", "_ky", (F.col("_before") + F.col("_i")).alias("group_key"))
-    return keyed.join(numbered, ["_kx", "_ky"]).drop("_kx", "_ky")
+    if b[0] is None:
+        return points.withColumn("group_key", F.lit(None).cast("long"))
+    step = F.lit(max(max(b[1] - b[0], b[3] - b[2]) * 1e-9, 1e-8))
+    keyed = points.withColumn("_kx", F.floor((F.col("x") - b[0]) / step)).withColumn("_ky", F.floor((F.col("y") - b[2]) / step))
+    columns = numbered(keyed.select("_kx", "_ky").distinct(), ["_kx", "_ky"], "group_key")
+    return keyed.join(columns, ["_kx", "_ky"]).drop("_kx", "_ky")
 
 
 def assign_folds(groups: list[tuple[int, int]], folds: int, seed: int) -> dict[int, int]:
@@ -45,16 +48,30 @@ def assign_folds(groups: list[tuple[int, int]], folds: int, seed: int) -> dict[i
     return out
 
 
-def fold_table(points: DataFrame, dimension: str, folds: int = 5, seed: int = 42, holdout: float | None = None) -> DataFrame:
-    """(group_key, fold_index): in which fold a group validates. The driver sees one row per spatial group."""
-    grouped = groups_3d(points) if dimension == "3d" else groups_2d(points, folds)
-    counts = [(r["group_key"], r["n"]) for r in grouped.groupBy("group_key").agg(F.count("*").alias("n")).collect()]
+def fold_table(points: DataFrame, dimension: str, folds: int = 5, seed: int = 42, holdout: float | None = None, dealt: bool = False, grouped: DataFrame | None = None) -> DataFrame:
+    """(group_key, fold_index): in which fold a group validates.
+
+    Groups go to the emptiest fold in a seeded order. That is one step after the other on the driver, which sees a row
+    for each group and at most MOST_GROUPS. ``dealt`` is for more: groups are numbered in the order of a seeded hash by
+    all tasks and dealt round the folds (with ``holdout`` the first share of them is held out).
+    """
+    if grouped is None:
+        grouped = groups_3d(points) if dimension == "3d" else groups_2d(points, folds)
+    sizes = grouped.groupBy("group_key").agg(F.count("*").alias("n"))
+    groups = sizes.count()
+    if groups < (folds if holdout is None else 2):
+        raise GeoError("TOO_FEW_GROUPS", groups=groups, folds=folds)
+    if dealt:
+        placed = numbered(sizes.withColumn("_h", F.xxhash64(F.lit(seed), "group_key")), ["_h", "group_key"], "_i")
+        if holdout is None:
+            return placed.select("group_key", (F.col("_i") % folds).cast("int").alias("fold_index"))
+        return placed.where(F.col("_i") < max(1, min(groups - 1, round(groups * holdout)))).select("group_key", F.lit(0).alias("fold_index"))
+    if groups > MOST_GROUPS:
+        raise GeoError("TOO_MANY_GROUPS", groups=groups, most=MOST_GROUPS)
+    counts = sorted((r["group_key"], r["n"]) for r in sizes.collect())
     if holdout is None:
         table = assign_folds(counts, folds, seed)
     else:
-        if len(counts) < 2:
-            raise GeoError("TOO_FEW_GROUPS", groups=len(counts))
-        counts.sort()
         want, have, table = round(sum(n for _, n in counts) * holdout), 0, {}
         for i in np.random.default_rng(seed).permutation(len(counts)).tolist():
             if have >= want or len(table) == len(counts) - 1:
@@ -64,12 +81,17 @@ def fold_table(points: DataFrame, dimension: str, folds: int = 5, seed: int = 42
     return points.sparkSession.createDataFrame(sorted(table.items()), "group_key bigint, fold_index int")
 
 
-def fold_assignments(points: DataFrame, dimension: str, folds: int = 5, seed: int = 42) -> DataFrame:
+def fold_assignments(points: DataFrame, dimension: str, folds: int = 5, seed: int = 42, dealt: bool = False) -> DataFrame:
     """(fold_index, source_row, group_key, role, leakage_detected) for every fold and row."""
     grouped = groups_3d(points) if dimension == "3d" else groups_2d(points, folds)
-    table = fold_table(points, dimension, folds, seed)
-    rows = grouped.select("source_row", "group_key").join(F.broadcast(table), "group_key")
-    every = rows.select("source_row", "group_key", F.col("fold_index").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold_index"))
+    rows = grouped.select("source_row", "group_key").join(fold_table(points, dimension, folds, seed, dealt=dealt, grouped=grouped), "group_key")
+    return with_roles(rows.withColumnRenamed("fold_index", "own"), folds)
+
+
+def with_roles(rows: DataFrame, folds: int) -> DataFrame:
+    """``rows`` (source_row, group_key, own: the fold in which the row validates) as assignments. A group leaks in a fold if
+    some of its rows train there and others validate."""
+    every = rows.select("source_row", "group_key", "own", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold_index"))
     out = every.withColumn("role", F.when(F.col("own") == F.col("fold_index"), "validation").otherwise("training"))
     leaks = out.groupBy("fold_index", "group_key").agg((F.min("role") != F.max("role")).alias("leakage_detected"))
     return out.join(leaks, ["fold_index", "group_key"]).select("fold_index", "source_row", "group_key", "role", "leakage_detected")

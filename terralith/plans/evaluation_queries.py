@@ -120,12 +120,13 @@ ORACLE = {
     "a14_common_rows": f"WITH {PRED} SELECT source_row FROM c",
     "a13_metrics": f"""WITH {PRED}, o AS (SELECT candidate, count(*) AS total, count(*) FILTER (WHERE NOT is_nodata) AS own, count(*) FILTER (WHERE is_nodata) AS nodata FROM p GROUP BY candidate)
         SELECT candidate, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(bias, 6) AS bias, round(own / total, 6) AS coverage, nodata, total - n AS excluded FROM s JOIN o USING (candidate)""",
-    "a15_nine_metrics": f"""WITH {PRED}, m AS (SELECT candidate, median(abs(r)) AS median_ae, avg(abs(r) / abs(observed)) FILTER (WHERE observed <> 0) AS mean_relative, median(abs(r) / abs(observed)) FILTER (WHERE observed <> 0) AS median_relative,
+    "a15_nine_metrics": f"""WITH {PRED}, m AS (SELECT candidate, median(abs(r)) AS median_ae, avg(CASE WHEN observed <> 0 THEN abs(r) / observed WHEN r <> 0 THEN 'inf'::DOUBLE END) AS mean_relative, median(CASE WHEN observed <> 0 THEN abs(r) / observed WHEN r <> 0 THEN 'inf'::DOUBLE END) AS median_relative,
             sqrt(avg(power(log10(predicted) - log10(observed), 2)) FILTER (WHERE predicted > 0 AND observed > 0)) AS log10_rmse, quantile_cont(abs(r), 0.9) AS p90_ae FROM k GROUP BY candidate)
         SELECT candidate, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(bias, 6) AS bias, round(median_ae, 6) AS median_ae, round(mean_relative, 6) AS mean_relative,
                round(median_relative, 6) AS median_relative, round(log10_rmse, 6) AS log10_rmse, round(p90_ae, 6) AS p90_ae FROM s JOIN m USING (candidate)""".replace("power(log10(predicted) - log10(observed), 2)", "CASE WHEN predicted > 0 AND observed > 0 THEN power(log10(CASE WHEN predicted > 0 THEN predicted END) - log10(CASE WHEN observed > 0 THEN observed END), 2) END"),
-    "a17_group_metrics": f"""WITH {PRED} SELECT candidate, line_id, count(*) AS n_total, count(*) FILTER (WHERE NOT is_nodata) AS n_valid, round(count(*) FILTER (WHERE NOT is_nodata) / count(*), 6) AS coverage,
-        round(avg(abs(r)) FILTER (WHERE NOT is_nodata), 6) AS mae, round(sqrt(avg(r * r) FILTER (WHERE NOT is_nodata)), 6) AS rmse, round(avg(r) FILTER (WHERE NOT is_nodata), 6) AS bias FROM e GROUP BY candidate, line_id""",
+    "a17_group_metrics": f"""WITH {PRED}, u AS (SELECT e.*, source_row IN (SELECT source_row FROM c) AS used FROM e)
+        SELECT candidate, line_id, count(*) AS n_total, count(*) FILTER (WHERE used) AS n_valid, round(count(*) FILTER (WHERE used) / count(*), 6) AS coverage,
+        round(avg(abs(r)) FILTER (WHERE used), 6) AS mae, round(sqrt(avg(r * r) FILTER (WHERE used)), 6) AS rmse, round(avg(r) FILTER (WHERE used), 6) AS bias FROM u GROUP BY candidate, line_id""",
     "a18_grouping_diagnostics": f"""WITH {PRED}, u AS (SELECT e.*, source_row IN (SELECT source_row FROM c) AS used FROM e)
         SELECT candidate, line_id, NULL::BIGINT AS point_id, count(*) FILTER (WHERE used) AS n, round(avg(abs(r)) FILTER (WHERE used), 6) AS mae, round(sqrt(avg(r * r) FILTER (WHERE used)), 6) AS rmse, round(avg(r) FILTER (WHERE used), 6) AS bias FROM u GROUP BY candidate, line_id
         UNION ALL SELECT candidate, NULL, point_id, count(*) FILTER (WHERE used), round(avg(abs(r)) FILTER (WHERE used), 6), round(sqrt(avg(r * r) FILTER (WHERE used)), 6), round(avg(r) FILTER (WHERE used), 6) FROM u GROUP BY candidate, point_id""",

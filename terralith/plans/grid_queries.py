@@ -95,7 +95,16 @@ Q = "q AS (SELECT quantile_cont(value, 0.25) AS lo, quantile_cont(value, 0.75) A
 LABELS = f"""WITH RECURSIVE {_grid()}, {Q}, n AS MATERIALIZED (SELECT g.*, ix * 72 + iy * 6 + iz AS id FROM g, q WHERE value >= hi),
     e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
     r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT b AS id, min(a) AS label FROM r GROUP BY b)"""
+# Components of both directions with at least two nodes, ranked.
+RANKED = f"""WITH RECURSIVE {_grid()}, {Q}, n AS MATERIALIZED (SELECT g.*, ix * 72 + iy * 6 + iz AS id, d AS direction, CASE WHEN ix IN (0, 9) THEN 2.5 ELSE 5 END * CASE WHEN iy IN (0, 11) THEN 1 ELSE 2 END * CASE WHEN iz IN (0, 5) THEN 1 ELSE 2 END AS w FROM g, q, (VALUES ('high'), ('low')) t(d) WHERE CASE d WHEN 'high' THEN value >= hi ELSE value <= lo END),
+    e AS MATERIALIZED (SELECT a.direction AS d, a.id AS a, b.id AS b FROM n a JOIN n b ON a.direction = b.direction AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
+    r AS (SELECT direction AS d, id AS a, id AS b FROM n UNION SELECT r.d, r.a, e.b FROM r JOIN e ON r.b = e.a AND r.d = e.d), l AS (SELECT d AS direction, b AS id, min(a) AS label FROM r GROUP BY d, b),
+    s AS (SELECT direction, label, count(*) AS n, sum(w) AS measure, min(value) AS lowest, max(value) AS highest, bool_or(ix IN (0, 9) OR iy IN (0, 11) OR iz IN (0, 5)) AS touches FROM n JOIN l USING (direction, id) GROUP BY direction, label HAVING count(*) >= 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY label) AS id FROM s),
+    o AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY measure DESC, CASE direction WHEN 'high' THEN -highest ELSE lowest END, id)::INT AS rank FROM k),
+    ranked AS (SELECT *, CASE direction WHEN 'low' THEN '低-' ELSE '' END || chr(64 + rank) AS letter FROM o WHERE rank <= 10)"""
 ORACLE = {
+    "g10_ranked_components": f"{RANKED} SELECT direction, rank, letter, (id + CASE direction WHEN 'low' THEN 1000000 ELSE 0 END)::INT AS component_id, n AS support_node_count, round(lowest, 6) AS value_min, round(highest, 6) AS value_max FROM ranked",
     "g01_grid": f"WITH {_grid()} SELECT ix, iy, iz, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, round(value, 6) AS value, is_nodata FROM g",
     "g04_slice": f"WITH {_grid()} SELECT ix, iy, round(value, 6) AS value, is_nodata FROM g WHERE iz = 3",
     "a23_slice_statistics": f"WITH {_grid()}, {Q} SELECT count(*) AS total, count(value) AS valid, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, count(*) FILTER (WHERE value < lo) AS low, count(*) FILTER (WHERE value >= lo AND value < hi) AS normal, count(*) FILTER (WHERE value >= hi) AS high FROM g, q WHERE iz = 3",

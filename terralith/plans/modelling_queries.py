@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terralith.operators import anomalies, grid, interpretation, kriging, learned, metrics, smoothing, survey, validation
-from terralith.plans.grid_queries import event_grid
-from terralith.plans.spatial_queries import targets
+from terralith.functions.scalar import rotation_3d, space
+from terralith.operators import anomalies, grid, interpretation, kriging, learned, metrics, neighbors, result_analysis, smoothing, survey, validation, variogram
+from terralith.plans.grid_queries import LABELS, RANKED, event_grid
+from terralith.plans.spatial_queries import TARGETS, targets
 from terralith.plans.statistics_queries import rounded
-from terralith.sources.points import points_2d
+from terralith.sources.points import SQL_2D, SQL_3D, points_2d, points_3d
 
 MODEL = {"model": "exponential", "nugget": 50.0, "partial_sill": 800.0, "range": 12.0}
 
@@ -17,9 +18,54 @@ def i02(spark, d):
     return rounded(kriging.krige(targets(spark), points_2d(spark, d), MODEL, 12), "value", "variance", digits=4)
 
 
+def i02_two(spark, d):
+    """Two neighbours, whose system has a solution that SQL can write down."""
+    return rounded(kriging.krige(targets(spark), points_2d(spark, d), MODEL, 2, 2), "value", "variance", digits=4)
+
+
+def i02_space(spark, d):
+    """The same in a space that is turned by 30 degrees and in which distances across count twice."""
+    return rounded(kriging.krige(targets(spark), points_2d(spark, d), MODEL, 2, 2, matrix=space({"azimuth": 30.0, "minor_scale": 0.5}, "2d")), "value", "variance", digits=4)
+
+
+def targets_3d(spark):
+    i = F.col("id")
+    return spark.range(120).select(i.alias("query_id"), ((i % 10) * 4.3).alias("x"), ((F.floor(i / 10) % 4) * 3.1 + 0.7).alias("y"), (F.floor(i / 40) * 9.7 + 1.3).alias("z"))
+
+
+def measured_3d(spark, d):
+    return points_3d(spark, d).where("is_numeric_valid")
+
+
+def i01_z(spark, d):
+    return rounded(neighbors.inverse_distance(targets_3d(spark), measured_3d(spark, d), 8, axes=["x", "y", "z"], matrix=space({"z_scale": 2.5}, "3d")), "value", digits=4)
+
+
+def n01_space(spark, d):
+    near = neighbors.sector_neighbors(targets_3d(spark), measured_3d(spark, d), (5.0, 3.0, 4.0), 30.0, 4, 2, 3, 6, dip=20.0, roll=-10.0)
+    return rounded(near, "value", "d")
+
+
+def i01_sectors(spark, d):
+    """Neighbours from sectors, weights by plain distance."""
+    near = neighbors.sector_neighbors(targets_3d(spark), measured_3d(spark, d), (5.0, 3.0, 4.0), 30.0, 4, 2, 3, 6, dip=20.0, roll=-10.0)
+    return rounded(neighbors.inverse_distance(targets_3d(spark), measured_3d(spark, d), axes=["x", "y", "z"], near=near), "value", digits=4)
+
+
+def x01(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    p = s.select(F.col("s_suppkey").alias("source_row"), F.col("s_nationkey").cast("double").alias("x"), (F.col("s_suppkey") % 13).cast("double").alias("y"), F.lit(None).cast("double").alias("z"), F.col("s_acctbal").alias("value"), F.lit(True).alias("is_numeric_valid"))
+    return rounded(variogram.lag_bins(p), "center", "semivariance", digits=4)
+
+
+def g16(spark, d):
+    """The whole analysis of a result, as the rows of its export."""
+    return rounded(result_analysis.as_rows(result_analysis.analyze(event_grid(spark, d), "RHO", "Ω·m")), "value")
+
+
 def i03(spark, d):
     axes = [grid.Axis(0.0, 45.0, 6), grid.Axis(0.0, 22.0, 5), grid.Axis(-10.0, 0.0, 4)]
-    g = event_grid(spark, d).where("not is_nodata and (ix + iy + iz) % 3 = 0").select((F.col("ix") * 72 + F.col("iy") * 6 + F.col("iz")).cast("long").alias("source_row"), "x", "y", "z", "value")
+    g = event_grid(spark, d).where("not is_nodata").select((F.col("ix") * 72 + F.col("iy") * 6 + F.col("iz")).cast("long").alias("source_row"), "x", "y", "z", "value")
     return rounded(smoothing.smooth(g, axes, 20, 1e-3)[0], "value", digits=4)
 
 
@@ -85,11 +131,11 @@ def r01(spark, d):
 
 
 def r02(spark, d):
-    return interpretation.rule_cards(anomalies.ranked_components(event_grid(spark, d), 2, 5), interpretation.resolve_profile("rho", "ohm.m", "3d")).select("direction", "rank", "letter", "meaning")
+    return interpretation.rule_cards(anomalies.ranked_components(event_grid(spark, d), 2, 5), interpretation.resolve_profile("RHO", "Ω·m")).select("direction", "rank", "letter", "title", "meaning", "limitation")
 
 
 QUERIES = {
-    "i02_kriging": i02, "i03_smooth_interpolation": i03, "i04_forest": i04, "i05_kriging_forest": i05, "v07_candidates": v07, "s09_survey_parse": s09, "f06_three_sigma": f06,
+    "i02_kriging": i02, "i02_kriging_two": i02_two, "i02_kriging_anisotropic": i02_space, "i01_inverse_distance_z_scale": i01_z, "n01_sector_ellipsoid": n01_space, "i01_inverse_distance_sectors": i01_sectors, "x01_lag_bins": x01, "g16_result_analysis": g16, "i03_smooth_interpolation": i03, "i04_forest": i04, "i05_kriging_forest": i05, "v07_candidates": v07, "s09_survey_parse": s09, "f06_three_sigma": f06,
     "a21_exact_places": a21, "w05_line_checks": w05, "s12_inventory": s12, "r01_findings": r01, "r02_rule_cards": r02,
 }
 
@@ -98,7 +144,43 @@ LINES = """l AS (SELECT 'L' || (user_id % 9) || '.dat' AS file, event_id + 1 AS
     b AS (SELECT *, min(line_no) OVER (PARTITION BY file) AS header FROM l WHERE trim(text) <> ''), t AS (SELECT file, line_no, regexp_split_to_array(trim(text), '\\s+') AS t FROM b WHERE line_no > header),
     p AS (SELECT file, line_no, try_cast(t[1] AS DOUBLE) AS wl, try_cast(t[2] AS DOUBLE) AS v, concat_ws(';', CASE WHEN len(t) <> 2 THEN 'column_count' END, CASE WHEN len(t) < 2 THEN 'v_empty' WHEN t[2] = '1.#QNAN0' THEN 'v_msvc_special' WHEN t[2] = 'abc' THEN 'v_not_numeric' END) AS flags FROM t),
     g AS (SELECT *, flags = '' AS is_valid FROM p)"""
+
+
+def _two(u: str, v: str) -> str:
+    """Ordinary kriging from two samples in closed form; (u, v) is the space in which distances count."""
+    gamma = lambda h: f"(50 + 800 * (1 - exp(-{h} / 12)))"
+    return f"""WITH {SQL_2D}, {TARGETS}, p AS (SELECT source_row, value, {u} AS u, {v} AS v FROM pts), t AS (SELECT query_id, {u} AS u, {v} AS v FROM q),
+        n AS (SELECT query_id, p.source_row, p.value, p.u, p.v, sqrt(power(p.u - t.u, 2) + power(p.v - t.v, 2)) AS d, row_number() OVER (PARTITION BY query_id ORDER BY sqrt((t.u - p.u) * (t.u - p.u) + (t.v - p.v) * (t.v - p.v)), p.source_row) AS k FROM t CROSS JOIN p),
+        s AS (SELECT a.query_id, a.value AS va, b.value AS vb, {gamma('a.d')} AS ga, {gamma('b.d')} AS gb, {gamma('sqrt(power(a.u - b.u, 2) + power(a.v - b.v, 2))')} AS g FROM n a JOIN n b ON a.query_id = b.query_id AND a.k = 1 AND b.k = 2),
+        w AS (SELECT *, 0.5 + coalesce((ga - gb) / CASE WHEN g <> 50 THEN 50 - g END, 0) / 2 AS w FROM s)
+        SELECT query_id, round(w * va + (1 - w) * vb, 4) AS value, round(w * ga + (1 - w) * gb + (ga + gb - 50 - g) / 2, 4) AS variance, 2::BIGINT AS n, false AS is_nodata FROM w"""
+
+
+TARGETS_3D = "q AS (SELECT i AS query_id, (i % 10) * 4.3::DOUBLE AS x, ((i // 10) % 4) * 3.1::DOUBLE + 0.7::DOUBLE AS y, (i // 40) * 9.7::DOUBLE + 1.3::DOUBLE AS z FROM range(120) t(i))"
+_LOCAL = [" + ".join(f"({m!r}) * o{c}" for m, c in zip(row, "xyz", strict=True)) for row in rotation_3d(30.0, 20.0, -10.0)]
+SECTORS_3D = f"""o AS (SELECT query_id, source_row, value, p.x - q.x AS ox, p.y - q.y AS oy, p.z - q.z AS oz FROM q JOIN pts p ON ok AND abs(p.x - q.x) <= 5 AND abs(p.y - q.y) <= 5 AND abs(p.z - q.z) <= 5),
+    l AS (SELECT *, {_LOCAL[0]} AS u, {_LOCAL[1]} AS v, {_LOCAL[2]} AS w FROM o),
+    e AS (SELECT *, sqrt((u / 5) * (u / 5) + (v / 3) * (v / 3) + (w / 4) * (w / 4)) AS d, least(3, floor((atan2(w, v) + CASE WHEN atan2(w, v) < 0 THEN 2 * pi() ELSE 0 END) / (pi() / 2)))::INT AS sector FROM l WHERE (u / 5) * (u / 5) + (v / 3) * (v / 3) + (w / 4) * (w / 4) <= 1),
+    s AS (SELECT *, row_number() OVER (PARTITION BY query_id, sector ORDER BY d, source_row) AS r FROM e),
+    m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, source_row)::INT AS k, count(*) OVER (PARTITION BY query_id) AS n FROM s WHERE r <= 2),
+    f AS (SELECT * FROM m WHERE n >= 3 AND k <= 6)"""
 ORACLE = {
+    "i02_kriging_two": _two("x", "y"),
+    "i02_kriging_anisotropic": _two("cos(radians(30)) * x + sin(radians(30)) * y", "2 * (-sin(radians(30)) * x + cos(radians(30)) * y)"),
+    "i01_inverse_distance_z_scale": f"""WITH {SQL_3D}, {TARGETS_3D}, n AS (SELECT query_id, source_row, value, sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(2.5 * p.z - 2.5 * q.z, 2)) AS d FROM q CROSS JOIN pts p WHERE ok),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, source_row) AS k FROM n QUALIFY k <= 8)
+        SELECT query_id, round(sum(value / (d * d)) / sum(1 / (d * d)), 4) AS value, count(*) AS n, false AS is_nodata FROM k GROUP BY query_id""",
+    "n01_sector_ellipsoid": f"WITH {SQL_3D}, {TARGETS_3D}, {SECTORS_3D} SELECT query_id, source_row, round(value, 6) AS value, round(d, 6) AS d, sector, k FROM f",
+    "i01_inverse_distance_sectors": f"""WITH {SQL_3D}, {TARGETS_3D}, {SECTORS_3D}, a AS (SELECT query_id, count(*) AS n, sum(value / (ox * ox + oy * oy + oz * oz)) / sum(1 / (ox * ox + oy * oy + oz * oz)) AS value FROM f GROUP BY query_id)
+        SELECT q.query_id, round(value, 4) AS value, coalesce(n, 0) AS n, n IS NULL AS is_nodata FROM q LEFT JOIN a ON q.query_id = a.query_id""",
+    "x01_lag_bins": """WITH p AS (SELECT s_suppkey AS i, s_nationkey::DOUBLE AS x, (s_suppkey % 13)::DOUBLE AS y, s_acctbal AS v FROM supplier), h AS (SELECT sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS h, 0.5 * power(a.v - b.v, 2) AS g FROM p a JOIN p b ON a.i < b.i),
+        w AS (SELECT max(h) / 12 AS w FROM h)
+        SELECT least(11, greatest(0, ceil(h / w) - 1))::INT AS bin, round((any_value(least(11, greatest(0, ceil(h / w) - 1))) + 0.5) * any_value(w), 4) AS center, round(avg(g), 4) AS semivariance, count(*) AS pair_count FROM h, w GROUP BY 1""",
+    "r01_findings": f"""{LABELS}, c AS (SELECT label, count(*) AS n, bool_or(ix IN (0, 9) OR iy IN (0, 11) OR iz IN (0, 5)) AS touches FROM n JOIN l USING (id) GROUP BY label), k AS (SELECT *, row_number() OVER (ORDER BY label) AS id FROM c),
+        b AS (SELECT least(7, floor((z + 10) / 1.25))::BIGINT AS bin, count(*) AS n, count(*) FILTER (WHERE value >= hi) / count(*) AS share FROM g, q WHERE value IS NOT NULL GROUP BY 1)
+        SELECT 'dominant_depth' AS finding, bin AS subject, n FROM (SELECT * FROM b ORDER BY share DESC, bin LIMIT 1) UNION ALL SELECT 'largest_component', id, n FROM (SELECT * FROM k ORDER BY n DESC, id LIMIT 1) UNION ALL SELECT 'boundary_contacts', NULL, count(*) FILTER (WHERE touches) FROM k""",
+    "r02_rule_cards": f"""{RANKED} SELECT direction, rank, letter, CASE direction WHEN 'high' THEN 'High resistivity' ELSE 'Low resistivity' END AS title, CASE direction WHEN 'high' THEN 'often dense or dry rock, or a resistive rock type' ELSE 'often water, fractures, clay or another conductor' END AS meaning,
+        CASE direction WHEN 'high' THEN 'high resistivity alone doesn''t prove sound rock' ELSE 'low resistivity alone doesn''t prove water' END || CASE WHEN touches THEN '; reaches the model''s edge, so it may be larger' ELSE '' END AS limitation FROM ranked WHERE rank <= 3""",
     "s09_survey_parse": f"WITH {LINES} SELECT file, line_no, wl, v, flags, is_valid FROM g",
     "f06_three_sigma": f"""WITH {LINES}, s AS (SELECT avg(wl) AS wm, stddev_samp(wl) AS ws, avg(v) AS vm, stddev_samp(v) AS vs FROM g WHERE is_valid)
         SELECT file, concat_ws(';', CASE WHEN abs(wl - wm) > 2 * ws THEN 'wl_beyond' END, CASE WHEN abs(v - vm) > 2 * vs THEN 'v_beyond' END) AS reasons, count(*) AS n FROM g, s WHERE is_valid GROUP BY ALL""",

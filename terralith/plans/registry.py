@@ -6,9 +6,9 @@ FLAGSHIP = "a12_spatial_anomaly"
 
 
 def _modules():
-    from terralith.plans import evaluation_queries, grid_queries, modelling_queries, spatial_queries, statistics_queries
+    from terralith.plans import catalog_queries, evaluation_queries, grid_queries, modelling_queries, spatial_queries, statistics_queries
 
-    return [statistics_queries, evaluation_queries, spatial_queries, grid_queries, modelling_queries]
+    return [statistics_queries, evaluation_queries, spatial_queries, grid_queries, modelling_queries, catalog_queries]
 
 
 def queries() -> dict:

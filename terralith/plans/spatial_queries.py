@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators import neighbors as N
 from terralith.operators import variogram as X
+from terralith.operators.shared import checkpointed
 from terralith.plans.statistics_queries import rounded
 from terralith.sources.points import SQL_2D, points_2d
 
@@ -64,15 +65,19 @@ def l07(spark, d):
 
 
 def x06(spark, d):
-    bins = X.binned(X.sampled_pairs(points_2d(spark, d), 20_000), 4.0, 12).cache()
+    bins = checkpointed(X.binned(X.sampled_pairs(points_2d(spark, d), 20_000), 4.0, 12))
     rows = [X.fit_bins(bins, m) for m in X.MODELS]
     return spark.createDataFrame(rows).select("model", "nugget", "partial_sill", "sill", "range", "weighted_sse")
 
 
 def x07(spark, d):
-    p = X.sampled_pairs(points_2d(spark, d), 40_000).cache()
-    fits = {a: X.best_fit(X.binned(X.along(p, a, 22.5), 6.0, 10)) for a in (0.0, 45.0, 90.0, 135.0)}
-    return spark.createDataFrame([(s["azimuth"], s["range"], s["secondary_azimuth"], s["ratio"], s["warning"]) for s in X.suggest_anisotropy(fits)], "azimuth double, range double, secondary_azimuth double, ratio double, warning string")
+    pairs, found = checkpointed(X.sampled_pairs(points_2d(spark, d), 40_000)), []
+    for a in (0.0, 45.0, 90.0, 135.0):
+        bins = checkpointed(X.binned(X.along(pairs, a, 22.5), 6.0, 10))
+        found.append({"id": f"az{a:03.0f}", "azimuth": a, "range": X.best_fit(bins)["range"], "bound": X.range_bound(bins), "pairs": X.used_pairs(bins)})
+    cols = ["rank", "major", "azimuth", "range", "secondary", "minor_ratio", "pairs"]
+    rows = [(*(c[k] for k in cols), ";".join(c["warnings"])) for c in X.suggest_anisotropy(found)["candidates"]]
+    return spark.createDataFrame(rows, "rank int, major string, azimuth double, range double, secondary string, minor_ratio double, pairs bigint, warnings string")
 
 
 QUERIES = {

@@ -14,10 +14,10 @@ STANDARD = ["source_row", "x", "y", "z", "value", "is_numeric_valid"]
 MOST_ROWS, MOST_BYTES, PREVIEW = 500_000, 50 * 2**20, 20
 # Names that suggest a role.
 SYNONYMS = {
-    "x": ["x", "easting", "east", "lon", "longitude"],
-    "y": ["y", "northing", "north", "lat", "latitude"],
-    "z": ["z", "depth", "elevation", "elev", "altitude"],
-    "value": ["value", "rho", "vx", "grade", "content"],
+    "x": ["x", "easting", "east", "lon", "longitude", "经度"],
+    "y": ["y", "northing", "north", "lat", "latitude", "纬度"],
+    "z": ["z", "depth", "elevation", "alt", "height", "深度", "高程"],
+    "value": ["value", "rho", "val", "v", "grade", "vx", "属性", "值"],
 }
 
 
@@ -50,6 +50,14 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
     return readers[suffix](spark, path)
 
 
+def check_byte_limit(spark: SparkSession, path: str, most: int = MOST_BYTES) -> None:
+    """The limit of an uploaded source; ``path`` may be in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if size > most:
+        raise GeoError("DATASET_TOO_LARGE", bytes=size, most=most)
+
+
 def check_row_limit(df: DataFrame, most: int = MOST_ROWS) -> None:
     if df.limit(most + 1).count() > most:
         raise GeoError("DATASET_TOO_LARGE", most=most)
@@ -64,7 +72,7 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def role_candidates(columns: list[str]) -> dict[str, str]:
-    lower = {c.lower(): c for c in reversed(columns)}
+    lower = {c.strip().lower(): c for c in columns}
     return {role: next(lower[n] for n in names if n in lower) for role, names in SYNONYMS.items() if any(n in lower for n in names)}
 
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith.functions.quantiles import exact_quantiles
-from terralith.functions.scalar import coerced, column_id
-from terralith.operators import anomalies, grid, kriging, metrics, neighbors, quality, smoothing, statistics, survey, validation, variogram
+from terralith.functions.scalar import coerced, column_id, property_unit
+from terralith.operators import anomalies, grid, interpretation, kriging, metrics, neighbors, quality, shared, smoothing, statistics, survey, validation, variogram
 from terralith.operators.errors import GeoError
 from terralith.sources import points as sources
 
@@ -117,7 +117,7 @@ def test_variogram_fit_recovers_the_model():
         gamma = 2 + 5 * variogram._shape(h, model, 11.0)
         fit = variogram.fit(h, gamma, np.full(15, 100), model)
         assert abs(fit["nugget"] - 2) < 1e-3 and abs(fit["partial_sill"] - 5) < 1e-2 and abs(fit["range"] - 11) < 1e-2
-    assert variogram.apportion({0: 5, 1: 5, 2: 1}, 4) == {0: 2, 1: 2, 2: 0}
+    assert shared.largest_remainders({0: 5, 1: 5, 2: 1}, 4) == {0: 2, 1: 2, 2: 0}
 
 
 def test_components_do_not_join_diagonally(spark):
@@ -164,3 +164,71 @@ def test_entry_without_the_optional_subpackage():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_whole_columns_by_one_tolerance(spark):
+    """Places nearer to each other than 1e-9 of the wider axis are one column."""
+    df = points(spark, [(0, 0, 0, 1.0), (0, 0.5, 1, 2.0), (1e9, 1, 0, 3.0), (5, 0, 0, 4.0)])
+    got = {(r["x"], r["y"]): r["group_key"] for r in validation.groups_3d(df).collect()}
+    assert got == {(0.0, 0.0): 0, (0.0, 0.5): 0, (5.0, 0.0): 1, (1e9, 1.0): 2}
+
+
+def test_folds_dealt_by_all_tasks(spark):
+    df = points(spark, [(x, y, z, 1.0) for x in range(6) for y in range(4) for z in range(5)])
+    plan = validation.fold_assignments(df, "3d", 4, dealt=True)
+    validation.check_assignments(plan)
+    sizes = [r["n"] for r in plan.where("role = 'validation'").groupBy("fold_index").agg(F.count("*").alias("n")).collect()]
+    assert sizes == [30] * 4
+    assert validation.fold_table(df, "3d", holdout=0.25, dealt=True).count() == 6
+    torn = plan.where("role = 'validation'").select("source_row", "group_key", F.when(F.col("source_row") == 1, (F.col("fold_index") + 1) % 4).otherwise(F.col("fold_index")).alias("own"))
+    with pytest.raises(GeoError):
+        validation.check_assignments(validation.with_roles(torn, 4))
+
+
+def test_group_quantiles_match_numpy(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), rng.choice([1.0, rng.random()])) for _ in range(3000)] + [("d", 2.0), ("e", None), (None, 5.0)]
+    out = {r["k"]: (r["low"], r["high"]) for r in shared.group_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"low": 0.13, "high": 0.9}).collect()}
+    for k in ("a", "b", "c"):
+        assert np.allclose(out.pop(k), np.quantile([v for g, v in rows if g == k], [0.13, 0.9]))
+    assert out == {"d": (2.0, 2.0), None: (5.0, 5.0)}
+
+
+def test_relative_errors_keep_the_sign(spark):
+    rows = [("a", 1, -2.0, -1.0, False), ("a", 2, 4.0, 5.0, False), ("a", 3, 0.0, 0.0, False)]
+    df = spark.createDataFrame(rows, "candidate string, source_row bigint, observed double, predicted double, is_nodata boolean")
+    r = metrics.nine_metrics(df).first()
+    assert (r["mean_relative"], r["median_relative"], r["median_ae"]) == (-0.125, -0.125, 1.0)
+    zero = metrics.nine_metrics(df.withColumn("observed", F.lit(0.0))).first()
+    assert zero["mean_relative"] == float("inf") and zero["r2"] is None
+
+
+def test_anisotropy_candidates():
+    one = lambda name, azimuth, reach, dip=None, bound=1000.0: {"id": name, "azimuth": azimuth, "dip": dip, "range": reach, "bound": bound, "pairs": 10}
+    found = variogram.suggest_anisotropy([one("az000", 0.0, 60.0), one("az045", 45.0, 30.0), one("az090", 90.0, 20.0), one("az135", 135.0, None)])
+    best = found["candidates"][0]
+    assert (best["major"], best["secondary"], best["minor_ratio"], best["warnings"], best["pairs"]) == ("az000", "az090", 3.0, [], 20)
+    assert found["skipped"] == ["az135"] and len(found["candidates"]) == 3
+    tie = variogram.suggest_anisotropy([one("a", 0.0, 50.0), one("b", 60.0, 45.0), one("c", 120.0, 44.0)])["candidates"][0]
+    assert tie["secondary"] == "c" and tie["warnings"] == ["weak_range_contrast"]
+    space = variogram.suggest_anisotropy([one("a", 0.0, 50.0, bound=50.0), one("b", 90.0, 10.0), one("v", 0.0, 5.0, 80.0), one("w", 0.0, 4.0, -90.0)], "3d")["candidates"][0]
+    assert (space["vertical"], space["vertical_ratio"], space["warnings"]) == ("w", 12.5, ["range_at_disclosed_upper_bound"])
+    alone = variogram.suggest_anisotropy([one("a", 0.0, 50.0)], "3d")["candidates"][0]
+    assert alone["warnings"] == ["single_supported_direction", "vertical_direction_unsupported"] and alone["minor_ratio"] is None
+    assert variogram.suggest_anisotropy([one("a", 0.0, None)])["warnings"] == ["no_supported_direction"]
+
+
+def test_profiles_and_units(spark):
+    for name, unit, want in (("RHO", "Ω·m", "resistivity"), (" rho ", "ohm_m", "resistivity"), ("rho", "ohm.m", "generic_3d"), ("Vx", "km / s", "microseismic_velocity"), ("vx", "m/s", "generic_3d"), ("CH4_content", "mL/g", "gas_content"), ("ch4", "m3/t", "generic_3d")):
+        assert interpretation.resolve_profile(name, unit) == want
+    rows = [("resistivity", "builtin_preset", "RHO", None), ("resistivity", "upload", "RHO", "ohm*m"), (None, None, "RHO", None)]
+    df = spark.createDataFrame(rows, "case string, kind string, name string, unit string")
+    assert [r[0] for r in df.select(property_unit(F.col("case"), F.col("kind"), F.col("name"), F.col("unit"))).collect()] == ["Ω·m", "ohm*m", None]
+
+
+def test_byte_limit(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("x,y\n" * 100)
+    sources.check_byte_limit(spark, f"file://{tmp_path}/p.csv")
+    with pytest.raises(GeoError):
+        sources.check_byte_limit(spark, f"file://{tmp_path}/p.csv", 100)
+    assert sources.role_candidates(["Easting", "纬度", "ALT", "val"]) == {"x": "Easting", "y": "纬度", "z": "ALT", "value": "val"}
