@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with distance-weighted, calibrated votes.
 
 1. A bounded sample of the labelled rows, ``MOST_EXAMPLES`` of each class in the order of a hash, is the classifier's
-   memory; near copies in it (equal least hashes of long words) count as one.  All beginnings of words (``SIZES``
-   letters) and all shorter and longer words as a whole that are significantly (chi-squared) and several times commoner
-   in its toxic texts are the terms.  Beginnings, since languages compound and inflect.
+   memory; near copies in it count as one (candidates by equal least hashes of long words, verified by the shares of
+   words that they have in common).  All beginnings of words (``SIZES`` letters) and all shorter and longer words as a
+   whole that are significantly (chi-squared) and several times commoner in its toxic texts are the terms.  Beginnings,
+   since languages compound and inflect.
 2. One pass over all whole texts counts their terms; document frequencies come from all texts.
 3. The examples' vectors go into an inverted index with block maxima: examples lie in blocks of like ones, each term has
    its largest weight per block, and a query opens blocks from the highest bound down until no bound reaches its k-th
@@ -29,7 +30,8 @@ from terralith.llm.common import saved
 MOST_EXAMPLES = 4096  # of each class
 SIZES = range(4, 10)
 LEAST_CHI2, LEAST_LIFT = 24.0, 3.0
-LONG = 7  # letters of the words by which copies are told
+LONG = 7  # letters of the words by which copies are looked for
+COPY = 0.5  # of two texts' words in common: copies
 NEIGHBOURS = 15
 EASE = 0.1
 PRIOR = 0.5  # weight of the base rate among the votes
@@ -115,6 +117,7 @@ class BlockMaxIndex:
     """Exact nearest examples by cosine. ``vectors``: unit rows (or rows of zeros), an array or ``Rows``."""
 
     def __init__(self, vectors: np.ndarray | Rows, labels: np.ndarray, names: np.ndarray, share: np.ndarray) -> None:
+        self.neighbours = NEIGHBOURS
         given = vectors if isinstance(vectors, Rows) else sparse(vectors)
         parts = [given.part(i) for i in range(len(given))]
         heaviest = np.array([at[np.argmax(x)] if len(at) else 0 for at, x in parts])
@@ -132,8 +135,8 @@ class BlockMaxIndex:
         self.most.start, self.most.terms, self.most.values = edge, block.astype(np.int32), most
 
     def nearest(self, query: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the ``k`` nearest with a cosine over 0. Among equal cosines those stay that come first in
-        the order of their blocks' bounds; blocks are opened one, two, four, ... at a time."""
+        """Rows and cosines of the ``k`` nearest with a cosine over 0, the row ``without`` left out. Among equal cosines
+        those stay that come first in the order of their blocks' bounds; blocks are opened one, two, four, ... at a time."""
         terms = np.flatnonzero(query)
         bound = np.zeros(self.most.width)
         for t in terms.tolist():
@@ -154,9 +157,9 @@ class BlockMaxIndex:
         return rows, near
 
     def vote(self, query: np.ndarray, base: float, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, near = self.nearest(query, NEIGHBOURS, without)
+        rows, near = self.nearest(query, self.neighbours, without)
         w = self.share[rows] / (1 - np.minimum(near, 1) + EASE)
-        return float((w @ self.labels[rows] + PRIOR * base) / (w.sum() + PRIOR)), rows, near
+        return round(float((w @ self.labels[rows] + PRIOR * base) / (w.sum() + PRIOR)), 9), rows, near  # equal votes stay equal
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +180,17 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([copy_key(t.as_py()) for t in batch.column(2)], pa.string())], names=[*batch.schema.names, "copy"])
 
 
+def _without_copies(group: pa.Table) -> pa.Table:
+    """The rows, in the order of their ids, that share less than COPY of their words with every row kept before."""
+    group = group.sort_by("id")
+    kept: list[tuple[int, set[str]]] = []
+    for i, t in enumerate(group.column("text").to_pylist()):
+        words = set(_WORD.findall((t or "").lower()))
+        if not any(len(words & w) >= COPY * len(words | w) for _, w in kept):
+            kept.append((i, words))
+    return group.take([i for i, _ in kept])
+
+
 def _beginning_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         every, toxic = Counter(), Counter()
@@ -207,7 +221,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     ``labels`` has ``id_col`` and ``label_col`` (0 or 1); only those for which ``train`` holds are learnt from; labels of
     one id that differ count as 1. Null and empty texts, and texts without a telling term, get the rate of toxic texts
     among such examples. Without any label of a class the score is 0. Repeated rows get equal scores, an empty table an
-    empty result; other columns aren't read. ``with_hash`` adds ``text_hash``, which tells rows of one id apart.
+    empty result; other columns aren't read. Of several texts of a labelled id, the one with the least hash is the
+    example. ``with_hash`` adds ``text_hash``, which tells rows of one id apart.
     """
     spark = df.sparkSession
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train)
@@ -215,14 +230,13 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     share = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     of = lambda y: usable.where(F.col("toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(MOST_EXAMPLES)
     chosen = saved(of(1).unionByName(of(0)).select(F.col(id_col).alias("id"), "toxic"))
-    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     kind = df.schema[id_col].dataType.simpleString()
-    sample = rows.join(F.broadcast(chosen), "id").select("id", "toxic", "text")  # at most 2 * MOST_EXAMPLES rows of two numbers
-    sample = sample.mapInArrow(_keyed, f"id {kind}, toxic bigint, text string, copy string").groupBy("toxic", F.coalesce("copy", F.concat(F.lit("id "), F.col("id").cast("string")))).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
-    sample = saved(sample.select("id", "toxic", "text"))
-    chosen = saved(sample.select("id", "toxic").distinct())
-    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("text_hash", "toxic", "text")).alias("s"))  # at most 2 * MOST_EXAMPLES rows
+    sample = sample.select("id", "s.toxic", "s.text", "s.text_hash").mapInArrow(_keyed, f"id {kind}, toxic bigint, text string, text_hash bigint, copy string")
+    keyed = sample.withColumn("copy", F.coalesce("copy", F.concat(F.lit("id "), F.col("id").cast("string"))))
+    sample = saved(keyed.groupBy("toxic", "copy").applyInArrow(_without_copies, keyed.schema).drop("copy"))
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     terms = _telling_terms(sample, n.get(1, 0), n.get(0, 0)) if n.get(1) and n.get(0) else []
 
     extra = ["text_hash"] if with_hash else []
@@ -233,10 +247,9 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         for batch in batches:
             found = [terms_of(t.as_py()) for t in batch.column(1)]
             lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], lists), pa.array([[n for _, n in f] for f in found], lists), *batch.columns[2:]], names=["id", "terms", "tf", *extra])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], lists), pa.array([[n for _, n in f] for f in found], lists), batch.column(2)], names=["id", "terms", "tf", "text_hash"])
 
-    given = rows.withColumn("text_hash", F.xxhash64("text")) if with_hash else rows
-    counted = saved(given.mapInArrow(count, f"id {kind}, terms array<int>, tf array<int>{hashed}"))
+    counted = saved(rows.mapInArrow(count, f"id {kind}, terms array<int>, tf array<int>, text_hash bigint"))
     total = counted.count()
     frequency = np.zeros(len(terms))
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # a row per term
@@ -252,7 +265,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         v[np.array(at, np.int64)] = weights(at, tf)
         return v
 
-    held = counted.join(F.broadcast(chosen), "id").select("id", "toxic", "terms", "tf").dropDuplicates(["id"]).collect()  # at most 2 * MOST_EXAMPLES
+    known = sample.select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "toxic")  # at most 2 * MOST_EXAMPLES rows without texts
+    held = counted.join(F.broadcast(known), F.col("id").eqNullSafe(F.col("own")) & F.col("text_hash").eqNullSafe(F.col("own_hash"))).select("id", "toxic", "terms", "tf").dropDuplicates(["id"]).collect()  # copies of a row are equal
     held.sort(key=lambda r: r["id"])
     vectors = Rows([(np.array(r["terms"], np.int32), weights(r["terms"], r["tf"])) for r in held], len(idf))
     y = np.array([r["toxic"] for r in held], float)
@@ -283,4 +297,5 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             score = np.clip(np.array(out, float), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= CUT).astype(np.int32)), pa.array(evidence, pa.string()), *batch.columns[3:]], names=["id", "score", "predicted", "evidence", *extra])
 
-    return counted.mapInArrow(score, f"id {kind}, score double, predicted int, evidence string{hashed}").withColumnRenamed("id", id_col)
+    given = counted if with_hash else counted.drop("text_hash")
+    return given.mapInArrow(score, f"id {kind}, score double, predicted int, evidence string{hashed}").withColumnRenamed("id", id_col)
