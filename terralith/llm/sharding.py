@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from terralith.llm.common import saved
 
 DIGITS = 3
-KEY_DIGITS = 33  # 32 of the two hashes, then those that tell repeated rows apart
+KEY_DIGITS = 48  # 16 each of the text's hash, the id's and the row number, which tells repeated rows apart
 
 
 def splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[str]:
@@ -44,7 +44,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[str]:
                     below += r["size"]
                     continue
                 before, after = target - below, below + r["size"] - target
-                if min(before, after) <= slack or r["n"] == 1 or digits >= KEY_DIGITS + 12:
+                if min(before, after) <= slack or r["n"] == 1 or digits >= KEY_DIGITS:
                     settled[k] = r["cell"] if before <= after else r["cell"] + "g"  # g sorts behind every digit
                 else:
                     deeper[k] = (below, r["cell"])
