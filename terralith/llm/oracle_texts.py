@@ -78,3 +78,34 @@ def op7(masks, span: int, stretch: int, equal: int) -> str:
         most AS (SELECT doc_id, item_id, {size} AS size, list_max(list_transform(range(1, len(e) - {size} + 2), lambda k: list_sum(e[k : k + {size} - 1]))) AS equal FROM same)
     SELECT doc_id, item_id, max(equal)::INT AS equal FROM most WHERE equal * 100 >= size * {equal} GROUP BY doc_id, item_id
 """
+
+
+def op9(templates: list[tuple[str, str]], threshold: float) -> str:
+    """Every line and every whole text is held against every template; licences are looked up directory by directory."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
+    terms = lambda c: rf"regexp_extract_all(translate({c}, '{UPPER}', '{LOWER}'), '[\p{{L}}\p{{N}}]+')"
+    parent = lambda c: f"CASE WHEN contains({c}, '/') THEN regexp_replace({c}, '/[^/]*$', '') ELSE '' END"
+    return f"""
+    WITH template(i, name, text) AS (VALUES {values}),
+        tt AS MATERIALIZED (SELECT i, name, term, count(*) AS n FROM (SELECT i, name, unnest({terms("text")}) AS term FROM template) GROUP BY ALL),
+        d AS MATERIALIZED (SELECT doc_id, text, concat_ws('/', source, lang, doc_id) AS path FROM documents),
+        total AS (SELECT count(*) AS n FROM d),
+        found AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({terms("coalesce(text, '')")}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+        idf AS MATERIALIZED (SELECT v.term, ln((1 + total.n) / (1 + coalesce(found.n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN total LEFT JOIN found ON v.term = found.term),
+        entry AS (SELECT i, name, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY i)) AS w FROM tt JOIN idf USING (term)),
+        unit AS (SELECT doc_id, 0 AS kind, text AS unit FROM d WHERE text IS NOT NULL UNION SELECT doc_id, 1, unnest(string_split(text, chr(10))) FROM d WHERE text IS NOT NULL),
+        tf AS (SELECT doc_id, kind, unit, term, count(*) AS tf FROM (SELECT doc_id, kind, unit, unnest({terms("unit")}) AS term FROM unit) GROUP BY ALL),
+        x AS MATERIALIZED (SELECT doc_id, kind, md5(unit) AS unit, term, idf.term IS NOT NULL AS known, tf * coalesce(idf, (SELECT ln(1 + n) + 1 FROM total)) AS x FROM tf LEFT JOIN idf USING (term)),
+        norm AS (SELECT doc_id, kind, unit, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL HAVING bool_or(known)),
+        dot AS (SELECT doc_id, kind, unit, i, name, sum(x * w) AS dot FROM x JOIN entry USING (term) GROUP BY ALL),
+        score AS (SELECT doc_id, kind, name, round(dot / norm, 9) AS score FROM dot JOIN norm USING (doc_id, kind, unit) WHERE dot / norm >= {threshold}),
+        line AS (SELECT doc_id, name FROM score QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, kind, name) = 1),
+        file AS (SELECT doc_id, name FROM score WHERE kind = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) = 1),
+        own AS (SELECT line.doc_id, coalesce(file.name, line.name) AS license, best.score, file.name AS whole FROM line LEFT JOIN file USING (doc_id) JOIN (SELECT doc_id, max(score) AS score FROM score GROUP BY doc_id) best USING (doc_id)),
+        folder AS (SELECT {parent("path")} AS dir, min(whole) AS license FROM own JOIN d USING (doc_id) WHERE whole IS NOT NULL GROUP BY 1),
+        above AS (SELECT d.doc_id, f.dir, f.license, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(f.dir) DESC) AS k FROM d JOIN folder f ON f.dir = '' OR {parent("d.path")} = f.dir OR starts_with({parent("d.path")}, f.dir || '/'))
+    SELECT d.doc_id, d.path, coalesce(own.license, above.license) AS license, own.score,
+           CASE WHEN own.whole IS NOT NULL THEN 'file' WHEN own.license IS NOT NULL THEN 'header' WHEN above.license IS NOT NULL THEN 'inherited' END AS found_in, CASE WHEN own.license IS NULL THEN above.dir END AS license_dir
+    FROM d LEFT JOIN own ON d.doc_id = own.doc_id LEFT JOIN above ON d.doc_id = above.doc_id AND above.k = 1
+"""
