@@ -192,6 +192,55 @@ def test_toxicity_finds_held_out_documents(spark):
     assert held and all(out[i]["predicted"] == (i % 5 == 0 and i > 1) for i in held)
 
 
+def test_toxicity_scores_match_brute_force(spark, monkeypatch):
+    """Every text's score from all cosines, worked out one by one; all examples with a common term vote."""
+    monkeypatch.setattr(toxicity, "NEIGHBOURS", 10_000)
+    rng = random.Random(3)
+    rows, labels = [doc(0, None), doc(1, "")], []
+    for i in range(2, 260):
+        words = sentence(rng, 30).split() + [rng.choice(TOXIC) for _ in range(rng.randrange(1, 4) if i % 5 == 0 else i % 31 == 0)]
+        rows.append(doc(i, " ".join(words)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    rows += [doc(300, rows[10][1]), doc(301, " ".join([rows[10][1]] * 2000))]
+    labels += [(300, 1, 1)]
+    seen = []
+    telling = toxicity._telling_terms
+    monkeypatch.setattr(toxicity, "_telling_terms", lambda *a: seen.append(telling(*a)) or seen[-1])
+    train = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(frame(spark, rows), lab, "doc_id", "text", "toxic", ~toxicity.held_out(F.col("doc_id"))).collect()}
+    terms, text = seen[0], {r[0]: r[1] for r in rows}
+    found = {i: dict(toxicity.counter(terms)(t)) for i, t in text.items()}
+    idf = [np.log((1 + len(rows)) / (1 + sum(k in f for f in found.values()))) + 1 for k in range(len(terms))]
+
+    def unit(i):
+        v = np.zeros(len(terms))
+        for k, n in found[i].items():
+            v[k] = (1 + np.log(n)) * idf[k]
+        return v / (np.sqrt(v @ v) or 1)
+
+    examples = {i: y for i, _, y in labels if train(i)}
+    vectors = {i: unit(i) for i in text}
+    base = sum(examples.values()) / len(examples)
+
+    def vote(i, without=None):
+        top, total = toxicity.PRIOR * base, toxicity.PRIOR
+        for e, y in examples.items():
+            c = float(vectors[i] @ vectors[e])
+            if c > 0 and e != without:
+                w = 1 / (1 - min(c, 1) + toxicity.EASE)
+                top, total = top + w * y, total + w
+        return top / total
+
+    loud = [e for e in examples if found[e]]
+    ends, levels = toxicity.monotone(np.array([round(vote(e, e), 9) for e in loud]), np.array([examples[e] for e in loud], float), np.ones(len(loud)))
+    silent = [examples[e] for e in examples if not found[e]]
+    assert len(terms) >= 3 and 0 < len(silent) < len(examples)
+    for i in text:
+        want = levels[min(int(np.searchsorted(ends, round(vote(i), 9))), len(levels) - 1)] if found[i] else sum(silent) / len(silent)
+        assert abs(out[i] - want) < 1e-6, i
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     rows = toxicity.score_toxicity(frame(spark, [doc(1, "x"), doc(None, None)]), none, "doc_id", "text", "toxic", F.lit(True)).collect()
@@ -380,6 +429,57 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame(spark, []), "doc_id", "text", path).count() == 0
 
 
+def brute_licenses(rows, threshold):
+    """(license, score, found_in) from cosines worked out term by term; no inheritance."""
+    import math
+    import re
+
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    vocabulary = {w for _, t in license_scan.TEMPLATES for w in words(t)}
+    n = len(rows)
+    df = {w: sum(w in set(words(t or "")) for _, t in rows) for w in vocabulary}
+    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1 if w in df else math.log(1 + n) + 1
+
+    def vector(text):
+        w = words(text)
+        return {x: w.count(x) * idf(x) for x in set(w)}
+
+    templates = [(name, vector(t)) for name, t in license_scan.TEMPLATES]
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = {}
+    for i, text in rows:
+        found = []
+        for kind, unit in [] if text is None else [(0, text), *((1, x) for x in set(text.split("\n")))]:
+            v = vector(unit)
+            for name, t in templates:
+                c = sum(x * t[w] for w, x in v.items() if w in t) / (length(v) * length(t)) if v else 0
+                if c >= threshold:
+                    found.append((-round(c, 9), kind, name))
+        whole = sorted((c, name) for c, kind, name in found if kind == 0)
+        best = min(found, default=None)
+        out[i] = (whole[0][1] if whole else best[2], -best[0], "file" if whole else "header") if best else (None, None, None)
+    return out
+
+
+def test_licenses_match_brute_force(spark):
+    """Whole licence texts (a BSD file holds the other's first sentence), headers in long texts, parts of licences."""
+    rng = random.Random(17)
+    body = {n: t for n, t in license_scan.TEMPLATES if len(t) > 500}
+    rows = [(i, t) for i, t in enumerate(body.values())]
+    rows += [(20 + i, "Copyright (c) 2020 Somebody\n\n" + t) for i, t in enumerate(body.values())]
+    rows += [(40 + i, sentence(rng, 300) + "\n# " + t + "\n" + sentence(rng, 3000)) for i, (_, t) in enumerate(license_scan.TEMPLATES[:18])]
+    rows += [(60 + i, " ".join(t.split()[: 5 + 9 * i])) for i, t in enumerate(body.values())] + [(80 + i, sentence(rng, 50)) for i in range(60)] + [(200, None), (201, ""), (202, "\n\n")]
+    out = license_scan.scan_licenses(frame(spark, [doc(i, t, str(i)) for i, t in rows]), "doc_id", "text", F.col("source")).collect()
+    want = brute_licenses(rows, license_scan.THRESHOLD)
+    assert [want[20 + i][0] for i in range(len(body))] == list(body) and "BSD-3-Clause" in body
+    for r in out:
+        license, score, found_in = want[r["doc_id"]]
+        if license:
+            assert (r["license"], r["found_in"]) == (license, found_in) and abs(r["score"] - score) < 1e-8, r
+        else:
+            assert r["score"] is None and r["found_in"] in (None, "inherited")
+
+
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("terralith.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -107,3 +108,28 @@ def test_rows_of_one_id_are_told_apart(spark, tmp_path):
     assert left == {(i, t) for i, t in rows if "grumblefool" not in t}
     kept = {(r["doc_id"], r["text"]) for r in stage["ngram_jaccard_join"](spark, docs, str(tmp_path)).collect()}
     assert kept == set(rows) - {(7, texts[1])}
+
+
+def test_stages_of_nothing_and_of_clashing_names(spark, tmp_path):
+    """Empty tables, null ids and texts, very long texts, and further columns with the names that operators use."""
+    rng = random.Random(15)
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = words(rng, 30)
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = lines(words(rng, 60_000))
+    rows = [(i, " ".join([*words(rng, 30), *(["grumblefool"] if i % 6 == 0 else [])])) for i in range(60)]
+    rows += [(70, None), (71, ""), (None, "no id here at all"), (None, None), (72, long), (73, long), (74, long + "\n" + " ".join(item))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
+    extra = ["_id", "_hash", "hash", "id", "key", "node", "_n_lines", "_n_removed", "item_id", "predicted", "_leak_id", "window"]
+    docs = docs.withColumns({c: F.lit("x") for c in extra})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == "best_fit_packing":
+            assert {r["doc_id"] for r in got} == {i for i, _ in rows} and sum(r["doc_id"] is None for r in got) == 2
+            continue
+        assert out.columns == docs.columns and all(r[c] == "x" for r in got for c in extra)
+        kept = [r["doc_id"] for r in got]
+        gone = {"toxicity": set(range(0, 60, 6)), "line_dedup": {73}, "ngram_jaccard_join": {73, 74}, "decontamination": {74}}[name]
+        assert sorted(map(str, kept)) == sorted(str(i) for i, _ in rows if i not in gone), name
