@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators import kriging, validation
 from terralith.operators.errors import GeoError
+from terralith.operators.shared import checkpointed
 
 LEAST_RESIDUALS, LEAST_COVERAGE = 30, 0.8
 
@@ -37,8 +41,8 @@ def fit_scale(points: DataFrame, axes: list[str]) -> dict[str, tuple[float, floa
 class Forest:
     """Mean and spread (population deviation) of the trees' predictions."""
 
-    def __init__(self, trees: int = 20, depth: int = 10, leaf: int = 2, seed: int = 7) -> None:
-        self.settings = dict(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="0.8", seed=seed)
+    def __init__(self, trees: int = 160, depth: int = 18, leaf: int = 2, seed: int = 7) -> None:
+        self.settings = dict(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="0.8", maxMemoryInMB=1024, seed=seed)
 
     def fit(self, points: DataFrame, axes: list[str], value: str = "value") -> Forest:
         self.axes, self.scale = axes, fit_scale(points, axes)
@@ -56,6 +60,25 @@ class Forest:
         return rows.select("query_id", "value", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, b: a + (b - F.col("value")) * (b - F.col("value"))) / n).alias("spread"))
 
 
+def cross_validate(points: DataFrame, assignments: DataFrame, axes: list[str], trees: int = 80, depth: int = 18, leaf: int = 2, seed: int = 7) -> DataFrame:
+    """Out-of-fold predictions (candidate, fold_index, source_row, observed, predicted, is_nodata) of forests. The folds, a
+    configured handful, are fitted side by side."""
+    folds = [r["fold_index"] for r in assignments.select("fold_index").distinct().orderBy("fold_index").collect()]
+    rows = checkpointed(points.select("source_row", *axes, "value").join(assignments.select("fold_index", "source_row", "role"), "source_row"))
+
+    def one(f: int) -> DataFrame:
+        mine = rows.where(F.col("fold_index") == f)
+        held = mine.where("role = 'validation'")
+        forest = Forest(trees, depth, leaf, seed).fit(mine.where("role = 'training'"), axes)
+        found = forest.predict(held.select(F.col("source_row").alias("query_id"), *axes)).withColumnRenamed("value", "predicted")
+        met = held.join(found, F.col("source_row") == F.col("query_id"))
+        return met.select(F.lit("forest").alias("candidate"), "fold_index", "source_row", F.col("value").alias("observed"), "predicted", F.lit(False).alias("is_nodata"))
+
+    with ThreadPoolExecutor(len(folds)) as pool:
+        parts = list(pool.map(one, folds))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def kriging_with_forest(points: DataFrame, queries: DataFrame, model: dict, axes: list[str], folds: int = 3, k: int = 12, forest: Forest | None = None) -> DataFrame:
     """(query_id, baseline, correction, value, is_nodata): kriging from all samples and a forest's estimate of the
     residuals that kriging leaves in inner spatial folds. Either missing: NoData."""
