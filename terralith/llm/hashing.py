@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _random = np.random.RandomState(20240229)
 _VALUE = _random.randint(0, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = (_random.randint(0, 2**63 - 1, 64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_LONGEST = 1 << 22
+_LONGEST = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -8,7 +8,6 @@ is a word of its own, since the tokenizer separates it there as well.
 
 from __future__ import annotations
 
-import json
 import re
 
 import numpy as np
@@ -23,7 +22,7 @@ _LETTER[97:123] = True
 _LETTER[65:91] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[list(b".,;:!?")] = True
-MEMORY = 400_000  # words
+MEMORY = 200_000  # words
 
 
 class WordCoder:
@@ -34,8 +33,7 @@ class WordCoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        added = json.loads(self.whole.to_str())["added_tokens"]
-        self.special = {t["content"].encode(): np.array([t["id"]], np.uint32).tobytes() for t in added}
+        self.special = {t.content.encode(): np.array([i], np.uint32).tobytes() for i, t in self.whole.get_added_tokens_decoder().items()}
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
