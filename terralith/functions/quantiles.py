@@ -6,7 +6,9 @@ rank, until a cell is small enough to be listed.  The driver sees a bounded numb
 
 from __future__ import annotations
 
+import bisect
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,24 +29,31 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float
     if n <= LISTED:
         values = sorted(r[0] for r in v.collect())
         found, open_ = {k: values[k] for k in wanted}, []
+    found |= {k: a for a, b, _, ranks in open_ if a == b for k in ranks}
+    open_ = [o for o in open_ if o[0] != o[1]]
     while open_:
-        listed, wider = [], []
-        for a, b, below, ranks in open_:
-            if a == b:
-                found |= dict.fromkeys(ranks, a)
-                continue
-            step = (b - a) / CELLS
-            inside = v.where((F.col("v") >= a) & (F.col("v") <= b))
-            cell = F.least(F.lit(CELLS - 1), F.floor((F.col("v") - a) / step)) if step > 0 else F.lit(0)
-            rows = sorted(inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-            for r in rows:
+        # One pass over all open stretches (they don't overlap), then one that lists the cells that are small enough.
+        listed, wider, x = [], [], F.col("v")
+        chosen = lambda make: F.coalesce(*(F.when((x >= a) & (x <= b), make(i, a, b)) for i, (a, b, *_) in enumerate(open_)))  # noqa: B023, E731
+        cell = lambda i, a, b: F.least(F.lit(CELLS - 1), F.floor((x - a) / ((b - a) / CELLS))) if (b - a) / CELLS > 0 else F.lit(0)  # noqa: B023, E731
+        counted = v.select("v", chosen(lambda i, a, b: F.lit(i)).alias("s"), chosen(cell).alias("c")).where("s is not null")
+        cells: dict[int, list] = {}
+        for r in sorted(counted.groupBy("s", "c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
+            cells.setdefault(r["s"], []).append(r)
+        for i, (_, _, below, ranks) in enumerate(open_):
+            for r in cells[i]:
                 mine = [k for k in ranks if below <= k < below + r["n"]]
-                if mine:
+                if mine and r["lo"] == r["hi"]:
+                    found |= dict.fromkeys(mine, r["lo"])
+                elif mine:
                     (listed if r["n"] <= LISTED else wider).append((r["lo"], r["hi"], below, mine))
                 below += r["n"]
-        for a, b, below, ranks in listed:
-            values = sorted(x[0] for x in v.where((F.col("v") >= a) & (F.col("v") <= b)).collect())
-            found |= {k: values[k - below] for k in ranks}
+        if listed:
+            inside = [(x >= a) & (x <= b) for a, b, *_ in listed]
+            values = sorted(r[0] for r in v.where(reduce(lambda p, q: p | q, inside)).collect())  # LISTED values for each rank at most
+            for a, _, below, ranks in listed:
+                at = bisect.bisect_left(values, a)
+                found |= {k: values[at + k - below] for k in ranks}
         open_ = wider
     out = []
     for p in probs:
