@@ -115,6 +115,44 @@ def test_signatures_of_linked_sets_meet():
             assert any(jaccard_join.fits(one(len(a)), one(len(b)), one(places[0][k]), one(places[1][k]), 80)[0] for k in met), n
 
 
+def test_jaccard_of_many_near_copies(spark):
+    """Edits of one text, from light to heavy, often at the same places: most don't link with most."""
+    rng = random.Random(23)
+    base = sentence(rng, 110).split()
+    rows = [doc(i, "common passage " + sentence(rng, 12)) for i in range(2000, 2020)]
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 6, 8])):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], ["other"], [words[k], "more"], [f"own{rng.randrange(10**6)}"]])
+        rows.append(doc(i, " ".join(words)))
+    want = brute_jaccard(rows)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, rows), "doc_id", "text").collect()}
+    assert out == want and len({c for _, c in want.values()}) > 100
+
+
+def test_signatures_are_streamed(monkeypatch):
+    """Groups that are cut between batches get the same pivots as in one piece."""
+    import pyarrow as pa
+
+    rng = np.random.RandomState(6)
+    sig = np.sort(np.repeat(rng.randint(0, 2**62, 60), rng.choice([1, 2, 3, 40, 400], 60)))
+    node, n, place = rng.randint(0, 300, len(sig)).astype(np.int64), rng.randint(20, 90, len(sig)).astype(np.int32), rng.randint(0, 6, len(sig)).astype(np.int32)
+    n = (20 + node % 70).astype(np.int32)
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in (sig, node, n, place)], names=["sig", "node", "n", "place"])
+    parts = [whole.slice(i, 37) for i in range(0, len(sig), 37)]
+
+    def run(batches, rows):
+        monkeypatch.setattr(jaccard_join._runs, "__defaults__", (rows,))
+        out = [r for b in jaccard_join._shared(80)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        return {(r[0], r[1]) for r in out}, {(r[0], r[4]) for r in out if r[1] != r[4]}
+
+    kept, pivots = run([whole], 10**9)
+    cut, cut_pivots = run(parts, 50)
+    assert kept <= cut and len(cut) <= len(kept) + 40  # a lone node at a cut may stay
+    assert {s for s, _ in pivots} == {s for s, _ in cut_pivots} and all(p in {b for a, b in kept if a == s} for s, p in cut_pivots)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(frame(spark, []), "doc_id", "text").count() == 0
     rows = jaccard_join.jaccard_components(frame(spark, [doc(None, "a b c d e f"), doc(7, "a b c d e f"), doc(None, None)]), "doc_id", "text").collect()
