@@ -55,6 +55,7 @@ def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, size: int =
     each = saved(each.select("id", "hash", "w.*"))
     place = F.struct("id", "hash", "pos")
     first = each.groupBy("window", "proof").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "proof", "first")
+    first = saved(first)  # a table of its own, so that Spark can split a window that fills much of the other side
     later = each.join(first, ["window", "proof"]).where(place != F.col("first"))
     spread = later.select("id", "hash", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: k + F.col("pos"))).alias("line"))
     gone = spread.groupBy("id", "hash").agg(F.collect_set("line").alias(gone_lines)).withColumnsRenamed({"id": (there := fresh(df, "id")[0]), "hash": own})
