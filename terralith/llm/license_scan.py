@@ -41,6 +41,53 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Whole licence texts, without their copyright lines.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TEMPLATES += [
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_3} {_BSD_END}"),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+copyright law."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software. This notice may not be removed or altered from any source distribution."""),
+]
 OTHER = ""  # stands for every term that no template has
 
 
@@ -56,12 +103,13 @@ def _template_terms(templates: list[tuple[str, str]]) -> list[dict[str, int]]:
     return out
 
 
-def anchors(weights: list[dict[str, float]], threshold: float) -> list[str]:
-    """Terms without one of which no unit reaches the threshold with any template."""
+def anchors(weights: list[dict[str, float]], threshold: float, texts_with: dict[str, int]) -> list[str]:
+    """Terms without one of which no unit reaches the threshold with any template: what a template has besides is too
+    short. Terms that stand in few texts for the length that they hold are taken first."""
     out: set[str] = set()
     for w in weights:
         whole, left = sum(x * x for x in w.values()), sum(x * x for t, x in w.items() if t not in out)
-        for term, x in sorted(((t, x) for t, x in w.items() if t not in out), key=lambda p: (-p[1], p[0])):
+        for term, x in sorted(((t, x) for t, x in w.items() if t not in out), key=lambda p: ((1 + texts_with.get(p[0], 0)) / p[1] ** 2, p[0])):
             if left < whole * threshold * threshold * 0.999:
                 break
             out.add(term)
@@ -73,10 +121,11 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templ
     """One row per row of ``df``: id, ``path``, ``license`` (null if none), ``score`` (the cosine; null without an own
     licence), ``found_in`` (header, file or inherited) and ``license_dir`` (the directory it is inherited from).
 
-    The best cosine of a line or of the whole text gives ``license`` and ``score``, on ties the whole text, then the name
-    that sorts first. A text whose whole reaches the threshold, whatever its lines score, counts as a licence file of its
-    directory, under its best name as a whole; among several files the name that sorts first counts. Null texts and empty ones hold no licence but inherit one; null paths inherit nothing. Rows that repeat an
-    id, path and text give equal rows. An empty table gives an empty result; other columns aren't read.
+    ``score`` is the best cosine of a line or of the whole text. A text whose whole reaches the threshold, whatever its
+    lines score, is a licence file of its directory under its best name as a whole (a line may stand in several licences);
+    among several files the name that sorts first counts. Other texts take the name of their best line, on ties the one
+    that sorts first. Null texts and empty ones hold no licence but inherit one; null paths inherit nothing. Rows that
+    repeat an id, path and text give equal rows. An empty table gives an empty result; other columns aren't read.
     """
     spark, terms = df.sparkSession, _template_terms(templates)
     vocabulary = sorted({t for w in terms for t in w})
@@ -90,9 +139,9 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templ
     idf = {t: math.log((1 + texts) / (1 + df_of.get(t, 0))) + 1 for t in vocabulary} | {OTHER: math.log(1 + texts) + 1}
     weights = [{t: n * idf[t] for t, n in w.items()} for w in terms]
     lengths = [math.sqrt(sum(x * x for x in w.values())) for w in weights]
-    wanted = anchors(weights, threshold)
+    wanted = anchors(weights, threshold, df_of)
 
-    anchored = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(wanted) + r")(?![\p{L}\p{N}])")
+    anchored = lambda c: F.arrays_overlap(_terms(c), F.array(*(F.lit(t) for t in wanted)))
     lines = F.filter(F.split("text", "\n"), anchored)
     unit = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("unit"))
     units = rows.where(F.col("text").isNotNull() & anchored(F.col("text"))).select(
@@ -110,7 +159,7 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templ
     scores = dots.groupBy(*unit_key, "template", "name").agg((F.sum(F.col("x") * F.col("w")) / F.first("norm")).alias("score")).where(F.col("score") >= threshold)
     ranked = F.struct((-F.round("score", 9)).alias("s"), "kind", "name")
     best = scores.groupBy("id", "path", "h").agg(F.min(ranked).alias("b"), F.min(F.when(F.col("kind") == 0, ranked)).alias("w"))
-    own = saved(best.select("id", "path", "h", F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("w").isNotNull(), "file").otherwise("header").alias("found_in"), F.col("w.name").alias("whole")))
+    own = saved(best.select("id", "path", "h", F.coalesce("w.name", "b.name").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("w").isNotNull(), "file").otherwise("header").alias("found_in"), F.col("w.name").alias("whole")))
 
     parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
     files = own.where("found_in = 'file' and path is not null").groupBy(parent(F.col("path")).alias("license_dir")).agg(F.min("whole").alias("license"))
