@@ -73,6 +73,7 @@ def scan_secrets(df: DataFrame, id_col: str, text_col: str, owner: Column, repo:
     by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"))
     by_repo = held.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
     verdict = by_owner.join(by_repo, "hash").select("hash", F.when((F.col("owners") <= most_owners) & (F.col("repos") <= most_owners), "live").otherwise("example").alias("verdict"))
+    verdict = saved(verdict)  # a table of its own, so that Spark can split a value that fills much of the other side
     order = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("kind"))
     both = F.array(F.struct("kind", "start", "end"), F.struct(F.col("verdict").alias("kind"), "start", "end"))
     judged = each.join(verdict, "hash").select("row", F.explode(both).alias("s")).select("row", "s.*")
