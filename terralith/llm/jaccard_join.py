@@ -472,6 +472,6 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int = 5
             names = connected_components(links)
         open_ = placed.select("sig", "node", "n", "place")
     rows = slim.join(names.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
+    least = saved(rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least")))  # so that Spark can split a large class
     out = rows.join(least, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
