@@ -22,7 +22,8 @@ _LETTER[97:123] = True
 _LETTER[65:91] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[list(b".,;:!?")] = True
-MEMORY = 200_000  # words
+MEMORY = 400_000  # words
+BATCH = 1 << 21  # bytes of text at a time
 
 
 class WordCoder:
@@ -54,7 +55,7 @@ class WordCoder:
         parts = [self.cut.split(t) if self.cut and any(x in t for x in self.special) else [t] for t in data]  # text, special string, text, ...
         plain = [p for part in parts for p in part[::2]]
         ids: list[bytes] = []
-        for a, b in hashing.batches_by_bytes(plain):
+        for a, b in hashing.batches_by_bytes(plain, BATCH):
             ids += self._encode(plain[a:b])
         given = iter(ids)
         return [b"".join(self.special[p] if k % 2 else next(given) for k, p in enumerate(part)) for part in parts]
