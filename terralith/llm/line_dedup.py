@@ -5,6 +5,8 @@ size of the corpus).  A window that occurs more than once in the corpus is kept
 it occurs first (smallest id, then smallest line) and covers its three lines everywhere else; the union of covered
 lines of a document is removed.  The windows are counted with partial aggregation (a window that fills a third of the
 corpus is one row per task by then), and only the windows with a count over one meet the others in a join.
+
+A blank line has a fixed value of its own within a window, so the place of a blank tells windows apart.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from terralith.llm.common import fresh, saved
 WINDOW = 3
 LONG = 200  # characters of a line over which remove_repeated_passages cuts it at sentence ends
 MARK = "\u0001"  # stands for the blank of a cut
+BLANK = 0  # both hashes of a blank line
 
 
 def let(value: Column, body) -> Column:
@@ -31,10 +34,11 @@ def _lines(text: Column) -> Column:
 def _windows(text: Column, size: int, same=lambda x: x) -> Column:
     """(pos, window, proof) of every ``size`` consecutive lines of which one at least isn't blank: two hashes; ``same``
     gives what is compared."""
-    hashes = F.transform(_lines(text), lambda x: F.when(F.trim(x) != "", let(same(x), lambda y: F.struct(F.xxhash64(y).alias("a"), F.hash(y).alias("b")))))
+    hashes = F.transform(_lines(text), lambda x: let(same(x), lambda y: F.when(F.trim(y) != "", F.struct(F.xxhash64(y).alias("a"), F.hash(y).alias("b")))))
     at = lambda h, i: [h[i + k] for k in range(size)]
     some = lambda h, i: F.coalesce(*at(h, i)).isNotNull()
-    window = lambda h, i: F.struct(i.alias("pos"), F.xxhash64(*(x["a"] for x in at(h, i))).alias("window"), F.hash(*(x["b"] for x in at(h, i))).alias("proof"))
+    value = lambda h, i, c: [F.coalesce(x[c], F.lit(BLANK)) for x in at(h, i)]  # noqa: E731  Spark's hashes would skip a null and with it the blank's place
+    window = lambda h, i: F.struct(i.alias("pos"), F.xxhash64(*value(h, i, "a")).alias("window"), F.hash(*value(h, i, "b")).alias("proof"))
     every = let(hashes, lambda h: F.when(F.size(h) >= size, F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - size), lambda i: some(h, i)), lambda i: window(h, i))))
     return F.coalesce(every, F.array().cast("array<struct<pos:int,window:bigint,proof:int>>"))
 

@@ -356,6 +356,31 @@ def test_line_dedup(spark):
             assert {r["text"] for r in back if r["doc_id"] == 2} == {"x\ny"} and (name == "_n_lines" or {r[name] for r in back} == {"x"})
 
 
+def brute_lines(rows):
+    """Texts without the lines that a window of three lines covers after its first place; blanks compare as equal."""
+    seen, out = set(), {}
+    for i, t, *_ in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for k in range(len(lines) - 2):
+            w = tuple(x if x.strip(" ") else None for x in lines[k : k + 3])
+            if any(w):
+                gone |= {k, k + 1, k + 2} if w in seen else set()
+                seen.add(w)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("f", [line_dedup.remove_repeated_lines, line_dedup.remove_repeated_passages])
+def test_blank_lines_have_their_place(spark, f):
+    rows = [doc(1, "\nalpha\nbeta\n"), doc(2, "intro\n\nOnly once\n\n\nend"), doc(3, "gamma\n\ndelta"), doc(4, "x\ngamma\ndelta\n\ny")]
+    assert {r["doc_id"]: r["text"] for r in f(frame(spark, rows), "doc_id", "text").collect()} == {r[0]: r[1] for r in rows}
+    rng = random.Random(17)
+    rows = [doc(i, "\n".join(rng.choice(["", "", " ", "p", "q", "r"]) for _ in range(rng.randrange(1, 9)))) for i in range(300)]
+    want = brute_lines(rows)
+    assert {r["doc_id"]: r["text"] for r in f(frame(spark, rows), "doc_id", "text").collect()} == want
+    assert 50 < sum(want[r[0]] != r[1] for r in rows) < 300
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(k, sentence(rng, n)) for k, n in enumerate((30, 40, 14, 8, 6, 3, 0))] + [(9, None)]

@@ -133,3 +133,9 @@ def test_stages_of_nothing_and_of_clashing_names(spark, tmp_path):
         kept = [r["doc_id"] for r in got]
         gone = {"toxicity": set(range(0, 60, 6)), "line_dedup": {73}, "ngram_jaccard_join": {73, 74}, "decontamination": {74}}[name]
         assert sorted(map(str, kept)) == sorted(str(i) for i, _ in rows if i not in gone), name
+
+
+def test_line_stage_keeps_texts_with_blank_lines(spark):
+    texts = {1: "\nalpha\nbeta\n", 2: "intro\n\nOnly once\n\n\nend", 3: "gamma\n\ndelta", 4: "x\ngamma\ndelta\n\ny"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS)
+    assert {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()} == texts
