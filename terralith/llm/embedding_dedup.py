@@ -14,7 +14,8 @@ and split into blocks of ``BLOCK`` dimensions; if a pair is within t, it is with
 A pair that is within budget in several blocks counts in the block where it uses the smallest part of its budget (the
 first of those within TIE of it, so that rounding can't change the choice), so links are counted once.  Vectors of
 different lengths have no cosine: each length has a grid of its own.  Tiles return counts per vector and a spanning forest of their links, never
-the links themselves.  Equal vectors are one node that carries its number of copies.
+the links themselves.  Equal vectors are one node, with a number of its own, that carries its number of copies; ids are joined
+to the nodes at the end, so an id that stands on several vectors doesn't tie them together.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from terralith.llm.components import connected_components
 BLOCK = 16
 TILE = 8192
 SAMPLE = (8192, 131_072)  # vectors for the pivots: a hundredth of all, within these bounds
+SAMPLE_BYTES = 1 << 28  # which comes before the lower bound
 PIVOTS = (1, 8, 64, 512, 4096)
 ROWS = 2048  # vectors that are held against the pivots at a time
 TIE = 1e-9
@@ -210,7 +212,8 @@ def _meet(grid_of, dims: int, least: float):
 def _met(nodes: DataFrame, dims: int, many: int, least: float, kind: str) -> DataFrame:
     """What the tiles return for the ``many`` vectors of ``dims`` numbers."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("node")).limit(min(SAMPLE[1], max(SAMPLE[0], many // 100))).select("embedding").toArrow().column(0).combine_chunks()
+    most = max(1, SAMPLE_BYTES // (8 * dims))
+    sample = nodes.orderBy(F.xxhash64("embedding")).limit(min(SAMPLE[1], most, max(SAMPLE[0], many // 100))).select("embedding").toArrow().column(0).combine_chunks()
     grid = _Grid(_units(_matrix(sample, dims)), many, 2 - 2 * least)
     grid_of = spark.sparkContext.broadcast(grid)
 
@@ -235,7 +238,8 @@ def embedding_links(df: DataFrame, id_col: str, vector_col: str, least: float =
 
     Vectors of one length are compared with one another. Null and zero vectors and those with null or non-finite parts
     link with nothing and are their own component; so do rows with a null id, whose component is null. Rows that repeat an id and
-    a vector count once as partners and are returned each. An empty table gives an empty result; other columns aren't
+    a vector count once as partners and are returned each; rows of one id with other vectors are vectors of their own, each
+    with its links and its component. An empty table gives an empty result; other columns aren't
     read.
     """
     spark = df.sparkSession
@@ -244,15 +248,17 @@ def embedding_links(df: DataFrame, id_col: str, vector_col: str, least: float =
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
-    nodes = saved(rows.where(sound).distinct().groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
+    nodes = saved(rows.where(sound).distinct().groupBy("embedding").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     lengths = nodes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
     met = spark.createDataFrame([], "u bigint, v bigint, n bigint")
     for r in lengths:
         met = met.unionByName(_met(nodes.where(F.size("embedding") == r["d"]), r["d"], r["n"], least, kind))
     links = met.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     names = connected_components(met.where("v is not null").select("u", "v"))
-    known = nodes.join(links, "node", "left").join(names.withColumnRenamed("id", "node"), "node", "left")
-    known = known.select(F.xxhash64("embedding").alias("h"), "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    known = nodes.select("node", "least", "copies").join(links, "node", "left").join(names.withColumnRenamed("id", "node"), "node", "left")
+    known = saved(known.select("node", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("group")))
+    least = known.groupBy("group").agg(F.min("least").alias("component"))
+    known = known.join(least, "group").select("node", "links", "component").join(nodes.select("node", F.xxhash64("embedding").alias("h"), "embedding"), "node")
     keyed = rows.withColumn("h", F.when(sound, F.xxhash64("embedding")))
     k = known.select("h", F.col("embedding").alias("same"), "links", "component")
     out = keyed.join(k, (keyed["h"] == k["h"]) & (F.col("embedding") == F.col("same")), "left")

@@ -2,7 +2,9 @@
 
 With DataFrame functions only.  The weights come from the document frequencies of the templates' terms over the whole
 corpus; terms in no template count as one kind of term that is as rare as can be, which keeps their length in the
-cosine.  Two units are compared to the templates: every line (a header statement) and the whole text (a licence file).
+cosine.  Two units are compared to the templates: every line (a header statement) and the whole text.  A text is a licence
+file if its whole is close to a whole licence text, or if its name says so and a licence is found in it; a notice at the
+head of a source file, however short the file, is a header.
 Terms that together hold so much of a template's length that no unit without them can reach the threshold are its
 anchors; only units with an anchor are worked out, which loses nothing.  A text without a licence of its own takes
 that of the licence file in its nearest ancestor directory: the distinct directories are joined with their ancestors,
@@ -20,7 +22,7 @@ from terralith.llm.common import saved
 
 THRESHOLD = 0.6
 
-# Usual statements of common licences, in natural order.
+# Usual statements of common licences (notices), in natural order.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -41,6 +43,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+NOTICES = len(TEMPLATES)  # templates from here on are whole texts
+FILE_NAME = "^(.*[._-])?(license|licence|copying|notice)s?([._-].*)?$"  # the lower-cased last part of a licence file's path
 # Whole licence texts, without their copyright lines.
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
 following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
@@ -117,14 +121,16 @@ def anchors(weights: list[dict[str, float]], threshold: float, texts_with: dict[
     return sorted(out)
 
 
-def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, notices: int = NOTICES) -> DataFrame:
     """One row per row of ``df``: id, ``path``, ``license`` (null if none), ``score`` (the cosine; null without an own
     licence), ``found_in`` (header, file or inherited) and ``license_dir`` (the directory it is inherited from).
 
-    ``score`` is the best cosine of a line or of the whole text. A text whose whole reaches the threshold, whatever its
-    lines score, is a licence file of its directory under its best name as a whole (a line may stand in several licences);
-    among several files the name that sorts first counts. Other texts take the name of their best line, on ties the one
-    that sorts first. Null texts and empty ones hold no licence but inherit one; null paths inherit nothing. Rows that
+    ``score`` is the best cosine of a line or of the whole text. The first ``notices`` templates are notices, the others
+    whole licence texts. A text whose whole reaches the threshold with a whole licence text, whatever its lines score, is a
+    licence file of its directory under its best name as a whole (a line may stand in several licences); a text whose path
+    ends in a name like LICENSE, COPYING or NOTICE is one if any licence is found in it, under its best name as a whole, or
+    else that of its best line. Among several files of a directory the name that sorts first counts. Other texts take the
+    name of their best unit, on ties the whole text, then the name that sorts first. Null texts and empty ones hold no licence but inherit one; null paths inherit nothing. Rows that
     repeat an id, path and text give equal rows. An empty table gives an empty result; other columns aren't read.
     """
     spark, terms = df.sparkSession, _template_terms(templates)
@@ -158,7 +164,9 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, path: Column, templ
     dots = norm.select(*unit_key, "norm", F.explode("known").alias("k")).select(*unit_key, "norm", "k.*").join(F.broadcast(entries), "term")
     scores = dots.groupBy(*unit_key, "template", "name").agg((F.sum(F.col("x") * F.col("w")) / F.first("norm")).alias("score")).where(F.col("score") >= threshold)
     ranked = F.struct((-F.round("score", 9)).alias("s"), "kind", "name")
-    best = scores.groupBy("id", "path", "h").agg(F.min(ranked).alias("b"), F.min(F.when(F.col("kind") == 0, ranked)).alias("w"))
+    named = F.coalesce(F.lower(F.substring_index("path", "/", -1)).rlike(FILE_NAME), F.lit(False))
+    whole = named | ((F.col("kind") == 0) & (F.col("template") >= notices))
+    best = scores.groupBy("id", "path", "h").agg(F.min(ranked).alias("b"), F.min(F.when(whole, F.struct("kind", ranked.alias("r"), "name"))).alias("w"))
     own = saved(best.select("id", "path", "h", F.coalesce("w.name", "b.name").alias("license"), (-F.col("b.s")).alias("score"), F.when(F.col("w").isNotNull(), "file").otherwise("header").alias("found_in"), F.col("w.name").alias("whole")))
 
     parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))

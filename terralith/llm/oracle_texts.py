@@ -80,7 +80,7 @@ def op7(masks, span: int, stretch: int, equal: int) -> str:
 """
 
 
-def op9(templates: list[tuple[str, str]], threshold: float) -> str:
+def op9(templates: list[tuple[str, str]], threshold: float, notices: int, file_name: str) -> str:
     """Every line and every whole text is held against every template; licences are looked up directory by directory."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
@@ -99,9 +99,9 @@ def op9(templates: list[tuple[str, str]], threshold: float) -> str:
         x AS MATERIALIZED (SELECT doc_id, kind, md5(unit) AS unit, term, idf.term IS NOT NULL AS known, tf * coalesce(idf, (SELECT ln(1 + n) + 1 FROM total)) AS x FROM tf LEFT JOIN idf USING (term)),
         norm AS (SELECT doc_id, kind, unit, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL HAVING bool_or(known)),
         dot AS (SELECT doc_id, kind, unit, i, name, sum(x * w) AS dot FROM x JOIN entry USING (term) GROUP BY ALL),
-        score AS (SELECT doc_id, kind, name, round(dot / norm, 9) AS score FROM dot JOIN norm USING (doc_id, kind, unit) WHERE dot / norm >= {threshold}),
+        score AS (SELECT doc_id, kind, i, name, round(dot / norm, 9) AS score FROM dot JOIN norm USING (doc_id, kind, unit) WHERE dot / norm >= {threshold}),
         line AS (SELECT doc_id, name FROM score QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, kind, name) = 1),
-        file AS (SELECT doc_id, name FROM score WHERE kind = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) = 1),
+        file AS (SELECT doc_id, name FROM score JOIN d USING (doc_id) WHERE kind = 0 AND i >= {notices} OR regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{file_name}') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind, score DESC, name) = 1),
         own AS (SELECT line.doc_id, coalesce(file.name, line.name) AS license, best.score, file.name AS whole FROM line LEFT JOIN file USING (doc_id) JOIN (SELECT doc_id, max(score) AS score FROM score GROUP BY doc_id) best USING (doc_id)),
         folder AS (SELECT {parent("path")} AS dir, min(whole) AS license FROM own JOIN d USING (doc_id) WHERE whole IS NOT NULL GROUP BY 1),
         above AS (SELECT d.doc_id, f.dir, f.license, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(f.dir) DESC) AS k FROM d JOIN folder f ON f.dir = '' OR {parent("d.path")} = f.dir OR starts_with({parent("d.path")}, f.dir || '/'))

@@ -90,7 +90,7 @@ ORACLE = {
     "op3_ngram_jaccard_join": oracle_texts.OP3,
     "op4_secret_scan": oracle_texts.OP4,
     "op7_decontamination": oracle_texts.op7(decontaminate.MASKS, decontaminate.SPAN, decontaminate.STRETCH, decontaminate.EQUAL),
-    "op9_license_scan": oracle_texts.op9(license_scan.TEMPLATES, license_scan.THRESHOLD),
+    "op9_license_scan": oracle_texts.op9(license_scan.TEMPLATES, license_scan.THRESHOLD, license_scan.NOTICES, license_scan.FILE_NAME),
     "op5_url_filter": r"""
         WITH parts AS (
             SELECT page_id,

@@ -207,6 +207,13 @@ def test_embeddings_of_several_lengths(spark):
     assert all(out[100 + k] == (39, 100) for k in range(40))
 
 
+def test_embeddings_that_share_an_id(spark):
+    """Rows of one id with other vectors have their own links and components."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (0, [1.0, 1.0]), (0, [1.0, 1.0]), (4, [0.0, 0.0]), (4, [-1.0, 0.0])]
+    out = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding").collect()
+    assert sorted(tuple(r) for r in out) == [(0, 0, 0, True), (0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True)]
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), "vec_id", "embedding").count() == 0
 
@@ -517,8 +524,9 @@ def brute_licenses(rows, threshold):
             for name, t in templates:
                 c = sum(x * t[w] for w, x in v.items() if w in t) / (length(v) * length(t)) if v else 0
                 if c >= threshold:
-                    found.append((-round(c, 9), kind, name))
-        whole = sorted((c, name) for c, kind, name in found if kind == 0)
+                    found.append((-round(c, 9), kind, name, t))
+        whole = sorted((c, name) for c, kind, name, t in found if kind == 0 and any(t is x for _, x in templates[license_scan.NOTICES :]))
+        found = [f[:3] for f in found]
         best = min(found, default=None)
         out[i] = (whole[0][1] if whole else best[2], -best[0], "file" if whole else "header") if best else (None, None, None)
     return out
@@ -548,18 +556,29 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 
-def test_licence_file_with_a_better_line(spark):
-    """The whole notice passes, though its first line alone scores higher; a mere header makes no licence file."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    other = [doc(100 + i, f"words of some text and a file {i}, with nothing in them", "t") for i in range(60)]
-    rows = [doc(1, MPL, "s", "en/lib"), doc(2, "words only", "s", "en/lib/deep"), doc(3, "Released under the MIT License.\n" + "words without any licence " * 9, "h"), doc(4, "words only", "h")]
-    df = frame(spark, rows + other)
-    out = {r["doc_id"]: r for r in license_scan.scan_licenses(df, "doc_id", "text", path).collect()}
-    alone = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [*rows, *other, doc(5, MPL.replace("\n", " "), "z")]), "doc_id", "text", path).collect()}
-    assert 0.6 <= alone[5]["score"] < out[1]["score"] - 0.02
-    assert (out[1]["license"], out[1]["found_in"]) == ("MPL-2.0", "file")
-    assert (out[2]["license"], out[2]["found_in"], out[2]["license_dir"]) == ("MPL-2.0", "inherited", "s/en/lib")
-    assert out[3]["found_in"] == "header" and out[4]["license"] is None
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_licence_files_by_name_or_whole_text(spark):
+    """A notice makes a licence file where the name says so, a whole licence text anywhere; a source file with a header is none."""
+    code = "\nfrom os import sep\nprint(sep)"
+    body = dict(license_scan.TEMPLATES[license_scan.NOTICES :])
+    texts = {
+        "a/LICENSE": MPL, "a/deep/x.py": "words only", "a/deep/y.py": GPL + code, "b/head.py": GPL + code, "b/other.py": "plain words without a statement",
+        "c/licensed.py": MPL + code, "c/other.py": "plain words", "d/any.txt": body["MIT"], "d/other.py": "plain words", "e/COPYING.LESSER": "see below\nThis work is licensed under the GNU Lesser General Public License, version 3.\n" + "long words of another kind " * 40,
+        "e/other.py": "", "f/license-mit.txt": "no statement at all", "f/other.py": "plain words",
+    }
+    rows = [doc(i, t, p) for i, (p, t) in enumerate(texts.items())] + [doc(100 + i, f"words of some text and a file {i}, with nothing in them", f"t/{i}") for i in range(60)]
+    out = {r["path"]: (r["license"], r["found_in"], r["license_dir"]) for r in license_scan.scan_licenses(frame(spark, rows), "doc_id", "text", F.col("source")).collect()}
+    none, gpl = (None, None, None), ("GPL-3.0", "header", None)
+    assert {p: out[p] for p in texts} == {
+        "a/LICENSE": ("MPL-2.0", "file", None), "a/deep/x.py": ("MPL-2.0", "inherited", "a"), "a/deep/y.py": gpl, "b/head.py": gpl, "b/other.py": none,
+        "c/licensed.py": ("MPL-2.0", "header", None), "c/other.py": none, "d/any.txt": ("MIT", "file", None), "d/other.py": ("MIT", "inherited", "d"),
+        "e/COPYING.LESSER": ("LGPL-3.0", "file", None), "e/other.py": ("LGPL-3.0", "inherited", "e"), "f/license-mit.txt": none, "f/other.py": none,
+    }
 
 
 def test_toxicity_keeps_every_telling_term(spark):
