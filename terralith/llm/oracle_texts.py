@@ -109,3 +109,23 @@ def op9(templates: list[tuple[str, str]], threshold: float, notices: int, file_n
            CASE WHEN own.whole IS NOT NULL THEN 'file' WHEN own.license IS NOT NULL THEN 'header' WHEN above.license IS NOT NULL THEN 'inherited' END AS found_in, CASE WHEN own.license IS NULL THEN above.dir END AS license_dir
     FROM d LEFT JOIN own ON d.doc_id = own.doc_id LEFT JOIN above ON d.doc_id = above.doc_id AND above.k = 1
 """
+
+
+# Every phrase is counted; no bucket, bitmap or pruning.
+OP11 = rf"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        words AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+        one AS MATERIALIZED (SELECT lang, w1, count(*) AS n FROM (SELECT lang, unnest(w) AS w1 FROM words) GROUP BY ALL),
+        two AS MATERIALIZED (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS n FROM words, unnest(range(1, len(w))) t(i) GROUP BY ALL HAVING count(*) >= 10),
+        three AS MATERIALIZED (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS n FROM words, unnest(range(1, len(w) - 1)) t(i) GROUP BY ALL HAVING count(*) >= 10),
+        total AS (SELECT lang, sum(n)::BIGINT AS n FROM one GROUP BY lang),
+        pair AS (SELECT two.lang, two.w1, two.w2, concat_ws(' ', two.w1, two.w2) AS phrase, two.n AS a, x.n AS l, y.n AS r, (1000000::HUGEINT * two.n * two.n // (x.n::HUGEINT * y.n))::BIGINT AS score
+            FROM two JOIN one x ON two.lang = x.lang AND two.w1 = x.w1 JOIN one y ON two.lang = y.lang AND two.w2 = y.w1),
+        cut AS (SELECT t.lang, t.w1, t.w2, t.w3, t.n AS a, 1 AS k, x.n AS l, y.n AS r FROM three t JOIN one x ON t.lang = x.lang AND t.w1 = x.w1 JOIN two y ON t.lang = y.lang AND t.w2 = y.w1 AND t.w3 = y.w2
+            UNION ALL SELECT t.lang, t.w1, t.w2, t.w3, t.n, 2, x.n, y.n FROM three t JOIN two x ON t.lang = x.lang AND t.w1 = x.w1 AND t.w2 = x.w2 JOIN one y ON t.lang = y.lang AND t.w3 = y.w1),
+        triple AS (SELECT lang, concat_ws(' ', w1, w2, w3) AS phrase, a, l, r, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY 1000000::HUGEINT * a * a // (l::HUGEINT * r), k) = 1),
+        around AS (SELECT lang, w1, w2, max(n) AS n FROM (SELECT lang, w1, w2, n FROM three UNION ALL SELECT lang, w2, w3, n FROM three) GROUP BY ALL),
+        every AS (SELECT p.lang, phrase, a, l, r, score FROM pair p LEFT JOIN around o ON p.lang = o.lang AND p.w1 = o.w1 AND p.w2 = o.w2 WHERE 100 * coalesce(o.n, 0) < 50 * a UNION ALL FROM triple),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank FROM every)
+    SELECT lang, rank, phrase, a, l, r, total.n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

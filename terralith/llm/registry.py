@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import decontaminate, embedding_dedup, jaccard_join, license_scan, line_dedup, oracle_texts, packing, secret_scan, sharding, toxicity, url_filter
+from terralith.llm import collocations, decontaminate, embedding_dedup, jaccard_join, license_scan, line_dedup, oracle_texts, packing, secret_scan, sharding, toxicity, url_filter
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"), F.col("text"), F.col("lang"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -83,12 +87,14 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ORACLE = {
     "op1_embedding_near_dedup": oracle_texts.OP1,
     "op3_ngram_jaccard_join": oracle_texts.OP3,
     "op4_secret_scan": oracle_texts.OP4,
+    "op11_phrase_collocations": oracle_texts.OP11,
     "op7_decontamination": oracle_texts.op7(decontaminate.MASKS, decontaminate.SPAN, decontaminate.STRETCH, decontaminate.EQUAL),
     "op9_license_scan": oracle_texts.op9(license_scan.TEMPLATES, license_scan.THRESHOLD, license_scan.NOTICES, license_scan.FILE_NAME),
     "op5_url_filter": r"""
