@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import collocations, decontaminate, embedding_dedup, jaccard_join, license_scan, line_dedup, oracle_texts, packing, secret_scan, sharding, toxicity, url_filter
+from terralith.llm import collocations, decontaminate, embedding_dedup, fingerprints, jaccard_join, license_scan, line_dedup, oracle_texts, packing, secret_scan, sharding, toxicity, url_filter
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +76,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(table(spark, sf_dir, "documents"), F.col("text"), F.col("lang"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +92,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_document_fingerprints": op12_document_fingerprints,
 }
 
 ORACLE = {
