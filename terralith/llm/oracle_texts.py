@@ -129,3 +129,25 @@ OP11 = rf"""
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank FROM every)
     SELECT lang, rank, phrase, a, l, r, total.n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
+
+
+def op13(rounds: int) -> str:
+    """Every part meets every entry in every round."""
+    books, last = [], rounds
+    far = "list_sum(list_transform(range(1, len(a.z) + 1), lambda i: (a.z[i] - b.z[i]) * (a.z[i] - b.z[i])))::BIGINT"
+    for k in range(last + 1):
+        books.append(f"near{k} AS MATERIALIZED (SELECT row, p, a.z, b.e, {far} AS d FROM part a JOIN book{k} b USING (p) QUALIFY row_number() OVER (PARTITION BY row, p ORDER BY {far}, b.e) = 1)")
+        if k < last:
+            books.append(f"""sum{k} AS (SELECT p, e, j, sum(z[j])::BIGINT AS s, count(*) AS n FROM near{k}, unnest(range(1, len(z) + 1)) t(j) GROUP BY ALL),
+        mean{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS z FROM sum{k} GROUP BY p, e),
+        book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.z, b.z) AS z FROM book{k} b LEFT JOIN mean{k} m USING (p, e))""")
+    return f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS z FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        part AS MATERIALIZED (SELECT row, vec_id, p, z[p * len(z) // 16 + 1 : (p + 1) * len(z) // 16] AS z FROM v, range(16) t(p)),
+        book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, row) - 1 AS e, z FROM part QUALIFY e < 64),
+        {", ".join(books)},
+        row AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{last} GROUP BY row),
+        digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(z) AS x, generate_subscripts(z, 1) AS j FROM book{last}))
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN row USING (row), digest
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm import collocations, decontaminate, embedding_dedup, fingerprints, jaccard_join, license_scan, line_dedup, oracle_texts, packing, secret_scan, sharding, toxicity, url_filter
+from terralith.llm import collocations, decontaminate, embedding_dedup, fingerprints, jaccard_join, license_scan, line_dedup, oracle_texts, packing, secret_scan, sharding, toxicity, url_filter, vector_codes
 from terralith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,6 +80,10 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +97,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE = {
@@ -100,6 +105,7 @@ ORACLE = {
     "op3_ngram_jaccard_join": oracle_texts.OP3,
     "op4_secret_scan": oracle_texts.OP4,
     "op11_phrase_collocations": oracle_texts.OP11,
+    "op13_vector_codes": oracle_texts.op13(vector_codes.ROUNDS),
     "op7_decontamination": oracle_texts.op7(decontaminate.MASKS, decontaminate.SPAN, decontaminate.STRETCH, decontaminate.EQUAL),
     "op9_license_scan": oracle_texts.op9(license_scan.TEMPLATES, license_scan.THRESHOLD, license_scan.NOTICES, license_scan.FILE_NAME),
     "op5_url_filter": r"""
