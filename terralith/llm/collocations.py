@@ -68,9 +68,9 @@ class _Words:
         self.lang = of[np.searchsorted(edge, self.start, "right")] if len(self.start) else np.zeros(0, np.int64)
         self.hash = hashing.mixed(plain ^ own[self.lang]) if len(plain) else plain
 
-    def places(self, size: int) -> np.ndarray:
+    def places(self, size: int, bits: int) -> np.ndarray:
         h = self.hash if size == 1 else hashing.windows(self.hash, size)
-        return (h >> np.uint64(64 - BITS)).astype(np.int64)
+        return (h >> np.uint64(64 - bits)).astype(np.int64)
 
     def counted(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First positions and numbers of the different phrases of ``size`` words that begin ``at``."""
@@ -95,14 +95,14 @@ def _has(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[_Words]:
     texts: list[bytes] = []
     langs: list[str] = []
     held = 0
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
             data = text.as_py().encode()
-            if held and held + len(data) > CHUNK:
+            if held and held + len(data) > chunk:
                 yield _Words(texts, langs)
                 texts, langs, held = [], [], 0
             texts.append(data)
@@ -132,25 +132,25 @@ def _cells(held: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([values.get(c, pa.nulls(1, kinds.get(c, pa.string()))) for c in names], names=names)
 
 
-def _scan(size: int, least: int, longest: int, frequent, buckets):
+def _scan(size: int, least: int, longest: int, bits: int, chunk: int, frequent, buckets):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << BITS, np.uint8) if size < longest else None
-        for words in _chunks(batches):
+        held = np.zeros(1 << bits, np.uint8) if size < longest else None
+        for words in _chunks(batches, chunk):
             n = len(words.hash) - size + 1
             if n <= 0:
                 continue
-            place = words.places(size)
+            place = words.places(size, bits)
             good = words.piece[:n] == words.piece[size - 1 :]
             if size > 1:
                 good &= _has(buckets.value, place)
-                part = words.places(size - 1)
+                part = words.places(size - 1, bits)
                 good &= _has(frequent.value, part[:n]) & _has(frequent.value, part[1 : n + 1])
             at = np.flatnonzero(good)
             if len(at):
                 yield _rows(words, at, size, place)
             if held is not None and n > 1:
                 both = good[:-1] & good[1:] & (words.piece[: n - 1] == words.piece[size:])
-                where, many = np.unique(words.places(size + 1)[both], return_counts=True)
+                where, many = np.unique(words.places(size + 1, bits)[both], return_counts=True)
                 held[where] = np.minimum(held[where] + many, least)
         if held is not None:
             yield from _cells(held)
@@ -174,25 +174,25 @@ def _full(least: int):
     return add
 
 
-def _bucket_bitmap(scanned: DataFrame, least: int) -> np.ndarray:
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+def _bucket_bitmap(scanned: DataFrame, least: int, bits: int) -> np.ndarray:
+    out = np.zeros(1 << (bits - 6), np.uint64)
     blocks = scanned.where("block is not null").select("block", "at", "held").repartition("block").mapInArrow(_full(least), "block int, bits binary")
     size = 1 << (BLOCK - 6)
-    for row in blocks.toLocalIterator():  # 2**BITS bits at most
+    for row in blocks.toLocalIterator():  # 2**bits bits at most
         out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], "<u8")
     return out
 
 
-def _place_bitmap(phrases: DataFrame) -> np.ndarray:
-    """The places of ``phrases`` as bits, put together by the tasks: 2**BITS bits at most."""
+def _place_bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
+    """The places of ``phrases`` as bits, put together by the tasks: 2**bits bits at most."""
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
     found = phrases.groupBy(F.shiftright("place", 6).alias("i")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("i").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def count_phrases(df: DataFrame, text: Column, lang: Column, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def count_phrases(df: DataFrame, text: Column, lang: Column, least: int = LEAST, longest: int = LONGEST, bits: int = BITS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(totals: lang, n; phrases: lang, w1, w2, w3, n): all words of each language, and the exact counts of the phrases of
     1 to ``longest`` words (three at most) that occur ``least`` times or more (2 to 255)."""
     spark: SparkSession = df.sparkSession
@@ -200,15 +200,15 @@ def count_phrases(df: DataFrame, text: Column, lang: Column, least: int = LEAST,
     frequent = buckets = totals = None
     out = []
     for size in range(1, longest + 1):
-        scanned = saved(rows.mapInArrow(_scan(size, least, longest, frequent, buckets), ROWS))
+        scanned = saved(rows.mapInArrow(_scan(size, least, longest, bits, chunk, frequent, buckets), ROWS))
         found = scanned.where("block is null")
         if size == 1:
             totals = saved(found.groupBy("lang").agg(F.sum("n").alias("n")))
         keys = ["lang", *(f"w{j}" for j in range(1, size + 1)), "place"]
         counts = saved(found.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
         if size < longest:
-            buckets = spark.sparkContext.broadcast(_bucket_bitmap(scanned, least))
-            frequent = spark.sparkContext.broadcast(_place_bitmap(counts))
+            buckets = spark.sparkContext.broadcast(_bucket_bitmap(scanned, least, bits))
+            frequent = spark.sparkContext.broadcast(_place_bitmap(counts, bits))
         dropped(scanned)
         out.append(counts.select("lang", *(F.col(f"w{j}") if j <= size else F.lit(None).cast("string").alias(f"w{j}") for j in (1, 2, 3)), "n"))
     phrases = out[0]
@@ -223,16 +223,16 @@ def _with_score(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.expr(f"(cast({SCALE} as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"))
 
 
-def mine_collocations(df: DataFrame, text: Column, lang: Column, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
+def mine_collocations(df: DataFrame, text: Column, lang: Column, least: int = LEAST, share: int = SHARE, top: int = TOP, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
     """Each language's first ``top`` phrases of two or three words: lang, ``rank`` (from 1), ``phrase``, ``a`` (its
     occurrences), ``l`` and ``r`` (those of the two parts at its lowest-scoring cut), ``n`` (the language's words) and
     ``score``.
 
     Phrases that occur less than ``least`` times, and those of which ``share`` per cent or more lie in one longer phrase,
-    don't count. Null and empty texts have no words, a null language is UNKNOWN. Repeated rows count each; ties are broken
+    don't count. ``bits`` (16 or more) and ``chunk`` decide about work, not results. Null and empty texts have no words, a null language is UNKNOWN. Repeated rows count each; ties are broken
     by ``a``, then the phrase in byte order. An empty table gives an empty result; only the two columns are read.
     """
-    totals, phrases = count_phrases(df, text, lang, least)
+    totals, phrases = count_phrases(df, text, lang, least, LONGEST, bits, chunk)
     part = lambda *names: phrases.where(F.col(f"w{len(names)}").isNotNull() & (F.col(f"w{len(names) + 1}").isNull() if len(names) < 3 else F.lit(True))).select("lang", *(F.col(f"w{i + 1}").alias(w) for i, w in enumerate(names)), "n")
     one = lambda w, name: part(w).withColumnRenamed("n", name)
     two = lambda v, w, name: part(v, w).withColumnRenamed("n", name)

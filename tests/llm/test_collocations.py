@@ -55,14 +55,12 @@ def corpus(seed=3):
 
 
 @pytest.mark.parametrize("bits", [26, 17])
-def test_collocations_match_brute_force(spark, monkeypatch, bits):
+def test_collocations_match_brute_force(spark, bits):
     """With few buckets most places are shared; the counts stay the same."""
-    monkeypatch.setattr(collocations, "BITS", bits)
-    monkeypatch.setattr(collocations, "CHUNK", 2000)
     rows = corpus()
     df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("w1", "n", "place", "salt", "rank", "a", "block")}).repartition(3)
     for least, share, top in ((10, 50, 2000), (3, 80, 7)):
-        got = [tuple(r) for r in collocations.mine_collocations(df, F.col("text"), F.col("lang"), least, share, top).collect()]
+        got = [tuple(r) for r in collocations.mine_collocations(df, F.col("text"), F.col("lang"), least, share, top, bits, 2000).collect()]
         want = brute(rows, least, share, top)
         assert sorted(got) == want and len(want) > 15
 
