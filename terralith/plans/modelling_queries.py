@@ -64,9 +64,11 @@ def g16(spark, d):
 
 
 def i03(spark, d):
-    axes = [grid.Axis(0.0, 45.0, 6), grid.Axis(0.0, 22.0, 5), grid.Axis(-10.0, 0.0, 4)]
+    """Every node's value on a grid over the samples, settled, with the report that the gates go by."""
     g = event_grid(spark, d).where("not is_nodata").select((F.col("ix") * 72 + F.col("iy") * 6 + F.col("iz")).cast("long").alias("source_row"), "x", "y", "z", "value")
-    return rounded(smoothing.smooth(g, axes, 20, 1e-3)[0], "value", digits=4)
+    fitted, report = smoothing.smooth(g, tolerance=1e-6)
+    field = rounded(fitted.field.select("ix", "iy", "iz", "x", "y", "z", "value", "is_nodata"), "x", "y", "z", "value", digits=3)
+    return field.select("*", F.lit(report["converged"]).alias("converged"), F.lit(report["max_delta"] < 1e-6).alias("within"))
 
 
 def i04(spark, d):

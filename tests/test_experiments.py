@@ -139,10 +139,10 @@ def test_field_at_any_place(spark):
     """Samples keep their values, and places beyond them have none."""
     axes = [grid.Axis(0.0, 4.0, 5)] * 3
     rng = random.Random(3)
-    df = points(spark, [(rng.random() * 4, rng.random() * 4, rng.random() * 4, rng.random()) for _ in range(30)])
-    field, _ = smoothing.smooth(df, axes, 10, written_every=5)
+    df = points(spark, [(0, 0, 0, 0.5), (4, 4, 4, 0.25)] + [(rng.random() * 4, rng.random() * 4, rng.random() * 4, rng.random()) for _ in range(30)])
+    fitted, _ = smoothing.smooth(df, axes)
     at = df.select(F.col("source_row").alias("query_id"), "x", "y", "z").unionByName(spark.createDataFrame([(99, 9.0, 1.0, 1.0)], "query_id bigint, x double, y double, z double"))
-    got = {r["query_id"]: r for r in smoothing.predict(field, axes, df, at).collect()}
+    got = {r["query_id"]: r for r in smoothing.predict(fitted, at).collect()}
     assert got[99]["is_nodata"] and all(abs(got[r["source_row"]]["value"] - r["value"]) < 1e-9 for r in df.collect())
 
 

@@ -136,8 +136,9 @@ def test_components_do_not_join_diagonally(spark):
 def test_smoothing_keeps_observations(spark):
     axes = [grid.Axis(0.0, 2.0, 3)] * 3
     df = points(spark, [(0, 0, 0, 1.0), (2, 2, 2, 3.0), (0, 2, 0, 2.0), (2, 0, 2, 2.0)])
-    field, _ = smoothing.smooth(df, axes, 10, written_every=5)
-    got = {(r["ix"], r["iy"], r["iz"]): r["value"] for r in field.collect()}
+    fitted, report = smoothing.smooth(df, axes)
+    got = {(r["ix"], r["iy"], r["iz"]): r["value"] for r in fitted.field.collect()}
+    assert report["converged"] and report["max_delta"] < 1e-4 and report["max_observation_error"] <= 1e-8
     assert len(got) == 27 and got[0, 0, 0] == 1.0 and got[2, 2, 2] == 3.0 and all(1.0 <= v <= 3.0 for v in got.values())
 
 
