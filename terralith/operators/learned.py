@@ -2,81 +2,43 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.operators import kriging, validation
 from terralith.operators.errors import GeoError
-from terralith.operators.shared import checkpointed
+from terralith.operators.forests import Settings, predict_forests
 
 LEAST_RESIDUALS, LEAST_COVERAGE = 30, 0.8
 
 
-def features(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
-    """Centred and scaled places with their radius, products and squares as one vector."""
-    out, axes = df, list(fitted)
-    for a, (centre, scale) in fitted.items():
-        out = out.withColumn(f"_{a}", (F.col(a) - centre) / scale)
-    x, y = F.col("_x"), F.col("_y")
-    out = out.withColumns({"_r": F.sqrt(x * x + y * y), "_xy": x * y, "_xx": x * x, "_yy": y * y})
-    names = ["_x", "_y", "_r", "_xy", "_xx", "_yy"]
-    if "z" in axes:
-        z = F.col("_z")
-        out = out.withColumns({"_xz": x * z, "_yz": y * z, "_zz": z * z})
-        names += ["_z", "_xz", "_yz", "_zz"]
-    made = VectorAssembler(inputCols=names, outputCol="_features").transform(out)
-    return made.drop(*names)
-
-
-def fit_scale(points: DataFrame, axes: list[str]) -> dict[str, tuple[float, float]]:
-    row = points.agg(*(f(a).alias(f"{a}{i}") for a in axes for i, f in enumerate((F.avg, F.stddev_pop)))).first()
-    return {a: (row[f"{a}0"], row[f"{a}1"] or 1.0) for a in axes}
-
-
 class Forest:
-    """Mean and spread (population deviation) of the trees' predictions."""
+    """Mean and spread (population deviation) of the trees' predictions. The trees are grown where a prediction asks for them, so
+    that none has to travel."""
 
-    def __init__(self, trees: int = 160, depth: int = 18, leaf: int = 2, seed: int = 7) -> None:
-        self.settings = dict(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="0.8", maxMemoryInMB=1024, seed=seed)
+    def __init__(self, trees: int = 160, depth: int = 18, leaf: int = 2, share: float = 0.8, seed: int = 20260813) -> None:
+        self.settings = Settings(trees, depth, leaf, share, seed)
 
     def fit(self, points: DataFrame, axes: list[str], value: str = "value") -> Forest:
-        self.axes, self.scale = axes, fit_scale(points, axes)
-        self.model = RandomForestRegressor(featuresCol="_features", labelCol=value, **self.settings).fit(features(points, self.scale))
+        self.axes = axes
+        self.points = points.select("source_row", *axes, F.col(value).alias("value"))
         return self
 
     def predict(self, queries: DataFrame) -> DataFrame:
-        rows = features(queries.select("query_id", *self.axes), self.scale)
-        for i, tree in enumerate(self.model.trees):
-            rows = tree.setPredictionCol(f"_t{i}").transform(rows)
-        each = F.array(*(F.col(f"_t{i}") for i in range(len(self.model.trees))))
-        n = float(len(self.model.trees))
-        mean = F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / n
-        rows = rows.select("query_id", each.alias("e"), mean.alias("value"))
-        return rows.select("query_id", "value", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, b: a + (b - F.col("value")) * (b - F.col("value"))) / n).alias("spread"))
-
-
-def cross_validate(points: DataFrame, assignments: DataFrame, axes: list[str], trees: int = 80, depth: int = 18, leaf: int = 2, seed: int = 7) -> DataFrame:
-    """Out-of-fold predictions (candidate, fold_index, source_row, observed, predicted, is_nodata) of forests. The folds, a
-    configured handful, are fitted side by side."""
-    folds = [r["fold_index"] for r in assignments.select("fold_index").distinct().orderBy("fold_index").collect()]
-    rows = checkpointed(points.select("source_row", *axes, "value").join(assignments.select("fold_index", "source_row", "role"), "source_row"))
-
-    def one(f: int) -> DataFrame:
-        mine = rows.where(F.col("fold_index") == f)
-        held = mine.where("role = 'validation'")
-        forest = Forest(trees, depth, leaf, seed).fit(mine.where("role = 'training'"), axes)
-        found = forest.predict(held.select(F.col("source_row").alias("query_id"), *axes)).withColumnRenamed("value", "predicted")
-        met = held.join(found, F.col("source_row") == F.col("query_id"))
-        return met.select(F.lit("forest").alias("candidate"), "fold_index", "source_row", F.col("value").alias("observed"), "predicted", F.lit(False).alias("is_nodata"))
-
-    with ThreadPoolExecutor(len(folds)) as pool:
-        parts = list(pool.map(one, folds))
-    return reduce(DataFrame.unionByName, parts)
+        one = F.lit(0).alias("problem")
+        found = predict_forests(self.points.select(one, "*"), queries.select(one, "query_id", *self.axes), {0: self.settings}, self.axes)
+        return found.select("query_id", "value", "spread")
+
+
+def cross_validate(points: DataFrame, assignments: DataFrame, axes: list[str], settings: Settings | None = None) -> DataFrame:
+    """Out-of-fold predictions (candidate, fold_index, source_row, observed, predicted, is_nodata) of a forest. The forests of
+    all folds are grown together."""
+    rows = points.select("source_row", *axes, "value").join(assignments.select(F.col("fold_index").alias("problem"), "source_row", "role"), "source_row")
+    held = rows.where("role = 'validation'")
+    folds = [r["problem"] for r in assignments.select(F.col("fold_index").alias("problem")).distinct().collect()]
+    found = predict_forests(rows.where("role = 'training'"), held.withColumnRenamed("source_row", "query_id"), dict.fromkeys(folds, settings or Settings(80)), axes)
+    met = held.join(found.select("problem", F.col("query_id").alias("source_row"), F.col("value").alias("predicted")), ["problem", "source_row"], "left")
+    return met.select(F.lit("forest").alias("candidate"), F.col("problem").alias("fold_index"), "source_row", F.col("value").alias("observed"), "predicted", F.col("predicted").isNull().alias("is_nodata"))
 
 
 def kriging_with_forest(points: DataFrame, queries: DataFrame, model: dict, axes: list[str], folds: int = 3, k: int = 12, forest: Forest | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions.scalar import rotation_3d, space
 from terralith.operators import anomalies, grid, interpretation, kriging, learned, metrics, neighbors, result_analysis, smoothing, survey, validation, variogram
+from terralith.operators.forests import Settings
 from terralith.plans.grid_queries import LABELS, RANKED, event_grid
 from terralith.plans.spatial_queries import TARGETS, targets
 from terralith.plans.statistics_queries import rounded
@@ -72,18 +73,18 @@ def i03(spark, d):
 
 
 def i04(spark, d):
-    return rounded(learned.Forest(8, 6).fit(points_2d(spark, d), ["x", "y"]).predict(targets(spark)), "value", "spread")
+    return rounded(learned.Forest().fit(points_2d(spark, d), ["x", "y"]).predict(targets(spark)), "value", "spread")
 
 
 def i04_folds(spark, d):
-    """A forest of 80 trees over five spatial folds."""
+    """A forest of 80 trees of depth 18 over five spatial folds."""
     p = points_2d(spark, d)
-    oof = learned.cross_validate(p, validation.fold_assignments(p, "2d", 5), ["x", "y"], 80, 10)
+    oof = learned.cross_validate(p, validation.fold_assignments(p, "2d", 5), ["x", "y"], Settings(80))
     return rounded(metrics.metrics(oof), "mae", "rmse", "r2", "bias", "coverage", digits=4)
 
 
 def i05(spark, d):
-    return rounded(learned.kriging_with_forest(points_2d(spark, d), targets(spark), MODEL, ["x", "y"], 2, 8, learned.Forest(5, 5)), "baseline", "correction", "value")
+    return rounded(learned.kriging_with_forest(points_2d(spark, d), targets(spark), MODEL, ["x", "y"], 3, 24, learned.Forest()), "baseline", "correction", "value")
 
 
 def v07(spark, d):
