@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [before + n for n in names]
 
 
+_there: list[DataFrame] = []  # saved tables of this driver that haven't been deleted
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where all runs on one machine may it be unset: then a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +47,7 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    _there.append(out)
     return out
 
 
@@ -51,3 +57,20 @@ def dropped(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _there[:] = [x for x in _there if x is not t]
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are saved inside are deleted at the end, also after an error, but for those that are handed to what it
+    yields: the ones that the result is read from."""
+    before, kept = list(_there), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        dropped(*(t for t in list(_there) if not any(t is x for x in [*before, *kept])))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm import hashing
-from terralith.llm.common import dropped, saved
+from terralith.llm.common import dropped, passing, saved
 from terralith.llm.components import connected_components
 
 PLACES = 24  # bits: places of the table of bands
@@ -68,17 +68,17 @@ def parities(tokens: np.ndarray) -> bytes:
 
 
 def described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, node, n, sketch) of every row."""
+    """(id, h, node, n, sketch) of every row; h tells apart the texts of one id."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.columns
+            ids, h, text = batch.columns
             for at, sets in _sets(text, words):
-                rows = [ids.slice(at, len(sets)), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names=["id", "node", "n", "sketch"])
+                rows = [ids.slice(at, len(sets)), h.slice(at, len(sets)), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=["id", "h", "node", "n", "sketch"])
 
-    return saved(df.select(id_col, text_col).mapInArrow(describe, f"id {kind}, node bigint, n bigint, sketch binary"))
+    return saved(df.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(describe, f"id {kind}, h bigint, node bigint, n bigint, sketch binary"))
 
 
 def _blobs(data: np.ndarray, start: np.ndarray) -> pa.Array:
@@ -418,12 +418,12 @@ MOST_BROADCAST = 1_000_000  # rows of two numbers
 
 def _texts(df: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(node, text) for each of the ``wanted`` nodes: the text of one row with that set."""
-    wanted = saved(nodes.join(wanted, "node", "left_semi").select("node", "id"))
+    wanted = saved(nodes.join(wanted, "node", "left_semi").select("node", "row.id", "row.h"))
     small = wanted.count() <= MOST_BROADCAST
-    rows = df.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(wanted) if small else wanted, F.col("own").eqNullSafe(F.col("id"))).select("node", "text")
+    rows = df.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_h"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(wanted) if small else wanted, (F.col("own_h") == F.col("h")) & F.col("own").eqNullSafe(F.col("id"))).select("node", "text")
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # ids may repeat with other texts
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # hashes may be equal by chance
         for batch in batches:
             node = batch.column(0).to_numpy()
             good = [set_key(s) == node[at + i] for at, sets in _sets(batch.column(1), words) for i, s in enumerate(sets)]
@@ -440,8 +440,14 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int = 5
     Rows that repeat a text are linked. Null ids are kept; they never name a component that holds another id. An empty
     table gives an empty result; other columns aren't read.
     """
+    with passing() as keep:
+        return keep(_components(df, id_col, text_col, words, per_cent))
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, words: int, per_cent: int) -> DataFrame:
+    """``jaccard_components`` with all its tables left there; the first round's signatures go once they aren't read any more."""
     slim = described(df, id_col, text_col, words)
-    nodes = saved(slim.where("n > 1").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("id").alias("id")))
+    nodes = saved(slim.where("n > 1").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min(F.struct("id", "h")).alias("row")))
     bands = token_bands(df, text_col, words, nodes.agg(F.sum("n")).first()[0] or 0)
     signed = _signed(df, text_col, words, per_cent, bands)
     shared = saved(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared(per_cent), "sig bigint, node bigint, n int, place int, pivot bigint"))
@@ -455,7 +461,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int = 5
 
     done = saved(shared.where("node <> pivot").select(*_ordered("node", "pivot")).distinct())
     links = tested(_possible(done, nodes, per_cent))
-    names, open_ = connected_components(links), shared.select("sig", "node", "n", "place")
+    names, open_, settled = connected_components(links), shared.select("sig", "node", "n", "place"), shared
     for step in range(ROUNDS + 1):  # the last round takes all pairs that are left
         placed = open_.join(names.withColumnRenamed("id", "node"), "node", "left")
         placed = _unsettled(placed.select("sig", "node", "n", "place", F.coalesce("component", "node").alias("component")))
@@ -470,8 +476,9 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int = 5
         if more.limit(1).count() > 0:
             links = links.unionByName(more)
             names = connected_components(links)
-        open_ = placed.select("sig", "node", "n", "place")
+        dropped(settled)
+        settled, open_ = placed, placed.select("sig", "node", "n", "place")
     rows = slim.join(names.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = saved(rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least")))  # so that Spark can split a large class
     out = rows.join(least, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return saved(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id")))

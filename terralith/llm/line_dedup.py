@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import fresh, saved
+from terralith.llm.common import fresh, passing, saved
 
 WINDOW = 3
 LONG = 200  # characters of a line over which remove_repeated_passages cuts it at sentence ends
@@ -55,14 +55,15 @@ def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, size: int =
     own, gone_lines = fresh(df, "hash", "gone")
     key = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash")]
     sound = F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()
-    each = df.where(sound).select(*key, F.explode(_windows(F.col(f"`{text_col}`"), size, same)).alias("w"))
-    each = saved(each.select("id", "hash", "w.*"))
-    place = F.struct("id", "hash", "pos")
-    first = each.groupBy("window", "proof").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "proof", "first")
-    first = saved(first)  # a table of its own, so that Spark can split a window that fills much of the other side
-    later = each.join(first, ["window", "proof"]).where(place != F.col("first"))
-    spread = later.select("id", "hash", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: k + F.col("pos"))).alias("line"))
-    gone = spread.groupBy("id", "hash").agg(F.collect_set("line").alias(gone_lines)).withColumnsRenamed({"id": (there := fresh(df, "id")[0]), "hash": own})
+    with passing() as keep:
+        each = df.where(sound).select(*key, F.explode(_windows(F.col(f"`{text_col}`"), size, same)).alias("w"))
+        each = saved(each.select("id", "hash", "w.*"))
+        place = F.struct("id", "hash", "pos")
+        first = each.groupBy("window", "proof").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "proof", "first")
+        first = saved(first)  # a table of its own, so that Spark can split a window that fills much of the other side
+        later = each.join(first, ["window", "proof"]).where(place != F.col("first"))
+        spread = later.select("id", "hash", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: k + F.col("pos"))).alias("line"))
+        gone = keep(saved(spread.groupBy("id", "hash").agg(F.collect_set("line").alias(gone_lines)).withColumnsRenamed({"id": (there := fresh(df, "id")[0]), "hash": own})))
     text = F.col(f"`{text_col}`")
     lines = _lines(text)
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone_lines)), lambda i: x[i]), "\n"))

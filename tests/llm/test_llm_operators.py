@@ -88,6 +88,26 @@ def test_jaccard_matches_brute_force(spark, corpus):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
 
 
+def test_jaccard_of_rows_that_share_an_id(spark, corpus):
+    """Many texts under one id, or under none, keep their own sets and links."""
+    from terralith.llm import common
+
+    named = [(None if r[0] % 2 else 7, r[1]) for r in corpus]
+    before = len(common._there)
+    out = jaccard_join.jaccard_components(spark.createDataFrame([(i, t) for i, t in named], "doc_id bigint, text string"), "doc_id", "text")
+    assert len(common._there) == before + 1  # the result's own table
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in out.collect())
+    links = brute_jaccard([(k, *r[1:]) for k, r in enumerate(corpus)])
+    least = {}
+    for k, (i, _) in enumerate(named):
+        least.setdefault(links[k][1], []).append(i)
+    want = []
+    for k, (i, _) in enumerate(named):
+        known = [x for x in least[links[k][1]] if x is not None]
+        want.append((i or 0, links[k][0], (min(known) if known and links[k][0] else i) or 0))
+    assert got == sorted(want)
+
+
 def test_jaccard_with_every_token_frequent(spark, corpus, monkeypatch):
     """Pairs of tokens of one class are the only signatures; the links are the same."""
     monkeypatch.setattr(jaccard_join, "token_bands", lambda *_: np.full(1 << jaccard_join.PLACES, 1, np.uint8))
