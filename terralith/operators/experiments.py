@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.operators import kriging, metrics, validation
+from terralith.operators import candidates, metrics, validation
 from terralith.operators.errors import GeoError
 from terralith.operators.shared import numbered
 
@@ -77,15 +77,18 @@ def definitions(algorithm: str, base: dict, space: dict[str, list], mode: str =
     return out
 
 
-def run(points: DataFrame, assignments: DataFrame, candidates: list[dict], axes: list[str] | None = None) -> DataFrame:
-    """(candidate, n, mae, rmse, r2, bias, coverage, status, rank): every candidate over all folds, measured on the rows
-    that all successful ones predict. Candidates without any valid prediction fail alone; the best one has rank 1."""
-    oof = kriging.evaluate_candidates(points, assignments, candidates, axes)
+def run(points: DataFrame, assignments: DataFrame, found: list[dict], axes: list[str] | None = None) -> DataFrame:
+    """(candidate, n, mae, rmse, r2, bias, coverage, status, error, rank): every candidate over all folds, measured on the
+    rows that all successful ones predict. Candidates fail alone, with an error; without any valid prediction it is
+    NO_VALID_PREDICTION. The best one has rank 1."""
+    oof, failures = candidates.evaluate(points, assignments, found, axes)
     good = oof.groupBy("candidate").agg(F.count_if(metrics.usable()).alias("n_own"))
     kept = oof.join(good.where("n_own > 0").select("candidate"), "candidate", "left_semi")
     scored = metrics.ranking(metrics.metrics(kept)).select("candidate", "n", "mae", "rmse", "r2", "bias", "coverage", "rank")
-    status = F.when(F.col("n_own") == 0, "failed").otherwise("succeeded")
-    return good.join(scored, "candidate", "left").select("candidate", F.coalesce("n", F.lit(0)).alias("n"), "mae", "rmse", "r2", "bias", "coverage", status.alias("status"), "rank")
+    asked = points.sparkSession.createDataFrame([(c["name"], failures.get(c["name"])) for c in found], "candidate string, error string")
+    error = F.coalesce("error", F.when(F.coalesce("n_own", F.lit(0)) == 0, "NO_VALID_PREDICTION"))
+    every = asked.join(good, "candidate", "left").select("candidate", error.alias("error")).join(scored, "candidate", "left")
+    return every.select("candidate", F.coalesce("n", F.lit(0)).alias("n"), "mae", "rmse", "r2", "bias", "coverage", F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "error", "rank")
 
 
 def check_learned(points: DataFrame, dimension: str, algorithm: str, confirmed: bool) -> None:

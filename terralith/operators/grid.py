@@ -56,7 +56,7 @@ def default_axes(spans: list[tuple[float, float]], most: int = DEFAULT_CELLS) ->
     for _ in range(64):
         middle = (low + high) / 2
         low, high = (middle, high) if np.prod(shape(middle), dtype=float) <= most else (low, middle)
-    return [Axis(a, a + w, n) for (a, _), w, n in zip(spans, widths, shape(low), strict=True)]
+    return [Axis(a, b if b > a else a + w, n) for (a, b), w, n in zip(spans, widths, shape(low), strict=True)]  # the last node is the bound itself
 
 
 def nodes(spark: SparkSession, axes: list[Axis], most: int = MOST_CELLS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.operators import kriging, validation
+from terralith.operators import candidates, kriging, validation
 from terralith.operators.errors import GeoError
 from terralith.operators.forests import Settings, predict_forests
 
@@ -46,7 +46,7 @@ def kriging_with_forest(points: DataFrame, queries: DataFrame, model: dict, axes
     residuals that kriging leaves in inner spatial folds. Either missing: NoData."""
     dimension = "3d" if "z" in axes else "2d"
     plan = validation.fold_assignments(points, dimension, folds)
-    oof = kriging.evaluate_candidates(points, plan, [{"name": "k", "algorithm": "kriging", "variogram": model, "k": k}], axes)
+    oof, _ = candidates.evaluate(points, plan, [{"name": "k", "algorithm": "kriging", "variogram": model, "k": k}], axes)
     left = oof.where("not is_nodata").join(points.select("source_row", *axes), "source_row").withColumn("residual", F.col("observed") - F.col("predicted"))
     n, total = left.count(), points.count()
     if n < LEAST_RESIDUALS or n < LEAST_COVERAGE * total:

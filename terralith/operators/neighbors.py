@@ -131,14 +131,16 @@ def weighted(queries: DataFrame, near: DataFrame, power: float = 2.0, min_neighb
     return out.select("query_id", value.alias("value"), F.coalesce("n", F.lit(0)).alias("n"), value.isNull().alias("is_nodata"))
 
 
-def sector_neighbors(queries: DataFrame, samples: DataFrame, radii: tuple[float, ...], azimuth: float = 0.0, sectors: int = 4, max_per_sector: int = 2, min_neighbors: int = 1, max_neighbors: int = 8, allow_exact: bool = True, dip: float = 0.0, roll: float = 0.0) -> DataFrame:
+def sector_neighbors(queries: DataFrame, samples: DataFrame, radii: tuple[float, ...], azimuth: float = 0.0, sectors: int = 4, max_per_sector: int = 2, min_neighbors: int = 1, max_neighbors: int = 8, allow_exact: bool = True, dip: float = 0.0, roll: float = 0.0, apart: str | None = None) -> DataFrame:
     """(query_id, source_row, value, d, sector, k): neighbours in a rotated ellipse or, with three radii, an ellipsoid (its
     edge included), at most ``max_per_sector`` in each sector by (normalised distance, source_row); queries with fewer than
     ``min_neighbors`` of these have none; then at most ``max_neighbors``. Sectors go round the query, or round the main axis
-    of an ellipsoid."""
+    of an ellipsoid. ``apart``: a column of both sides; a query doesn't see samples that are equal to it there."""
     axes = ["x", "y", "z"][: len(radii)]
     width = max(radii)
-    near = _meet(queries, _with_cells(samples.select("source_row", *axes, "value"), axes, width), axes, width, 1)
+    near = _meet(queries, _with_cells(samples.select("source_row", *axes, "value", *([F.col(apart).alias("_apart")] if apart else [])), axes, width), axes, width, 1)
+    if apart:
+        near = near.join(queries.select("query_id", F.col(apart).alias("_own")), "query_id").where("_own <> _apart")
     offset = [F.col(a) - F.col(f"q_{a}") for a in axes]
     turned = affine(offset, rotation_2d(azimuth) if len(axes) == 2 else rotation_3d(azimuth, dip, roll))
     near = near.withColumns({f"_l{i}": c for i, c in enumerate(turned)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralith.functions.scalar import rotation_3d, space
-from terralith.operators import anomalies, grid, interpretation, kriging, learned, metrics, neighbors, result_analysis, smoothing, survey, validation, variogram
+from terralith.operators import anomalies, candidates, grid, interpretation, kriging, learned, metrics, neighbors, result_analysis, smoothing, survey, validation, variogram
 from terralith.operators.forests import Settings
 from terralith.plans.grid_queries import LABELS, RANKED, event_grid
 from terralith.plans.spatial_queries import TARGETS, targets
@@ -89,9 +89,9 @@ def i05(spark, d):
 
 def v07(spark, d):
     p = points_2d(spark, d)
-    plan = validation.fold_assignments(p, "2d", 2).cache()
-    candidates = [{"name": "idw-2", "algorithm": "idw", "k": 8, "power": 2.0}, {"name": "kriging-exp", "algorithm": "kriging", "variogram": MODEL, "k": 8}]
-    oof = kriging.evaluate_candidates(p, plan, candidates).cache()
+    plan = validation.fold_assignments(p, "2d", 2)
+    found = [{"name": "idw-2", "algorithm": "idw", "k": 8, "power": 2.0}, {"name": "kriging-exp", "algorithm": "kriging", "variogram": MODEL, "k": 8}]
+    oof, _ = candidates.evaluate(p, plan, found)
     return rounded(metrics.ranking(metrics.metrics(oof)), "mae", "rmse", "r2", "bias", "coverage", digits=4)
 
 
