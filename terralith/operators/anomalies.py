@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions.quantiles import exact_quantiles
+from terralith.operators.errors import GeoError
 from terralith.operators.grid import INDEX, offsets, support, valid
 from terralith.operators.shared import checkpointed, numbered
 
 
 def anomaly_nodes(grid: DataFrame, threshold: float, direction: str = "high", gates: dict[str, float] | None = None) -> DataFrame:
     """Nodes at or beyond the threshold whose uncertainty layers are within their gates; nodes without a gated layer's
-    value are out."""
+    value are out. A gate whose layer isn't there is a failure, never ignored."""
+    absent = sorted(set(gates or {}) - set(grid.columns))
+    if absent:
+        raise GeoError("ANOMALY_UNCERTAINTY_UNAVAILABLE", layers=absent)
     v = F.col("value")
     keep: Column = v >= threshold if direction == "high" else v <= threshold
     for layer, most in (gates or {}).items():

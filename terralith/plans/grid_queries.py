@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terralith.functions.quantiles import exact_quantiles
 from terralith.operators import anomalies as A
 from terralith.operators import grid as G
 from terralith.plans.statistics_queries import rounded
@@ -79,7 +80,28 @@ def g10(spark, d):
     return rounded(A.ranked_components(event_grid(spark, d), 2).select("direction", "rank", "letter", "component_id", "support_node_count", "value_min", "value_max"), "value_min", "value_max")
 
 
+def with_layer(g):
+    """The grid with an uncertainty layer that some nodes lack."""
+    at = (F.col("ix") + 2 * F.col("iy") + 3 * F.col("iz")) % 7
+    return g.withColumn("err", F.when(at != 6, at.cast("double") / 2))
+
+
+def g09(spark, d):
+    """Components of nodes whose layer is within its gate, with the layer's summary."""
+    g = with_layer(event_grid(spark, d))
+    t = exact_quantiles(G.valid(g), "value", [0.5])[0]
+    c = A.components(g, t, min_nodes=2, gates={"err": 2.0})
+    return rounded(c.select("component_id", "support_node_count", "value_max", "err_min", "err_max", "err_mean"), "value_max", "err_mean")
+
+
+def l02(spark, d):
+    """Nodes as they are decimated for a preview that asks for every fourth row."""
+    g = event_grid(spark, d).where("not is_nodata").withColumn("row", F.col("ix") * 72 + F.col("iy") * 6 + F.col("iz") + 1)
+    return rounded(G.decimated(g, 4, "row").select("row", "value"), "value")
+
+
 QUERIES = {
+    "g09_gated_components": g09, "l02_decimated_nodes": l02,
     "g01_grid": g01, "g04_slice": g04, "a23_slice_statistics": a23, "a24_grid_statistics": a24, "a25_composition": a25, "a26_depth_profile": a26, "a27_grid_difference": a27,
     "g07_support": g07, "g11_trilinear": g11, "g12_snap": g12, "g13_neighbor_mean": g13, "l04_preview": l04, "g08_components": g08, "g10_ranked_components": g10,
 }
@@ -104,6 +126,11 @@ RANKED = f"""WITH RECURSIVE {_grid()}, {Q}, n AS MATERIALIZED (SELECT g.*, ix *
     o AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY measure DESC, CASE direction WHEN 'high' THEN -highest ELSE lowest END, id)::INT AS rank FROM k),
     ranked AS (SELECT *, CASE direction WHEN 'low' THEN '低-' ELSE '' END || chr(64 + rank) AS letter FROM o WHERE rank <= 10)"""
 ORACLE = {
+    "l02_decimated_nodes": f"WITH {_grid()} SELECT ix * 72 + iy * 6 + iz + 1 AS row, round(value, 6) AS value FROM g WHERE value IS NOT NULL AND (ix * 72 + iy * 6 + iz) % 4 = 0",
+    "g09_gated_components": f"""WITH RECURSIVE {_grid()}, h AS (SELECT median(value) AS hi FROM g), n AS MATERIALIZED (SELECT g.*, ix * 72 + iy * 6 + iz AS id, (ix + 2 * iy + 3 * iz) % 7 / 2 AS err FROM g, h WHERE value >= hi AND (ix + 2 * iy + 3 * iz) % 7 <= 4),
+        e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
+        r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), l AS (SELECT b AS id, min(a) AS label FROM r GROUP BY b)
+        SELECT row_number() OVER (ORDER BY label)::INT AS component_id, count(*) AS support_node_count, round(max(value), 6) AS value_max, min(err)::DOUBLE AS err_min, max(err)::DOUBLE AS err_max, round(avg(err), 6) AS err_mean FROM n JOIN l USING (id) GROUP BY label HAVING count(*) >= 2""",
     "g10_ranked_components": f"{RANKED} SELECT direction, rank, letter, (id + CASE direction WHEN 'low' THEN 1000000 ELSE 0 END)::INT AS component_id, n AS support_node_count, round(lowest, 6) AS value_min, round(highest, 6) AS value_max FROM ranked",
     "g01_grid": f"WITH {_grid()} SELECT ix, iy, iz, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, round(value, 6) AS value, is_nodata FROM g",
     "g04_slice": f"WITH {_grid()} SELECT ix, iy, round(value, 6) AS value, is_nodata FROM g WHERE iz = 3",

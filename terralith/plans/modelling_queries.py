@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralith.functions.scalar import rotation_3d, space
-from terralith.operators import anomalies, candidates, grid, interpretation, kriging, learned, metrics, neighbors, result_analysis, smoothing, survey, validation, variogram
+from terralith.operators import anomalies, candidates, conditional, experiments, grid, interpretation, kriging, learned, metrics, neighbors, result_analysis, smoothing, survey, validation, variogram
 from terralith.operators.forests import Settings
 from terralith.plans.grid_queries import LABELS, RANKED, event_grid
 from terralith.plans.spatial_queries import TARGETS, targets
@@ -144,7 +144,44 @@ def r02(spark, d):
     return interpretation.rule_cards(anomalies.ranked_components(event_grid(spark, d), 2, 5), interpretation.resolve_profile("RHO", "Ω·m")).select("direction", "rank", "letter", "title", "meaning", "limitation")
 
 
+def places_3d(spark, d):
+    """The measured places, each with the mean of its values and the least row number; x cells of odd and even number are the folds."""
+    p = measured_3d(spark, d).groupBy("x", "y", "z").agg(F.min("source_row").alias("source_row"), F.avg("value").alias("value"))
+    return p.withColumn("group_key", F.floor(F.col("x") / 4).cast("long"))
+
+
+def two_folds(p):
+    return validation.with_roles(p.select("source_row", "group_key", F.pmod("group_key", F.lit(2)).cast("int").alias("own")), 2)
+
+
+def v14(spark, d):
+    """Candidates of two algorithms by their own parameter names over two folds, in one run; one of them fails."""
+    hand = {"variogram_model": MODEL["model"], "variogram_mode": "manual", "nugget": MODEL["nugget"], "sill": MODEL["nugget"] + MODEL["partial_sill"], "range": MODEL["range"]}
+    found = [{"name": f"idw-{p:g}-{k}", "algorithm": "idw", "parameters": {"power": p, "neighbor_count": k}} for p in (1.5, 2.0, 3.0) for k in (16, 24, 32)]
+    found += [{"name": f"kriging-{z:g}", "algorithm": "ordinary_kriging", "parameters": hand | {"neighbor_count": 2, "min_neighbors": 2, "z_scale": z}} for z in (0.5, 1.0, 2.0)]
+    found += [{"name": "sill-too-small", "algorithm": "ordinary_kriging", "parameters": hand | {"sill": 1.0}}]
+    p = places_3d(spark, d)
+    return rounded(experiments.run(p, two_folds(p), found, ["x", "y", "z"]), "mae", "rmse", "r2", "bias", "coverage", digits=3)
+
+
+def v14_presets(spark, d):
+    """The seven candidates of the resistivity preset, smooth interpolation among them."""
+    p = places_3d(spark, d)
+    found = [c | {"name": f"{i:02d}-{c['algorithm']}"} for i, c in enumerate(experiments.preset_candidates("resistivity"))]
+    return rounded(experiments.run(p, two_folds(p), found, ["x", "y", "z"]), "mae", "rmse", "r2", "bias", "coverage", digits=4)
+
+
+def v15(spark, d):
+    """Smooth interpolation and inverse distance behind the gates; the latter has values beyond the samples' bounds."""
+    p = places_3d(spark, d)
+    axes = tuple(grid.axes_from_points(p, ["x", "y", "z"]))
+    found = [{"name": "smooth", "algorithm": "dsi_like", "parameters": {}}, {"name": "distance", "algorithm": "idw", "parameters": {}}]
+    reference = [{"name": "reference", "algorithm": "idw", "parameters": {"power": 3.0}}]
+    return rounded(conditional.evaluate_conditionally(p, two_folds(p), found, reference, axes), "rmse", "mae", "r2", "bias", "coverage", digits=4)
+
+
 QUERIES = {
+    "v14_candidate_matrix": v14, "v14_resistivity_preset": v14_presets, "v15_conditional": v15,
     "i02_kriging": i02, "i02_kriging_two": i02_two, "i02_kriging_anisotropic": i02_space, "i01_inverse_distance_z_scale": i01_z, "n01_sector_ellipsoid": n01_space, "i01_inverse_distance_sectors": i01_sectors, "x01_lag_bins": x01, "g16_result_analysis": g16, "i03_smooth_interpolation": i03, "i04_forest": i04, "i04_forest_folds": i04_folds, "i05_kriging_forest": i05, "v07_candidates": v07, "s09_survey_parse": s09, "f06_three_sigma": f06,
     "a21_exact_places": a21, "w05_line_checks": w05, "s12_inventory": s12, "r01_findings": r01, "r02_rule_cards": r02,
 }
@@ -174,7 +211,21 @@ SECTORS_3D = f"""o AS (SELECT query_id, source_row, value, p.x - q.x AS ox, p.y
     s AS (SELECT *, row_number() OVER (PARTITION BY query_id, sector ORDER BY d, source_row) AS r FROM e),
     m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, source_row)::INT AS k, count(*) OVER (PARTITION BY query_id) AS n FROM s WHERE r <= 2),
     f AS (SELECT * FROM m WHERE n >= 3 AND k <= 6)"""
+PLACES = f"""{SQL_3D}, p AS MATERIALIZED (SELECT x, y, z, min(source_row) AS row, avg(value) AS value, (floor(x / 4)::BIGINT % 2 + 2) % 2 AS own FROM pts WHERE ok GROUP BY x, y, z),
+    m AS (SELECT * FROM (VALUES (0.5), (1.0), (2.0)) t(zs)),
+    d AS MATERIALIZED (SELECT zs, q.row, q.own, q.value AS observed, s.row AS source, s.value, sqrt(power(s.x - q.x, 2) + power(s.y - q.y, 2) + power(zs * s.z - zs * q.z, 2)) AS d, row_number() OVER (PARTITION BY zs, q.row ORDER BY sqrt(power(s.x - q.x, 2) + power(s.y - q.y, 2) + power(zs * s.z - zs * q.z, 2)), s.row) AS k
+        FROM m CROSS JOIN p q JOIN p s ON q.own <> s.own QUALIFY k <= CASE WHEN zs = 1 THEN 32 ELSE 2 END)"""
+GAMMA = lambda h: f"(50 + 800 * (1 - exp(-{h} / 12)))"
 ORACLE = {
+    "v14_candidate_matrix": f"""WITH {PLACES}, w AS (SELECT printf('idw-%g-%d', power, most) AS candidate, power::DOUBLE AS power, most FROM (VALUES (1.5), (2.0), (3.0)) a(power), (VALUES (16), (24), (32)) b(most)),
+        i AS (SELECT candidate, row, any_value(observed) AS observed, sum(value / pow(d, power)) / sum(1 / pow(d, power)) AS predicted FROM d JOIN w ON k <= most WHERE zs = 1 GROUP BY ALL),
+        t AS (SELECT a.zs, a.row, a.observed, a.value AS va, b.value AS vb, {GAMMA('a.d')} AS ga, {GAMMA('b.d')} AS gb, {GAMMA('sqrt(power(u.x - v.x, 2) + power(u.y - v.y, 2) + power(a.zs * u.z - a.zs * v.z, 2))')} AS g
+            FROM d a JOIN d b ON a.zs = b.zs AND a.row = b.row AND a.k = 1 AND b.k = 2 JOIN p u ON u.row = a.source JOIN p v ON v.row = b.source),
+        c AS (SELECT printf('kriging-%g', zs) AS candidate, row, observed, va * (0.5 + (ga - gb) / (50 - g) / 2) + vb * (0.5 - (ga - gb) / (50 - g) / 2) AS predicted FROM t),
+        o AS (FROM i UNION ALL FROM c), s AS (SELECT candidate, count(*) AS n, avg(abs(predicted - observed)) AS mae, sqrt(avg(power(predicted - observed, 2))) AS rmse, 1 - sum(power(predicted - observed, 2)) / (var_pop(observed) * count(*)) AS r2, avg(predicted - observed) AS bias FROM o GROUP BY candidate),
+        r AS (SELECT *, row_number() OVER (ORDER BY rmse, mae, r2 DESC, candidate)::INT AS rank FROM s)
+        SELECT candidate, n, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(r2, 3) AS r2, round(bias, 3) AS bias, 1.0::DOUBLE AS coverage, 'succeeded' AS status, NULL::VARCHAR AS error, rank FROM r
+        UNION ALL SELECT 'sill-too-small', 0, NULL, NULL, NULL, NULL, NULL, 'failed', 'VARIOGRAM_FIT_FAILED', NULL""",
     "i02_kriging_two": _two("x", "y"),
     "i02_kriging_anisotropic": _two("cos(radians(30)) * x + sin(radians(30)) * y", "2 * (-sin(radians(30)) * x + cos(radians(30)) * y)"),
     "i01_inverse_distance_z_scale": f"""WITH {SQL_3D}, {TARGETS_3D}, n AS (SELECT query_id, source_row, value, sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(2.5 * p.z - 2.5 * q.z, 2)) AS d FROM q CROSS JOIN pts p WHERE ok),
