@@ -23,6 +23,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [before + n for n in names]
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _there: list[DataFrame] = []  # saved tables of this driver that haven't been deleted
 
 
@@ -44,7 +45,12 @@ def saved(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # shuffle files go with the write; nothing reads them after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     _there.append(out)
