@@ -73,14 +73,17 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0])))
 
 
+def variogram_shape(u, model: str, exp, where):
+    """Spherical, exponential or gaussian over distance by range, from 0 to 1. The same formula for columns (``exp`` and
+    ``where`` of Spark) and for arrays (those of numpy)."""
+    if model == "spherical":
+        return where(u < 1, 1.5 * u - 0.5 * u * u * u, 1.0)
+    return 1 - exp(-u) if model == "exponential" else 1 - exp(-(u * u))
+
+
 def semivariance(h: Column, model: str, nugget: float, partial_sill: float, reach: float) -> Column:
-    """Spherical, exponential or gaussian; the nugget alone at distance 0."""
-    u = h / F.lit(float(reach))
-    shape = {
-        "spherical": F.when(u >= 1, F.lit(1.0)).otherwise(1.5 * u - 0.5 * u * u * u),
-        "exponential": 1 - F.exp(-u),
-        "gaussian": 1 - F.exp(-u * u),
-    }[model]
+    """A model's value at a distance; the nugget alone at distance 0."""
+    shape = variogram_shape(h / F.lit(float(reach)), model, F.exp, lambda c, a, b: F.when(c, a).otherwise(F.lit(b)))
     return F.lit(float(nugget)) + F.lit(float(partial_sill)) * F.when(h > 0, shape).otherwise(0.0)
 
 

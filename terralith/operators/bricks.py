@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators.errors import GeoError
 from terralith.operators.grid import AXES, INDEX, Axis, offsets
-from terralith.operators.shared import checkpointed
+from terralith.operators.shared import checkpointed, forgotten, written
 
 SIDE = 32
 MOST_COARSE = 2048
@@ -332,7 +332,7 @@ def settle(spark: SparkSession, problems: list[Problem], observed: DataFrame) ->
     every = every.select("problem", "brick", *(F.lit(0).alias(c) for c in INDEX), F.lit(float("nan")).alias("value"))
     keys = ["problem", "brick"]
     sent = seen.unionByName(every).groupBy(*keys).applyInArrow(_begin(by), SENT)
-    state = checkpointed(sent.groupBy(*keys).applyInArrow(_residual(by, 1), STATE))
+    state = made = written(sent.groupBy(*keys).applyInArrow(_residual(by, 1), STATE))
     rows = state.drop("kinds", "data").collect()  # sums of each brick
     first, links = _totals(rows, by), {k: [r["links"] for r in rows if r["problem"] == k] for k in by}
     courses = {k: _Course(_coarse_inverse(links[k], p.coarse), first[k]["sums"], np.zeros(p.coarse), worst=first[k]["worst"]) for k, p in by.items()}
@@ -351,7 +351,7 @@ def settle(spark: SparkSession, problems: list[Problem], observed: DataFrame) ->
                 continue
             leaving.add(k)
         if leaving:
-            part = state.where(F.col("problem").isin(*leaving))
+            part = checkpointed(state.where(F.col("problem").isin(*leaving)))
             done = part if done is None else done.unionByName(part)
             state, active = state.where(~F.col("problem").isin(*leaving)), active - leaving
         if not active:
@@ -359,12 +359,15 @@ def settle(spark: SparkSession, problems: list[Problem], observed: DataFrame) ->
         steps = {k: (courses[k].alpha, courses[k].beta) for k in active}
         corrections = {k: courses[k].inverse @ courses[k].residual for k in active}
         moved = state.select("problem", "brick", "kinds", "data").mapInArrow(_advance(by, steps, corrections), SENT)
-        state = checkpointed(moved.groupBy(*keys).applyInArrow(_multiply(by), STATE))
+        state = written(moved.groupBy(*keys).applyInArrow(_multiply(by), STATE))
+        forgotten(made)
+        made = state
         totals = _totals(state.drop("kinds", "data", "links").collect(), {k: by[k] for k in active})
         for k in active:
             t, c = totals[k], courses[k]
             c.worst, c.iterations = t["worst"], c.iterations + 1
             c.step(t["gamma"], t["delta"], t["sums"])
+    forgotten(made)
     final = checkpointed(done.select("problem", "brick", "kinds", "data").mapInArrow(_resend(by), SENT).groupBy(*keys).applyInArrow(_residual(by, 1), STATE))
     last = _totals(final.drop("kinds", "data", "links").collect(), by)
     for k, p in by.items():

@@ -7,7 +7,7 @@ import json
 import math
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.operators import candidates, metrics, validation
@@ -16,10 +16,16 @@ from terralith.operators.shared import numbered
 
 BLOCK = 10_000  # rows that one hash covers
 
-# What each algorithm supports; all three support the rest of the flags.
-FLAGS = ["empirical_variogram", "model_anisotropy", "z_scale_weight_distance", "search_neighborhood", "sector_neighbor_limits", "native_kriging_std", "spatial_fold_inspection", "empirical_error_scale", "anomaly_extraction", "candidate_comparison"]
-FOR_ALL = FLAGS[6:]
-SUPPORTED = {"idw": ["z_scale_weight_distance", "search_neighborhood", "sector_neighbor_limits"], "ordinary_kriging": FLAGS[:6], "dsi_like": []}
+# The capabilities in their order, and what each algorithm supports of them.
+CAPABILITIES = [
+    "empirical_variogram", "model_anisotropy", "z_scale_weight_distance", "search_neighborhood", "sector_neighbor_limits", "native_kriging_std",
+    "spatial_fold_inspection", "empirical_error_scale", "anomaly_extraction", "candidate_comparison",
+]
+SUPPORTED = {
+    "idw": ["z_scale_weight_distance", "search_neighborhood", "sector_neighbor_limits", "spatial_fold_inspection", "empirical_error_scale", "anomaly_extraction", "candidate_comparison"],
+    "ordinary_kriging": CAPABILITIES,
+    "dsi_like": ["spatial_fold_inspection", "empirical_error_scale", "anomaly_extraction", "candidate_comparison"],
+}
 LEARNED = ("random_forest", "kriging_rf_residual")
 
 # The official candidates of each preset case, in their order.
@@ -30,10 +36,14 @@ PRESETS = {
 }
 
 
-def capabilities(spark: SparkSession) -> DataFrame:
-    """(algorithm, capability, state): supported or not_applicable."""
-    rows = [(a, f, "supported" if f in own or f in FOR_ALL else "not_applicable") for a, own in SUPPORTED.items() for f in FLAGS]
-    return spark.createDataFrame(rows, "algorithm string, capability string, state string")
+def capabilities(points: DataFrame) -> DataFrame:
+    """(algorithm, capability, state, samples): supported or not_applicable, and the samples that an algorithm can be asked
+    about; smooth interpolation is asked about samples with a depth only."""
+    rows = [(a, f, "supported" if f in own else "not_applicable") for a, own in SUPPORTED.items() for f in CAPABILITIES]
+    good = F.col("is_numeric_valid")
+    n = points.agg(F.count_if(good).alias("all"), F.count_if(good & F.col("z").isNotNull()).alias("deep"))
+    every = points.sparkSession.createDataFrame(rows, "algorithm string, capability string, state string").join(F.broadcast(n))  # one row
+    return every.select("algorithm", "capability", "state", F.when(F.col("algorithm") == "dsi_like", F.col("deep")).otherwise(F.col("all")).alias("samples"))
 
 
 def canonical(payload: dict) -> str:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.functions.scalar import in_space
+from terralith.functions.scalar import in_space, variogram_shape
 from terralith.operators import neighbors
 from terralith.operators.errors import GeoError
 
@@ -22,9 +22,7 @@ TARGETS_PER_TASK = 20_000
 
 
 def gamma(h: np.ndarray, model: dict) -> np.ndarray:
-    u = h / model["range"]
-    shape = {"spherical": lambda: np.where(u < 1, 1.5 * u - 0.5 * u**3, 1.0), "exponential": lambda: 1 - np.exp(-u), "gaussian": lambda: 1 - np.exp(-u * u)}[model["model"]]()
-    return model["nugget"] + model["partial_sill"] * shape
+    return model["nugget"] + model["partial_sill"] * variogram_shape(h / model["range"], model["model"], np.exp, np.where)
 
 
 def check_model(model: dict) -> None:

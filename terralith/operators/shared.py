@@ -4,24 +4,48 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _folder(spark) -> str:
+    """The folder in spark.checkpoint.dir. Only where all runs on one machine may it be unset: then a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that spark.checkpoint.dir names. Only where all runs on one machine may it be unset."""
+    """``df`` written to the folder that spark.checkpoint.dir names."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if sc.master.split("[")[0] != "local":
-                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the same folder: for the states of long courses, which ``forgotten`` deletes one by one."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes tables that were ``written`` and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
     """``df`` with ``name``: its rows' numbers in the order of ``order``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions.quantiles import exact_quantiles
-from terralith.functions.scalar import in_space
+from terralith.functions.scalar import in_space, variogram_shape
 from terralith.operators.binning import lag_index
 from terralith.operators.errors import GeoError
 from terralith.operators.shared import checkpointed, largest_remainders, numbered
@@ -88,11 +88,6 @@ def sampled_pairs(points: DataFrame, most: int, seed: int = 7, oversample: int =
     return placed.where(F.col("_k") <= allowed[F.col("stratum")]).drop("_k", "rank")
 
 
-def _shape(h: np.ndarray, model: str, reach: float) -> np.ndarray:
-    u = h / reach
-    return np.where(u < 1, 1.5 * u - 0.5 * u**3, 1.0) if model == "spherical" else 1 - np.exp(-u) if model == "exponential" else 1 - np.exp(-u * u)
-
-
 def fit(h: np.ndarray, gamma: np.ndarray, pairs: np.ndarray, model: str, cap: float | None = None) -> dict:
     """Nugget, partial sill and range by least squares weighted with the pairs.
 
@@ -108,7 +103,7 @@ def fit(h: np.ndarray, gamma: np.ndarray, pairs: np.ndarray, model: str, cap: fl
     cap, top = cap or max(4 * float(gamma.max()), 1e-6), max(2 * float(h.max()), 1e-6)
 
     def best(reach: float) -> tuple[float, float, float]:
-        s = _shape(h, model, reach)
+        s = variogram_shape(h / reach, model, np.exp, np.where)
         tries = []
         a = np.array([[w.sum(), (w * s).sum()], [(w * s).sum(), (w * s * s).sum()]])
         b = np.array([(w * gamma).sum(), (w * s * gamma).sum()])

@@ -11,7 +11,7 @@ from terralith.operators import survey, validation, voxels
 from terralith.plans.grid_queries import event_grid
 from terralith.plans.statistics_queries import rounded
 from terralith.sources import stored
-from terralith.sources.points import SQL_2D, points_2d, points_3d
+from terralith.sources.points import SQL_2D, SQL_3D, points_2d, points_3d
 
 
 def cases(spark, d):
@@ -99,12 +99,15 @@ def v18(spark, d):
 
 
 def i06(spark, d):
-    return E.capabilities(spark)
+    return E.capabilities(points_3d(spark, d))
 
 
 def v10(spark, d):
-    rows = [(case, i, c["algorithm"], ";".join(f"{k}={v}" for k, v in sorted(c["parameters"].items()))) for case in E.PRESETS for i, c in enumerate(E.preset_candidates(case))]
-    return spark.createDataFrame(rows, "case string, i int, algorithm string, parameters string")
+    """Each preset's candidates, and for how many of the measured places there are as many others as it looks at."""
+    rows = [(case, i, c["algorithm"], ";".join(f"{k}={v}" for k, v in sorted(c["parameters"].items())), c["parameters"].get("neighbor_count", 0)) for case in E.PRESETS for i, c in enumerate(E.preset_candidates(case))]
+    n = points_3d(spark, d).where("is_numeric_valid").select("x", "y", "z").distinct().agg(F.count("*").alias("places"))
+    every = spark.createDataFrame(rows, "case string, i int, algorithm string, parameters string, wanted int").join(F.broadcast(n))  # one row
+    return every.select("case", "i", "algorithm", "parameters", "places", (F.col("places") > F.col("wanted")).alias("enough"))
 
 
 def v08(spark, d):
@@ -209,13 +212,15 @@ ORACLE = {
     "v12_ranking": f"WITH {CHAIN}, s AS (SELECT * FROM c WHERE dataset = 'd1' ORDER BY candidate_id LIMIT 4) SELECT candidate_id, row_number() OVER (ORDER BY coalesce(rmse, 'nan'::DOUBLE), mae, r2 DESC NULLS LAST, parameters, candidate_id::VARCHAR)::INT AS rank FROM s",
     "v18_preparation": """WITH l AS (SELECT o_custkey AS case_id, max(o_orderkey) AS k FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1)
         SELECT c_custkey AS case_id, CASE WHEN k IS NULL THEN 'needs_upload' WHEN k % 17 = 0 OR k % 23 = 0 THEN 'blocked' WHEN k % 3 = 0 THEN 'mapping' WHEN k % 4 = 0 THEN 'quality_review' ELSE 'ready' END AS state FROM customer LEFT JOIN l ON c_custkey = case_id""",
-    "i06_capabilities": """SELECT a AS algorithm, c AS capability, CASE WHEN a = 'ordinary_kriging' OR c IN ('spatial_fold_inspection', 'empirical_error_scale', 'anomaly_extraction', 'candidate_comparison') OR (a = 'idw' AND c IN ('z_scale_weight_distance', 'search_neighborhood', 'sector_neighbor_limits')) THEN 'supported' ELSE 'not_applicable' END AS state
+    "i06_capabilities": f"""WITH {SQL_3D} SELECT a AS algorithm, c AS capability, CASE WHEN a = 'ordinary_kriging' OR c IN ('spatial_fold_inspection', 'empirical_error_scale', 'anomaly_extraction', 'candidate_comparison') OR (a = 'idw' AND c IN ('z_scale_weight_distance', 'search_neighborhood', 'sector_neighbor_limits')) THEN 'supported' ELSE 'not_applicable' END AS state,
+            CASE WHEN a = 'dsi_like' THEN (SELECT count(*) FROM pts WHERE ok AND z IS NOT NULL) ELSE (SELECT count(*) FROM pts WHERE ok) END AS samples
         FROM (VALUES ('idw'), ('ordinary_kriging'), ('dsi_like')) x(a) CROSS JOIN (VALUES ('empirical_variogram'), ('model_anisotropy'), ('z_scale_weight_distance'), ('search_neighborhood'), ('sector_neighbor_limits'), ('native_kriging_std'), ('spatial_fold_inspection'), ('empirical_error_scale'), ('anomaly_extraction'), ('candidate_comparison')) y(c)""",
-    "v10_presets": """WITH m(i, m) AS (VALUES (0, 'spherical'), (1, 'exponential'), (2, 'gaussian'))
+    "v10_presets": f"""WITH {SQL_3D}, m(i, m) AS (VALUES (0, 'spherical'), (1, 'exponential'), (2, 'gaussian')), n AS (SELECT count(*) AS places FROM (SELECT DISTINCT x, y, z FROM pts WHERE ok)), c AS (
         SELECT 'resistivity' AS "case", i::INT AS i, a AS algorithm, p AS parameters FROM (VALUES (0, 'idw', 'neighbor_count=24;power=2.0'), (1, 'ordinary_kriging', 'neighbor_count=16;variogram_model=spherical'), (2, 'ordinary_kriging', 'neighbor_count=24;variogram_model=spherical'), (3, 'ordinary_kriging', 'neighbor_count=16;variogram_model=exponential'), (4, 'ordinary_kriging', 'neighbor_count=24;variogram_model=exponential'), (5, 'dsi_like', 'neighbor_connectivity=6'), (6, 'dsi_like', 'neighbor_connectivity=26')) t(i, a, p)
         UNION ALL SELECT 'microseismic', (m.i * 9 + n.i * 3 + z.i)::INT, 'ordinary_kriging', 'neighbor_count=' || n.n || ';variogram_model=' || m.m || ';z_scale=' || z.z FROM m, (VALUES (0, 12), (1, 24), (2, 36)) n(i, n), (VALUES (0, '0.5'), (1, '1.0'), (2, '2.0')) z(i, z)
         UNION ALL SELECT 'gas', (p.i * 3 + n.i)::INT, 'idw', 'neighbor_count=' || n.n || ';power=' || p.p FROM (VALUES (0, '1.5'), (1, '2.0'), (2, '3.0')) p(i, p), (VALUES (0, 16), (1, 24), (2, 32)) n(i, n)
-        UNION ALL SELECT 'gas', (9 + m.i * 2 + n.i)::INT, 'ordinary_kriging', 'neighbor_count=' || n.n || ';variogram_model=' || m.m FROM m, (VALUES (0, 16), (1, 24)) n(i, n) WHERE m.i < 2""",
+        UNION ALL SELECT 'gas', (9 + m.i * 2 + n.i)::INT, 'ordinary_kriging', 'neighbor_count=' || n.n || ';variogram_model=' || m.m FROM m, (VALUES (0, 16), (1, 24)) n(i, n) WHERE m.i < 2)
+        SELECT "case", i, algorithm, parameters, places, places > coalesce(try_cast(regexp_extract(parameters, 'neighbor_count=([0-9]+)', 1) AS INT), 0) AS enough FROM c, n""",
     "v08_experiment_run": f"""WITH {SQL_2D}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts),
         f AS MATERIALIZED (SELECT pts.*, (least(3, floor((x - x0) / ((x1 - x0) / 4))) * 4 + least(3, floor((y - y0) / ((y1 - y0) / 4))))::BIGINT % 2 AS fold FROM pts, b),
         d AS (SELECT q.source_row, q.value AS observed, s.value, s.source_row AS row, sqrt((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y)) AS d FROM f q JOIN f s ON q.fold <> s.fold),
