@@ -39,10 +39,40 @@ def rule_cards(components: DataFrame, profile: str, most: int = 3) -> DataFrame:
     return components.where(F.col("rank") <= most).join(F.broadcast(rules), "direction").withColumn("limitation", limits)
 
 
-def findings(depth: DataFrame, components: DataFrame) -> DataFrame:
-    """(finding, subject, n): the depth bin with the largest share of high nodes (the first of equals), the largest
-    component, and how many components touch the boundary."""
-    deepest = depth.orderBy(F.desc("high_ratio"), "bin").limit(1).select(F.lit("dominant_depth").alias("finding"), F.col("bin").cast("long").alias("subject"), F.col("n").cast("long").alias("n"))
-    largest = components.orderBy(F.desc("support_node_count"), "component_id").limit(1).select(F.lit("largest_component").alias("finding"), F.col("component_id").cast("long").alias("subject"), F.col("support_node_count").cast("long").alias("n"))
-    contact = components.agg(F.lit("boundary_contacts").alias("finding"), F.lit(None).cast("long").alias("subject"), F.count_if("touches_grid_boundary").cast("long").alias("n"))
-    return deepest.unionByName(largest).unionByName(contact)
+def findings(depth: DataFrame | None, components: DataFrame, model: DataFrame | None = None, has_uncertainty: bool = False) -> DataFrame:
+    """(finding, subject, n, label): the depth bin with the largest share of high nodes (the first of equals; none without a
+    ``depth`` profile), the component with the largest support (of equals the one with the highest value, then the first; with
+    its nodes), how many components touch the boundary (none without one), the ``model`` (candidate, n: one row) with its rows in common, and
+    whether there is an uncertainty layer: available, missing, or not_applicable on a flat grid."""
+    row = lambda name, subject, n, label=None: [F.lit(name).alias("finding"), subject.cast("long").alias("subject"), n.cast("long").alias("n"), (F.lit(None) if label is None else label).cast("string").alias("label")]
+    none = F.lit(None)
+    largest = components.orderBy(F.desc("support_measure"), F.desc("value_max"), "component_id").limit(1).select(*row("largest_component", F.col("component_id"), F.col("support_node_count")))
+    contact = components.agg(F.count_if("touches_grid_boundary").alias("c")).where("c > 0").select(*row("boundary_contacts", none, F.col("c")))
+    layer = "not_applicable" if depth is None else "available" if has_uncertainty else "missing"
+    told = components.sparkSession.range(1).select(*row("uncertainty", none, none, F.lit(layer)))
+    out = largest.unionByName(contact).unionByName(told)
+    if depth is not None:
+        out = out.unionByName(depth.where("n > 0").orderBy(F.desc("high_ratio"), "bin").limit(1).select(*row("dominant_depth", F.col("bin"), F.col("n"))))
+    return out if model is None else out.unionByName(model.select(*row("model", none, F.col("n"), F.col("candidate"))))
+
+
+# What a property needs for the analysis made for it; the first two are told by their exact names.
+NEEDED = {"resistivity": "value_name=RHO", "microseismic_velocity": "value_name=Vx", "gas_content": "value_name∈{CH4,CH4_content,gas,gas_content}"}
+VELOCITY_UNIT, SPACE_ONLY = "value_unit=km/s", "dimension=3d"
+GAS_NAMES = ["ch4", "ch4_content", "gas", "gas_content"]
+
+
+def analysis_profiles(mappings: DataFrame) -> DataFrame:
+    """``mappings`` (value_name, value_unit, dimension, ...) with the analysis that fits: ``profile``, ``specialized``, and for
+    a generic one ``disabled``: what each special analysis lacks, in their order. Names and units are trimmed, a missing
+    dimension is 3d; another one than 3d is generic."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    name, unit, given = blank("value_name"), blank("value_unit"), F.lower(blank("dimension"))
+    deep = (given == "3d") | (given == "")
+    fits = {"resistivity": name == "RHO", "microseismic_velocity": (name == "Vx") & (unit == "km/s"), "gas_content": F.lower(name).isin(GAS_NAMES)}
+    profile = F.lit(GENERIC)
+    for k, fit in reversed(fits.items()):
+        profile = F.when(deep & fit, k).otherwise(profile)
+    lack = lambda k: F.when(fits[k], F.when(~deep, SPACE_ONLY)).when(F.lit(k == "microseismic_velocity") & (name == "Vx"), VELOCITY_UNIT).otherwise(NEEDED[k])
+    disabled = F.array(*(F.struct(F.lit(k).alias("profile"), lack(k).alias("missing")) for k in fits))
+    return mappings.withColumns({"profile": profile, "specialized": profile != GENERIC, "disabled": F.when(profile == GENERIC, disabled)})

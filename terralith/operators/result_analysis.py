@@ -12,9 +12,9 @@ from terralith.operators.shared import checkpointed
 DEPTH_BINS, MOST_COMPONENTS, LEAST_NODES = 8, 8, 2
 
 
-def analyze(result: DataFrame, value_name: str, unit: str, flat: bool = False, gates: dict[str, float] | None = None) -> dict[str, DataFrame]:
-    """{"grid", "composition", "depth", "components", "cards", "findings"} of a grid. A flat grid has no depth profile; a
-    grid without valid nodes is rejected."""
+def analyze(result: DataFrame, value_name: str, unit: str, flat: bool = False, gates: dict[str, float] | None = None, model: DataFrame | None = None) -> dict[str, DataFrame]:
+    """{"grid", "composition", "depth", "components", "cards", "findings"} of a grid. A flat grid has no depth profile; ``model``
+    (candidate, n) is what the findings say about it; a grid without valid nodes is rejected."""
     g = checkpointed(result)
     if not grid.valid(g).limit(1).count():
         raise GeoError("RESULT_ANALYSIS_NO_VALID_CELLS")
@@ -22,8 +22,7 @@ def analyze(result: DataFrame, value_name: str, unit: str, flat: bool = False, g
     if not flat:
         out["depth"] = grid.depth_profile(g, DEPTH_BINS)
     out["cards"] = interpretation.rule_cards(out["components"], interpretation.resolve_profile(value_name, unit))
-    if not flat:
-        out["findings"] = interpretation.findings(out["depth"], out["components"].where("direction = 'high'"))
+    out["findings"] = interpretation.findings(out.get("depth"), out["components"].where("direction = 'high'"), model, bool(gates))
     return out
 
 

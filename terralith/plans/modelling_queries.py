@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terralith.functions.scalar import rotation_3d, space
 from terralith.operators import anomalies, candidates, conditional, experiments, grid, interpretation, kriging, learned, metrics, neighbors, result_analysis, smoothing, survey, validation, variogram
 from terralith.operators.forests import Settings
+from terralith.plans.evaluation_queries import predictions
 from terralith.plans.grid_queries import LABELS, RANKED, event_grid
 from terralith.plans.spatial_queries import TARGETS, targets
 from terralith.plans.statistics_queries import rounded
@@ -137,7 +138,17 @@ def s12(spark, d):
 def r01(spark, d):
     g = event_grid(spark, d)
     t = anomalies.exact_quantiles(grid.valid(g), "value", [0.75])[0]
-    return interpretation.findings(grid.depth_profile(g), anomalies.components(g, t))
+    best = metrics.ranking(metrics.metrics(predictions(spark, d))).where("rank = 1").select("candidate", "n")
+    return interpretation.findings(grid.depth_profile(g), anomalies.components(g, t), best)
+
+
+def f13(spark, d):
+    """Properties as customers might have mapped them, and the analysis that fits each."""
+    k = F.col("c_custkey")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(k, pick(["RHO", "Vx", " CH4_content ", "Gas", "rho", "grade"], k).alias("value_name"), pick(["km/s", "ml/g", None, " km/s"], F.floor(k / 6)).alias("value_unit"), pick(["3d", "2D", None], F.floor(k / 24)).alias("dimension"))
+    out = interpretation.analysis_profiles(rows)
+    return out.select("c_custkey", "profile", "specialized", F.array_join(F.transform("disabled", lambda x: F.concat_ws(":", x["profile"], x["missing"])), ";").alias("disabled"))
 
 
 def r02(spark, d):
@@ -183,7 +194,7 @@ def v15(spark, d):
 QUERIES = {
     "v14_candidate_matrix": v14, "v14_resistivity_preset": v14_presets, "v15_conditional": v15,
     "i02_kriging": i02, "i02_kriging_two": i02_two, "i02_kriging_anisotropic": i02_space, "i01_inverse_distance_z_scale": i01_z, "n01_sector_ellipsoid": n01_space, "i01_inverse_distance_sectors": i01_sectors, "x01_lag_bins": x01, "g16_result_analysis": g16, "i03_smooth_interpolation": i03, "i04_forest": i04, "i04_forest_folds": i04_folds, "i05_kriging_forest": i05, "v07_candidates": v07, "s09_survey_parse": s09, "f06_three_sigma": f06,
-    "a21_exact_places": a21, "w05_line_checks": w05, "s12_inventory": s12, "r01_findings": r01, "r02_rule_cards": r02,
+    "a21_exact_places": a21, "w05_line_checks": w05, "s12_inventory": s12, "r01_findings": r01, "f13_analysis_profiles": f13, "r02_rule_cards": r02,
 }
 
 LINES = """l AS (SELECT 'L' || (user_id % 9) || '.dat' AS file, event_id + 1 AS line_no, CASE WHEN event_id % 53 = 0 THEN '  ' WHEN event_id % 41 = 0 THEN '0.' || lpad((event_id % 200)::VARCHAR, 3, '0')
@@ -237,9 +248,17 @@ ORACLE = {
     "x01_lag_bins": """WITH p AS (SELECT s_suppkey AS i, s_nationkey::DOUBLE AS x, (s_suppkey % 13)::DOUBLE AS y, s_acctbal AS v FROM supplier), h AS (SELECT sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS h, 0.5 * power(a.v - b.v, 2) AS g FROM p a JOIN p b ON a.i < b.i),
         w AS (SELECT max(h) / 12 AS w FROM h)
         SELECT least(11, greatest(0, ceil(h / w) - 1))::INT AS bin, round((any_value(least(11, greatest(0, ceil(h / w) - 1))) + 0.5) * any_value(w), 4) AS center, round(avg(g), 4) AS semivariance, count(*) AS pair_count FROM h, w GROUP BY 1""",
-    "r01_findings": f"""{LABELS}, c AS (SELECT label, count(*) AS n, bool_or(ix IN (0, 9) OR iy IN (0, 11) OR iz IN (0, 5)) AS touches FROM n JOIN l USING (id) GROUP BY label), k AS (SELECT *, row_number() OVER (ORDER BY label) AS id FROM c),
-        b AS (SELECT least(7, floor((z + 10) / 1.25))::BIGINT AS bin, count(*) AS n, count(*) FILTER (WHERE value >= hi) / count(*) AS share FROM g, q WHERE value IS NOT NULL GROUP BY 1)
-        SELECT 'dominant_depth' AS finding, bin AS subject, n FROM (SELECT * FROM b ORDER BY share DESC, bin LIMIT 1) UNION ALL SELECT 'largest_component', id, n FROM (SELECT * FROM k ORDER BY n DESC, id LIMIT 1) UNION ALL SELECT 'boundary_contacts', NULL, count(*) FILTER (WHERE touches) FROM k""",
+    "f13_analysis_profiles": """WITH m AS (SELECT c_custkey, trim(['RHO', 'Vx', ' CH4_content ', 'Gas', 'rho', 'grade'][c_custkey % 6 + 1]) AS name, coalesce(trim(['km/s', 'ml/g', NULL, ' km/s'][c_custkey // 6 % 4 + 1]), '') AS unit, coalesce(['3d', '2d', NULL][c_custkey // 24 % 3 + 1], '3d') AS dim FROM customer),
+        f AS (SELECT *, name = 'RHO' AS r, name = 'Vx' AND unit = 'km/s' AS v, lower(name) IN ('ch4', 'ch4_content', 'gas', 'gas_content') AS c FROM m),
+        p AS (SELECT *, CASE WHEN dim <> '3d' THEN 'generic_3d' WHEN r THEN 'resistivity' WHEN v THEN 'microseismic_velocity' WHEN c THEN 'gas_content' ELSE 'generic_3d' END AS profile FROM f)
+        SELECT c_custkey, profile, profile <> 'generic_3d' AS specialized, CASE WHEN profile = 'generic_3d' THEN concat_ws(';', 'resistivity:' || CASE WHEN r THEN 'dimension=3d' ELSE 'value_name=RHO' END,
+            'microseismic_velocity:' || CASE WHEN v THEN 'dimension=3d' WHEN name = 'Vx' THEN 'value_unit=km/s' ELSE 'value_name=Vx' END, 'gas_content:' || CASE WHEN c THEN 'dimension=3d' ELSE 'value_name∈{CH4,CH4_content,gas,gas_content}' END) END AS disabled FROM p""",
+    "r01_findings": f"""{LABELS}, w AS (SELECT *, CASE WHEN ix IN (0, 9) THEN 2.5 ELSE 5 END * CASE WHEN iy IN (0, 11) THEN 1 ELSE 2 END * CASE WHEN iz IN (0, 5) THEN 1 ELSE 2 END AS w FROM n JOIN l USING (id)),
+        c AS (SELECT label, count(*) AS n, sum(w) AS measure, max(value) AS top, bool_or(ix IN (0, 9) OR iy IN (0, 11) OR iz IN (0, 5)) AS touches FROM w GROUP BY label), k AS (SELECT *, row_number() OVER (ORDER BY label) AS id FROM c),
+        b AS (SELECT least(7, floor((z + 10) / 1.25))::BIGINT AS bin, count(*) AS n, count(*) FILTER (WHERE value >= hi) / count(*) AS share FROM g, q WHERE value IS NOT NULL GROUP BY 1),
+        x AS (SELECT event_id, value AS o, value + event_id % 7 - 3 AS a, value * 1.02 - 1 AS s, event_id % 37 <> 0 AND event_id % 53 <> 0 AS ok FROM events), y AS (SELECT unnest([{{'c': 'shifted', 'e': sqrt(avg((a - o) * (a - o)))}}, {{'c': 'scaled', 'e': sqrt(avg((s - o) * (s - o)))}}, {{'c': 'constant', 'e': sqrt(avg((60 - o) * (60 - o)))}}], recursive := true), count(*) AS n FROM x WHERE ok)
+        SELECT 'dominant_depth' AS finding, bin AS subject, n, NULL::VARCHAR AS label FROM (SELECT * FROM b ORDER BY share DESC, bin LIMIT 1) UNION ALL SELECT 'largest_component', id, n, NULL FROM (SELECT * FROM k ORDER BY measure DESC, top DESC, id LIMIT 1) UNION ALL SELECT 'boundary_contacts', NULL, count(*) FILTER (WHERE touches), NULL FROM k
+        UNION ALL SELECT 'uncertainty', NULL, NULL, 'missing' UNION ALL SELECT 'model', NULL, n, c FROM (SELECT * FROM y ORDER BY e LIMIT 1)""",
     "r02_rule_cards": f"""{RANKED} SELECT direction, rank, letter, CASE direction WHEN 'high' THEN 'High resistivity' ELSE 'Low resistivity' END AS title, CASE direction WHEN 'high' THEN 'often dense or dry rock, or a resistive rock type' ELSE 'often water, fractures, clay or another conductor' END AS meaning,
         CASE direction WHEN 'high' THEN 'high resistivity alone doesn''t prove sound rock' ELSE 'low resistivity alone doesn''t prove water' END || CASE WHEN touches THEN '; reaches the model''s edge, so it may be larger' ELSE '' END AS limitation FROM ranked WHERE rank <= 3""",
     "s09_survey_parse": f"WITH {LINES} SELECT file, line_no, wl, v, flags, is_valid FROM g",

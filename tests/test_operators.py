@@ -222,6 +222,10 @@ def test_anisotropy_candidates():
 def test_profiles_and_units(spark):
     for name, unit, want in (("RHO", "Ω·m", "resistivity"), (" rho ", "ohm_m", "resistivity"), ("rho", "ohm.m", "generic_3d"), ("Vx", "km / s", "microseismic_velocity"), ("vx", "m/s", "generic_3d"), ("CH4_content", "mL/g", "gas_content"), ("ch4", "m3/t", "generic_3d")):
         assert interpretation.resolve_profile(name, unit) == want
+    told = spark.createDataFrame([("RHO", None, "3d"), (" RHO ", "", None), ("RHO", "", "2d"), ("rho", "Ω·m", "3D"), ("Vx", "km/s", "3d"), ("Vx", "m/s", "3d"), ("CH4_content", None, "3d"), (None, None, None)], "value_name string, value_unit string, dimension string")
+    got = [(r["profile"], [x["missing"] for x in r["disabled"]] if r["disabled"] else None) for r in interpretation.analysis_profiles(told).collect()]
+    name, velocity, gas = interpretation.NEEDED.values()
+    assert got == [("resistivity", None), ("resistivity", None), ("generic_3d", ["dimension=3d", velocity, gas]), ("generic_3d", [name, velocity, gas]), ("microseismic_velocity", None), ("generic_3d", [name, "value_unit=km/s", gas]), ("gas_content", None), ("generic_3d", [name, velocity, gas])]
     rows = [("resistivity", "builtin_preset", "RHO", None), ("resistivity", "upload", "RHO", "ohm*m"), (None, None, "RHO", None)]
     df = spark.createDataFrame(rows, "case string, kind string, name string, unit string")
     assert [r[0] for r in df.select(property_unit(F.col("case"), F.col("kind"), F.col("name"), F.col("unit"))).collect()] == ["Ω·m", "ohm*m", None]
