@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terralith.operators import candidates
 from terralith.operators import metrics as M
 from terralith.operators import quality as Q
 from terralith.operators import validation as V
@@ -101,7 +102,33 @@ def v05(spark, d):
     return V.fold_evidence(a)
 
 
+def f03(spark, d):
+    """The contract of a table of places and values, on the events with a few spoilt rows."""
+    e, k = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    rows = e.select(F.col("user_id").cast("string").alias("X"), F.when(k % 101 == 0, "n/a").otherwise(F.hour("ts").cast("string")).alias("Y"), (-k % 50).cast("string").alias("Z"), F.when(k % 89 == 0, "-9999").when(k % 83 == 0, "NaN").otherwise(F.col("value").cast("string")).alias("RHO"))
+    return Q.contract_checks(rows)
+
+
+def f12(spark, d):
+    """Whether the hours, and the days of orders but one, are regular axes."""
+    hours = spark.read.parquet(f"{d}/events.parquet").select(F.hour("ts").cast("double").alias("coord")).distinct()
+    days = spark.read.parquet(f"{d}/orders.parquet").select(F.dayofmonth("o_orderdate").cast("double").alias("coord")).distinct().where("coord <> 7")
+    return Q.axis_check(hours).select(F.lit("hours").alias("axis"), "*").unionByName(Q.axis_check(days).select(F.lit("days").alias("axis"), "*"))
+
+
+def v06(spark, d):
+    """Out-of-fold records of a candidate against the plan and the truth, and each fold's error (A19)."""
+    p = points_2d(spark, d)
+    plan = V.with_roles(V.groups_2d(p, 5).select("source_row", "group_key", (F.col("group_key") % 2).cast("int").alias("own")), 2)
+    V.check_assignments(plan)
+    found, _ = candidates.evaluate(p, plan, [{"name": "idw", "algorithm": "idw", "parameters": {"neighbor_count": 8, "min_neighbors": 1}}])
+    oof = V.out_of_fold(p, plan, found.select("source_row", "fold_index", "predicted", "is_nodata"))
+    more = oof.groupBy("fold_index").agg(F.avg("residual").alias("bias"), F.avg("absolute_error").alias("mae"))
+    return rounded(V.fold_rmse(oof).join(more, "fold_index"), "rmse", "bias", "mae", digits=4)
+
+
 QUERIES = {
+    "f03_contract": f03, "f12_axis_check": f12, "v06_out_of_fold": v06,
     "a13_metrics": a13, "a14_common_rows": a14, "a15_nine_metrics": a15, "a17_group_metrics": a17, "a18_grouping_diagnostics": a18, "a22_residual_summary": a22,
     "a28_pair_deltas": a28, "w07_ranking": w07, "j14_baseline_check": j14, "f02_quality_issues": f02, "f04_column_summary": f04, "f05_shared_columns": f05,
     "u08_partition_identity": u08, "f11_ml_suitability": f11, "v01_groups_2d": v01, "v02_groups_3d": v02, "v05_fold_evidence": v05,
@@ -117,6 +144,17 @@ PRED = """base AS (SELECT event_id AS k, event_id + 1 AS source_row, value AS ob
     s AS (SELECT candidate, count(*) AS n, avg(abs(r)) AS mae, sqrt(avg(r * r)) AS rmse, 1 - sum(r * r) / (var_pop(observed) * count(*)) AS r2, avg(r) AS bias FROM k GROUP BY candidate)"""
 
 ORACLE = {
+    "f03_contract": """WITH r AS (SELECT user_id::DOUBLE AS x, CASE WHEN event_id % 101 <> 0 THEN hour(ts)::DOUBLE END AS y, (-event_id % 50)::DOUBLE AS z, CASE WHEN event_id % 89 = 0 THEN -9999 WHEN event_id % 83 <> 0 THEN value END AS v FROM events),
+        s AS (SELECT count(*) AS n, count(*) FILTER (WHERE x IS NULL OR y IS NULL OR z IS NULL OR v IS NULL) AS bad, count(*) FILTER (WHERE v <= 0) AS low, (SELECT count(*) FROM (SELECT DISTINCT x, y, z FROM r)) AS places FROM r)
+        SELECT 'required_columns' AS "check", true AS passed, 0::BIGINT AS n FROM s UNION ALL SELECT 'finite_cells', bad = 0, bad FROM s UNION ALL SELECT 'positive_values', low = 0, low FROM s UNION ALL SELECT 'distinct_places', places = n, n - places FROM s UNION ALL SELECT 'row_count', true, n FROM s""",
+    "f12_axis_check": """WITH a AS (SELECT DISTINCT 'hours' AS axis, hour(ts)::DOUBLE AS c FROM events UNION SELECT DISTINCT 'days', day(o_orderdate)::DOUBLE FROM orders WHERE day(o_orderdate) <> 7),
+        g AS (SELECT axis, c, c - lag(c) OVER (PARTITION BY axis ORDER BY c) AS gap FROM a)
+        SELECT axis, count(*) AS nodes, true AS increasing, count(*) >= 2 AND max(gap) - min(gap) <= 1e-6 AS even FROM g GROUP BY axis""",
+    "v06_out_of_fold": f"""WITH {SQL_2D}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts),
+        f AS MATERIALIZED (SELECT pts.*, (least(3, floor((x - x0) / ((x1 - x0) / 4))) * 4 + least(3, floor((y - y0) / ((y1 - y0) / 4))))::INT % 2 AS fold FROM pts, b),
+        d AS (SELECT q.fold, q.source_row, q.value AS observed, s.value, s.source_row AS row, sqrt((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y)) AS d FROM f q JOIN f s ON q.fold <> s.fold QUALIFY row_number() OVER (PARTITION BY q.source_row ORDER BY sqrt((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y)), s.source_row) <= 8),
+        p AS (SELECT fold, source_row, any_value(observed) AS o, sum(value / (d * d)) / sum(1 / (d * d)) AS p FROM d GROUP BY ALL)
+        SELECT fold AS fold_index, round(sqrt(avg((p - o) * (p - o))), 4) AS rmse, count(*) AS valid_count, round(avg(p - o), 4) AS bias, round(avg(abs(p - o)), 4) AS mae FROM p GROUP BY fold""",
     "a14_common_rows": f"WITH {PRED} SELECT source_row FROM c",
     "a13_metrics": f"""WITH {PRED}, o AS (SELECT candidate, count(*) AS total, count(*) FILTER (WHERE NOT is_nodata) AS own, count(*) FILTER (WHERE is_nodata) AS nodata FROM p GROUP BY candidate)
         SELECT candidate, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(bias, 6) AS bias, round(own / total, 6) AS coverage, nodata, total - n AS excluded FROM s JOIN o USING (candidate)""",

@@ -100,7 +100,21 @@ def l02(spark, d):
     return rounded(G.decimated(g, 4, "row").select("row", "value"), "value")
 
 
+def s16(spark, d):
+    """The grid's rows as a table of places and values, read back as a grid."""
+    return rounded(G.import_grid(event_grid(spark, d).select("x", "y", "z", "value").repartition("value")), "value")
+
+
+def g15(spark, d):
+    """Whether two results stand on the same nodes: another month's grid does, a preview of every second node doesn't."""
+    g = event_grid(spark, d)
+    rows = [(name, G.same_axes(g, other)) for name, other in (("shifted", event_grid(spark, d, 1)), ("preview", G.preview(g, 3, 100)))]
+    n = g.agg(F.count("value").alias("valid"))
+    return spark.createDataFrame(rows, "other string, same boolean").join(F.broadcast(n))
+
+
 QUERIES = {
+    "s16_grid_import": s16, "g15_same_axes": g15,
     "g09_gated_components": g09, "l02_decimated_nodes": l02,
     "g01_grid": g01, "g04_slice": g04, "a23_slice_statistics": a23, "a24_grid_statistics": a24, "a25_composition": a25, "a26_depth_profile": a26, "a27_grid_difference": a27,
     "g07_support": g07, "g11_trilinear": g11, "g12_snap": g12, "g13_neighbor_mean": g13, "l04_preview": l04, "g08_components": g08, "g10_ranked_components": g10,
@@ -126,6 +140,8 @@ RANKED = f"""WITH RECURSIVE {_grid()}, {Q}, n AS MATERIALIZED (SELECT g.*, ix *
     o AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY measure DESC, CASE direction WHEN 'high' THEN -highest ELSE lowest END, id)::INT AS rank FROM k),
     ranked AS (SELECT *, CASE direction WHEN 'low' THEN '低-' ELSE '' END || chr(64 + rank) AS letter FROM o WHERE rank <= 10)"""
 ORACLE = {
+    "s16_grid_import": f"WITH {_grid()} SELECT ix, iy, iz, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, round(value, 6) AS value, value IS NULL AS is_nodata FROM g",
+    "g15_same_axes": f"WITH {_grid()}, {_grid('h', 1)}, p AS (SELECT * FROM g WHERE ix % 2 = 0 AND iy % 2 = 0 AND iz % 2 = 0), n AS (SELECT count(value) AS valid FROM g) SELECT 'shifted' AS other, (SELECT count(DISTINCT (ix, iy, iz)) FROM g) = (SELECT count(*) FROM g SEMI JOIN h USING (x, y, z)) AS same, valid FROM n UNION ALL SELECT 'preview', (SELECT count(*) FROM g) = (SELECT count(*) FROM p), valid FROM n",
     "l02_decimated_nodes": f"WITH {_grid()} SELECT ix * 72 + iy * 6 + iz + 1 AS row, round(value, 6) AS value FROM g WHERE value IS NOT NULL AND (ix * 72 + iy * 6 + iz) % 4 = 0",
     "g09_gated_components": f"""WITH RECURSIVE {_grid()}, h AS (SELECT median(value) AS hi FROM g), n AS MATERIALIZED (SELECT g.*, ix * 72 + iy * 6 + iz AS id, (ix + 2 * iy + 3 * iz) % 7 / 2 AS err FROM g, h WHERE value >= hi AND (ix + 2 * iy + 3 * iz) % 7 <= 4),
         e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
