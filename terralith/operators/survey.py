@@ -14,10 +14,50 @@ from terralith.operators.errors import GeoError
 MSVC = r"^[+-]?1\.#(QNAN|SNAN|IND|INF)\d*$"
 
 
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e]"
+MISFIT = "\ufffd"  # stands for a byte that isn't ASCII
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, size, sha256, encoding, nul, text) of every file below ``path``: the whole path and its last part, what
+    was read, ascii or ascii_with_replacement (each other byte is MISFIT), the number of trailing NULs, and the text
+    without these and the line ends around them. A file is one row, as survey files are small; Spark
+    doesn't list files without a byte, which ``inventory`` reports as missing."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    whole = F.decode("content", "ISO-8859-1")  # one character a byte
+    body = F.regexp_replace(whole, "[\r\n]+$", "")
+    kept = F.regexp_replace(F.regexp_replace(body, "\u0000+$", ""), "[\r\n]+$", "")
+    rows = raw.select(F.col("path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.length(body) - F.length(F.regexp_replace(body, "\u0000+$", ""))).cast("bigint").alias("nul"), kept.alias("kept"))
+    plain = F.regexp_replace("kept", "[\u0080-\u00ff]", MISFIT)
+    return rows.select("file", "name", "size", "sha256", F.when(plain == F.col("kept"), "ascii").otherwise("ascii_with_replacement").alias("encoding"), "nul", plain.alias("text"))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(file, line_no, text) of ``read_files``; files of one name in two folders stay apart. An empty file has no line."""
+    lines = F.when(F.col("text") != "", F.split("text", LINE_END))
+    return files.select("file", F.posexplode(lines).alias("i", "text")).select("file", (F.col("i") + 1).alias("line_no"), "text")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, text) of every file below ``path``; trailing NULs and line ends are taken off."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"))
-    return files.select("file", F.posexplode(F.split(F.regexp_replace("text", "[\\r\\n\\x00]+$", ""), "\r?\n")).alias("i", "text")).select("file", (F.col("i") + 1).alias("line_no"), "text")
+    return lines_of(read_files(spark, path))
+
+
+def manifest(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """A row for each file: what it is, how many records it has and how many are valid, and its issues: SOURCE_NUL_TERMINATOR,
+    ENCODING_FALLBACK, and each kind of flag of its records, in the order of their names."""
+    flags = parsed.select("file", F.explode(F.split("flags", ";")).alias("flag")).where("flag <> ''").groupBy("file").agg(F.array_sort(F.collect_set("flag")).alias("flags"))  # a dozen kinds
+    counts = parsed.groupBy("file").agg(F.count("*").alias("records"), F.count_if("is_valid").alias("valid"))
+    out = files.drop("text").join(counts, "file", "left").join(flags, "file", "left")
+    issues = F.concat(F.array_compact(F.array(F.when(F.col("nul") > 0, "SOURCE_NUL_TERMINATOR"), F.when(F.col("encoding") != "ascii", "ENCODING_FALLBACK"))), F.coalesce("flags", F.array().cast("array<string>")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("file", "name", "size", "sha256", "encoding", "nul", zero("records"), zero("valid"), issues.alias("issues"))
+
+
+def hash_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file, before, after, state): the hashes of two snapshots (file, sha256); unchanged, changed, gone or new."""
+    a, b = before.select("file", F.col("sha256").alias("before")), after.select("file", F.col("sha256").alias("after"))
+    state = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(F.col("before") == F.col("after"), "unchanged").otherwise("changed")
+    return a.join(b, "file", "full_outer").withColumn("state", state)
 
 
 def token_flag(token: Column) -> Column:
@@ -30,7 +70,7 @@ def parse(lines: DataFrame) -> DataFrame:
     """(file, line_no, wl_raw, v_raw, wl, v, flags, is_valid): the first line that isn't blank is the header."""
     filled = lines.where(F.trim("text") != "")
     first = filled.groupBy("file").agg(F.min("line_no").alias("header"))
-    rows = filled.join(F.broadcast(first), "file").where(F.col("line_no") > F.col("header"))
+    rows = filled.join(first, "file").where(F.col("line_no") > F.col("header"))
     t = F.split(F.trim("text"), r"\s+")
     rows = rows.select("file", "line_no", F.size(t).alias("n"), F.get(t, F.lit(0)).alias("wl_raw"), F.get(t, F.lit(1)).alias("v_raw"))
     a, b = token_flag(F.col("wl_raw")), token_flag(F.col("v_raw"))
