@@ -10,7 +10,7 @@ from terralith.operators import grid as G
 from terralith.operators import survey, validation, voxels
 from terralith.plans.grid_queries import event_grid
 from terralith.plans.statistics_queries import rounded
-from terralith.sources import stored
+from terralith.sources import provenance, stored
 from terralith.sources.points import SQL_2D, SQL_3D, points_2d, points_3d
 
 
@@ -178,7 +178,17 @@ def s15(spark, d):
     return rounded(rows.agg(F.count("*").alias("n"), F.sum("p_size").alias("size"), F.avg("p_retailprice").alias("price")), "price")
 
 
+def s22(spark, d):
+    """The keys of a provenance table with every kind of failure, against the rows it stands beside."""
+    k = F.col("event_id")
+    rows = spark.read.parquet(f"{d}/events.parquet").select((k + 1).alias("source_row"), k)
+    kept = rows.where(k % 97 != 0)
+    table = kept.select(F.when(k % 83 != 0, F.col("source_row")).alias("source_row")).unionByName(kept.where(k % 89 == 0).select((-k).alias("source_row"))).unionByName(kept.where(k % 71 == 0).select("source_row"))
+    return provenance.key_counts(table, rows.select("source_row"))
+
+
 QUERIES = {
+    "s22_provenance_keys": s22,
     "j02_candidate_chain": j02, "w10_latest_runs": w10, "w11_next_versions": w11, "l06_newest_runs": l06, "u07_case_cards": u07, "a32_case_counts": a32, "v17_catalog": v17, "v11_baselines": v11,
     "v12_mismatches": v12, "v12_ranking": v12_ranking, "v18_preparation": v18, "i06_capabilities": i06, "v10_presets": v10, "v08_experiment_run": v08, "g03_axes": g03, "g05_chart_slice": g05,
     "k08_slice_rows": k08, "p15_render_profile": p15, "l03_bounded_rows": l03, "a30_voxel_conflicts": a30, "a30_voxel_cells": a30_cells, "f10_voxel_rules": f10, "a29_line_totals": a29, "s13_predictions": s13, "s15_preset": s15,
@@ -193,6 +203,9 @@ TILES = "t AS (SELECT 't' || (event_id % 7) AS tile, round(user_id % 40 + 0.0004
 GRID = """g AS (SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, ix * 5.0::DOUBLE AS x, iy * 2.0::DOUBLE AS y, (iz * 2.0 - 10)::DOUBLE AS z, CASE WHEN (ix * 7 + iy * 3 + iz) % 11 <> 0 THEN m END AS value
     FROM range(10) a(ix) CROSS JOIN range(12) b(iy) CROSS JOIN range(6) c(iz) LEFT JOIN (SELECT user_id % 10 AS ex, hour(ts) % 12 AS ey, event_id % 6 AS ez, avg(value) AS m FROM events GROUP BY ALL) ON ix = ex AND iy = ey AND iz = ez)"""
 ORACLE = {
+    "s22_provenance_keys": """WITH r AS (SELECT event_id AS k, event_id + 1 AS key FROM events), t AS (SELECT CASE WHEN k % 83 <> 0 THEN key END AS key FROM r WHERE k % 97 <> 0 UNION ALL SELECT -k FROM r WHERE k % 97 <> 0 AND k % 89 = 0 UNION ALL SELECT key FROM r WHERE k % 97 <> 0 AND k % 71 = 0)
+        SELECT (SELECT count(*) FROM t WHERE key IS NULL) AS null_keys, (SELECT count(*) FROM (SELECT key FROM t WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1)) AS repeated_keys, (SELECT count(DISTINCT key) FROM t WHERE key IN (SELECT key FROM r)) AS matched,
+               (SELECT count(DISTINCT key) FROM r ANTI JOIN t USING (key)) AS unmatched, (SELECT count(DISTINCT key) FROM t WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM r)) AS unused, (SELECT count(*) FROM (SELECT key FROM r GROUP BY key HAVING count(*) > 1)) AS repeated_rows""",
     "j02_candidate_chain": f"WITH {CHAIN} SELECT candidate_id, run_id, experiment_id, dataset, selectable FROM c",
     "w10_latest_runs": f"WITH {CHAIN} SELECT experiment_id, run_id, run_status AS status FROM r QUALIFY row_number() OVER (PARTITION BY experiment_id ORDER BY created_at DESC, run_id DESC) = 1",
     "w11_next_versions": "SELECT l_orderkey AS dataset, max(l_linenumber) + 1 AS next FROM lineitem GROUP BY l_orderkey",

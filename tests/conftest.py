@@ -4,6 +4,7 @@ import tempfile
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # the driver's small dense systems, beside busy tasks
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
