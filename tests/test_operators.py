@@ -114,7 +114,7 @@ def test_kriging_is_exact_and_unbiased(spark):
 def test_variogram_fit_recovers_the_model():
     h = np.linspace(1, 30, 15)
     for model in variogram.MODELS:
-        gamma = 2 + 5 * variogram._shape(h, model, 11.0)
+        gamma = 2 + 5 * variogram.variogram_shape(h / 11.0, model, np.exp, np.where)
         fit = variogram.fit(h, gamma, np.full(15, 100), model)
         assert abs(fit["nugget"] - 2) < 1e-3 and abs(fit["partial_sill"] - 5) < 1e-2 and abs(fit["range"] - 11) < 1e-2
     assert shared.largest_remainders({0: 5, 1: 5, 2: 1}, 4) == {0: 2, 1: 2, 2: 0}
