@@ -4,7 +4,8 @@ Every three consecutive lines are hashed as a window, by two hashes of 96 bits t
 size of the corpus).  A window that occurs more than once in the corpus is kept where
 it occurs first (smallest id, then smallest line) and covers its three lines everywhere else; the union of covered
 lines of a document is removed.  The windows are counted with partial aggregation (a window that fills a third of the
-corpus is one row per task by then), and only the windows with a count over one meet the others in a join.
+corpus is one row per task by then), and only the windows with a count over one meet the others in a join.  The covered lines
+grow with the corpus, so they meet the texts in a shuffle at any size.
 
 A blank line has a fixed value of its own within a window, so the place of a blank tells windows apart.
 """
@@ -67,7 +68,7 @@ def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, size: int =
     text = F.col(f"`{text_col}`")
     lines = _lines(text)
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone_lines)), lambda i: x[i]), "\n"))
-    out = df.join(gone, (F.col(f"`{id_col}`") == F.col(there)) & (F.xxhash64(text) == F.col(own)), "left")
+    out = df.join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col(there)) & (F.xxhash64(text) == F.col(own)), "left")
     return out.select(
         *(F.when(F.col(gone_lines).isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in ("_n_lines", "_n_removed")),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("_n_lines"),
