@@ -175,13 +175,6 @@ def v14(spark, d):
     return rounded(experiments.run(p, two_folds(p), found, ["x", "y", "z"]), "mae", "rmse", "r2", "bias", "coverage", digits=3)
 
 
-def v14_presets(spark, d):
-    """The seven candidates of the resistivity preset, smooth interpolation among them."""
-    p = places_3d(spark, d)
-    found = [c | {"name": f"{i:02d}-{c['algorithm']}"} for i, c in enumerate(experiments.preset_candidates("resistivity"))]
-    return rounded(experiments.run(p, two_folds(p), found, ["x", "y", "z"]), "mae", "rmse", "r2", "bias", "coverage", digits=4)
-
-
 def v15(spark, d):
     """Smooth interpolation and inverse distance behind the gates; the latter has values beyond the samples' bounds."""
     p = places_3d(spark, d)
@@ -192,7 +185,7 @@ def v15(spark, d):
 
 
 QUERIES = {
-    "v14_candidate_matrix": v14, "v14_resistivity_preset": v14_presets, "v15_conditional": v15,
+    "v14_candidate_matrix": v14, "v15_conditional": v15,
     "i02_kriging": i02, "i02_kriging_two": i02_two, "i02_kriging_anisotropic": i02_space, "i01_inverse_distance_z_scale": i01_z, "n01_sector_ellipsoid": n01_space, "i01_inverse_distance_sectors": i01_sectors, "x01_lag_bins": x01, "g16_result_analysis": g16, "i03_smooth_interpolation": i03, "i04_forest": i04, "i04_forest_folds": i04_folds, "i05_kriging_forest": i05, "v07_candidates": v07, "s09_survey_parse": s09, "f06_three_sigma": f06,
     "a21_exact_places": a21, "w05_line_checks": w05, "s12_inventory": s12, "r01_findings": r01, "f13_analysis_profiles": f13, "r02_rule_cards": r02,
 }
