@@ -12,6 +12,7 @@ from terralith.functions.quantiles import exact_quantiles
 from terralith.functions.scalar import in_space, variogram_shape
 from terralith.operators.binning import lag_index
 from terralith.operators.errors import GeoError
+from terralith.operators.neighbors import place_pairs, places
 from terralith.operators.shared import checkpointed, largest_remainders, numbered
 
 MODELS = ("spherical", "exponential", "gaussian")
@@ -19,10 +20,15 @@ ANGLE_GUARD = 1e-9
 FLOOR = 1e-9
 
 
-def binned(pairs: DataFrame, width: float, bins: int, min_pairs: int = 30, direction: str | None = None) -> DataFrame:
+def binned(pairs: DataFrame, width: float, bins: int, min_pairs: int = 30, direction: str | None = None, reach: float | None = None) -> DataFrame:
     """One row per bin: bounds, mean distance, semivariance, pairs, whether it is fit for a fit, and why not.
-    ``pairs``: h, gamma. Pairs beyond the last bin are left out; inner edges belong to the lower bin."""
-    found = pairs.where(F.col("h") <= width * bins).groupBy(F.least(lag_index(F.col("h"), width), F.lit(bins - 1)).alias("bin")).agg(F.avg("h").alias("mean_distance"), F.avg("gamma").alias("semivariance"), F.count("*").alias("pair_count"))
+    ``pairs``: h, gamma; or the sums of ``neighbors.place_pairs``. Pairs beyond the last bin (or ``reach``) are left out; inner
+    edges belong to the lower bin."""
+    near = pairs.where(F.col("h") <= (width * bins if reach is None else reach)).groupBy(F.least(lag_index(F.col("h"), width), F.lit(bins - 1)).alias("bin"))
+    if "pairs" in pairs.columns:
+        found = near.agg((F.sum(F.col("h") * F.col("pairs")) / F.sum("pairs")).alias("mean_distance"), (F.sum("gamma") / F.nullif(F.sum("gammas"), F.lit(0))).alias("semivariance"), F.sum("pairs").alias("pair_count"))
+    else:
+        found = near.agg(F.avg("h").alias("mean_distance"), F.avg("gamma").alias("semivariance"), F.count("*").alias("pair_count"))
     every = pairs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), (F.col("id") * width).alias("lower"), ((F.col("id") + 1) * width).alias("upper"))
     out = every.join(F.broadcast(found), "bin", "left").withColumn("pair_count", F.coalesce("pair_count", F.lit(0)))
     used = F.col("pair_count") >= min_pairs
@@ -142,12 +148,16 @@ def fit_bins(bins: DataFrame, model: str) -> dict:
 LAGS, MOST_PAIRS = 12, 50_000
 
 
-def lag_bins(points: DataFrame, bins: int = LAGS, most: int = MOST_PAIRS, axes: list[str] | None = None) -> DataFrame:
+def lag_bins(points: DataFrame, bins: int = LAGS, most: int | None = MOST_PAIRS, axes: list[str] | None = None) -> DataFrame:
     """(bin, center, semivariance, pair_count): lags of equal width up to the longest distance, over all pairs or, where
-    these are more, a sample of ``most``. Lags without a pair take the line between their neighbours, by lag number."""
-    pairs = sampled_pairs(points, most, oversample=1, axes=axes)
-    top = pairs.agg(F.max("h")).first()[0] or 1.0
-    rows = {r["bin"]: r for r in binned(pairs, top / bins, bins, 1).collect()}  # as many rows as bins
+    these are more, a sample of ``most``; None: over all pairs, however many. Lags without a pair take the line between
+    their neighbours, by lag number."""
+    pairs = place_pairs(checkpointed(places(points, axes)), None, axes) if most is None else sampled_pairs(points, most, oversample=1, axes=axes)
+    top = pairs.agg(F.max("h")).first()[0]
+    if top is None:
+        raise GeoError("VARIOGRAM_INPUT_INVALID")
+    reach, top = top, top or 1.0
+    rows = {r["bin"]: r for r in binned(pairs, top / bins, bins, 1, reach=reach).collect()}  # as many rows as bins
     seen = [i for i in range(bins) if rows[i]["pair_count"]]
     filled = np.interp(np.arange(bins), seen, [rows[i]["semivariance"] for i in seen])
     return points.sparkSession.createDataFrame([(i, rows[i]["center"], float(filled[i]), rows[i]["pair_count"]) for i in range(bins)], "bin int, center double, semivariance double, pair_count bigint")

@@ -45,11 +45,11 @@ def n02(spark, d):
 
 
 def pairs(spark, d):
-    return N.within_radius_pairs(points_2d(spark, d), WIDTH * BINS)
+    return N.place_pairs(checkpointed(N.places(points_2d(spark, d))), WIDTH * BINS)
 
 
 def j09(spark, d):
-    return pairs(spark, d).groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("h"), 6).alias("h"))
+    return N.within_radius_pairs(points_2d(spark, d), WIDTH * BINS).groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("h"), 6).alias("h"))
 
 
 def x02(spark, d):
