@@ -43,3 +43,23 @@ def test_bins_over_places_hold_every_pair(spark, rows, azimuth):
     for r, (n, h, g) in zip(got, expected(want, 1.0, 3), strict=True):
         assert r["pair_count"] == n
         assert (r["mean_distance"], r["semivariance"]) == pytest.approx((h, g))
+
+
+def test_lags_over_all_pairs_sample_none(spark, rows):
+    points = spark.createDataFrame(rows, SCHEMA)
+    want = list(every_pair(rows))
+    top = max(h for h, *_ in want)
+    got = variogram.lag_bins(points, 4, None).orderBy("bin").collect()
+    assert sum(r["pair_count"] for r in got) == len(want) == 90 * 89 // 2
+    for b, r in enumerate(got):
+        mine = [g for h, _, _, g in want if max(0, min(3, np.ceil(h / (top / 4)) - 1)) == b and g is not None]
+        assert r["semivariance"] == pytest.approx(np.mean(mine))
+
+
+def test_lag_query_counts_all_pairs_of_a_larger_table(spark, tmp_path):
+    """1,500 suppliers have more pairs (1,124,250) than the sample held."""
+    from terralith.plans.modelling_queries import x01
+
+    i = "id as s_suppkey, id % 25 as s_nationkey, cast(id * 37 % 1000 as double) as s_acctbal"
+    spark.range(1500).selectExpr(*i.split(", ")).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sum(r["pair_count"] for r in x01(spark, str(tmp_path)).collect()) == 1500 * 1499 // 2
