@@ -49,7 +49,7 @@ def pairs(spark, d):
 
 
 def j09(spark, d):
-    return N.within_radius_pairs(points_2d(spark, d), WIDTH * BINS).groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("h"), 6).alias("h"))
+    return rounded(N.later_within_radius(points_2d(spark, d), WIDTH * BINS), "h")
 
 
 def x02(spark, d):

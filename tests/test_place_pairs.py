@@ -63,3 +63,16 @@ def test_lag_query_counts_all_pairs_of_a_larger_table(spark, tmp_path):
     i = "id as s_suppkey, id % 25 as s_nationkey, cast(id * 37 % 1000 as double) as s_acctbal"
     spark.range(1500).selectExpr(*i.split(", ")).write.parquet(f"{tmp_path}/supplier.parquet")
     assert sum(r["pair_count"] for r in x01(spark, str(tmp_path)).collect()) == 1500 * 1499 // 2
+
+
+@pytest.mark.parametrize("most", [1000, 25])
+def test_later_rows_within_a_radius(spark, rows, most):
+    got = {r["i"]: (r["n"], r["h"]) for r in neighbors.later_within_radius(spark.createDataFrame(rows, SCHEMA), 1.5, most=most).collect()}
+    want = {}
+    for (i, ax, ay, _), (_, bx, by, _) in combinations(rows, 2):
+        h = float(np.hypot(bx - ax, by - ay))
+        if h <= 1.5:
+            n, total = want.get(i, (0, 0.0))
+            want[i] = n + 1, total + h
+    assert set(got) == set(want)
+    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1]) for i in want)
