@@ -195,9 +195,8 @@ def _weighted(near: DataFrame, tasks: list[_Task]) -> DataFrame:
     """(number, query_id, value) of all inverse-distance tasks: one grouping."""
     rows = near.sparkSession.createDataFrame([(t.number, t.search, float(t.parameters["power"]), t.parameters["neighbor_count"], t.parameters["search_radius"], t.parameters["min_neighbors"]) for t in tasks], "number int, search int, power double, most int, reach double, least int")
     met = near.join(F.broadcast(rows), "search").where("k <= most and (reach is null or d < reach)")  # a row for each candidate
-    w, apart = 1 / F.pow("d", "power"), F.col("d") > neighbors.EXACT
-    at = F.min(F.when(~apart, F.struct("d", "source_row", "value")))
-    found = met.groupBy("number", "least", "query_id").agg(F.count("*").alias("n"), at.alias("at"), (F.sum(F.when(apart, w * F.col("value"))) / F.sum(F.when(apart, w))).alias("mean"))
+    at = F.min(F.when(F.col("d") <= neighbors.EXACT, F.struct("d", "source_row", "value")))
+    found = met.groupBy("number", "least", "query_id").agg(F.count("*").alias("n"), at.alias("at"), neighbors.weighted_mean(F.col("power")).alias("mean"))
     return found.select("number", "query_id", F.when(F.col("n") >= F.col("least"), F.coalesce("at.value", "mean")).alias("value"))
 
 

@@ -76,3 +76,17 @@ def test_later_rows_within_a_radius(spark, rows, most):
             want[i] = n + 1, total + h
     assert set(got) == set(want)
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1]) for i in want)
+
+
+def test_weighted_mean_adds_in_the_order_of_distance(spark):
+    """Eight rows at one distance: the sum of value / d ** 2 in their order, whatever order they come in."""
+    rng = np.random.default_rng(5)
+    d, values = 0.7826237921249262, (rng.random(8) * 500_000).round(2).tolist()
+    top = below = 0.0
+    for v in values:  # sum() makes up for lost digits
+        top, below = top + v / (d * d), below + 1 / (d * d)
+    want = top / below
+    near = [(0, i, v, d) for i, v in enumerate(values)]
+    for order in (near, near[::-1]):
+        table = spark.createDataFrame([(0,)], "query_id long"), spark.createDataFrame(order, "query_id long, source_row long, value double, d double")
+        assert neighbors.weighted(*table).first()["value"] == want
