@@ -23,7 +23,11 @@ from terralith.operators.shared import checkpointed
 
 LOCAL = 200_000  # rows of a problem or node that a task finishes
 BINS = 64
+TIE = 1e-12  # scores as near as this are equal: the first cut of the first feature counts, whatever order rows were added in
 TREES_PER_TASK = 5
+MOST_PLACES = 50_000  # of a problem, where rows are added up by places
+SHARES = 8  # tasks among which the rows of a place are dealt
+HELD_BYTES = 64 * 2**20  # sums that a task holds
 COPIES = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])  # Poisson with mean 1
 
 
@@ -82,9 +86,11 @@ def _allowed(rng: np.random.Generator, nodes: int, total: int, share: float) ->
     return np.argsort(np.argsort(rng.random((nodes, total)), axis=1), axis=1) < max(1, int(share * total))
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, leaf: int, share: float, rng: np.random.Generator) -> Tree:
-    """A tree by exact cuts that lower the squared error most; a leaf holds at least ``leaf`` different rows."""
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, leaf: int, share: float, rng: np.random.Generator, rows: np.ndarray | None = None) -> Tree:
+    """A tree by exact cuts that lower the squared error most; a leaf holds at least ``leaf`` different rows. ``rows``: how many
+    rows an entry stands for (then ``y`` is their mean); each one, where it isn't given."""
     n, total = x.shape
+    grouped = np.ones(n) if rows is None else rows.astype(float)
     orders = [np.argsort(x[:, f], kind="stable") for f in range(total)]
     wy = w * y
     parts: list[tuple[np.ndarray, ...]] = []
@@ -100,13 +106,14 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, leaf: int, sha
         if left_over:
             start = np.cumsum(size) - size
             allowed = _allowed(rng, level, total, share)
-            first = np.repeat(start, size)
-            rank = np.arange(len(first)) - first + 1
             of = np.repeat(np.arange(level), size)
-            room = (rank >= leaf) & (size[of] - rank >= leaf)
+            held = np.bincount(at[orders[0]], grouped[orders[0]], level)
             for f in range(total):
                 o = orders[f]
                 values = x[o, f]
+                rank = np.cumsum(grouped[o])
+                rank = rank - (rank[start] - grouped[o[start]])[of]
+                room = (rank >= leaf) & (held[of] - rank >= leaf)
                 w_left, s_left = np.cumsum(w[o]), np.cumsum(wy[o])
                 w_left, s_left = w_left - (w_left[start] - w[o[start]])[of], s_left - (s_left[start] - wy[o[start]])[of]
                 good = room & allowed[of, f]
@@ -119,10 +126,10 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, leaf: int, sha
                 score = ls**2 / lw + (total_wy[of[k]] - ls) ** 2 / (weight[of[k]] - lw)
                 own, begin = np.unique(of[k], return_index=True)
                 top = np.maximum.reduceat(score, begin)
-                hit = np.flatnonzero(score == np.repeat(top, np.diff(np.append(begin, len(k)))))
+                hit = np.flatnonzero(score >= np.repeat(top * (1 - TIE), np.diff(np.append(begin, len(k)))))
                 _, one = np.unique(of[k[hit]], return_index=True)
                 place = k[hit[one]]
-                better = top > best[own]
+                better = top > best[own] * (1 + TIE)
                 own, place = own[better], place[better]
                 best[own], feature[own], cut[own] = top[better], f, (values[place] + values[place + 1]) / 2
         split = feature >= 0
@@ -320,21 +327,109 @@ def _depth(tree: Tree, node: int) -> int:
     return depth
 
 
+def _tallies(axes: list[str], problems: dict[int, _Problem]):
+    """What a task's rows at each place add up to in each tree: copies, copies of values, and rows that were drawn."""
+
+    def told(p: _Problem, places: dict[bytes, int], sums: np.ndarray, plain: np.ndarray):
+        at = np.array([np.frombuffer(k) for k in places])
+        for first in range(0, p.settings.trees, TREES_PER_TASK):
+            part = sums[:, : len(places), first : first + TREES_PER_TASK]
+            for i in range(0, len(places), 5000):
+                n = len(at[i : i + 5000])
+                lists = [pa.array(list(part[j, i : i + 5000]), pa.list_(pa.float64())) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p.key), pa.int32()), pa.array(np.full(n, first), pa.int32()), *(pa.array(at[i : i + 5000, j]) for j in range(len(axes))), *lists, *(pa.array(plain[j, i : i + n]) for j in range(2))], names=["problem", "tree", *axes, "w", "s", "n", "total", "rows"])
+
+    def run(batches):
+        held: dict[int, tuple[dict[bytes, int], np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            key, row, y = batch.column("problem").to_numpy(), batch.column("row").to_numpy(), batch.column("value").to_numpy()
+            x = np.stack([batch.column(a).to_numpy() for a in axes], axis=1) + 0.0
+            for k in np.unique(key).tolist():
+                p, mine = problems[k], key == k
+                own, inverse = np.unique(x[mine], axis=0, return_inverse=True)
+                inverse = inverse.reshape(-1)
+                places, sums, plain = held.get(k) or ({}, np.zeros((3, 0, p.settings.trees)), np.zeros((2, 0)))
+                index = np.array([places.setdefault(v.tobytes(), len(places)) for v in own])
+                if len(places) > sums.shape[1]:
+                    more = max(len(places), 2 * sums.shape[1]) - sums.shape[1]
+                    sums, plain = np.pad(sums, ((0, 0), (0, more), (0, 0))), np.pad(plain, ((0, 0), (0, more)))
+                count = lambda v: np.bincount(inverse, v, len(own))  # noqa: B023, E731
+                plain[0, index] += count(y[mine])
+                plain[1, index] += count(None)
+                for t in range(p.settings.trees):
+                    w = copies(row[mine], p.settings.seed, k, t)
+                    for j, v in enumerate((w, w * y[mine], w > 0)):
+                        sums[j, index, t] += count(v)
+                held[k] = places, sums, plain
+                if sums.nbytes > HELD_BYTES:
+                    yield from told(p, *held.pop(k))
+        for k, one in held.items():
+            yield from told(problems[k], *one)
+
+    return run
+
+
+def _grown(axes: list[str], problems: dict[int, _Problem]):
+    """Grows the trees of a group on places and answers its queries."""
+
+    def run(group: pa.Table, asked: pa.Table) -> pa.Table:
+        found, k, first, ids = [], 0, 0, np.zeros(0, np.int64)
+        if len(group) and len(asked):
+            k, first = group.column("problem")[0].as_py(), group.column("tree")[0].as_py()
+            p, ids = problems[k], asked.column("query_id").to_numpy()
+            s = p.settings
+            own, inverse = np.unique(np.stack([group.column(a).to_numpy() for a in axes], axis=1), axis=0, return_inverse=True)
+            add = lambda v: np.bincount(inverse.reshape(-1), v, len(own))
+            x, ask = features(own, p.centre, p.scale), features(np.stack([asked.column(a).to_numpy() for a in axes], axis=1), p.centre, p.scale)
+            lists = [np.array(group.column(c).combine_chunks().flatten()).reshape(len(group), -1) for c in ("w", "s", "n")]
+            mean = float(group.column("total").to_numpy().sum() / group.column("rows").to_numpy().sum())
+            for t in range(first, min(first + TREES_PER_TASK, s.trees)):
+                w, wy, n = (add(v[:, t - first]) for v in lists)
+                use = w > 0
+                if not use.any():
+                    found.append(np.full(len(ask), mean))
+                    continue
+                tree = grow(x[use], wy[use] / w[use], w[use], s.depth, s.leaf, s.share, np.random.default_rng((s.seed, k, t, 0)), n[use])
+                found.append(tree.value[tree.find(ask)])
+        each = list(np.stack(found, axis=1)) if found else []
+        return pa.table({"problem": pa.array(np.full(len(ids), k), pa.int32()), "query_id": pa.array(ids), "first": pa.array(np.full(len(ids), first), pa.int32()), "found": pa.array(each, pa.list_(pa.float64()))})
+
+    return run
+
+
 def predict_forests(samples: DataFrame, queries: DataFrame, settings: dict[int, Settings], axes: list[str]) -> DataFrame:
     """(problem, query_id, value, spread): mean and population deviation of the trees' answers. ``samples``: problem, source_row, axes,
     value (all finite); ``queries``: problem, query_id, axes. Problems without samples have no rows."""
-    rows = samples.select("problem", F.col("source_row").cast("bigint").alias("row"), *(F.col(a).cast("double") for a in axes), F.col("value").cast("double").alias("value"), F.lit(False).alias("asks"))
-    rows = rows.unionByName(queries.select("problem", F.col("query_id").cast("bigint").alias("row"), *(F.col(a).cast("double") for a in axes), F.lit(0.0).alias("value"), F.lit(True).alias("asks")))
-    rows = checkpointed(rows.where(F.col("problem").isin(*settings)))
+    place = [F.col("problem").cast("int").alias("problem"), *((F.col(a).cast("double") + 0.0).alias(a) for a in axes)]
+    samples = checkpointed(samples.where(F.col("problem").isin(*settings)).select(*place, F.col("source_row").cast("bigint").alias("row"), F.col("value").cast("double").alias("value")))
+    asked = checkpointed(queries.where(F.col("problem").isin(*settings)).select(*place, F.col("query_id").cast("bigint").alias("query_id")))
+    # A place is asked about once.
+    spots = checkpointed(asked.select("problem", *axes).distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    held = {r["problem"]: r["n"] for r in samples.select("problem", *axes).distinct().groupBy("problem").agg(F.count("*").alias("n")).collect()}
     problems = {}
-    for r in rows.where(~F.col("asks")).groupBy("problem").agg(F.count("*").alias("n"), *(f(a).alias(f"{a}{i}") for a in axes for i, f in enumerate((F.avg, F.stddev_pop)))).collect():  # a row for each problem
+    for r in samples.groupBy("problem").agg(F.count("*").alias("n"), *(f(a).alias(f"{a}{i}") for a in axes for i, f in enumerate((F.avg, F.stddev_pop)))).collect():  # a row for each problem
         problems[r["problem"]] = _Problem(r["problem"], settings[r["problem"]], r["n"], np.array([r[f"{a}0"] for a in axes]), np.array([r[f"{a}1"] or 1.0 for a in axes]))
-    _upper_levels(rows, axes, problems)
-    names = [f"f{j}" for j in range(10 if len(axes) == 3 else 6)]
-    dealt = rows.mapInArrow(_deal(axes, problems, names), f"problem int, tree int, node int, row bigint, {', '.join(f'{n} double' for n in names)}, value double, asks boolean")
-    told = dealt.groupBy("problem", "tree", "node").applyInArrow(_answers(problems, names), "problem int, query_id bigint, first int, found array<double>")
+    repeated = {k: p for k, p in problems.items() if held[k] <= MOST_PLACES and 2 * held[k] <= p.rows}
+    single = {k: p for k, p in problems.items() if k not in repeated}
+    told = None
+    if repeated:
+        kinds = f"problem int, tree int, {', '.join(f'{a} double' for a in axes)}, w array<double>, s array<double>, n array<double>, total double, rows double"
+        mine = samples.where(F.col("problem").isin(*repeated)).repartition("problem", *axes, F.pmod("row", F.lit(SHARES)))
+        tallied = mine.mapInArrow(_tallies(axes, repeated), kinds)
+        firsts = F.element_at(F.create_map(*(F.lit(x) for k, p in repeated.items() for x in (k, p.settings.trees - 1))), F.col("problem"))
+        ask = spots.where(F.col("problem").isin(*repeated)).select("problem", F.explode(F.sequence(F.lit(0), firsts, F.lit(TREES_PER_TASK))).alias("tree"), *axes, F.col("_spot").alias("query_id"))
+        told = tallied.groupBy("problem", "tree").cogroup(ask.groupBy("problem", "tree")).applyInArrow(_grown(axes, repeated), "problem int, query_id bigint, first int, found array<double>")
+    if single or not problems:
+        rows = samples.withColumn("asks", F.lit(False)).select("problem", "row", *axes, "value", "asks")
+        rows = rows.unionByName(spots.select("problem", F.col("_spot").alias("row"), *axes, F.lit(0.0).alias("value"), F.lit(True).alias("asks"))).where(F.col("problem").isin(*single))
+        _upper_levels(rows, axes, single)
+        names = [f"f{j}" for j in range(10 if len(axes) == 3 else 6)]
+        dealt = rows.mapInArrow(_deal(axes, single, names), f"problem int, tree int, node int, row bigint, {', '.join(f'{n} double' for n in names)}, value double, asks boolean")
+        part = dealt.groupBy("problem", "tree", "node").applyInArrow(_answers(single, names), "problem int, query_id bigint, first int, found array<double>")
+        told = part if told is None else told.unionByName(part)
     every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "found"))), lambda s: s["found"]))
     out = told.groupBy("problem", "query_id").agg(every.alias("e"))  # as many numbers as trees
     n = F.size("e")
     out = out.withColumn("value", F.aggregate("e", F.lit(0.0), lambda a, b: a + b) / n)
-    return out.select("problem", "query_id", "value", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, b: a + (b - F.col("value")) * (b - F.col("value"))) / n).alias("spread"))
+    out = out.select("problem", F.col("query_id").alias("_spot"), "value", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, b: a + (b - F.col("value")) * (b - F.col("value"))) / n).alias("spread"))
+    return asked.join(spots.join(out, ["problem", "_spot"]), ["problem", *axes]).select("problem", "query_id", "value", "spread")

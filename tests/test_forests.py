@@ -94,3 +94,21 @@ def test_large_nodes_are_cut_by_histograms(spark, monkeypatch):
         errors.append(float(np.sqrt(np.mean((np.array([v for _, v in out]) - value(q)) ** 2))))
     assert errors[1] != errors[0]
     assert errors[1] < errors[0] * 1.3 + 0.02 and errors[0] < 0.5
+
+
+def test_rows_at_repeated_places_are_added_up(spark, monkeypatch):
+    """The same forest from sums by place as from single rows, and nothing is dealt row by row."""
+    rng = np.random.default_rng(8)
+    rows = [(0, i, float(rng.integers(0, 6)), float(rng.integers(0, 5)), float(rng.random())) for i in range(400)]
+    asked = [(0, i, float(rng.random() * 6), float(rng.random() * 5)) for i in range(40)] + [(0, 100, 1.0, 1.0), (0, 101, 1.0, 1.0)]
+    samples, queries = spark.createDataFrame(rows, "problem int, source_row long, x double, y double, value double"), spark.createDataFrame(asked, "problem int, query_id long, x double, y double")
+    run = lambda: {r["query_id"]: (r["value"], r["spread"]) for r in forests.predict_forests(samples, queries, {0: forests.Settings(12, 6)}, ["x", "y"]).collect()}
+    monkeypatch.setattr(forests, "MOST_PLACES", 0)
+    one_by_one = run()
+    monkeypatch.undo()
+    monkeypatch.setattr(forests, "_deal", None)
+    found = run()
+    assert set(found) == set(one_by_one) == {i for _, i, *_ in asked}
+    assert found[100] == found[101]
+    for k, v in found.items():
+        assert v == pytest.approx(one_by_one[k])
