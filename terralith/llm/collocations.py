@@ -30,6 +30,7 @@ from terralith.llm.common import dropped, saved
 BITS = 26
 BLOCK = 16  # bits of a place within its block
 CHUNK = 1 << 23
+AT_ONCE = 1 << 15  # rows that a task hands over at once
 LEAST = 10
 LONGEST = 3
 SHARE = 50  # per cent of a phrase's occurrences that lie in one longer phrase
@@ -50,22 +51,21 @@ class _Words:
     """The words of a chunk: hashes with the language in them, pieces, and dense numbers."""
 
     def __init__(self, texts: list[bytes], langs: list[str]) -> None:
-        self.joined = b"\n".join(texts)
-        data = hashing._LOWER[np.frombuffer(self.joined, np.uint8)]
+        data = hashing._LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
         self.lower = data.tobytes()
         starts, ends, found = [], [], []
         for a, b in hashing.pieces_of(data) if len(data) else []:
             start, end = hashing.runs(~_GAP[data[a:b]])
             found.append(hashing.span_hashes(data[a:b], start, end))
-            starts.append(start + a)
-            ends.append(end + a)
+            starts.append((start + a).astype(np.int32))  # a text is shorter than 2**31 bytes
+            ends.append((end + a).astype(np.int32))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.start, self.end, plain = join(starts, np.int64), join(ends, np.int64), join(found, np.uint64)
-        self.piece = np.cumsum(_BREAK[data], dtype=np.int64)[self.start] if len(data) else np.zeros(0, np.int64)
+        self.start, self.end, plain = join(starts, np.int32), join(ends, np.int32), join(found, np.uint64)
+        self.piece = np.searchsorted(np.flatnonzero(_BREAK[data]).astype(np.int32), self.start).astype(np.int32)
         edge = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         self.langs, of = np.unique(np.array(langs, object), return_inverse=True)
         own = np.array([hashing.words_of([b"lang:" + x.encode().hex().encode()])[0][0] for x in self.langs], np.uint64)
-        self.lang = of[np.searchsorted(edge, self.start, "right")] if len(self.start) else np.zeros(0, np.int64)
+        self.lang = of.astype(np.int32)[np.searchsorted(edge.astype(np.int32), self.start, "right")] if len(self.start) else np.zeros(0, np.int32)
         self.hash = hashing.mixed(plain ^ own[self.lang]) if len(plain) else plain
 
     def places(self, size: int, bits: int) -> np.ndarray:
@@ -112,12 +112,15 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[_Words]:
         yield _Words(texts, langs)
 
 
-def _rows(words: _Words, at: np.ndarray, size: int, place: np.ndarray) -> pa.RecordBatch:
-    first, n = words.counted(at, size)
-    none = pa.nulls(len(first), pa.string())
-    columns = [words.strings(first + j) for j in range(size)] + [none] * (3 - size)
-    lang = pa.array(words.langs.tolist(), pa.string()).take(pa.array(words.lang[first]))
-    return pa.RecordBatch.from_arrays([lang, *columns, pa.array(place[first]), pa.array(n, pa.int64()), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.binary())], names=[c.split()[0] for c in ROWS.split(", ")])
+def _rows(words: _Words, at: np.ndarray, size: int, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The different phrases that begin ``at``, in batches of AT_ONCE, so that neither this side nor the JVM holds all as text."""
+    every, counts = words.counted(at, size)
+    for i in range(0, len(every), AT_ONCE):
+        first, n = every[i : i + AT_ONCE], counts[i : i + AT_ONCE]
+        none = pa.nulls(len(first), pa.string())
+        columns = [words.strings(first + j) for j in range(size)] + [none] * (3 - size)
+        lang = pa.array(words.langs.tolist(), pa.string()).take(pa.array(words.lang[first]))
+        yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(place[first]), pa.array(n, pa.int64()), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.binary())], names=[c.split()[0] for c in ROWS.split(", ")])
 
 
 def _cells(held: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def _scan(size: int, least: int, longest: int, bits: int, chunk: int, frequent,
                 good &= _has(frequent.value, part[:n]) & _has(frequent.value, part[1 : n + 1])
             at = np.flatnonzero(good)
             if len(at):
-                yield _rows(words, at, size, place)
+                yield from _rows(words, at, size, place)
             if held is not None and n > 1:
                 both = good[:-1] & good[1:] & (words.piece[: n - 1] == words.piece[size:])
                 where, many = np.unique(words.places(size + 1, bits)[both], return_counts=True)

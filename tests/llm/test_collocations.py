@@ -87,3 +87,17 @@ def test_long_text_in_chunks():
     want = Counter(zip([*words, "a", "b"][:-1], [*words, "a", "b"][1:], strict=True))
     assert Counter(dict(zip(zip(text, made.strings(at + 1).to_pylist(), strict=True), n.tolist(), strict=True))) == want
     assert made.piece[-2] > made.piece[-3] and made.langs[made.lang[-1]] == "fr"
+
+
+def test_rows_leave_a_task_in_small_batches():
+    """A chunk with many different phrases isn't handed over whole, and nothing gets lost between batches."""
+    import pyarrow as pa
+
+    words = [f"v{i}" for i in range(100_000)]
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(words), "v7 v8"]), pa.array(["en", "en"])], names=["text", "lang"])
+    found = [b for b in collocations._scan(1, 10, 3, 17, collocations.CHUNK, None, None)(iter([texts])) if b.column(7)[0].as_py() is None and b.column(5)[0].as_py()]
+    assert max(b.num_rows for b in found) <= 1 << 15 and max(b.nbytes for b in found) < 4e6
+    got = Counter()
+    for b in found:
+        got.update(dict(zip(b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True)))
+    assert got == Counter([*words, "v7", "v8"])
