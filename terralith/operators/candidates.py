@@ -5,7 +5,8 @@ one for each outer fold of a forest on kriging residuals); a share of a set, as
 with, isn't seen by the queries of that share.  One neighbour search covers all sets with the most neighbours that any
 candidate asks for; inverse distances are one grouping, kriging systems one grouped solve, variograms are fitted from one
 sample of pairs for each set; smooth fields are settled side by side (``smoothing``), forests grown together (``forests``).
-The number of Spark jobs doesn't depend on the number of candidates.
+The number of Spark jobs doesn't depend on the number of candidates.  Rows of one share at one place get the same answer: the
+place is asked about once, by the name of its least row, so that the work of a search follows the places, not the rows.
 
 A candidate that fails, by its parameters, its fit, a gate or a system, is recorded with its error and leaves the others alone.
 """
@@ -107,6 +108,11 @@ def _placed(df: DataFrame, sets: dict[int, list | None], axes: list[str]) -> Dat
     return df.withColumn("_p", F.explode(images)).select(*(c for c in df.columns if c not in axes), "_p.*")
 
 
+def _asked(rows: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """(keys, axes, query_id): each place of ``rows`` once, by the name of its least row."""
+    return checkpointed(rows.groupBy(*keys, *axes).agg(F.min("source_row").alias("query_id")))
+
+
 def _fits(samples: DataFrame, wanted: dict[int, set[str]], shares: dict[int, list[int]], axes: list[str]) -> dict[tuple[int, int, str], dict | GeoError]:
     """Models fitted to each set without each share: LAGS lags of equal width over all pairs, or where these are more a
     sample of about MOST_PAIRS. ``samples``: set, source_row, axes, value, share."""
@@ -290,6 +296,7 @@ def evaluate(points: DataFrame, assignments: DataFrame, candidates: list[dict],
     rows = points.select("source_row", *(F.col(a).cast("double") for a in axes), F.col("value").cast("double").alias("value")).join(grouped, "source_row").join(own.drop("group_key"), "source_row", "left")
     rows = checkpointed(rows.withColumn("share", F.coalesce("share", F.lit(NOBODY))))
     folds = [r["share"] for r in rows.where(F.col("share") != NOBODY).select("share").distinct().orderBy("share").collect()]
+    spots = _asked(rows.where(F.col("share") != NOBODY), ["share"], axes)
     told = assignments.agg(F.count("*").alias("n"), F.count_if(F.col("role") == "training").alias("train")).first()
     n, held = rows.count(), rows.where(F.col("share") != NOBODY).count()
     if told["train"] != n * len(folds) - held:
@@ -337,7 +344,7 @@ def evaluate(points: DataFrame, assignments: DataFrame, candidates: list[dict],
     if tasks:
         used = {k: matrices[k] for k in {t.set for t in tasks} | ({0} if searches else set())}
         placed = checkpointed(_placed(rows.select("source_row", *axes, "value", "share"), used, axes))
-        queries = placed.where(F.col("share") != NOBODY).withColumnRenamed("source_row", "query_id")
+        queries = checkpointed(_placed(spots, used, axes))
         sectors = {10_000 + j: (0, json.loads(spec)) for spec, j in searches.items()}
         outer = _predict(placed, queries, tasks, dict.fromkeys(used, folds), axes, failures, sectors)
         if outer is not None:
@@ -352,12 +359,12 @@ def evaluate(points: DataFrame, assignments: DataFrame, candidates: list[dict],
             if "error" in r:
                 failures[list(keys)[k // 1000]] = r["error"]
         if fitted.problems:
-            asked = rows.where(F.col("share") != NOBODY).withColumn("c", F.explode(F.array(*map(F.lit, keys.values()))))
-            asked = asked.select((F.col("c") * 1000 + F.col("share")).cast("int").alias("problem"), F.col("source_row").alias("query_id"), *axes)
+            asked = spots.withColumn("c", F.explode(F.array(*map(F.lit, keys.values()))))
+            asked = asked.select((F.col("c") * 1000 + F.col("share")).cast("int").alias("problem"), "query_id", *axes)
             numbers = F.array(*(F.lit(names.index(name)) for name in keys))
             parts.append(smoothing.predict_many(fitted, asked).select(F.get(numbers, F.floor(F.col("problem") / 1000).cast("int")).alias("number"), "query_id", "value"))
     if mixed:
-        found = _residual_forests(rows, mixed, names, folds, axes, dimension, outer, failures)
+        found = _residual_forests(rows, spots, mixed, names, folds, axes, dimension, outer, failures)
         if found is not None:
             parts.append(found)
     if grown:
@@ -365,29 +372,30 @@ def evaluate(points: DataFrame, assignments: DataFrame, candidates: list[dict],
         keys = {name: i for i, name in enumerate(grown)}
         c = F.explode(F.array(*map(F.lit, keys.values())))
         training = rows.withColumn("fold", F.explode(each)).where("share <> fold").withColumn("c", c).select((F.col("c") * 1000 + F.col("fold")).cast("int").alias("problem"), "source_row", *axes, "value")
-        asked = rows.where(F.col("share") != NOBODY).withColumn("c", c).select((F.col("c") * 1000 + F.col("share")).cast("int").alias("problem"), F.col("source_row").alias("query_id"), *axes)
+        asked = spots.withColumn("c", c).select((F.col("c") * 1000 + F.col("share")).cast("int").alias("problem"), "query_id", *axes)
         settings = {i * 1000 + f: _forest(grown[name]) for name, i in keys.items() for f in folds}
         numbers = F.array(*(F.lit(names.index(name)) for name in keys))
         parts.append(forests.predict_forests(training, asked, settings, axes).select(F.get(numbers, F.floor(F.col("problem") / 1000).cast("int")).alias("number"), "query_id", "value"))
     good = [(i, c["name"]) for i, c in enumerate(candidates) if c["name"] not in failures]
     spark = points.sparkSession
-    plan = rows.where(F.col("share") != NOBODY).select("source_row", F.col("share").alias("fold_index"), F.col("value").alias("observed"))
-    every = plan.join(F.broadcast(spark.createDataFrame(good, "number int, candidate string")), F.lit(True))  # a row for each candidate
     found = None
     for part in parts:
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "number int, query_id bigint, value double")
-    out = every.join(found.withColumnRenamed("query_id", "source_row"), ["number", "source_row"], "left")
-    predicted = F.col("value")
-    return checkpointed(out.select("candidate", "fold_index", "source_row", "observed", predicted.alias("predicted"), predicted.isNull().alias("is_nodata"))), failures
+    answers = found.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "value"))).alias("told"))  # as many as candidates
+    answers = spots.join(answers, "query_id").select("share", *axes, "told")
+    every = rows.where(F.col("share") != NOBODY).join(answers, ["share", *axes], "left")
+    every = every.join(F.broadcast(spark.createDataFrame(good, "number int, candidate string")), F.lit(True))  # a row for each candidate
+    predicted = F.try_element_at("told", F.col("number"))
+    return checkpointed(every.select("candidate", F.col("share").alias("fold_index"), "source_row", F.col("value").alias("observed"), predicted.alias("predicted"), predicted.isNull().alias("is_nodata"))), failures
 
 
 def _forest(p: dict) -> forests.Settings:
     return forests.Settings(p["n_estimators"], p["max_depth"], p["min_samples_leaf"], p["max_features"], p["random_state"])
 
 
-def _residual_forests(rows: DataFrame, mixed: dict[str, dict], names: list[str], folds: list[int], axes: list[str], dimension: str, outer: DataFrame | None, failures: dict[str, str]) -> DataFrame | None:
+def _residual_forests(rows: DataFrame, spots: DataFrame, mixed: dict[str, dict], names: list[str], folds: list[int], axes: list[str], dimension: str, outer: DataFrame | None, failures: dict[str, str]) -> DataFrame | None:
     """Kriging from a fold's training rows, and a forest on what kriging misses in inner folds of these. A set is a candidate's
     outer fold, its shares are the inner folds: spatial groups dealt round in the order of a hash."""
     alive = [m for m in mixed if m not in failures]
@@ -409,20 +417,22 @@ def _residual_forests(rows: DataFrame, mixed: dict[str, dict], names: list[str],
     if any(m is not None for m in matrices.values()):
         of = {k: m or [[float(i == j) for j in range(len(axes))] for i in range(len(axes))] for k, m in matrices.items()}
         weight = lambda i, j: F.element_at(F.create_map(*(F.lit(x) for k, m in sorted(of.items()) for x in (k, float(m[i][j])))), F.col("set"))
-        samples_in = samples.withColumns({a: sum((weight(i, j) * F.col(b) for j, b in enumerate(axes)), F.lit(0.0)) for i, a in enumerate(axes)})
+        turned = lambda df: df.withColumns({a: sum((weight(i, j) * F.col(b) for j, b in enumerate(axes)), F.lit(0.0)) for i, a in enumerate(axes)})
     else:
-        samples_in = samples
+        turned = lambda df: df
     shares = {i * 1000 + f: list(range(mixed[m]["inner_folds"])) for m, i in keys.items() for f in folds}
-    found = _predict(samples_in, samples_in.withColumnRenamed("source_row", "query_id"), tasks, shares, axes, failures, {})
+    inside = _asked(samples, ["set", "share"], axes)
+    found = _predict(turned(samples), turned(inside), tasks, shares, axes, failures, {})
     if found is None:
         return None
-    met = samples.join(found.select(F.col("number").alias("set"), F.col("query_id").alias("source_row"), F.col("value").alias("p")), ["set", "source_row"], "left")
+    answers = inside.join(found.select(F.col("number").alias("set"), "query_id", F.col("value").alias("p")), ["set", "query_id"]).select("set", "share", *axes, "p")
+    met = samples.join(answers, ["set", "share", *axes], "left")
     for r in met.groupBy("set").agg(F.count("*").alias("n"), F.count("p").alias("good")).collect():  # a row for each candidate and fold
         p = mixed[alive[r["set"] // 1000]]
         if r["good"] < p["min_oof_residuals"] or r["good"] < p["min_oof_coverage"] * r["n"]:
             failures[alive[r["set"] // 1000]] = "RESIDUALS_INSUFFICIENT"
     residuals = met.where("p is not null").select(F.col("set").alias("problem"), "source_row", *axes, (F.col("value") - F.col("p")).alias("value"))
-    asked = rows.where(F.col("share") != NOBODY).withColumn("c", F.explode(F.array(*map(F.lit, keys.values())))).select((F.col("c") * 1000 + F.col("share")).cast("int").alias("problem"), F.col("source_row").alias("query_id"), *axes)
+    asked = spots.withColumn("c", F.explode(F.array(*map(F.lit, keys.values())))).select((F.col("c") * 1000 + F.col("share")).cast("int").alias("problem"), "query_id", *axes)
     corrections = forests.predict_forests(residuals, asked, {i * 1000 + f: _forest(mixed[m]["random_forest"]) for m, i in keys.items() for f in folds}, axes)
     numbers = F.array(*(F.lit(names.index(m)) for m in alive))
     corrections = corrections.select(F.get(numbers, F.floor(F.col("problem") / 1000).cast("int")).alias("number"), "query_id", F.col("value").alias("correction"))

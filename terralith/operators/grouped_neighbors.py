@@ -34,7 +34,7 @@ def nearest_by(queries: DataFrame, samples: DataFrame, k: int, by: str, axes: li
     ``by``, axes and ``apart``; ``samples``: source_row, ``by``, axes, value and ``apart``. A null share sees everything."""
     share = F.coalesce(F.col(apart).cast("int"), F.lit(NOBODY)).alias("_apart") if apart else F.lit(NOBODY).alias("_apart")
     place = Window.partitionBy(by, *axes, "_apart").orderBy("source_row")
-    held = samples.select("source_row", by, *axes, "value", share).withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= k).drop("_k")
+    held = checkpointed(samples.select("source_row", by, *axes, "value", share).withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= k).drop("_k"))
     found = held.groupBy(by).agg(F.count("*").alias("n"), *(f(a).alias(f"{a}{i}") for a in axes for i, f in enumerate((F.min, F.max)))).collect()  # a row for each set
     schema = queries.select("query_id", by).schema
     if not found:

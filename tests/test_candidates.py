@@ -144,3 +144,25 @@ def test_plans_must_be_whole(spark):
     df, plan, _, _, _ = data(spark, 40, 6, 2)
     with pytest.raises(GeoError, match="PLAN_INCOMPLETE"):
         candidates.evaluate(df, plan.where("source_row > 2 or role = 'validation'"), [{"name": "a", "algorithm": "idw", "parameters": {}}], AXES)
+
+
+def test_a_place_is_searched_once(spark, monkeypatch):
+    """Rows of one fold at one place share a search and its answers; rows of another fold there have their own."""
+    rng = np.random.RandomState(5)
+    p = np.repeat(rng.rand(12, 2) * [8, 6], 20, axis=0)
+    own, v = np.arange(240) // 5 % 3, rng.randn(240)
+    df = spark.createDataFrame([(i, *map(float, a), None, float(b), True) for i, (a, b) in enumerate(zip(p, v, strict=True))], POINT)
+    plan = spark.createDataFrame([(f, i, i, "validation" if own[i] == f else "training", False) for i in range(240) for f in range(3)], "fold_index int, source_row bigint, group_key bigint, role string, leakage_detected boolean")
+    asked, search = [], candidates.nearest_by
+    monkeypatch.setattr(candidates, "nearest_by", lambda q, *a: (asked.append(q.count()), search(q, *a))[1])
+    oof, failures = candidates.evaluate(df, plan, [{"name": "idw", "algorithm": "idw", "k": 30}, {"name": "few", "algorithm": "idw", "k": 3}, {"name": "odd", "algorithm": "idw", "k": 0}])
+    assert asked == [36] and set(failures) == {"odd"}
+    got = {(r["candidate"], r["source_row"]): r for r in oof.collect()}
+    for name, k in (("idw", 30), ("few", 3)):
+        def predict(i, train, k=k):
+            rows, d = near(p, p[i], train, k)
+            return v[rows[0]]  # the least row at the place
+
+        want = brute(p, v, own, predict)
+        assert [got[name, i]["predicted"] for i in range(240)] == want.tolist() and all(got[name, i]["fold_index"] == own[i] and got[name, i]["observed"] == v[i] for i in range(240))
+    assert len(got) == 480
