@@ -2,6 +2,8 @@
 
 Each round rewrites the links with two grouped minima and two joins; nothing is gathered in one task or on the
 driver but a count and a checksum of the links.  The rounds grow with the logarithm of the number of nodes.
+The joins are merges at any size: a broadcast goes through the driver, takes a megabyte or more there for a few rows and
+stays until the driver collects its garbage, and there would be several in every round.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node that the node knows (itself included)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u > v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is linked to the smallest of them. Links have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 

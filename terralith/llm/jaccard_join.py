@@ -23,6 +23,7 @@ texts is dealt over tiles of at most about ``TILE`` texts a side.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,7 +90,8 @@ def _blobs(data: np.ndarray, start: np.ndarray) -> pa.Array:
 
 def token_bands(df: DataFrame, text_col: str, words: int, total: int) -> np.ndarray:
     """The table of bands. ``total`` tokens are counted in groups of about GROUP, told apart by their first bits; tokens
-    travel as 32 further bits (a chance collision makes a token look more frequent). The driver gets 2**PLACES bytes."""
+    travel as 32 further bits (a chance collision makes a token look more frequent). The driver gets 2**PLACES bytes, which
+    travel compressed: most are 0."""
     bits = min(PLACES - 4, max(8, (total // GROUP).bit_length()))
     shift = np.uint64(64 - bits)
 
@@ -126,18 +128,19 @@ def token_bands(df: DataFrame, text_col: str, words: int, total: int) -> np.ndar
         band = np.minimum(BANDS, 1 + (np.log2((many[often] - 0.5) / RARE) / 2).astype(np.int64)).astype(np.uint8)
         table = np.zeros(1 << (PLACES - bits), np.uint8)
         np.maximum.at(table, tokens[often] >> np.uint32(32 - (PLACES - bits)), band)
-        return pa.table({"bucket": group.column("bucket")[:1], "bands": pa.array([table.tobytes()], pa.binary()), "n": pa.array([np.bincount(band, minlength=BANDS + 1).tolist()], pa.list_(pa.int64()))})
+        return pa.table({"bucket": group.column("bucket")[:1], "bands": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary()), "n": pa.array([np.bincount(band, minlength=BANDS + 1).tolist()], pa.list_(pa.int64()))})
 
     dealt = df.select(text_col).mapInArrow(deal, "bucket int, tokens binary, counts binary")
     found = dealt.groupBy("bucket").applyInArrow(count, "bucket int, bands binary, n array<bigint>").toArrow()
     table = np.zeros((1 << bits, 1 << (PLACES - bits)), np.uint8)
     n = np.zeros(BANDS + 1, np.int64)
     for bucket, bands, many in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
-        table[bucket] = np.frombuffer(bands, np.uint8)
+        table[bucket] = np.frombuffer(zlib.decompress(bands), np.uint8)
         n += many
     above = np.cumsum(n[::-1])[::-1]  # tokens of a band or a higher one
     least = int(np.argmax(above <= 1 << (PLACES - 2))) if above[-1] <= 1 << (PLACES - 2) else BANDS
-    table[table < least] = 0
+    for row in table:
+        row[row < least] = 0
     return table.ravel()
 
 
@@ -187,7 +190,7 @@ def fits(n_a: np.ndarray, n_b: np.ndarray, place_a: np.ndarray, place_b: np.ndar
 
 def _signed(df: DataFrame, text_col: str, words: int, per_cent: int, bands: np.ndarray) -> DataFrame:
     """(sig, node, n, place): the signatures of every set; a task sends those of copies once."""
-    table = df.sparkSession.sparkContext.broadcast(bands)  # 2**PLACES bytes
+    table = df.sparkSession.sparkContext.broadcast(zlib.compress(bands, 1))  # 2**PLACES bytes, most of them 0
 
     def emit(held: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
         many = [len(s[0]) for *_, s in held]
@@ -195,7 +198,7 @@ def _signed(df: DataFrame, text_col: str, words: int, per_cent: int, bands: np.n
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "node", "n", "place"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = table.value, set()
+        often, seen = np.frombuffer(zlib.decompress(table.value), np.uint8), set()
         for batch in batches:
             for _, sets in _sets(batch.column(0), words):
                 held, rows = [], 0
@@ -448,8 +451,8 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, per_cent:
     """``jaccard_components`` with all its tables left there; the first round's signatures go once they aren't read any more."""
     slim = described(df, id_col, text_col, words)
     nodes = saved(slim.where("n > 1").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min(F.struct("id", "h")).alias("row")))
-    bands = token_bands(df, text_col, words, nodes.agg(F.sum("n")).first()[0] or 0)
-    signed = _signed(df, text_col, words, per_cent, bands)
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    signed = _signed(df, text_col, words, per_cent, token_bands(df, text_col, words, total))
     shared = saved(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared(per_cent), "sig bigint, node bigint, n int, place int, pivot bigint"))
 
     def tested(pairs: DataFrame) -> DataFrame:
